@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only for a side whose row count is checked to be
+    within ``max_rows``; a larger side is returned unchanged so that the
+    planner (and AQE, from runtime sizes) picks a shuffle join.
+
+    The check counts at most ``max_rows + 1`` rows, so it stays cheap even
+    when the side turns out to be large.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
