@@ -26,7 +26,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Tokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textlake.functions.constants import NUM_FEATURES, TOP_RANK_PER_GROUP
 from textlake.functions.text import tokens
@@ -39,8 +38,14 @@ def term_frequencies(docs: DataFrame, key: Sequence[str], body: str = "body") ->
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
-    """(term, df): rows of a (key, term, tf) table per term."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df): rows of a (key, term, tf) table per term.
+
+    Counting the ``tf`` values (never NULL) instead of rows keeps the tf
+    column alive in this branch, so its (key, term) aggregate is the same
+    plan as the other join side and AQE reuses that shuffle instead of
+    scanning and normalizing the texts a second time.
+    """
+    return tf.groupBy("term").agg(F.count("tf").alias("df"))
 
 
 def n_documents(docs: DataFrame, key: Sequence[str]) -> Column:
@@ -115,39 +120,56 @@ def hashed_tfidf_vectors(docs: DataFrame, body: str = "body",
     return model.transform(docs)
 
 
-@F.udf(T.IntegerType())
-def _single_index(v):
-    # A one-term HashingTF vector has exactly one active index.
-    return int(v.indices[0]) if v is not None and len(v.indices) else None
+VECTOR_STRUCT = "struct<v: struct<type: tinyint, size: int, indices: array<int>, " \
+                "values: array<double>>>"
 
 
-def hashing_tf_buckets(terms: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """(term, bucket) with the exact bucket Spark ML's HashingTF uses.
+def vector_entries(v: Column) -> Column:
+    """A ML vector column as its storage struct (type, size, indices, values).
 
-    The bucket comes from HashingTF itself applied to a one-term array; a
-    tiny Python helper reads the single index of that vector.  It runs once
-    per distinct term, never per token.
+    ``to_json`` serializes the vector through its SQL type, and ``from_json``
+    reads that back as a plain struct: JVM-side, no Python worker.
     """
-    one = terms.select("term", F.array("term").alias("_t"))
-    vec = HashingTF(inputCol="_t", outputCol="_v", numFeatures=num_features).transform(one)
-    return vec.select("term", _single_index("_v").alias("bucket"))
+    return F.from_json(F.to_json(F.struct(v.alias("v"))), VECTOR_STRUCT)["v"]
+
+
+def with_hashing_tf_bucket(df: DataFrame, term: str = "term", out: str = "bucket",
+                           num_features: int = NUM_FEATURES) -> DataFrame:
+    """Add the exact bucket Spark ML's HashingTF gives ``term``.
+
+    HashingTF itself is applied to a one-term array and the only active
+    index of that vector is read back -- a narrow, per-row JVM step, so no
+    join or shuffle is needed to attach buckets.
+    """
+    tmp = "_tl_terms"
+    one = df.withColumn(tmp, F.array(term))
+    vec = HashingTF(inputCol=tmp, outputCol=tmp + "_v", numFeatures=num_features).transform(one)
+    return vec.withColumn(out, vector_entries(F.col(tmp + "_v"))["indices"][0]) \
+        .drop(tmp, tmp + "_v")
 
 
 def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
                         num_features: int = NUM_FEATURES) -> DataFrame:
-    """(key, term, score, tf) as read from the hashed vectors: a term's tf and
-    score are those of its bucket (terms sharing a bucket add up), computed
-    with joins and aggregations instead of vectors and positional zips."""
+    """(key, term, score, tf) as read from the hashed vectors.
+
+    A term's tf and score are those of its bucket (terms sharing a bucket in
+    a document add up), computed with aggregations instead of vectors and
+    positional zips:
+      (key, term, tf) -> + bucket -> (key, bucket, btf, terms) -> (bucket, bdf)
+    The (bucket, bdf) table has at most ``num_features`` rows, a bound that
+    does not grow with the data, so it is broadcast.  ``terms`` per
+    (key, bucket) holds only the terms of one document that collide in one
+    bucket.
+    """
     tf = term_frequencies(docs, key, body)
-    buckets = hashing_tf_buckets(tf.select("term").distinct(), num_features)
-    with_bucket = tf.join(buckets, on="term")
-    bucket_tf = with_bucket.groupBy(*key, "bucket").agg(F.sum("tf").alias("btf"))
-    bucket_df = bucket_tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("bdf"))
+    kb = (with_hashing_tf_bucket(tf, num_features=num_features)
+          .groupBy(*key, "bucket")
+          .agg(F.sum("tf").alias("btf"), F.collect_list("term").alias("terms")))
+    bdf = kb.groupBy("bucket").agg(F.count("btf").alias("bdf"))
     m = n_documents(docs, key)
-    return (with_bucket.select(*key, "term", "bucket")
-            .join(bucket_tf, on=[*key, "bucket"])
-            .join(bucket_df, on="bucket")
-            .select(*key, "term", (F.col("btf") * idf(F.col("bdf"), m)).alias("score"),
+    return (kb.join(F.broadcast(bdf), on="bucket")
+            .select(*key, F.explode("terms").alias("term"),
+                    (F.col("btf") * idf(F.col("bdf"), m)).alias("score"),
                     F.col("btf").cast("double").alias("tf")))
 
 

@@ -13,22 +13,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.operators.counts import explode_tokens
 
 
 def term_counts(docs: DataFrame, group: Sequence[str], terms: Sequence[str],
-                body: str = "body") -> DataFrame:
+                body: str = "body", drop_empty: bool = False) -> DataFrame:
     """(group, word, count) for ``terms``, plus one row per group with word
     NULL holding the count of all other tokens.  Per-group sums equal those
-    of the full word-count table."""
+    of the full word-count table.  ``drop_empty`` leaves empty tokens out
+    (the token set the TF-IDF tables are built on)."""
     toks = explode_tokens(docs, group, body)
+    if drop_empty:
+        toks = toks.where(F.col("word") != "")
     kept = F.when(F.col("word").isin(list(terms)), F.col("word")).alias("word")
     return toks.select(*group, kept).groupBy(*group, "word").count()
 
 
+def term_share(docs: DataFrame, group: Sequence[str], terms: Sequence[str],
+               body: str = "body", scale: float = 100.0, relative: str = "relative_count",
+               drop_empty: bool = False, keep_total: bool = False) -> DataFrame:
+    """``timeline_relative`` in one pass over the texts.
+
+    The group totals are a window sum over the ``term_counts`` table, which
+    has at most (#terms + 1) rows per group -- so the window partition of
+    even the largest group is tiny -- and the texts are scanned and
+    normalized once instead of once per join side.
+    """
+    tc = term_counts(docs, group, terms, body, drop_empty)
+    total = F.sum("count").over(Window.partitionBy(*group))
+    share = F.col("count") / F.col("total")
+    if scale != 1.0:
+        share = share * F.lit(scale)
+    cols = [*group, "word", "count"] + (["total"] if keep_total else []) + [share.alias(relative)]
+    return (tc.withColumn("total", total)
+            .where(F.col("word").isNotNull())
+            .select(*cols)
+            .orderBy(*group, "count", "word"))
+
+
+def label_camps(df: DataFrame, first: Sequence[str], first_label: str, second_label: str,
+                word: str = "word") -> DataFrame:
+    """Replace the term column by its camp label."""
+    label = F.when(F.col(word).isin(list(first)), F.lit(first_label)) \
+        .otherwise(F.lit(second_label))
+    return df.withColumn(word, label).withColumnRenamed(word, "technology")
+
+
 def group_totals(counts: DataFrame, group: Sequence[str], value: str = "count",
                  total: str = "total") -> DataFrame:
     return counts.groupBy(*group).agg(F.sum(value).alias(total))

@@ -208,17 +208,14 @@ def q_timeline(spark, sf_dir):
 
 
 def q_timeline_relative(spark, sf_dir):
-    tc = trends.term_counts(_docs(spark, sf_dir), [P.GROUP], P.TIMELINE_TERMS)
-    out = trends.timeline_relative(tc, [P.GROUP], P.TIMELINE_TERMS)
+    out = trends.term_share(_docs(spark, sf_dir), [P.GROUP], P.TIMELINE_TERMS)
     return out.withColumn("relative_count", _r("relative_count"))
 
 
 def q_term_groups_relative(spark, sf_dir):
-    terms = P.CAMP_FIRST + P.CAMP_SECOND
-    tc = trends.term_counts(_docs(spark, sf_dir), [P.GROUP], terms)
-    out = trends.camp_comparison(tc, [P.GROUP], P.CAMP_FIRST, P.CAMP_SECOND,
-                                 P.CAMP_FIRST_LABEL, P.CAMP_SECOND_LABEL)
-    return out.withColumn("relative_count", _r("relative_count"))
+    share = trends.term_share(_docs(spark, sf_dir), [P.GROUP], P.CAMP_FIRST + P.CAMP_SECOND)
+    out = trends.label_camps(share, P.CAMP_FIRST, P.CAMP_FIRST_LABEL, P.CAMP_SECOND_LABEL)
+    return out.select(P.GROUP, "technology", "count", _r("relative_count").alias("relative_count"))
 
 
 # --- corpus statistics ------------------------------------------------------
@@ -282,38 +279,44 @@ def q_top_terms_for_document(spark, sf_dir):
     return out.select("term", _r("score").alias("score"), "tf", "doc_id")
 
 
-def _group_scores(spark, sf_dir):
-    return tfidf.tfidf_exact(_docs(spark, sf_dir), [P.GROUP])
+# The tf of a term in a group document is the number of its (non-empty)
+# tokens in the group, so the tf trend queries read only the token counts
+# they need instead of the whole per-group score table.
+
+def _tf_share(spark, sf_dir, terms):
+    out = trends.term_share(_docs(spark, sf_dir), [P.GROUP], terms, scale=1.0,
+                            relative="relative_tf", drop_empty=True, keep_total=True)
+    return out.select(P.GROUP, F.col("word").alias("term"), F.col("count").cast("double")
+                      .alias("tf"), F.col("total").cast("double").alias("total"), "relative_tf")
 
 
 def q_tf_timeline(spark, sf_dir):
-    return trends.timeline(_group_scores(spark, sf_dir), [P.GROUP], P.TIMELINE_TERMS,
-                           word="term", value="tf")
+    return _tf_share(spark, sf_dir, P.TIMELINE_TERMS).select(P.GROUP, "term", "tf")
 
 
 def q_tf_timeline_relative(spark, sf_dir):
-    out = trends.timeline_relative(_group_scores(spark, sf_dir), [P.GROUP], P.TIMELINE_TERMS,
-                                   word="term", value="tf", scale=1.0, relative="relative_tf",
-                                   keep_total=True)
-    return out.withColumn("relative_tf", _r("relative_tf"))
+    return _tf_share(spark, sf_dir, P.TIMELINE_TERMS) \
+        .withColumn("relative_tf", _r("relative_tf"))
 
 
 def q_term_groups_tf(spark, sf_dir):
-    return trends.camp_comparison(_group_scores(spark, sf_dir), [P.GROUP], P.CAMP_FIRST,
-                                  P.CAMP_SECOND, P.CAMP_FIRST_LABEL, P.CAMP_SECOND_LABEL,
-                                  word="term", value="tf", relative=False)
+    share = _tf_share(spark, sf_dir, P.CAMP_FIRST + P.CAMP_SECOND)
+    return trends.label_camps(share, P.CAMP_FIRST, P.CAMP_FIRST_LABEL, P.CAMP_SECOND_LABEL,
+                              word="term").select(P.GROUP, "technology", "tf")
 
 
 def q_tf_total_per_group(spark, sf_dir):
-    return trends.group_totals(_group_scores(spark, sf_dir), [P.GROUP], "tf", "total_tf") \
-        .orderBy(P.GROUP)
+    tf = tfidf.term_frequencies(_docs(spark, sf_dir), [P.GROUP])
+    return trends.group_totals(tf, [P.GROUP], "tf", "total_tf") \
+        .select(P.GROUP, F.col("total_tf").cast("double").alias("total_tf")).orderBy(P.GROUP)
 
 
 def q_top_tf_in_group(spark, sf_dir):
-    scores = documents.filter_by_group(_group_scores(spark, sf_dir), P.GROUP,
-                                       P.TOP_TF_GROUP_VALUE)
-    return counts.top_k(scores.select("term", "tf"), [F.col("tf").desc(), F.col("term")],
-                        TOP_TF_IN_GROUP)
+    """The group filter reaches the Parquet scan: only that group's texts
+    are read and normalized."""
+    docs = documents.filter_by_group(_docs(spark, sf_dir), P.GROUP, P.TOP_TF_GROUP_VALUE)
+    tf = tfidf.term_frequencies(docs, [P.GROUP]).select("term", F.col("tf").cast("double"))
+    return counts.top_k(tf, [F.col("tf").desc(), F.col("term")], TOP_TF_IN_GROUP)
 
 
 def q_ml_tokenize(spark, sf_dir):
