@@ -40,12 +40,13 @@ def term_frequencies(docs: DataFrame, key: Sequence[str], body: str = "body") ->
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(term, df): rows of a (key, term, tf) table per term.
 
-    Counting the ``tf`` values (never NULL) instead of rows keeps the tf
-    column alive in this branch, so its (key, term) aggregate is the same
-    plan as the other join side and AQE reuses that shuffle instead of
-    scanning and normalizing the texts a second time.
+    Written as "documents with tf > 0" so that the tf column stays alive in
+    this branch (a plain row count lets the optimizer prune it): the
+    (key, term) aggregate is then the same plan as the other join side and
+    AQE reuses its shuffle instead of scanning and normalizing the texts a
+    second time.
     """
-    return tf.groupBy("term").agg(F.count("tf").alias("df"))
+    return tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
 
 
 def n_documents(docs: DataFrame, key: Sequence[str]) -> Column:
