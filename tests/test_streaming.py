@@ -1,0 +1,26 @@
+"""The streaming word count equals the batch word count on the same files."""
+
+from conftest import SF_SMALL
+from textlake.operators import counts
+from textlake.plans.params import STOPWORDS
+from textlake.functions.constants import PHRASES
+from textlake.operators.documents import clean_documents
+from textlake.sources.tables import raw_documents
+from textlake.streaming import (read_document_stream, start_to_memory,
+                                streaming_word_count_per_group)
+
+
+def test_streaming_matches_batch(spark):
+    stream = read_document_stream(spark, f"{SF_SMALL}/documents*.parquet")
+    q = start_to_memory(streaming_word_count_per_group(stream, ["lang"], stopwords=STOPWORDS,
+                                                       phrases=PHRASES), "tl_stream_wc")
+    try:
+        q.processAllAvailable()
+        got = {(r.lang, r.word): r["count"] for r in spark.table("tl_stream_wc").collect()}
+    finally:
+        q.stop()
+    docs = clean_documents(raw_documents(spark, SF_SMALL, ("lang",)), ["lang"],
+                           stopwords=STOPWORDS, phrases=PHRASES)
+    want = {(r.lang, r.word): r["count"]
+            for r in counts.word_count_per_group(docs, ["lang"]).collect()}
+    assert got == want and got

@@ -1,0 +1,7 @@
+"""Incremental (Structured Streaming) form of the per-group word count."""
+
+from textlake.streaming.wordcounts import (read_document_stream, start_to_memory, start_to_table,
+                                           streaming_word_count_per_group)
+
+__all__ = ["read_document_stream", "start_to_memory", "start_to_table",
+           "streaming_word_count_per_group"]
