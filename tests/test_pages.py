@@ -64,3 +64,30 @@ def test_anchor_list_positions(spark):
     assert got == [(0, "the"), (1, "bob"), (2, "file"), (3, "mail")]
     assert pages.page_anchor_list(df).schema["pos"].dataType.simpleString() == "int"
     assert F is not None
+
+
+def test_direct_paragraph_text(spark):
+    df = spark.createDataFrame([(1, HTML), (2, None)], "page_id long, html string")
+    got = {r.page_id: r.content for r in pages.direct_paragraph_text(df).collect()}
+    # "Lead" sits inside an unclosed <b>, so it is not a direct text node of a <p>;
+    # the footer paragraph is outside <article>; entities are decoded.
+    assert got == {1: "Second para. Third &amp; end", 2: None}
+
+
+def test_page_extract_by_layout(spark):
+    from textlake.functions.urls import url_lang
+    layouts = spark.createDataFrame(
+        [("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
+          r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a [^>]*>([^<]*)</a>"),
+         ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<footer[^>]*>(.*?)</footer>",
+          r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a href=\"/[^\"]*\">([^<]*)</a>")],
+        pages.LAYOUT_SCHEMA)
+    df = spark.createDataFrame([(1, "https://h.example.com/en/1", HTML),
+                                (2, "https://h.example.com/de/2", HTML),
+                                (3, "https://h.example.com/es/3", HTML)],
+                               "page_id long, url string, html string")
+    out = {r.page_id: (r.title, r.content, r.speakers) for r in
+           pages.page_extract_by_layout(df, layouts, url_lang(F.col("url"))).collect()}
+    assert out[1][0] == "Big & Data" and out[1][1].startswith("Lead")
+    assert out[2] == ("T", "foot", ["the", "file"])
+    assert out[3] == (None, None, None)

@@ -1,0 +1,44 @@
+"""Tiny per-page helper for ``direct_paragraph_text`` (runs inside tasks)."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
+        "track", "wbr"}
+# Opening one of these implicitly closes an open <p> (HTML parsing rules).
+CLOSES_P = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article",
+            "section", "nav", "footer", "header", "pre", "blockquote", "form", "hr"}
+
+
+class _DirectText(HTMLParser):
+    def __init__(self, scope: str):
+        super().__init__(convert_charrefs=True)
+        self.scope = scope
+        self.stack: list[str] = []
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in CLOSES_P and "p" in self.stack:
+            while self.stack and self.stack.pop() != "p":
+                pass
+        if tag not in VOID:
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.stack:
+            while self.stack and self.stack.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1] == "p" and self.scope in self.stack:
+            self.parts.append(data)
+
+
+def direct_text(html: str, scope: str = "article") -> str:
+    """Direct text nodes of <p> elements inside ``scope``, joined by a blank,
+    whitespace squeezed."""
+    p = _DirectText(scope)
+    p.feed(html)
+    p.close()
+    return " ".join(" ".join(p.parts).split())

@@ -76,3 +76,72 @@ def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/
     if allowed is not None:
         keep = keep & allowed
     return links.select("page_id", "href", target.alias("target")).where(keep)
+
+
+LAYOUT_SCHEMA = ("site_key string, title_pattern string, scope_pattern string, "
+                 "paragraph_pattern string, list_pattern string")
+
+
+def page_extract_by_layout(pages: DataFrame, layouts: DataFrame, site_key,
+                           html: str = "html", url: str = "url",
+                           keep: Sequence[str] = ("page_id",),
+                           max_layout_rows: int = 10_000) -> DataFrame:
+    """Extraction whose patterns depend on the site (one layout per site key).
+
+    ``layouts`` (LAYOUT_SCHEMA) holds one row of regex patterns per site
+    key: title (group 1), content scope (group 1), paragraphs inside the
+    scope (group 1, all) and list-field items (group 1, all).  It is joined
+    to the pages on ``site_key`` (a Column over the page) -- broadcast when
+    its checked size is within ``max_layout_rows``, so the page table is
+    never shuffled.  Pages whose key has no layout keep NULL fields.
+    """
+    from textlake.functions.html import (TAG_PATTERN, decode_entities, squeeze_blanks,
+                                         strip_noise)
+    from textlake.operators.joins import broadcast_if_small
+
+    rules = broadcast_if_small(layouts, max_layout_rows)
+    keyed = pages.select(*keep, F.col(url).alias("link"), site_key.alias("site_key"),
+                         strip_noise(html).alias("_html"))
+    j = keyed.join(rules, on="site_key", how="left")
+    title = F.expr("regexp_extract(_html, title_pattern, 1)")
+    scope = F.expr("regexp_extract(_html, scope_pattern, 1)")
+    paras = F.array_join(F.expr("regexp_extract_all(_scope, paragraph_pattern, 1)"), " ")
+    items = F.expr("regexp_extract_all(_html, list_pattern, 1)")
+    return (j.withColumn("_scope", scope)
+            .select(*keep, "link", "site_key",
+                    decode_entities(squeeze_blanks(F.regexp_replace(title, TAG_PATTERN, " ")))
+                    .alias("title"),
+                    decode_entities(squeeze_blanks(F.regexp_replace(paras, TAG_PATTERN, " ")))
+                    .alias("content"),
+                    normalize_array(items).alias("speakers")))
+
+
+def direct_paragraph_text(pages: DataFrame, html: str = "html",
+                          keep: Sequence[str] = ("page_id",), scope_tag: str = "article"
+                          ) -> DataFrame:
+    """Paragraph text made of *direct* text nodes only (text of a <p> that is
+    not inside a nested element), the way a CSS ``article p::text``
+    selector reads a page.  Regexes cannot track element nesting, so this
+    one step runs a small HTML tag-stack parser per page inside
+    ``mapInPandas`` (Arrow batches, partitioned exactly as the page table).
+    """
+    keep = list(keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                       for f in pages.select(*keep).schema.fields)
+    schema = (schema + ", " if schema else "") + "content string"
+
+    # Ship the helper by value so executors need no copy of this package.
+    from pyspark import cloudpickle
+
+    from textlake.functions import pyhtml
+    cloudpickle.register_pickle_by_value(pyhtml)
+    direct_text = pyhtml.direct_text
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keep].copy()
+            out["content"] = [None if h is None else direct_text(h, scope_tag)
+                              for h in pdf[html]]
+            yield out
+
+    return pages.select(*keep, html).mapInPandas(run, schema)

@@ -82,6 +82,10 @@ def paragraphs_sql(e: str) -> str:
     return decode(squeeze(f"regexp_replace({paras}, {q(H.TAG_PATTERN)}, ' ', 'g')"))
 
 
+def untag(e: str) -> str:
+    return f"regexp_replace({e}, {q(H.TAG_PATTERN)}, ' ', 'g')"
+
+
 def strip_blank(e: str) -> str:
     return f"regexp_replace({e}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+\\z', '', 'g')"
 
@@ -288,4 +292,17 @@ ORACLES: dict[str, str] = {
         f"instr(target, {q(P.LINK_DENY)}) = 0 AND "
         f"{_host_allowed('regexp_extract(target, ' + q(URL_HOST_PATTERN) + ', 1)')}"),
     "page_title": f"SELECT page_id, {title_sql('html')} AS title FROM pages",
+    "page_extract_by_layout": (
+        "WITH layouts(site_key, title_pattern, scope_pattern, paragraph_pattern, list_pattern) AS "
+        "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in row) + ")" for row in P.PAGE_LAYOUTS)
+        + f"), k AS (SELECT page_id, url AS link, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) "
+        f"AS site_key, {noise('html')} AS h FROM pages), "
+        "j AS (SELECT k.*, l.title_pattern, l.scope_pattern, l.paragraph_pattern, l.list_pattern "
+        "FROM k LEFT JOIN layouts l ON k.site_key = l.site_key), "
+        "e AS (SELECT page_id, link, site_key, regexp_extract(h, title_pattern, 1) AS t, "
+        "regexp_extract_all(regexp_extract(h, scope_pattern, 1), paragraph_pattern, 1) AS ps, "
+        "regexp_extract_all(h, list_pattern, 1) AS items FROM j) "
+        f"SELECT page_id, link, site_key, {decode(squeeze(untag('t')))} AS title, "
+        f"{decode(squeeze(untag("array_to_string(ps, ' ')")))}"
+        " AS content, len(items)::BIGINT AS n_speakers FROM e"),
 }

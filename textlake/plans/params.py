@@ -45,3 +45,14 @@ LINK_DENY = "/file/"
 AUDIT_BUCKETS = 1 << 20
 
 ROUND = 6
+
+# Per-site layouts for page_extract_by_layout, keyed by the URL language:
+# (site_key, title, content scope, paragraphs in scope, list items).
+PAGE_LAYOUTS = [
+    ("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
+     r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a [^>]*>([^<]*)</a>"),
+    ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<body[^>]*>(.*?)</body>",
+     r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<li><a [^>]*>([^<]*)</a>"),
+    ("fr", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<body[^>]*>(.*?)</body>",
+     r"<p[^>]*>([^<]*)", r"<a [^>]*>([^<]*)</a>"),
+]

@@ -355,6 +355,19 @@ def q_page_links(spark, sf_dir):
     return pages.page_links(_pages(spark, sf_dir), P.LINK_ALLOWED_DOMAINS, P.LINK_DENY)
 
 
+def q_page_extract_by_layout(spark, sf_dir):
+    from textlake.functions.urls import url_lang
+    layouts = spark.createDataFrame(P.PAGE_LAYOUTS, pages.LAYOUT_SCHEMA)
+    out = pages.page_extract_by_layout(_pages(spark, sf_dir), layouts, url_lang(F.col("url")))
+    return out.select("page_id", "link", "site_key", "title", "content",
+                      F.size("speakers").cast("bigint").alias("n_speakers"))
+
+
+def q_page_direct_text(spark, sf_dir):
+    """Direct text nodes of article paragraphs (tag-stack parser; no SQL oracle)."""
+    return pages.direct_paragraph_text(_pages(spark, sf_dir))
+
+
 def q_page_title(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", H.page_title("html").alias("title"))
 
