@@ -48,9 +48,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Read ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """Read ``spark.checkpoint.dir``; set a scratch one only when unset on a
+    local master (tests, bench).  On a cluster the folder must be shared by
+    all nodes, so an unset value is an error rather than a local temp dir."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="textlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
