@@ -44,3 +44,12 @@ def test_views_answer_original_style_sql(spark):
         "(PARTITION BY lang ORDER BY score DESC) AS rank FROM scores_per_group WHERE score <> 0) "
         "WHERE rank <= 10 ORDER BY lang, rank").collect()
     assert top and max(r["rank"] for r in top) <= 10
+
+
+def test_materialized_views_equal_lazy(spark):
+    register_views(spark, SF_SMALL)
+    lazy = sorted(map(tuple, spark.table("wordcounts_per_group").collect()))
+    register_views(spark, SF_SMALL, materialized=True)
+    plan = spark.table("wordcounts_per_group")._jdf.queryExecution().executedPlan().toString()
+    assert "textlake/tables/wordcounts_per_group" in plan  # reads the written files
+    assert sorted(map(tuple, spark.table("wordcounts_per_group").collect())) == lazy

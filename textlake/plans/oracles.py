@@ -240,6 +240,15 @@ ORACLES: dict[str, str] = {
         f"{rnd('sum(length(body)) / count(DISTINCT doc_id)')} AS avg_document_size "
         f"FROM docs WHERE {like_any(P.SESSION_LINK, P.STATS_LINK_INCLUDE)} "
         f"GROUP BY {G} ORDER BY {G}"),
+    "corpus_stats_by_label": (
+        f"WITH {DOCS} SELECT l.quality AS quality, count(DISTINCT d.doc_id) AS urls, "
+        f"CAST(sum(length(d.body)) AS BIGINT) AS text_length, "
+        f"{rnd('sum(length(d.body)) / count(DISTINCT d.doc_id)')} AS avg_document_size "
+        "FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality"),
+    "word_count_per_role": (
+        f"SELECT role, word, count(*) AS count FROM (SELECT role, "
+        f"unnest(string_split({normalize('text')}, ' ')) AS word FROM conversations) "
+        "GROUP BY role, word"),
     "document_frequency": f"WITH {tf_cte('doc_id')} SELECT term, df FROM dfq",
     "tfidf_exact": scores_out("doc_id"),
     "tfidf_per_group": scores_out(G),

@@ -235,6 +235,26 @@ def q_corpus_stats_filtered(spark, sf_dir):
     return _stats(stats.corpus_stats(docs, [P.GROUP], "doc_id"))
 
 
+def q_corpus_stats_by_label(spark, sf_dir):
+    """Group key reached by a join: documents left join labels on doc_id,
+    grouped by quality (NULL for unlabeled documents).  The labels side
+    grows with the corpus, so no broadcast hint: AQE picks the strategy
+    from runtime sizes."""
+    labels = tables.read_table(spark, sf_dir, "labels", ["doc_id", "quality"], spread=False)
+    docs = _docs(spark, sf_dir).select("doc_id", "body").join(labels, "doc_id", "left")
+    out = stats.corpus_stats(docs, ["quality"], "doc_id")
+    return out.select("quality", "urls", F.col("text_length").cast("bigint").alias("text_length"),
+                      _r("avg_document_size").alias("avg_document_size"))
+
+
+def q_word_count_per_role(spark, sf_dir):
+    """The normalizer and per-group word count over a second corpus."""
+    conv = tables.read_table(spark, sf_dir, "conversations", ["role", "text"])
+    body = conv.select("role", normalize_text("text", P.STOPWORDS, P.FIXTURE_PHRASES)
+                       .alias("body"))
+    return counts.word_count_per_group(body, ["role"])
+
+
 # --- TF-IDF -----------------------------------------------------------------
 
 def _round_scores(df, key):

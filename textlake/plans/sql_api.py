@@ -58,10 +58,12 @@ def register_sql_functions(spark: SparkSession, stopwords: Sequence[str] = DEFAU
 
 def register_views(spark: SparkSession, sf_dir: str, group: str = "lang",
                    stopwords: Sequence[str] = DEFAULT_STOPWORDS,
-                   phrases: Sequence[str] = PHRASES) -> list[str]:
-    """Lazy temp views over the driver tables (nothing is computed here):
-    raw_documents, clean_documents, wordcounts, wordcounts_per_group,
-    scores (per document) and scores_per_group."""
+                   phrases: Sequence[str] = PHRASES, materialized: bool = False) -> list[str]:
+    """Temp views over the driver tables: raw_documents, clean_documents,
+    wordcounts, wordcounts_per_group, scores (per document) and
+    scores_per_group.  Lazy by default; with ``materialized`` the four
+    derived tables are written once to the shared folder (see
+    ``textlake.plans.materialize``) so that many queries reuse one pass."""
     from textlake.operators import counts, documents, tfidf
     from textlake.sources import tables
 
@@ -76,6 +78,10 @@ def register_views(spark: SparkSession, sf_dir: str, group: str = "lang",
         "scores": tfidf.tfidf_exact(docs, ["doc_id"]),
         "scores_per_group": tfidf.tfidf_exact(docs, [group]),
     }
+    if materialized:
+        from textlake.plans.materialize import materialize
+        for name in ("wordcounts", "wordcounts_per_group", "scores", "scores_per_group"):
+            views[name] = materialize(views[name], name)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return list(views)
