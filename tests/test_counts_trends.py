@@ -81,5 +81,6 @@ def test_registry_covers_oracles():
     import __spark_entry__ as E
     qs, os_ = E.queries(), E.oracle_sql()
     assert set(os_) <= set(qs)
-    assert set(qs) - set(os_) == {"tfidf_hashed", "tfidf_hashed_per_group", "page_direct_text"}
+    assert set(qs) - set(os_) == {"tfidf_hashed", "tfidf_hashed_per_group", "tfidf_hashed_vectors",
+                                    "page_direct_text"}
     assert len(QUERIES) == len(qs)

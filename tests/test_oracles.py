@@ -47,6 +47,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows(df.columns, s_rows) == _rows(d_cols, d_rows)
 
 
-@pytest.mark.parametrize("name", ["tfidf_hashed", "tfidf_hashed_per_group", "page_direct_text"])
+@pytest.mark.parametrize("name", ["tfidf_hashed", "tfidf_hashed_per_group", "tfidf_hashed_vectors",
+                                  "page_direct_text"])
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SF_SMALL).count() > 0

@@ -89,3 +89,13 @@ def test_md5_bucket_audit_inline(spark):
     tf = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 3)], "d int, term string, tf long")
     rows = tfidf.hash_bucket_audit(tf, num_features=1).collect()
     assert [(r.bucket, r.n_terms, r.first_term, r.last_term) for r in rows] == [(0, 3, "a", "c")]
+
+
+def test_vector_scores_equal_long_form(spark):
+    docs = _docs(spark, SF_SMALL).select("doc_id", "body")
+    vec = tfidf.hashed_tfidf_vectors(docs)
+    a = {(r.doc_id, r.term): (round(r.score, 9), r.tf)
+         for r in tfidf.vector_scores(vec, ["doc_id"]).collect()}
+    b = {(r.doc_id, r.term): (round(r.score, 9), r.tf)
+         for r in tfidf.tfidf_hashed_scores(docs, ["doc_id"]).collect()}
+    assert a == b and a

@@ -148,6 +148,25 @@ def with_hashing_tf_bucket(df: DataFrame, term: str = "term", out: str = "bucket
     return vec.withColumn(out, first_vector_index(F.col(tmp + "_v"))).drop(tmp, tmp + "_v")
 
 
+def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
+                  raw: str = "rawFeatures", features: str = "features") -> DataFrame:
+    """Long (key, term, score, tf) table read off the ML pipeline's vectors.
+
+    The sparse vectors are exploded to (key, bucket, tf, score) through
+    their storage struct (JVM-side), each document's distinct words get
+    their HashingTF bucket, and the two are joined on (key, bucket): the
+    vectors are never collected, and no positional zip is needed since the
+    vectors sit in the same row as their key.
+    """
+    rv, fv = vector_entries(F.col(raw)), vector_entries(F.col(features))
+    entries = vectors.select(*key, F.explode(F.arrays_zip(
+        rv["indices"].alias("bucket"), rv["values"].alias("tf"), fv["values"].alias("score")))
+        .alias("e")).select(*key, "e.bucket", "e.tf", "e.score")
+    terms = vectors.select(*key, F.explode(F.array_distinct(words)).alias("term"))
+    with_bucket = with_hashing_tf_bucket(terms)
+    return with_bucket.join(entries, on=[*key, "bucket"]).select(*key, "term", "score", "tf")
+
+
 def first_vector_index(v: Column) -> Column:
     """First active index of a sparse ML vector, read from its JSON form
     ({"v":{"type":0,"size":n,"indices":[i,...],...}}) with plain string

@@ -350,6 +350,13 @@ def q_tfidf_hashed(spark, sf_dir):
     return _round_scores(scores, ["doc_id"])
 
 
+def q_tfidf_hashed_vectors(spark, sf_dir):
+    """The ML pipeline itself (Tokenizer -> HashingTF -> IDF), read off the
+    vectors into the long (doc, term, score, tf) table."""
+    vec = tfidf.hashed_tfidf_vectors(_docs(spark, sf_dir).select("doc_id", "body"))
+    return _round_scores(tfidf.vector_scores(vec, ["doc_id"]), ["doc_id"])
+
+
 def q_tfidf_hashed_per_group(spark, sf_dir):
     scores = tfidf.tfidf_hashed_scores(_docs(spark, sf_dir), [P.GROUP])
     return _round_scores(scores, [P.GROUP])
