@@ -38,22 +38,28 @@ def page_anchor_list(pages: DataFrame, html: str = "html", keep: Sequence[str] =
                         .alias("pos", "speaker"))
 
 
-def page_gate(pages: DataFrame, special: Sequence[str], slot_pattern: str,
-              url: str = "url", html: str = "html") -> DataFrame:
-    """Keep a page when the key in its URL agrees with the key in its markup.
+def page_gate_condition(special: Sequence[str], slot_pattern: str, url: str = "url",
+                        html: str = "html"):
+    """Boolean Column: the key in the page URL agrees with the key in its markup.
 
-    For keys in ``special`` the page key is not reliable; such a page is
-    kept when its slot field (``slot_pattern``) has at least one value.
+    For keys in ``special`` the page key is not reliable; such a page passes
+    when its slot field (``slot_pattern``) has at least one value.
     Otherwise the page key must be non-empty and contain the URL key.
     """
     url_key = url_lang(url)
     content_key = page_lang(html)
     slots = F.size(field_values(html, slot_pattern))
-    keep = (F.when(url_key.isin(list(special)), slots > 0)
+    return (F.when(url_key.isin(list(special)), slots > 0)
             .otherwise((content_key != "") & (F.instr(content_key, url_key) > 0)))
-    return (pages.select("page_id", F.col(url).alias("url"), url_key.alias("url_key"),
-                         content_key.alias("page_key"), keep.alias("_keep"))
-            .where("_keep").drop("_keep"))
+
+
+def page_gate(pages: DataFrame, special: Sequence[str], slot_pattern: str,
+              url: str = "url", html: str = "html") -> DataFrame:
+    """Pages that pass ``page_gate_condition``, with both keys."""
+    keep = page_gate_condition(special, slot_pattern, url, html)
+    return (pages.where(keep)
+            .select("page_id", F.col(url).alias("url"), url_lang(url).alias("url_key"),
+                    page_lang(html).alias("page_key")))
 
 
 def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/file/",

@@ -10,8 +10,9 @@ murmur3 bucket has no SQL counterpart).
 from __future__ import annotations
 
 from textlake.functions import html as H
-from textlake.functions.constants import (DEFAULT_URL_KEY, HTML_ENTITIES, TOP_RANK_PER_GROUP,
-                                          TOP_TF_IN_GROUP, TOP_WORDS, WWW_ALIAS)
+from textlake.functions.constants import (DEFAULT_URL_KEY, HTML_ENTITIES, NON_SESSION_TITLES,
+                                          TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
+                                          WWW_ALIAS)
 from textlake.functions.urls import URL_HOST_PATTERN, URL_KEY_PATTERN, URL_LANG_PATTERN
 from textlake.plans import params as P
 
@@ -293,6 +294,24 @@ ORACLES: dict[str, str] = {
         "SELECT page_id, url, url_key, page_key FROM g WHERE CASE "
         f"WHEN url_key IN {sql_in(P.GATE_SPECIAL)} THEN slots > 0 "
         "ELSE page_key <> '' AND instr(page_key, url_key) > 0 END"),
+    "page_corpus_timeline": (
+        f"WITH g AS (SELECT url, html, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS year, "
+        f"regexp_extract(html, {q(H.PAGE_LANG_PATTERN)}, 1) AS page_key, "
+        f"len(regexp_extract_all(html, {q(P.GATE_SLOT_PATTERN)}, 1)) AS slots FROM pages), "
+        "kept AS (SELECT * FROM g WHERE CASE "
+        f"WHEN year IN {sql_in(P.GATE_SPECIAL)} THEN slots > 0 "
+        "ELSE page_key <> '' AND instr(page_key, year) > 0 END), "
+        f"raw AS (SELECT year, url AS link, {title_sql('html')} AS title, "
+        f"{paragraphs_sql('html')} AS content FROM kept), "
+        f"docs AS (SELECT year, link, {clean('lower(title)')} AS title, "
+        f"{normalize('(title || chr(32) || content)')} AS body FROM raw), "
+        f"sessions AS (SELECT * FROM docs WHERE {like_any('link', P.PAGE_SESSION_INCLUDE)} "
+        f"AND NOT {like_any('title', NON_SESSION_TITLES)}), "
+        "toks AS (SELECT year, unnest(string_split(body, ' ')) AS word FROM sessions), "
+        "wc AS (SELECT year, word, count(*) AS count FROM toks GROUP BY year, word), "
+        "t AS (SELECT year, CAST(sum(count) AS BIGINT) AS total FROM wc GROUP BY year) "
+        f"SELECT w.year AS year, word, count, {rnd('count / total * 100')} AS relative_count "
+        f"FROM wc w LEFT JOIN t ON w.year = t.year WHERE word IN {TERMS}"),
     "page_links": (
         f"WITH l AS (SELECT page_id, url, unnest(regexp_extract_all({noise('html')}, "
         f"{q(H.HREF_PATTERN)}, 1)) AS href FROM pages), "

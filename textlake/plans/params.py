@@ -56,3 +56,6 @@ PAGE_LAYOUTS = [
     ("fr", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<body[^>]*>(.*?)</body>",
      r"<p[^>]*>([^<]*)", r"<a [^>]*>([^<]*)</a>"),
 ]
+
+# Session filter on page links (hosts on .com / .org) for page_corpus_timeline.
+PAGE_SESSION_INCLUDE = ["%.com/%", "%.org/%"]

@@ -395,6 +395,21 @@ def q_page_direct_text(spark, sf_dir):
     return pages.direct_paragraph_text(_pages(spark, sf_dir))
 
 
+def q_page_corpus_timeline(spark, sf_dir):
+    """Pages to trends in one plan: gate -> page fields -> clean documents
+    (URL language as the group key) -> session filter on the link -> term
+    share per group.  One scan of the page table, one small shuffle."""
+    from textlake.functions.urls import url_lang
+    pg = _pages(spark, sf_dir)
+    gated = pg.where(pages.page_gate_condition(P.GATE_SPECIAL, P.GATE_SLOT_PATTERN))
+    raw = pages.page_extract(gated.withColumn("year", url_lang(F.col("url"))), keep=("year",))
+    docs = documents.clean_documents(raw, ["year", "link"], stopwords=P.STOPWORDS,
+                                     phrases=P.FIXTURE_PHRASES)
+    sessions = documents.filter_sessions(docs, "link", P.PAGE_SESSION_INCLUDE)
+    out = trends.term_share(sessions, ["year"], P.TIMELINE_TERMS)
+    return out.withColumn("relative_count", _r("relative_count"))
+
+
 def q_page_title(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", H.page_title("html").alias("title"))
 
