@@ -27,7 +27,7 @@ TOP_WORDS = 50
 TOP_TF_IN_GROUP = 20
 TOP_RANK_PER_GROUP = 10
 
-# FIXED VALUES: default group key when a URL carries none (spider form), and
+# FIXED VALUES: default group key when a URL carries none (crawler form), and
 # the host alias rewritten before the SQL form extracts the key.
 DEFAULT_URL_KEY = "2016"
 WWW_ALIAS = ("//www.", "//2016.")

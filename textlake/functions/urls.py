@@ -26,7 +26,7 @@ def url_group_key(c: ColumnOrName, alias: tuple[str, str] = WWW_ALIAS,
 
 def url_group_key_default(c: ColumnOrName, default: str = DEFAULT_URL_KEY,
                           pattern: str = URL_KEY_PATTERN) -> Column:
-    """Spider form: extract; ``default`` on no match (no aliasing)."""
+    """Crawler form: extract; ``default`` on no match (no aliasing)."""
     return F.coalesce(F.nullif(F.regexp_extract(_col(c), pattern, 1), F.lit("")), F.lit(default))
 
 
