@@ -97,3 +97,15 @@ def test_normalize_matches_model(spark, values):
     assert out == [model_normalize(v) for v in values]
     for o in out:
         assert re.fullmatch(r"[a-z0-9 ]*", o)
+
+
+spaces = st.sampled_from([" ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　",
+                          "​", "a", "B", "é", "x y"])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(spaces, max_size=8).map("".join), min_size=1, max_size=10))
+def test_normalize_array_matches_python_strip(spark, values):
+    df = spark.createDataFrame([(values,)], "a array<string>")
+    assert df.select(T.normalize_array("a").alias("o")).first().o == \
+        [v.lower().strip() for v in values]

@@ -78,9 +78,16 @@ def normalize_text(c: ColumnOrName, stopwords: Sequence[str] = DEFAULT_STOPWORDS
     return glue_phrases(strip_plural(remove_stopwords(cleaned, stopwords)), phrases)
 
 
+# Every code point Python's str.isspace() accepts (what str.strip() removes),
+# written with escapes both java.util.regex and RE2 read the same way.
+UNICODE_SPACE = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+STRIP_PATTERN = rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+\z"
+
+
 def strip_blank(c: ColumnOrName) -> Column:
-    """Remove leading and trailing ASCII whitespace (not only blanks)."""
-    return F.regexp_replace(_col(c), r"^[ \t\n\r\f]+|[ \t\n\r\f]+\z", "")
+    """Remove leading and trailing whitespace, Unicode spaces included."""
+    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
 
 
 def normalize_array(c: ColumnOrName) -> Column:

@@ -13,6 +13,7 @@ from textlake.functions import html as H
 from textlake.functions.constants import (DEFAULT_URL_KEY, HTML_ENTITIES, NON_SESSION_TITLES,
                                           TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
                                           WWW_ALIAS)
+from textlake.functions.text import STRIP_PATTERN
 from textlake.functions.urls import URL_HOST_PATTERN, URL_KEY_PATTERN, URL_LANG_PATTERN
 from textlake.plans import params as P
 
@@ -88,7 +89,7 @@ def untag(e: str) -> str:
 
 
 def strip_blank(e: str) -> str:
-    return f"regexp_replace({e}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+\\z', '', 'g')"
+    return f"regexp_replace({e}, {q(STRIP_PATTERN)}, '', 'g')"
 
 
 def anchors_sql(e: str) -> str:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from textlake.functions.constants import DEFAULT_STOPWORDS, PHRASES
-from textlake.functions.text import NOT_WORD_CHARS
+from textlake.functions.text import NOT_WORD_CHARS, STRIP_PATTERN
 
 
 def lit(s: str) -> str:
@@ -46,7 +46,7 @@ def register_sql_functions(spark: SparkSession, stopwords: Sequence[str] = DEFAU
         "clearAll": ("s STRING", "STRING", "tokenize(lemmatize(removeStopwords(cleanString(s))))"),
         "stripArray": ("a ARRAY<STRING>", "ARRAY<STRING>",
                        "transform(a, x -> regexp_replace(lower(x), "
-                       f"{raw('^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+\\z')}, ''))"),
+                       f"{raw(STRIP_PATTERN)}, ''))"),
     }
     # array_size needs no definition: it is a Spark SQL built-in with the
     # same meaning (element count; an int, where the original summed strings).
