@@ -84,3 +84,13 @@ def test_registry_covers_oracles():
     assert set(qs) - set(os_) == {"tfidf_hashed", "tfidf_hashed_per_group", "tfidf_hashed_vectors",
                                     "page_direct_text"}
     assert len(QUERIES) == len(qs)
+
+
+def test_camp_comparison_over_full_counts_equals_one_pass(spark):
+    docs = _docs(spark, SF_SMALL)
+    full = counts.word_count_per_group(docs, ["lang"])
+    a = trends.camp_comparison(full, ["lang"], ["que", "les"], ["der", "die"], "A", "B")
+    b = trends.label_camps(trends.term_share(docs, ["lang"], ["que", "les", "der", "die"]),
+                           ["que", "les"], "A", "B")
+    key = lambda r: (r.lang, r.technology, r["count"], round(r.relative_count, 9))
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect())) != []
