@@ -99,3 +99,13 @@ def test_vector_scores_equal_long_form(spark):
     b = {(r.doc_id, r.term): (round(r.score, 9), r.tf)
          for r in tfidf.tfidf_hashed_scores(docs, ["doc_id"]).collect()}
     assert a == b and a
+
+
+def test_persisted_vectors_equal_unpersisted(spark):
+    docs = _docs(spark, SF_SMALL).select("doc_id", "body")
+    cached = tfidf.hashed_tfidf_vectors(docs, persist=True)
+    a = {r.doc_id: r.features for r in cached.select("doc_id", "features").collect()}
+    b = {r.doc_id: r.features for r in
+         tfidf.hashed_tfidf_vectors(docs).select("doc_id", "features").collect()}
+    assert a == b and a
+    spark.catalog.clearCache()

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Tokenizer
 from pyspark.sql import Column, DataFrame, Window
@@ -114,11 +115,21 @@ def hashed_tfidf_pipeline(body: str = "body", num_features: int = NUM_FEATURES)
 
 
 def hashed_tfidf_vectors(docs: DataFrame, body: str = "body",
-                         num_features: int = NUM_FEATURES) -> DataFrame:
+                         num_features: int = NUM_FEATURES, persist: bool = False) -> DataFrame:
     """Input rows + ``words``, ``rawFeatures`` (tf) and ``features`` (tf-idf)
-    sparse vectors, side by side in the same row (no positional zip)."""
-    model = hashed_tfidf_pipeline(body, num_features).fit(docs)
-    return model.transform(docs)
+    sparse vectors, side by side in the same row (no positional zip).
+
+    ``persist`` keeps the hashed tf rows (MEMORY_AND_DISK) between IDF.fit
+    and the transform, so the texts are tokenized and hashed once instead
+    of twice; release it with ``spark.catalog.clearCache()`` when done.  It
+    is only a cache: blocks lost with an executor are recomputed from the
+    lineage.
+    """
+    tokenizer, hashing, idf_stage = hashed_tfidf_pipeline(body, num_features).getStages()
+    featurized = hashing.transform(tokenizer.transform(docs))
+    if persist:
+        featurized = featurized.persist(StorageLevel.MEMORY_AND_DISK)
+    return idf_stage.fit(featurized).transform(featurized)
 
 
 VECTOR_STRUCT = "struct<v: struct<type: tinyint, size: int, indices: array<int>, " \
