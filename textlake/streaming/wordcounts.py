@@ -52,16 +52,24 @@ def start_to_memory(counts: DataFrame, name: str, checkpoint: str | None = None
 
 
 def start_to_table(counts: DataFrame, path: str, checkpoint: str | None = None,
-                   trigger_seconds: int = 60) -> StreamingQuery:
+                   trigger_seconds: int = 60, available_now: bool = False) -> StreamingQuery:
     """Each micro-batch's updated keys are written as Parquet by
     ``foreachBatch``; idempotent per batch id (overwrite of that batch's
-    folder), so a retried batch after a failure leaves one copy."""
-    spark = counts.sparkSession
-    location = checkpoint or shared_dir(spark, "streaming", "wordcounts")
+    folder), so a retried batch after a failure leaves one copy.  The latest
+    count of a key is the one in its highest batch folder.
+    ``available_now`` processes what is there and stops (catch-up runs).
+    The default checkpoint sits next to the output (``<path>/_checkpoint``,
+    skipped by Parquet readers) so a restarted query resumes where it
+    stopped."""
+    location = checkpoint or f"{path.rstrip('/')}/_checkpoint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
-    return (counts.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", location)
-            .trigger(processingTime=f"{trigger_seconds} seconds").start())
+    writer = (counts.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", location))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    else:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start()
