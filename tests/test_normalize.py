@@ -86,7 +86,7 @@ def test_normalize_array(spark):
     assert df.select(T.normalize_array("a").alias("o")).first().o == ["ana", "bob", "c d"]
 
 
-text_alphabet = st.sampled_from(list("abcsS dTHE\n\t.,'-é0s") + ["big data", "the ", " a "])
+text_alphabet = st.sampled_from(list("abcsS dTHE\n\t.,'-é0sİKẞΣ") + ["big data", "the ", " a "])
 
 
 @settings(max_examples=60, deadline=None)
