@@ -94,3 +94,19 @@ def test_camp_comparison_over_full_counts_equals_one_pass(spark):
                            ["que", "les"], "A", "B")
     key = lambda r: (r.lang, r.technology, r["count"], round(r.relative_count, 9))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect())) != []
+
+
+def test_edge_texts_through_the_pipeline(spark):
+    from textlake.operators import documents, tfidf
+    raw = spark.createDataFrame(
+        [(1, "g", "t1", None), (2, "g", "", ""), (3, "g", "The", "the a of"), (4, "g", "s", "s s"),
+         (5, "h", "Big", "data stores")],
+        "doc_id long, grp string, title string, content string")
+    docs = documents.clean_documents(raw, ["doc_id", "grp"])
+    bodies = {r.doc_id: r.body for r in docs.collect()}
+    assert bodies == {1: None, 2: "", 3: "", 4: "  ", 5: "bigdatastore"}
+    wc = {(r.grp, r.word): r["count"] for r in counts.word_count_per_group(docs, ["grp"]).collect()}
+    # doc 1 adds no token; "" is one empty token; "  " is three empty tokens
+    assert wc == {("g", ""): 5, ("h", "bigdatastore"): 1}
+    scores = tfidf.tfidf_exact(docs, ["doc_id"]).collect()
+    assert [(r.doc_id, r.term, r.tf) for r in scores] == [(5, "bigdatastore", 1.0)]
