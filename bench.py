@@ -6,7 +6,8 @@ local[$BENCH_CPUS] and prints ONE JSON line:
 
 Each query is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected to the driver): one warm-up run, then the
-median of $BENCH_RUNS timed runs.
+median of $BENCH_RUNS timed runs.  With $BENCH_EVENT_LOG_DIR set, Spark's
+event log (stage and task times) is written there for later reading.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ def main() -> None:
     from textlake.plans.queries import QUERIES
     from textlake.session import get_session
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app_name="textlake-bench")
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else {}
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app_name="textlake-bench",
+                        conf=conf)
     times: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]

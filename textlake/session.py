@@ -27,7 +27,7 @@ _LOCAL_DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "textlake") -> SparkSession:
+                app_name: str = "textlake", conf: dict[str, str] | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests/bench."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -36,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in _LOCAL_DEFAULTS.items():
+    for key, value in {**_LOCAL_DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
