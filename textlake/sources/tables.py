@@ -47,9 +47,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def spread_partitions(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
+    """Round-robin the rows over the cores when the scan has too few splits.
+
+    Reading the split count only plans the scan (no job).  Where it cannot
+    be read (e.g. a Spark Connect session) the scan is left as it is.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no classic SparkContext: keep the scan
+        return df
+    if splits * 2 <= cores:
         return df.repartition(cores)
     return df
 
