@@ -326,9 +326,12 @@ def q_term_groups_tf(spark, sf_dir):
 
 
 def q_tf_total_per_group(spark, sf_dir):
-    tf = tfidf.term_frequencies(_docs(spark, sf_dir), [P.GROUP])
-    return trends.group_totals(tf, [P.GROUP], "tf", "total_tf") \
-        .select(P.GROUP, F.col("total_tf").cast("double").alias("total_tf")).orderBy(P.GROUP)
+    """Sum of tf over a group document = its number of non-empty tokens:
+    one map-side-combined count per group, shuffling only (#groups) rows
+    per task."""
+    toks = counts.explode_tokens(_docs(spark, sf_dir), [P.GROUP]).where(F.col("word") != "")
+    return toks.groupBy(P.GROUP).agg(F.count(F.lit(1)).cast("double").alias("total_tf")) \
+        .orderBy(P.GROUP)
 
 
 def q_top_tf_in_group(spark, sf_dir):
