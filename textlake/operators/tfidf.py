@@ -224,7 +224,8 @@ def md5_bucket(term: Column, num_features: int = NUM_FEATURES) -> Column:
 
 def hash_bucket_audit(tf: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
     """Buckets shared by more than one distinct term of the corpus: where a
-    hashed score mixes terms.  (bucket, n_terms, first_term, last_term)."""
+    hashed score mixes terms.  (bucket, n_terms, first_term, last_term).
+    ``tf`` is any table with a ``term`` column (tokens or a tf table)."""
     terms = tf.select("term").distinct()
     return (terms.select("term", md5_bucket(F.col("term"), num_features).alias("bucket"))
             .groupBy("bucket")

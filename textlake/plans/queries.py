@@ -366,8 +366,10 @@ def q_tfidf_hashed_per_group(spark, sf_dir):
 
 
 def q_hash_bucket_audit(spark, sf_dir):
-    tf = tfidf.term_frequencies(_docs(spark, sf_dir), ["doc_id"])
-    return tfidf.hash_bucket_audit(tf, P.AUDIT_BUCKETS)
+    """Distinct corpus terms straight from the tokens (partial-aggregated per
+    term), not via the (doc, term) table."""
+    toks = counts.explode_tokens(_docs(spark, sf_dir), [], word="term").where(F.col("term") != "")
+    return tfidf.hash_bucket_audit(toks, P.AUDIT_BUCKETS)
 
 
 # --- pages ------------------------------------------------------------------
