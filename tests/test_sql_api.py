@@ -53,3 +53,15 @@ def test_materialized_views_equal_lazy(spark):
     plan = spark.table("wordcounts_per_group")._jdf.queryExecution().executedPlan().toString()
     assert "textlake/tables/wordcounts_per_group" in plan  # reads the written files
     assert sorted(map(tuple, spark.table("wordcounts_per_group").collect())) == lazy
+
+
+def test_materialize_partitioned(spark):
+    from textlake.operators import counts
+    from textlake.plans.materialize import materialize
+    from textlake.plans.queries import _docs
+    wc = counts.word_count_per_group(_docs(spark, SF_SMALL), ["lang"])
+    back = materialize(wc, "wc_by_lang", partition_by=["lang"])
+    plan = back.where("lang = 'de'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lang" in plan  # a group read prunes folders
+    assert sorted(map(tuple, back.select("lang", "word", "count").collect())) == \
+        sorted(map(tuple, wc.collect()))
