@@ -72,3 +72,17 @@ def test_tfidf_join_is_sort_merge_with_reused_tf(large_path):
     df.collect()
     plan = explain(large_path, df)
     assert "SortMergeJoin" in plan and "ReusedExchange" in plan
+
+
+def test_hot_split_path_matches_oracle(large_path, duck):
+    from test_oracles import _rows
+    from textlake.operators import tfidf
+    from textlake.plans.queries import _docs, _round_scores
+    df = _round_scores(tfidf.tfidf_exact(_docs(large_path, SF_SMALL), ["doc_id"], hot_split=20),
+                       ["doc_id"])
+    rows = [tuple(r) for r in df.collect()]
+    plan = explain(large_path, df)
+    # hot terms: bounded broadcast; every other term: sort-merge join
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    res = duck.execute(ORACLES["tfidf_exact"])
+    assert _rows(df.columns, rows) == _rows([d[0] for d in res.description], res.fetchall())

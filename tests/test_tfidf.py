@@ -109,3 +109,19 @@ def test_persisted_vectors_equal_unpersisted(spark):
          tfidf.hashed_tfidf_vectors(docs).select("doc_id", "features").collect()}
     assert a == b and a
     spark.catalog.clearCache()
+
+
+def test_hot_split_equals_plain_join(spark):
+    docs = _docs(spark, SF_SMALL)
+    plain = sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"]).collect())
+    for k in (2, 50, 1000):
+        split = tfidf.tfidf_exact(docs, ["doc_id"], hot_split=k)
+        assert sorted(tuple(r) for r in split.collect()) == plain
+
+
+def test_hot_split_broadcasts_only_the_bounded_side(spark):
+    docs = spark.createDataFrame([(i, "x y" if i % 2 else "x z") for i in range(20)],
+                                 "d int, body string")
+    out = tfidf.tfidf_exact(docs, ["d"], hot_split=4)
+    got = {(r.d, r.term): r.tf for r in out.collect()}
+    assert len(got) == 40 and got[(0, "x")] == 1.0

@@ -60,14 +60,32 @@ def idf(df_col: Column, m: Column) -> Column:
     return F.log((m + F.lit(1)).cast("double") / (df_col + F.lit(1)).cast("double"))
 
 
-def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body") -> DataFrame:
-    """(key, term, score, tf) for every distinct term of every document."""
+def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body",
+                hot_split: int | None = None) -> DataFrame:
+    """(key, term, score, tf) for every distinct term of every document.
+
+    ``hot_split=k`` splits the tf-to-df join by key frequency instead of
+    relying on AQE's skew handling.  With T = number of (key, term) rows,
+    fewer than k terms can have df > T/k (their dfs would sum past T), so
+    that hot set is broadcast -- a bound proven, not guessed -- and its tf
+    rows join without a shuffle; every other term has at most T/k rows and
+    goes through the shuffle join.
+    """
     tf = term_frequencies(docs, key, body)
     dfreq = document_frequency(tf)
     m = n_documents(docs, key)
-    return (tf.join(dfreq, on="term")
-            .select(*key, "term", (F.col("tf") * idf(F.col("df"), m)).alias("score"),
-                    F.col("tf").cast("double").alias("tf")))
+    score = (F.col("tf") * idf(F.col("df"), m)).alias("score")
+    cols = [*key, "term", score, F.col("tf").cast("double").alias("tf")]
+    if not hot_split:
+        return tf.join(dfreq, on="term").select(*cols)
+    total = dfreq.select(F.sum("df")).scalar()
+    is_hot = F.col("df") * F.lit(hot_split) > total
+    hot = F.broadcast(dfreq.where(is_hot))
+    cold = dfreq.where(~is_hot)
+    hot_rows = tf.join(hot, on="term").select(*cols)
+    cold_rows = (tf.join(F.broadcast(hot.select("term")), on="term", how="left_anti")
+                 .join(cold, on="term").select(*cols))
+    return hot_rows.unionByName(cold_rows)
 
 
 def top_terms_per_group(scores: DataFrame, group: Sequence[str], k: int = TOP_RANK_PER_GROUP,
