@@ -18,7 +18,7 @@ from textlake.sources.tables import TABLES, table_path
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        return "nan" if math.isnan(v) else v  # exact: both sides round in the query
     return v
 
 
