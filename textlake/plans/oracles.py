@@ -253,6 +253,7 @@ ORACLES: dict[str, str] = {
         "GROUP BY role, word"),
     "document_frequency": f"WITH {tf_cte('doc_id')} SELECT term, df FROM dfq",
     "tfidf_exact": scores_out("doc_id"),
+    "tfidf_exact_hot_split": scores_out("doc_id"),
     "tfidf_per_group": scores_out(G),
     "tfidf_per_source": scores_out(G2),
     "top_terms_per_group": top_terms(G),

@@ -269,6 +269,13 @@ def q_tfidf_exact(spark, sf_dir):
     return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"]), ["doc_id"])
 
 
+def q_tfidf_exact_hot_split(spark, sf_dir):
+    """tfidf_exact with the hot-key split join (broadcast of the < 1000 terms
+    with df > T/1000, shuffle join for the rest); same rows as tfidf_exact."""
+    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"], hot_split=1000)
+    return _round_scores(scores, ["doc_id"])
+
+
 def q_tfidf_per_group(spark, sf_dir):
     return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), [P.GROUP]), [P.GROUP])
 
