@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm.common import read
+from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
 from textlake.llm.mix_sources import mix_sources
+from textlake.llm.substring_dedup import substring_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -40,3 +42,58 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_sources(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source",
                        F.size("pieces").alias("n_pieces"))
+
+
+@query(oracle="""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+runs AS (
+  SELECT doc_id, i, w[i] AS word,
+         CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS run FROM places),
+counted AS (
+  SELECT doc_id, i, word, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS twice FROM runs),
+covered AS (
+  SELECT doc_id, i, word, bool_or(twice) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a run of 35 words found twice."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return substring_dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(oracle="""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+size AS (SELECT item_id, w, least(len(w), 13) AS n FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
+        FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM size)),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS run
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes)),
+hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM place JOIN win USING (n, run)),
+word AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM hit)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM word GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in all documents."""
+    found = decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"),
+                          read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
