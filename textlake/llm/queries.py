@@ -10,6 +10,7 @@ from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
 from textlake.llm.mix_sources import mix_sources
 from textlake.llm.substring_dedup import substring_dedup
+from textlake.llm.warc import read_packages, write_packages
 
 QUERIES = {}
 ORACLES = {}
@@ -97,3 +98,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                           read(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query(oracle="""
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+digest AS (
+  SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS lead,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((
+           (instr('0123456789abcdef', substr(hex, 1 + (5 * i) // 4, 1)) - 1) * 16
+           + (CASE WHEN (5 * i) // 4 < 39 THEN instr('0123456789abcdef', substr(hex, 2 + (5 * i) // 4, 1)) - 1 ELSE 0 END)
+           ) >> (3 - (5 * i) % 4)) & 31))::INTEGER, 1) FOR i IN range(0, 32)], '') AS payload_digest FROM page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM digest
+""")
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as packages, and read back by ranges."""
+    packages = write_packages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = read_packages(packages, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
