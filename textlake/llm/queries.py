@@ -9,6 +9,7 @@ from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
 from textlake.llm.mix_sources import mix_sources
+from textlake.llm.near_dedup import near_duplicates
 from textlake.llm.substring_dedup import substring_dedup
 from textlake.llm.warc import read_packages, write_packages
 
@@ -117,3 +118,10 @@ def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = write_packages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
     records = read_packages(packages, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents; the smallest doc_id stays."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
