@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.llm import quality
 from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
@@ -125,3 +126,19 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies among all documents; the smallest doc_id stays."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+def fold(folds: int):
+    """crc32 of the id's digits modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from positives and unlabelled texts of four folds in five."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    good = read(spark, sf_dir, "labels", "doc_id", "quality").where((F.col("quality") == 1) & (fold(5) != 0))
+    model = quality.learn(docs, good, unlabelled=fold(5) != 0)
+    return quality.score(docs, model, drop_text=True).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))

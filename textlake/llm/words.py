@@ -81,6 +81,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool):
         self.data = data = _LOWER[data] if fold else data
+        self.offsets = offsets
         inside = table[data]
         before, after = np.empty_like(inside), np.empty_like(inside)
         if len(data):
