@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import quality
+from textlake.llm import quality, toxicity
 from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
@@ -142,3 +142,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, drop_text=True).select(
         "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of three folds in four."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(fold(4) != 2)
+    learned = toxicity.learn(docs, labels)
+    return toxicity.score(docs, learned, drop_text=True).select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
