@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import quality, toxicity
+from textlake.llm import quality, secrets, toxicity
 from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
@@ -153,3 +153,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, learned, drop_text=True).select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def span_list(parts) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",")
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential parts of all documents: base spans, and weak ones with their complements."""
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("parts", lambda p: p["strong"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_list(base), 256).alias("base_sha256"),
+                        span_list(F.col("parts")).alias("spans"))
