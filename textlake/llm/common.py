@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,29 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared checkpoint folder and read it back."""
     path = shared_dir(df.sparkSession, "llm", name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitset of ``bits`` bits (a power of two) with the last bits of a hashed
+    bigint column set.  At most bits / 64 numbers reach the driver, whatever
+    the rows.  Tasks use it to drop what surely has no partner; where data
+    outgrow it, it drops less and results stay the same."""
+    bit = F.col(column).bitwiseAND(F.lit(bits - 1))
+    cells = df.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")).alias("set")).collect()
+    known = np.zeros(bits // 64, np.int64)
+    for cell in cells:
+        known[cell["cell"]] = cell["set"]
+    return known.view(np.uint64)
+
+
+def has_bit(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bit = key & np.uint64(len(known) * 64 - 1)
+    return (known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import save
+from textlake.llm.common import has_bit, hashed_bits, save
 from textlake.llm.words import FOLDED, Texts, bounded_batches, lists, range_hash, signed, slices, winnow
 
 WINDOWS = "array<struct<at:int,n:int,anchor:bigint,w1:bigint,w2:bigint>>"
@@ -46,8 +46,7 @@ def _windows(texts: Texts, window: int, gram: int, short: tuple[int, ...], known
 
     def add(at, n, key):
         if known is not None:
-            bit = key & np.uint64(len(known) * 64 - 1)
-            keep = (known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            keep = has_bit(known, key)
             at, key = at[keep], key[keep]
         found.append((at, np.full(len(at), n), key, *(range_hash(hashes, at, at + n, k) for k in (0, 1))))
 
@@ -86,17 +85,6 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
                 .distinct(), "item-windows")
 
 
-def fingerprint_bits(windows: DataFrame, bits: int) -> np.ndarray:
-    """The bitset of the windows' anchors: at most bits / 64 numbers reach the driver."""
-    bit = F.col("anchor").bitwiseAND(F.lit(bits - 1))
-    cells = windows.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((anchor & {bits - 1}) & 63 as int))")).alias("set")).collect()
-    known = np.zeros(bits // 64, np.int64)
-    for cell in cells:
-        known[cell["cell"]] = cell["set"]
-    return known.view(np.uint64)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text: str = "text", window: int = 13, gram: int = 5, one_in: int = 20, bits: int = 1 << 22,
                   keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,7 +98,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         raise ValueError("bits must be a power of two, 64 at least")
     bounded_batches(docs.sparkSession)
     known_windows = item_windows(items, item_col, item_text, window, gram)
-    known = fingerprint_bits(known_windows, bits)
+    known = hashed_bits(known_windows, "anchor", bits)
     short = tuple(sorted(r["n"] for r in known_windows.where(F.col("n") < window).select("n").distinct().collect()))
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("th"),

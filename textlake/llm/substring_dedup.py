@@ -5,21 +5,23 @@ else, in another document or in the same one.
 
 1. *Seeds.*  Every window of ``min_words`` words has one anchor, its
    ``gram``-word run with the least hash; equal windows have equal anchors.
-   One pass emits, for each anchor, the span of the windows it stands for
-   (its extension both ways) with a 128-bit hash: a row for about fifteen
-   words.
-2. *Join.*  Spans are counted by anchor and hash.  A span that occurs twice
-   repeats as a whole, so a group of copies costs one row from here on,
-   however large it is; no pairs are made.
+   A pass emits, for each anchor, the span of the windows it stands for (its
+   extension both ways) with a hash: a row for about fifteen words.
+2. *Join.*  Anchors that occur once go.  The spans of the others are counted
+   by anchor and hash.  A span that occurs twice repeats as a whole, so a
+   group of copies costs one row from here on, however large it is; no
+   pairs are made.
 3. *Extend.*  Where different spans meet at one anchor, a repeat ends inside
    them.  Of each different span one occurrence is read again and its
-   windows are hashed (128 bits); windows found twice repeat.  This finds
+   windows are hashed; windows of one anchor found twice repeat.  This finds
    the exact ends of every maximal repeat, against all occurrences.
 4. *Remove.*  A document's repeated windows are merged into maximal spans and
    their words leave.
 
-Texts are read three times and shuffled twice, by document; all other
-tables hold positions and hashes.
+Spans and windows are told apart by two 64-bit hashes, that of the anchor
+and their own.  Texts are read four times.  Of the two joins that need them
+again only the texts that a bitset of fixed size lets through are shuffled,
+compressed; the others are finished where they are read.
 
 Defined results.  A null text has no words.  A text of fewer than
 ``min_words`` words keeps them all.  Rows that repeat are different places,
@@ -35,13 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import salted_totals, save
-from textlake.llm.words import Texts, bounded_batches, lists, range_hash, signed, slices, winnow
+from textlake.llm.common import has_bit, hashed_bits, save
+from textlake.llm.words import Texts, bounded_batches, range_hash, signed, slices, winnow
 
-SPANS = "id bigint, th bigint, first int, n int, anchor bigint, c1 bigint, c2 bigint"
+SPANS = "id bigint, th bigint, first int, n int, anchor bigint, c1 bigint"
 
 
 def spans_of(texts: Texts, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -51,51 +53,69 @@ def spans_of(texts: Texts, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
     at, anchor, key = winnow(texts, hashes, gram, min_words)
     if not len(at):
         none = np.empty(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, n = at[new], np.diff(np.append(new, len(at)))
     place = (anchor[new] - first).astype(np.uint64)  # spans are alike when their anchors stand alike
-    ends = first + n - 1 + min_words
-    c1 = range_hash(hashes, first, ends, 0) + place
-    c2 = range_hash(hashes, first, ends, 1) + place
-    return first, n, signed(key[new]), signed(c1), signed(c2)
+    return first, n, signed(key[new]), signed(range_hash(hashes, first, first + n - 1 + min_words) + place)
 
 
 def _emit_spans(min_words: int, gram: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch.column("text")):
-                first, n, anchor, c1, c2 = spans_of(texts, min_words, gram)
+                first, n, anchor, c1 = spans_of(texts, min_words, gram)
                 row = np.searchsorted(texts.first, first, "right") - 1
                 ids = [batch.column(c).to_numpy(zero_copy_only=False)[start + row] for c in ("id", "th")]
                 yield pa.RecordBatch.from_arrays([
                     *map(pa.array, ids), pa.array((first - texts.first[row]).astype(np.int32)),
-                    pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(c1), pa.array(c2)],
-                    names=["id", "th", "first", "n", "anchor", "c1", "c2"])
+                    pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(c1)],
+                    names=["id", "th", "first", "n", "anchor", "c1"])
     return emit
 
 
-WINDOWS = "w1 bigint, w2 bigint, anchor bigint, c1 bigint, c2 bigint, place int, times bigint"
+def _pack(known: np.ndarray):
+    """Rows whose ``th`` may be in the bitset, their texts compressed for the shuffle."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            th = batch.column("th").to_numpy(zero_copy_only=False)
+            keep = has_bit(known, th.view(np.uint64))
+            some = batch.filter(pa.array(keep))
+            texts = [(x.as_py() or "").encode() for x in some.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("id"), some.column("th"), some.column("doc_id"), pa.array(map(len, texts), pa.int64()),
+                 pa.array([pa.compress(x, "zstd", asbytes=True) for x in texts], pa.binary())],
+                names=["id", "th", "doc_id", "size", "packed"])
+    return emit
+
+
+PACKED = "id bigint, th bigint, doc_id bigint, size bigint, packed binary"
+
+
+def _unpack(batch: pa.RecordBatch, i: int) -> bytes:
+    size = batch.column("size")[i].as_py()
+    return pa.decompress(batch.column("packed")[i].as_py(), size, "zstd", asbytes=True) if size else b""
+
+
+WINDOWS = "anchor bigint, c1 bigint, w1 bigint, place int, times bigint"
 
 
 def _emit_windows(min_words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             todo = batch.column("todo")
-            for start, texts in slices(batch.column("text")):
-                hashes = texts.word_hashes()
-                for i in range(len(texts)):
-                    rows = todo[start + i].values  # spans of this text that are to be extended
-                    part = {f.name: rows.field(f.name).to_numpy(zero_copy_only=False) for f in rows.type}
-                    n = part["n"].astype(np.int64)
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = texts.first[i] + np.repeat(part["first"], n) + place
-                    low, high = texts.first[i], texts.first[i + 1]
-                    w1, w2 = (signed(range_hash(hashes[low:high], at - low, at - low + min_words, k)) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1), pa.array(w2), *(pa.array(np.repeat(part[c], n)) for c in ("anchor", "c1", "c2")),
-                         pa.array(place.astype(np.int32)), pa.array(np.repeat(part["times"], n))],
-                        names=["w1", "w2", "anchor", "c1", "c2", "place", "times"])
+            for i in range(batch.num_rows):
+                rows = todo[i].values  # spans of this text that are to be extended
+                part = {f.name: rows.field(f.name).to_numpy(zero_copy_only=False) for f in rows.type}
+                n = part["n"].astype(np.int64)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(part["first"], n) + place
+                for _, texts in slices(pa.array([_unpack(batch, i).decode()]), most_bytes=1 << 62):
+                    w1 = signed(range_hash(texts.word_hashes(), at, at + min_words))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat(part[c], n)) for c in ("anchor", "c1")), pa.array(w1),
+                     pa.array(place.astype(np.int32)), pa.array(np.repeat(part["times"], n))],
+                    names=["anchor", "c1", "w1", "place", "times"])
     return emit
 
 
@@ -110,78 +130,100 @@ def removed_words(n_words: int, first: np.ndarray, mask: np.ndarray, min_words:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _remove(min_words: int, with_text: bool):
+RESULT = ("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
+          "spans array<struct<from:bigint,to:bigint>>, kept_text string")
+
+
+class _Kept:
+    """Result rows of one batch."""
+
+    def __init__(self, min_words: int, with_text: bool):
+        self.min_words, self.with_text = min_words, with_text
+        self.rows = []
+
+    def add(self, doc_id: int | None, text: bytes, repeats: pa.Scalar | None) -> None:
+        words = text.split()
+        kept, edges = words, []
+        if repeats is not None and repeats.is_valid:
+            drop = removed_words(len(words), repeats.values.field("first").to_numpy().astype(np.int64),
+                                 repeats.values.field("mask").to_numpy(), self.min_words)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]]))).tolist()
+            kept, at = [], 0
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                kept += words[at:a]
+                at = b
+            kept += words[at:]
+        joined = b" ".join(kept)
+        spans = [{"from": a, "to": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        self.rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), spans,
+                          joined.decode() if self.with_text else None))
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows, strict=True)) or [[]] * 6
+        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                          names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
+
+
+def _finish_others(known: np.ndarray, min_words: int, with_text: bool):
+    """Rows that surely have no repeat."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, shas, kept_texts, span_from, span_to, span_n = [], [], [], [], [], [], []
-            repeats = batch.column("repeats")
-            for i, text in enumerate(batch.column("text")):
-                words = (text.as_py() or "").encode().split()
-                kept = words
-                edges = np.empty(0, np.int64)
-                if repeats[i].is_valid:
-                    rows = repeats[i].values
-                    drop = removed_words(len(words), rows.field("first").to_numpy().astype(np.int64),
-                                         rows.field("mask").to_numpy(), min_words)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
-                    kept, at = [], 0
-                    for a, b in zip(edges[::2], edges[1::2], strict=True):
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                joined = b" ".join(kept)
-                total.append(len(words))
-                gone.append(len(words) - len(kept))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                kept_texts.append(joined.decode() if with_text else None)
-                span_from.append(edges[::2])
-                span_to.append(edges[1::2])
-                span_n.append(len(edges) // 2)
-            spans = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (span_from, span_to)],
-                                               names=["from", "to"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string()),
-                 lists(spans, np.array(span_n, np.int64)), pa.array(kept_texts, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
+            out = _Kept(min_words, with_text)
+            keep = ~has_bit(known, batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64))
+            for i in np.flatnonzero(keep):
+                out.add(batch.column("doc_id")[i].as_py(), (batch.column("text")[i].as_py() or "").encode(), None)
+            yield out.batch()
+    return emit
+
+
+def _finish(min_words: int, with_text: bool):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Kept(min_words, with_text)
+            for i in range(batch.num_rows):
+                out.add(batch.column("doc_id")[i].as_py(), _unpack(batch, i), batch.column("repeats")[i])
+            yield out.batch()
     return emit
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35,
-                    gram: int = 8, with_text: bool = True, salts: int = 64) -> DataFrame:
+                    gram: int = 8, with_text: bool = True, bits: int = 1 << 22) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, spans, kept_text), one row for each
     input row.  ``spans``: the maximal repeats that left, as word ranges;
-    ``kept_text`` is null unless ``with_text``."""
-    if not 0 < min_words - gram + 1 <= 63:
-        raise ValueError("gram must be at most min_words, and an anchor may stand for 63 windows at most")
+    ``kept_text`` is null unless ``with_text``.  ``bits``: size of the bitsets."""
+    if not 0 < min_words - gram + 1 <= 62:
+        raise ValueError("gram must be at most min_words, and an anchor may stand for 62 windows at most")
     bounded_batches(docs.sparkSession)
     # id as the join key: a null id is one more value
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("th"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
-    key = ["anchor", "c1", "c2"]
-    spans = save(rows.select("id", "th", "text").mapInArrow(_emit_spans(min_words, gram), SPANS), "spans")
+    key = ["anchor", "c1"]
+    spans = rows.select("id", "th", "text").mapInArrow(_emit_spans(min_words, gram), SPANS)
+    anchors = save(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("c1").alias("lo"), F.max("c1").alias("hi"))
+                   .where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("meet")), "anchors")
+    spans = save(spans.join(anchors, on="anchor"), "spans")
     different = save(spans.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("times"), F.max("n").alias("n"),
+        F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), F.max("meet").alias("meet"),
         *[F.first(c).alias(c) for c in ("id", "th", "first")]), "different-spans")
-    # anchors where different spans meet
-    meeting = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("anchor")
-    todo = (different.join(meeting, on="anchor", how="left_semi")
-            .select("id", "th", F.struct("first", "n", *key, "times").alias("span"))
-            .groupBy("id", "th").agg(F.collect_list("span").alias("todo")))
-    # rows that repeat emit the same windows twice; distinct() takes them as one
-    found = save(rows.select("id", "th", "text").join(todo, on=["id", "th"]).select("text", "todo")
-                 .mapInArrow(_emit_windows(min_words), WINDOWS).distinct(), "windows")
-    found = found.withColumn("salt", F.pmod("c1", F.lit(salts)).cast("int"))
-    twice = salted_totals(found, ["w1", "w2"], salts, [F.sum("times").alias("t")],
-                          [F.sum("t").alias("t")]).where("t > 1")
-    bit = F.expr("shiftleft(1L, place)")
-    inside = (found.join(twice, on=["w1", "w2", "salt"], how="left_semi").groupBy(*key)
-              .agg(F.sum(bit).alias("mask")))
+    todo = save(different.where("meet").groupBy("id", "th").agg(
+        F.collect_list(F.struct("first", "n", *key, "times")).alias("todo")), "to-extend")
+    packed = rows.mapInArrow(_pack(hashed_bits(todo, "th", bits)), PACKED)
+    one = F.row_number().over(Window.partitionBy("id", "th").orderBy("size"))  # of equal rows one is read
+    windows = save(packed.join(todo, on=["id", "th"]).withColumn("one", one).where("one = 1").select("size", "packed", "todo")
+                   .mapInArrow(_emit_windows(min_words), WINDOWS), "windows")
+    twice = save(windows.groupBy("anchor", "w1").agg(F.sum("times").alias("times")).where("times > 1").select("anchor", "w1"),
+                 "repeated-windows")
+    inside = (windows.join(twice, on=["anchor", "w1"], how="left_semi").groupBy(*key)
+              .agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask")))
     whole = different.where("times > 1").select(*key, F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = save(whole.unionByName(inside).groupBy(*key).agg(F.bit_or("mask").alias("mask")), "repeats")
-    repeats = (spans.join(masks, on=key).groupBy("id", "th")
-               .agg(F.collect_set(F.struct("first", "mask")).alias("repeats")))
-    out = (rows.join(repeats, on=["id", "th"], how="left").select("doc_id", "text", "repeats")
-           .mapInArrow(_remove(min_words, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
-                       "spans array<struct<from:bigint,to:bigint>>, kept_text string"))
+    repeats = save(spans.join(masks, on=key).groupBy("id", "th")
+                   .agg(F.collect_set(F.struct("first", "mask")).alias("repeats")), "row-repeats")
+    known = hashed_bits(repeats, "th", bits)
+    joined = rows.mapInArrow(_pack(known), PACKED).join(repeats, on=["id", "th"], how="left")
+    out = (joined.select("doc_id", "size", "packed", "repeats").mapInArrow(_finish(min_words, with_text), RESULT)
+           .unionByName(rows.select("doc_id", "th", "text").mapInArrow(_finish_others(known, min_words, with_text), RESULT)))
     return out.withColumnRenamed("doc_id", id_col)

@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +173,7 @@ class Automaton:
 
 # --- context and features ---------------------------------------------------
 
-@cache
-def verbs() -> np.ndarray:
-    return np.concatenate([t.word_hashes() for _, t in slices(pa.array([" ".join(REPORTING)]), FOLDED, fold=True)])
+VERBS = np.concatenate([t.word_hashes() for _, t in slices(pa.array([" ".join(REPORTING)]), FOLDED, fold=True)])
 
 
 def quoted(texts: Texts, word: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -197,7 +194,7 @@ def quoted(texts: Texts, word: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     finish = np.where(high == texts.first[row + 1] - 1, texts.offsets[row + 1], texts.ends[high])
     before = mark[texts.starts[word]] - mark[begin] > 0
     behind = mark[finish] - mark[texts.ends[word]] > 0
-    report = np.concatenate([[0], np.cumsum(np.isin(hashes, verbs()))])
+    report = np.concatenate([[0], np.cumsum(np.isin(hashes, VERBS))])
     return (before & behind) | ((report[word] - report[low] > 0) & (before | behind))
 
 

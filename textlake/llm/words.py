@@ -9,7 +9,6 @@ megabytes, so that the arrays stay small whatever the texts' lengths.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,17 +54,17 @@ def mix(x: np.ndarray, key: int = 0) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** 0.. and its inverses modulo 2 ** 64."""
-    up = np.full(size, base, U)
-    down = np.full(size, pow(base, -1, 2**64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(1 << 16, 1 << (size - 1).bit_length()))
+    """base ** 0.. and its inverses modulo 2 ** 64, ``size`` of each at least."""
+    if base not in _TABLES or len(_TABLES[base][0]) < size:
+        size = max(1 << 16, 1 << (size - 1).bit_length())
+        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 2**64), U)
+        up[0] = down[0] = 1
+        _TABLES[base] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _TABLES[base]
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
