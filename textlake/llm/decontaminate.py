@@ -86,13 +86,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", window: int = 13, gram: int = 5, one_in: int = 20, bits: int = 1 << 22,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_words, n_hit, items, spans, contaminated) + ``keep``, one row for each input row.
+                  item_text: str = "text", window: int = 13, gram: int = 5, one_in: int = 20, bits: int = 1 << 22) -> DataFrame:
+    """(id, th, n_words, n_hit, items, spans, contaminated), one row for each input row.
 
     ``items``: ids of items with a window in the text, sorted as strings;
     ``spans``: the hit word ranges; ``contaminated``: at least one word in
-    ``one_in`` is hit.  ``keep`` names input columns to carry along.
+    ``one_in`` is hit; ``th``: the hash of id and text by which rows are known.
     """
     if bits & (bits - 1) or bits < 64:
         raise ValueError("bits must be a power of two, 64 at least")
@@ -100,7 +99,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     known_windows = item_windows(items, item_col, item_text, window, gram)
     known = hashed_bits(known_windows, "anchor", bits)
     short = tuple(sorted(r["n"] for r in known_windows.where(F.col("n") < window).select("n").distinct().collect()))
-    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("th"),
                        F.col(text_col).alias("text"))
     marked = save(rows.mapInArrow(_emit(window, gram, short, known, ("id", "th")),
@@ -121,18 +119,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 F.greatest(F.element_at(done, -1)["to"], x["to"]).alias("to"))))).otherwise(
         F.concat(done, F.array(F.struct(x["at"].alias("from"), x["to"].alias("to"))))))
     by_row = save(by_row.select("id", "th", "items", spans.alias("spans")), "hit-documents")
-    out = marked.select("id", "th", "n_words")
-    if keep:  # repeated rows stay apart: the input's rows are kept and only looked up
-        out = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("th"), *kept)
-        counts = marked.select(F.coalesce("id", F.lit(-(1 << 63))).alias("key"), "th", "n_words").distinct()
-        out = out.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).join(counts, on=["key", "th"], how="left")
-    else:
-        out = out.withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
-    out = out.join(by_row.withColumnRenamed("id", "key"), on=["key", "th"], how="left")
+    out = (marked.select("id", "th", "n_words").withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
+           .join(by_row.withColumnRenamed("id", "key"), on=["key", "th"], how="left"))
     none = F.array().cast("array<struct<from:int,to:int>>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return (out.withColumn("spans", F.coalesce("spans", none)).withColumn("n_hit", n_hit)
-            .select(F.col("id").alias(id_col), "n_words", "n_hit",
+            .select(F.col("id").alias(id_col), "th", "n_words", "n_hit",
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans",
-                    ((F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).alias("contaminated"),
-                    *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]))
+                    ((F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).alias("contaminated")))
+
+
+def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` calls clean, with all their columns."""
+    bad = save(found.where("contaminated").select(F.coalesce(id_col, F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th")).distinct(),
+               "contaminated")
+    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+                             "__th": F.xxhash64(F.col(id_col), F.col(text_col))})
+    return rows.join(bad, on=["__id", "__th"], how="left_anti").select(*docs.columns)

@@ -212,5 +212,5 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
     node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     stays = classes.where("kept").select(F.col("node").alias("__node")).distinct()
     kept = docs.withColumn("__node", node).join(stays, on="__node", how="left_semi")
-    first = Window.partitionBy("__node").orderBy(*[c for c in docs.columns])
+    first = Window.partitionBy("__node").orderBy(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
     return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)

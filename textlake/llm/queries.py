@@ -9,6 +9,7 @@ from textlake.llm import quality, secrets, toxicity
 from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
+from textlake.llm.line_dedup import dedup_lines
 from textlake.llm.mix_sources import mix_sources
 from textlake.llm.near_dedup import near_duplicates
 from textlake.llm.substring_dedup import substring_dedup
@@ -166,3 +167,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("parts", lambda p: p["strong"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_list(base), 256).alias("base_sha256"),
                         span_list(F.col("parts")).alias("spans"))
+
+
+@query()
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with its class; one occurrence of each class stays."""
+    marked = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return marked.select(F.col("id").alias("doc_id"), "line", "class_id", "class_line", "class_size", "kept")
