@@ -43,6 +43,15 @@ NON_SESSION_TITLES = [
     "% barcamp",
 ]
 
+# FIXED VALUES: classes of the page fields that hold the list field, in the
+# order in which their values are joined.
+LIST_FIELD_CLASSES = [
+    "field-field-speaker",
+    "field-field-indiv-speakers",
+    "field-field-speakers",
+    "field-name-field-session-speaker",
+]
+
 # The stopword file of the original is not shipped.  This short list is the
 # default; every operator takes the list as a parameter.
 DEFAULT_STOPWORDS = ["the", "a", "of", "is", "and", "to", "this", "on", "it", "at"]

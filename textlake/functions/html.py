@@ -7,22 +7,43 @@ oracle can say the same thing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.constants import HTML_ENTITIES
+from textlake.functions.constants import HTML_ENTITIES, LIST_FIELD_CLASSES
 from textlake.functions.text import ColumnOrName, _col
 
-TITLE_PATTERN = r"(?s)<h1[^>]*>(.*?)</h1>"
-NOISE_PATTERN = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-ARTICLE_PATTERN = r"(?s)<article[^>]*>(.*?)</article>"
-PARAGRAPH_PATTERN = r"(?s)<p(?: [^>]*)?>(.*?)</p>"
+TITLE_PATTERN = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
+NOISE_PATTERN = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+                 r"|<!--.*?-->")
+ARTICLE_PATTERN = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
+MAIN_PATTERN = (r"(?is)<(?:main|section|div)\s(?:[^>]*\s)?id\s*=\s*[\"']?main[\"']?(?:\s[^>]*)?>"
+                r"(.*?)</(?:main|section|div)\s*>")
+PARAGRAPH_PATTERN = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
 TAG_PATTERN = r"<[^>]*>"
-ANCHOR_TEXT_PATTERN = r"<a [^>]*>([^<]*)</a>"
-HREF_PATTERN = r'href="([^"]*)"'
-PAGE_LANG_PATTERN = r'<html[^>]* lang="([^"]*)"'
+ANCHOR_TEXT_PATTERN = r"(?is)<a(?:\s[^>]*)?>([^<]*)</a\s*>"
+HREF_PATTERN = (r"(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*"
+                r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+QUOTES_PATTERN = r"^[\"']|[\"']$"
+PAGE_LANG_PATTERN = r"(?is)<html\s(?:[^>]*?\s)?lang\s*=\s*[\"']?([^\"'\s>]*)"
 BLANKS_PATTERN = r"[ \t\r\n\f]+"
 
+# Scopes whose paragraphs make the content, in this order.
+CONTENT_SCOPES = (MAIN_PATTERN, ARTICLE_PATTERN)
+
+
+def class_block_pattern(name: str) -> str:
+    """Blocks whose class attribute has ``name`` among its names (group 1: the
+    inside, up to the first end of such an element)."""
+    return (rf"(?is)<(?:div|span|ul|ol|section|td)\s(?:[^>]*\s)?class\s*=\s*[\"'](?:[^\"'>]*\s)?"
+            rf"{name}(?:\s[^\"'>]*)?[\"'][^>]*>(.*?)</(?:div|span|ul|ol|section|td)\s*>")
+
+
+# Field blocks that hold the list field, in this order.
+LIST_BLOCKS = tuple(class_block_pattern(name) for name in LIST_FIELD_CLASSES)
+
 
 def decode_entities(c: ColumnOrName) -> Column:
     out = _col(c)
@@ -40,30 +61,46 @@ def strip_noise(c: ColumnOrName) -> Column:
     return F.regexp_replace(_col(c), NOISE_PATTERN, "")
 
 
+def all_in_blocks(html: Column, block: ColumnOrName, item: ColumnOrName) -> Column:
+    """Group-1 matches of ``item`` inside every group-1 match of ``block``, in order."""
+    as_pattern = lambda p: F.lit(p) if isinstance(p, str) else p
+    blocks = F.regexp_extract_all(html, as_pattern(block), 1)
+    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, as_pattern(item), 1)))
+
+
+def plain_text(markup: Column) -> Column:
+    """Tags to blanks, blanks squeezed, entities decoded."""
+    return decode_entities(squeeze_blanks(F.regexp_replace(markup, TAG_PATTERN, " ")))
+
+
 def page_title(html: ColumnOrName) -> Column:
-    """Text of the first <h1>, inner tags removed, entities decoded."""
-    inner = F.regexp_extract(strip_noise(html), TITLE_PATTERN, 1)
-    return decode_entities(squeeze_blanks(F.regexp_replace(inner, TAG_PATTERN, " ")))
+    """Text of all <h1>, joined by a blank; inner tags removed, entities decoded."""
+    return plain_text(F.array_join(F.regexp_extract_all(strip_noise(html), F.lit(TITLE_PATTERN), 1), " "))
 
 
-def page_paragraphs(html: ColumnOrName) -> Column:
-    """Text of the <p> blocks inside <article>, joined by a blank.
+def page_paragraphs(html: ColumnOrName, scopes: Sequence[str] = CONTENT_SCOPES) -> Column:
+    """Text of the <p> blocks of every block of every scope, joined by a blank.
 
     Nested inline markup is replaced by a blank, whitespace is squeezed and
     entities are decoded.  An unclosed <p> runs to the next </p>.
     """
-    article = F.regexp_extract(strip_noise(html), ARTICLE_PATTERN, 1)
-    paragraphs = F.array_join(F.regexp_extract_all(article, F.lit(PARAGRAPH_PATTERN), 1), " ")
-    return decode_entities(squeeze_blanks(F.regexp_replace(paragraphs, TAG_PATTERN, " ")))
+    clean = strip_noise(html)
+    return plain_text(F.array_join(F.concat(*[all_in_blocks(clean, s, PARAGRAPH_PATTERN) for s in scopes]), " "))
 
 
-def anchor_texts(html: ColumnOrName) -> Column:
-    """Texts of <a> elements without inner markup, in page order."""
-    return F.regexp_extract_all(_col(html), F.lit(ANCHOR_TEXT_PATTERN), 1)
+def anchor_texts(html: ColumnOrName, blocks: Sequence[str] = LIST_BLOCKS) -> Column:
+    """Texts of the <a> elements without inner markup inside the field blocks,
+    block kind by block kind, in page order; entities decoded."""
+    clean = strip_noise(html)
+    found = F.concat(*[all_in_blocks(clean, b, ANCHOR_TEXT_PATTERN) for b in blocks])
+    return F.transform(found, decode_entities)
 
 
 def hrefs(html: ColumnOrName) -> Column:
-    return F.regexp_extract_all(strip_noise(html), F.lit(HREF_PATTERN), 1)
+    """Targets of <a> and <area>, any case and quoting, decoded, each once."""
+    found = F.regexp_extract_all(strip_noise(html), F.lit(HREF_PATTERN), 1)
+    return F.array_distinct(F.transform(found, lambda h: F.trim(decode_entities(
+        F.regexp_replace(h, QUOTES_PATTERN, "")))))
 
 
 def page_lang(html: ColumnOrName) -> Column:

@@ -46,16 +46,14 @@ def clean_string(c: ColumnOrName) -> Column:
 def remove_stopwords(c: ColumnOrName, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> Column:
     """Drop ' '-separated tokens that are in ``stopwords``.
 
-    The list is a literal array inside the expression (it ships with the
-    plan, not with a Python closure).  For lists too large to inline, use
-    ``textlake.operators.counts.tokens_without`` (broadcast anti join).
+    The list is an IN list inside the expression (it ships with the plan and
+    is a hash set for longer lists).  For lists too large to inline, use
+    ``textlake.operators.counts.tokens_without`` (anti join).
     """
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(stopwords)]) if stopwords else None
-    tokens = F.split(_col(c), " ")
-    if words is None:
+    words = list(dict.fromkeys(stopwords))
+    if not words:
         return _col(c)
-    kept = F.filter(tokens, lambda w: ~F.array_contains(words, w))
-    return F.array_join(kept, " ")
+    return F.array_join(F.filter(F.split(_col(c), " "), lambda w: ~w.isin(words)), " ")
 
 
 def strip_plural(c: ColumnOrName) -> Column:

@@ -44,15 +44,37 @@ def resolve_href(href: ColumnOrName, base_url: ColumnOrName) -> Column:
 
     Absolute hrefs are kept; ``//host/..`` takes the page scheme; ``/path``
     takes the page scheme and host; anything else (fragments, mailto:,
-    relative paths) is resolved against the page URL's directory.
+    relative paths) is resolved against the page URL's directory.  Dot
+    segments are removed.
     """
     h, base = _col(href), _col(base_url)
     scheme = F.regexp_extract(base, r"^([a-z]+:)", 1)
     origin = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)
     directory = F.regexp_extract(base, r"^([a-z]+://[^?#]*/)", 1)
-    return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
+    target = (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, h))
             .when(h.startswith("/"), F.concat(origin, h))
             .when(h.startswith("#") | (h == ""), base)
             .otherwise(F.concat(F.when(directory == "", F.concat(origin, F.lit("/")))
                                 .otherwise(directory), h)))
+    return remove_dot_segments(target)
+
+
+URL_ORIGIN_PATTERN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
+
+
+def remove_dot_segments(url: Column) -> Column:
+    """``.`` and ``..`` path segments resolved, as a browser does; the part
+    after ``?`` or ``#`` is left alone."""
+    origin = F.regexp_extract(url, URL_ORIGIN_PATTERN, 1)
+    rest = F.substr(url, F.length(origin) + 1)
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    parts = F.split(path, "/")
+    # "/a/b/.." names the folder: a last dot segment leaves an empty one
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: (
+        F.when(p == ".", done)
+        .when(p == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+        .otherwise(F.concat(done, F.array(p)))))
+    fixed = F.concat(origin, F.array_join(kept, "/"), F.substr(rest, F.length(path) + 1))
+    return F.when((origin != "") & path.rlike(r"/[.]{1,2}(/|$)"), fixed).otherwise(url)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.text import tokens
-from textlake.operators.joins import broadcast_if_small
 
 
 def explode_tokens(docs: DataFrame, keep: Sequence[str], body: str = "body",
@@ -53,14 +52,14 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def tokens_without(docs: DataFrame, keep: Sequence[str], words: DataFrame,
-                   body: str = "body", word_col: str = "word",
-                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Tokens of ``docs`` minus the words in the ``words`` table (left anti).
+                   body: str = "body", word_col: str = "word") -> DataFrame:
+    """Counts of the tokens of ``docs`` per (keep, word), without the words in
+    the ``words`` table (left anti).
 
-    For a word list too long to inline as a literal.  The list is broadcast
-    only when its row count is within ``max_broadcast_rows``; otherwise the
-    planner keeps a shuffle join.
+    For a word list too long to inline as a literal.  Tokens are counted
+    before the join, so a frequent word is one row per group there; no side
+    is hinted, Spark picks the join from the sides' sizes.
     """
-    toks = explode_tokens(docs, keep, body, "word")
-    stop = broadcast_if_small(words.select(F.col(word_col).alias("word")), max_broadcast_rows)
-    return toks.join(stop, on="word", how="left_anti")
+    counted = explode_tokens(docs, keep, body, "word").groupBy(*keep, "word").count()
+    return counted.join(words.select(F.col(word_col).alias("word")), on="word", how="left_anti") \
+        .select(*keep, "word", "count")

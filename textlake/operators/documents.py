@@ -55,5 +55,8 @@ def filter_by_group(docs: DataFrame, group: str, value) -> DataFrame:
 
 def preview_nonempty(docs: DataFrame, content: str, order_by: Sequence[str], n: int = 10
                      ) -> DataFrame:
-    """First ``n`` rows with non-empty content, in a stable key order."""
-    return docs.where(F.col(content) != "").orderBy(*order_by).limit(n)
+    """First ``n`` rows whose cleaned ``content`` is not empty, in a stable key
+    order.  Takes raw documents: the cheap test, the sort and the limit come
+    first, so the caller normalizes ``n`` rows and not the corpus."""
+    keeps_something = F.lower(F.col(content)).rlike("[a-zA-Z0-9]")
+    return docs.where(keeps_something).orderBy(*order_by).limit(n)

@@ -12,54 +12,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.functions.html import (anchor_texts, field_values, hrefs, page_lang,
-                                     page_paragraphs, page_title)
+from textlake.functions.html import (CONTENT_SCOPES, LIST_BLOCKS, PAGE_LANG_PATTERN,
+                                     all_in_blocks, anchor_texts, field_values, hrefs,
+                                     page_paragraphs, page_title, plain_text, strip_noise)
 from textlake.functions.text import normalize_array
 from textlake.functions.urls import resolve_href, url_host, url_lang
 
 
 def page_extract(pages: DataFrame, url: str = "url", html: str = "html",
-                 keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """One raw document per page: title, content, speakers (anchor texts,
-    lower-cased and stripped) and link."""
+                 keep: Sequence[str] = ("page_id",), scopes: Sequence[str] = CONTENT_SCOPES,
+                 blocks: Sequence[str] = LIST_BLOCKS) -> DataFrame:
+    """One raw document per page: title, content (paragraphs of all ``scopes``),
+    speakers (anchor texts of the field ``blocks``, lower-cased and stripped)
+    and link."""
     return pages.select(
         *keep,
         page_title(html).alias("title"),
-        page_paragraphs(html).alias("content"),
-        normalize_array(anchor_texts(html)).alias("speakers"),
+        page_paragraphs(html, scopes).alias("content"),
+        normalize_array(anchor_texts(html, blocks)).alias("speakers"),
         F.col(url).alias("link"),
     )
 
 
-def page_anchor_list(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",)
-                     ) -> DataFrame:
+def page_anchor_list(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",),
+                     blocks: Sequence[str] = LIST_BLOCKS) -> DataFrame:
     """(keep..., pos, speaker): the list field, one row per element."""
-    return pages.select(*keep, F.posexplode(normalize_array(anchor_texts(html)))
+    return pages.select(*keep, F.posexplode(normalize_array(anchor_texts(html, blocks)))
                         .alias("pos", "speaker"))
 
 
 def page_gate_condition(special: Sequence[str], slot_pattern: str, url: str = "url",
-                        html: str = "html"):
+                        html: str = "html", key_pattern: str = PAGE_LANG_PATTERN):
     """Boolean Column: the key in the page URL agrees with the key in its markup.
 
     For keys in ``special`` the page key is not reliable; such a page passes
     when its slot field (``slot_pattern``) has at least one value.
-    Otherwise the page key must be non-empty and contain the URL key.
+    Otherwise the page key (the first match of ``key_pattern``) must be
+    non-empty and contain the URL key.
     """
     url_key = url_lang(url)
-    content_key = page_lang(html)
+    content_key = F.regexp_extract(html, key_pattern, 1)
     slots = F.size(field_values(html, slot_pattern))
     return (F.when(url_key.isin(list(special)), slots > 0)
             .otherwise((content_key != "") & (F.instr(content_key, url_key) > 0)))
 
 
 def page_gate(pages: DataFrame, special: Sequence[str], slot_pattern: str,
-              url: str = "url", html: str = "html") -> DataFrame:
+              url: str = "url", html: str = "html", key_pattern: str = PAGE_LANG_PATTERN
+              ) -> DataFrame:
     """Pages that pass ``page_gate_condition``, with both keys."""
-    keep = page_gate_condition(special, slot_pattern, url, html)
+    keep = page_gate_condition(special, slot_pattern, url, html, key_pattern)
     return (pages.where(keep)
             .select("page_id", F.col(url).alias("url"), url_lang(url).alias("url_key"),
-                    page_lang(html).alias("page_key")))
+                    F.regexp_extract(html, key_pattern, 1).alias("page_key")))
 
 
 def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/file/",
@@ -85,41 +90,31 @@ def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/
 
 
 LAYOUT_SCHEMA = ("site_key string, title_pattern string, scope_pattern string, "
-                 "paragraph_pattern string, list_pattern string")
+                 "paragraph_pattern string, block_pattern string, list_pattern string")
 
 
 def page_extract_by_layout(pages: DataFrame, layouts: DataFrame, site_key,
                            html: str = "html", url: str = "url",
-                           keep: Sequence[str] = ("page_id",),
-                           max_layout_rows: int = 10_000) -> DataFrame:
+                           keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Extraction whose patterns depend on the site (one layout per site key).
 
     ``layouts`` (LAYOUT_SCHEMA) holds one row of regex patterns per site
-    key: title (group 1), content scope (group 1), paragraphs inside the
-    scope (group 1, all) and list-field items (group 1, all).  It is joined
-    to the pages on ``site_key`` (a Column over the page) -- broadcast when
-    its checked size is within ``max_layout_rows``, so the page table is
-    never shuffled.  Pages whose key has no layout keep NULL fields.
+    key: titles, content scopes, paragraphs inside the scopes, field blocks
+    and list items inside the blocks (group 1 and all matches of each).  It
+    is joined to the pages on ``site_key`` (a Column over the page); no side
+    is hinted, Spark broadcasts the rules when their size allows it.  Pages
+    whose key has no layout keep NULL fields.
     """
-    from textlake.functions.html import (TAG_PATTERN, decode_entities, squeeze_blanks,
-                                         strip_noise)
-    from textlake.operators.joins import broadcast_if_small
-
-    rules = broadcast_if_small(layouts, max_layout_rows)
     keyed = pages.select(*keep, F.col(url).alias("link"), site_key.alias("site_key"),
                          strip_noise(html).alias("_html"))
-    j = keyed.join(rules, on="site_key", how="left")
-    title = F.expr("regexp_extract(_html, title_pattern, 1)")
-    scope = F.expr("regexp_extract(_html, scope_pattern, 1)")
-    paras = F.array_join(F.expr("regexp_extract_all(_scope, paragraph_pattern, 1)"), " ")
-    items = F.expr("regexp_extract_all(_html, list_pattern, 1)")
-    return (j.withColumn("_scope", scope)
-            .select(*keep, "link", "site_key",
-                    decode_entities(squeeze_blanks(F.regexp_replace(title, TAG_PATTERN, " ")))
-                    .alias("title"),
-                    decode_entities(squeeze_blanks(F.regexp_replace(paras, TAG_PATTERN, " ")))
-                    .alias("content"),
-                    normalize_array(items).alias("speakers")))
+    j = keyed.join(layouts, on="site_key", how="left")
+    page = F.col("_html")
+    titles = F.regexp_extract_all(page, F.col("title_pattern"), 1)
+    paragraphs = all_in_blocks(page, F.col("scope_pattern"), F.col("paragraph_pattern"))
+    items = all_in_blocks(page, F.col("block_pattern"), F.col("list_pattern"))
+    return j.select(*keep, "link", "site_key", plain_text(F.array_join(titles, " ")).alias("title"),
+                    plain_text(F.array_join(paragraphs, " ")).alias("content"),
+                    normalize_array(items).alias("speakers"))
 
 
 def direct_paragraph_text(pages: DataFrame, html: str = "html",

@@ -11,8 +11,10 @@ when each group is treated as one document):
 Plan: one aggregation of the token stream to (key, term, tf) -- the map-side
 partial aggregate already finishes it, since a document's tokens come from
 one row -- a partial-aggregated (term, df) table, a scalar subquery for m,
-and an equi-join on term.  A frequent term is a skewed join key; AQE's skew
-join splits that partition of the large side.  Treating a group as one
+and an equi-join on (term, salt).  A term of every document is a hot join
+key; AQE's skew join does not split it (the df side arrives from an
+aggregate, not from a shuffle), so the tf side is salted by its key and the
+df side, the vocabulary, is repeated once per salt.  Treating a group as one
 document never concatenates the group's texts: the bag of words of the
 concatenation is the sum of the members' bags, which is what the
 aggregation computes, so no single row or task ever holds a whole group.
@@ -22,13 +24,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Tokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.functions.constants import NUM_FEATURES, TOP_RANK_PER_GROUP
+from textlake.functions.hashing import hashing_tf_bucket
 from textlake.functions.text import tokens
 
 
@@ -60,32 +62,47 @@ def idf(df_col: Column, m: Column) -> Column:
     return F.log((m + F.lit(1)).cast("double") / (df_col + F.lit(1)).cast("double"))
 
 
-def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body",
-                hot_split: int | None = None) -> DataFrame:
+def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body", salts: int = 16
+                ) -> DataFrame:
     """(key, term, score, tf) for every distinct term of every document.
 
-    ``hot_split=k`` splits the tf-to-df join by key frequency instead of
-    relying on AQE's skew handling.  With T = number of (key, term) rows,
-    fewer than k terms can have df > T/k (their dfs would sum past T), so
-    that hot set is broadcast -- a bound proven, not guessed -- and its tf
-    rows join without a shuffle; every other term has at most T/k rows and
-    goes through the shuffle join.
+    The rows of one term meet its df in ``salts`` separate partitions, by a
+    hash of their key: with a term in every document none of them holds
+    more than about 1 / ``salts`` of its rows.  The texts are normalized
+    once; both join sides start from the same (key, term) shuffle.
     """
     tf = term_frequencies(docs, key, body)
-    dfreq = document_frequency(tf)
+    each_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    dfreq = document_frequency(tf).select("term", "df", each_salt)
     m = n_documents(docs, key)
     score = (F.col("tf") * idf(F.col("df"), m)).alias("score")
-    cols = [*key, "term", score, F.col("tf").cast("double").alias("tf")]
-    if not hot_split:
-        return tf.join(dfreq, on="term").select(*cols)
-    total = dfreq.select(F.sum("df")).scalar()
-    is_hot = F.col("df") * F.lit(hot_split) > total
-    hot = F.broadcast(dfreq.where(is_hot))
-    cold = dfreq.where(~is_hot)
-    hot_rows = tf.join(hot, on="term").select(*cols)
-    cold_rows = (tf.join(F.broadcast(hot.select("term")), on="term", how="left_anti")
-                 .join(cold, on="term").select(*cols))
-    return hot_rows.unionByName(cold_rows)
+    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
+    return salted.join(dfreq, on=["term", "_salt"]).select(
+        *key, "term", score, F.col("tf").cast("double").alias("tf"))
+
+
+def document_frequency_of_rows(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(term, df) where each row is one document: one map-side-combined shuffle
+    of (term, count) instead of first building the (document, term) table."""
+    terms = docs.select(F.explode(F.array_distinct(tokens(body))).alias("term"))
+    return terms.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def tfidf_of_document(docs: DataFrame, key: str, value, body: str = "body") -> DataFrame:
+    """(key, term, score, tf) of the document ``value``, each row one document.
+
+    The corpus' tokens are cut down to that document's terms before they are
+    counted.  Those terms are broadcast: they come from one row's text, so
+    they fit wherever that row does, whatever the corpus' size.
+    """
+    mine = docs.where(F.col(key) == F.lit(value))
+    tf = term_frequencies(mine, [key], body)
+    own = tf.select("term").distinct()
+    terms = docs.select(F.explode(F.array_distinct(tokens(body))).alias("term"))
+    dfreq = (terms.where(F.col("term") != "").join(F.broadcast(own), on="term", how="left_semi")
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    score = (F.col("tf") * idf(F.col("df"), n_documents(docs, [key]))).alias("score")
+    return tf.join(dfreq, on="term").select(key, "term", score, F.col("tf").cast("double").alias("tf"))
 
 
 def top_terms_per_group(scores: DataFrame, group: Sequence[str], k: int = TOP_RANK_PER_GROUP,
@@ -132,22 +149,25 @@ def hashed_tfidf_pipeline(body: str = "body", num_features: int = NUM_FEATURES)
     ])
 
 
+def hashed_features(docs: DataFrame, body: str = "body", num_features: int = NUM_FEATURES
+                    ) -> DataFrame:
+    """Input rows + ``words`` and ``rawFeatures`` (hashed tf).  A caller that
+    wants them read once for the fit and the transform persists this frame,
+    hands it to ``idf_vectors`` and unpersists it when done."""
+    tokenizer, hashing, _ = hashed_tfidf_pipeline(body, num_features).getStages()
+    return hashing.transform(tokenizer.transform(docs))
+
+
+def idf_vectors(featurized: DataFrame) -> DataFrame:
+    """``hashed_features`` rows + ``features`` (tf-idf)."""
+    return IDF(inputCol="rawFeatures", outputCol="features").fit(featurized).transform(featurized)
+
+
 def hashed_tfidf_vectors(docs: DataFrame, body: str = "body",
-                         num_features: int = NUM_FEATURES, persist: bool = False) -> DataFrame:
+                         num_features: int = NUM_FEATURES) -> DataFrame:
     """Input rows + ``words``, ``rawFeatures`` (tf) and ``features`` (tf-idf)
-    sparse vectors, side by side in the same row (no positional zip).
-
-    ``persist`` keeps the hashed tf rows (MEMORY_AND_DISK) between IDF.fit
-    and the transform, so the texts are tokenized and hashed once instead
-    of twice; release it with ``spark.catalog.clearCache()`` when done.  It
-    is only a cache: blocks lost with an executor are recomputed from the
-    lineage.
-    """
-    tokenizer, hashing, idf_stage = hashed_tfidf_pipeline(body, num_features).getStages()
-    featurized = hashing.transform(tokenizer.transform(docs))
-    if persist:
-        featurized = featurized.persist(StorageLevel.MEMORY_AND_DISK)
-    return idf_stage.fit(featurized).transform(featurized)
+    sparse vectors, side by side in the same row (no positional zip)."""
+    return idf_vectors(hashed_features(docs, body, num_features))
 
 
 VECTOR_STRUCT = "struct<v: struct<type: tinyint, size: int, indices: array<int>, " \
@@ -163,20 +183,6 @@ def vector_entries(v: Column) -> Column:
     return F.from_json(F.to_json(F.struct(v.alias("v"))), VECTOR_STRUCT)["v"]
 
 
-def with_hashing_tf_bucket(df: DataFrame, term: str = "term", out: str = "bucket",
-                           num_features: int = NUM_FEATURES) -> DataFrame:
-    """Add the exact bucket Spark ML's HashingTF gives ``term``.
-
-    HashingTF itself is applied to a one-term array and the only active
-    index of that vector is read back -- a narrow, per-row JVM step, so no
-    join or shuffle is needed to attach buckets.
-    """
-    tmp = "_tl_terms"
-    one = df.withColumn(tmp, F.array(term))
-    vec = HashingTF(inputCol=tmp, outputCol=tmp + "_v", numFeatures=num_features).transform(one)
-    return vec.withColumn(out, first_vector_index(F.col(tmp + "_v"))).drop(tmp, tmp + "_v")
-
-
 def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
                   raw: str = "rawFeatures", features: str = "features") -> DataFrame:
     """Long (key, term, score, tf) table read off the ML pipeline's vectors.
@@ -191,26 +197,21 @@ def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
     entries = vectors.select(*key, F.explode(F.arrays_zip(
         rv["indices"].alias("bucket"), rv["values"].alias("tf"), fv["values"].alias("score")))
         .alias("e")).select(*key, "e.bucket", "e.tf", "e.score")
-    terms = vectors.select(*key, F.explode(F.array_distinct(words)).alias("term"))
-    with_bucket = with_hashing_tf_bucket(terms)
+    # the buckets' number is the vectors' size, whatever it is
+    terms = vectors.select(*key, rv["size"].alias("_size"),
+                           F.explode(F.array_distinct(words)).alias("term"))
+    with_bucket = terms.select(*key, "term", hashing_tf_bucket("term", F.col("_size")).alias("bucket"))
     return with_bucket.join(entries, on=[*key, "bucket"]).select(*key, "term", "score", "tf")
 
 
-def first_vector_index(v: Column) -> Column:
-    """First active index of a sparse ML vector, read from its string form
-    ``(size,[i,...],[v,...])`` with plain string functions -- the vector's
-    own JVM-side cast, cheaper per row than serializing it to JSON."""
-    indices = F.substring_index(F.substring_index(v.cast("string"), "[", 2), "[", -1)
-    return F.substring_index(F.substring_index(indices, "]", 1), ",", 1).cast("int")
-
-
 def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
                         num_features: int = NUM_FEATURES) -> DataFrame:
     """(key, term, score, tf) as read from the hashed vectors.
 
     A term's tf and score are those of its bucket (terms of one document
     that share a bucket add up), computed with a window and aggregations
-    instead of vectors and positional zips:
+    instead of vectors and positional zips (the bucket is computed once per
+    (key, term) row, above the aggregate of the tokens):
       (key, term, tf) -> + bucket -> window over (key, bucket): btf, first
       (bucket, bdf = documents holding the bucket)
     A (key, bucket) window partition holds only the terms of one document
@@ -218,7 +219,8 @@ def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
     (bucket, bdf) table has at most ``num_features`` rows -- a bound that
     does not grow with the data -- so it is broadcast.
     """
-    tf = with_hashing_tf_bucket(term_frequencies(docs, key, body), num_features=num_features)
+    tf = term_frequencies(docs, key, body).withColumn(
+        "bucket", hashing_tf_bucket("term", num_features))
     cell = Window.partitionBy(*key, "bucket").orderBy("term")
     whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = tf.select(*key, "term", "bucket", F.sum("tf").over(whole).alias("btf"),
@@ -234,18 +236,30 @@ def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
                     F.col("btf").cast("double").alias("tf")))
 
 
-def md5_bucket(term: Column, num_features: int = NUM_FEATURES) -> Column:
-    """Portable bucket: first 32 bits of md5(term) modulo ``num_features``.
-    Unlike Spark's murmur3 hashing it is the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % F.lit(num_features)
+def hash_bucket_terms(docs: DataFrame, body: str = "body", num_features: int = NUM_FEATURES
+                      ) -> DataFrame:
+    """Bucket diagnostic over the buckets the hashed scores use, each row of
+    ``docs`` one document: (term, bucket, weight, n_terms) -- the IDF weight
+    of the term's bucket and how many terms of the corpus share it."""
+    terms = F.array_distinct(F.filter(tokens(body), lambda t: t != ""))
+    by_row = docs.select(F.transform(terms, lambda t: F.struct(
+        t.alias("term"), hashing_tf_bucket(t, num_features).alias("bucket"))).alias("terms"))
+    df = (by_row.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["bucket"])))
+                        .alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("bdf")))
+    held = (by_row.select(F.explode("terms").alias("t")).select("t.term", "t.bucket")
+            .groupBy("term", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_terms"))
+    m = docs.select(F.count(F.lit(1))).scalar()
+    return held.join(df.join(shared, on="bucket"), on="bucket").select(
+        "term", "bucket", idf(F.col("bdf"), m).alias("weight"), "n_terms")
 
 
 def hash_bucket_audit(tf: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """Buckets shared by more than one distinct term of the corpus: where a
-    hashed score mixes terms.  (bucket, n_terms, first_term, last_term).
-    ``tf`` is any table with a ``term`` column (tokens or a tf table)."""
+    """HashingTF buckets shared by more than one distinct term of the corpus:
+    where a hashed score mixes terms.  (bucket, n_terms, first_term,
+    last_term).  ``tf`` is any table with a ``term`` column."""
     terms = tf.select("term").distinct()
-    return (terms.select("term", md5_bucket(F.col("term"), num_features).alias("bucket"))
+    return (terms.select("term", hashing_tf_bucket("term", num_features).alias("bucket"))
             .groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"),
                  F.max("term").alias("last_term"))

@@ -3,18 +3,19 @@
 Each string says in plain SQL what the Spark query computes, over the same
 pre-registered views.  Patterns stay in the common subset of Java regex and
 RE2; lambdas use DuckDB's ``lambda x: expr`` form.  Keyed like
-``textlake.plans.queries.QUERIES``; hashed TF-IDF has no entry (Spark ML's
-murmur3 bucket has no SQL counterpart).
+``textlake.plans.queries.QUERIES``.
 """
 
 from __future__ import annotations
 
 from textlake.functions import html as H
 from textlake.functions.constants import (DEFAULT_URL_KEY, HTML_ENTITIES, NON_SESSION_TITLES,
-                                          TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
+                                          NUM_FEATURES, TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
                                           WWW_ALIAS)
+from textlake.functions.hashing import C1, C2, FINAL1, FINAL2, SEED
 from textlake.functions.text import STRIP_PATTERN
-from textlake.functions.urls import URL_HOST_PATTERN, URL_KEY_PATTERN, URL_LANG_PATTERN
+from textlake.functions.urls import (URL_HOST_PATTERN, URL_KEY_PATTERN, URL_LANG_PATTERN,
+                                     URL_ORIGIN_PATTERN)
 from textlake.plans import params as P
 
 
@@ -73,19 +74,34 @@ def noise(e: str) -> str:
     return f"regexp_replace({e}, {q(H.NOISE_PATTERN)}, '', 'g')"
 
 
-def title_sql(e: str) -> str:
-    inner = f"regexp_extract({noise(e)}, {q(H.TITLE_PATTERN)}, 1)"
-    return decode(squeeze(f"regexp_replace({inner}, {q(H.TAG_PATTERN)}, ' ', 'g')"))
+def untag(e: str) -> str:
+    return f"regexp_replace({e}, {q(H.TAG_PATTERN)}, ' ', 'g')"
 
 
-def paragraphs_sql(e: str) -> str:
-    article = f"regexp_extract({noise(e)}, {q(H.ARTICLE_PATTERN)}, 1)"
-    paras = f"array_to_string(regexp_extract_all({article}, {q(H.PARAGRAPH_PATTERN)}, 1), ' ')"
-    return decode(squeeze(f"regexp_replace({paras}, {q(H.TAG_PATTERN)}, ' ', 'g')"))
+def plain_text(e: str) -> str:
+    return decode(squeeze(untag(e)))
 
 
-def untag(e: str) -> str:
-    return f"regexp_replace({e}, {q(H.TAG_PATTERN)}, ' ', 'g')"
+def all_in_blocks(e: str, block: str, item: str) -> str:
+    """Group-1 matches of ``item`` in every group-1 match of ``block`` (SQL expressions)."""
+    return (f"flatten(list_transform(regexp_extract_all({e}, {block}, 1), "
+            f"lambda b: regexp_extract_all(b, {item}, 1)))")
+
+
+def joined(parts: list[str]) -> str:
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_concat({out}, {p})"
+    return out
+
+
+def title_sql(e: str) -> str:
+    return plain_text(f"array_to_string(regexp_extract_all({noise(e)}, {q(H.TITLE_PATTERN)}, 1), ' ')")
+
+
+def paragraphs_sql(e: str) -> str:
+    paras = joined([all_in_blocks(noise(e), q(s), q(H.PARAGRAPH_PATTERN)) for s in H.CONTENT_SCOPES])
+    return plain_text(f"array_to_string({paras}, ' ')")
 
 
 def strip_blank(e: str) -> str:
@@ -93,8 +109,44 @@ def strip_blank(e: str) -> str:
 
 
 def anchors_sql(e: str) -> str:
-    raw = f"regexp_extract_all({e}, {q(H.ANCHOR_TEXT_PATTERN)}, 1)"
-    return f"list_transform({raw}, lambda x: {strip_blank('lower(x)')})"
+    raw = joined([all_in_blocks(noise(e), q(b), q(H.ANCHOR_TEXT_PATTERN)) for b in P.LIST_BLOCKS])
+    return f"list_transform({raw}, lambda x: {strip_blank('lower(' + decode('x') + ')')})"
+
+
+def _times(a: str, c: int) -> str:
+    return f"((({a})::HUGEINT * {c}) % 4294967296)::BIGINT"
+
+
+def _rotate(a: str, n: int) -> str:
+    return f"(((({a}) << {n}) | (({a}) >> {32 - n})) & 4294967295)"
+
+
+def murmur3(term: str) -> str:
+    """Unsigned 32-bit murmur3 (seed 42) of an ASCII string: first the numbers of
+    its four-byte blocks, then one fold over them; the block of the rest is last."""
+    byte = lambda at: (f"CASE WHEN {at} <= length({term}) THEN ascii(substr({term}, ({at})::INTEGER, 1)) "
+                       "ELSE 0 END")
+    number = " + ".join(f"({byte(f'4 * i + {j + 1}')}) * {256 ** j}" for j in range(4))
+    scrambled = _times("r", C1)
+    blocks = (f"[struct_pack(k := {_times(_rotate('x.r', 15), C2)}, whole := x.i < length({term}) // 4) FOR x IN "
+              f"[struct_pack(r := {scrambled.replace('(r)', '(y.v)')}, i := y.i) FOR y IN "
+              f"[struct_pack(v := ({number})::BIGINT, i := i) FOR i IN range(0, length({term}) // 4 + 1)]]]")
+    # folding needs one type: the running hash travels in k
+    mixed = "xor(h.k, b.k)"
+    step = (f"struct_pack(k := CASE WHEN b.whole THEN ({_rotate(mixed, 13)} * 5 + 3864292196) & 4294967295 "
+            f"ELSE {mixed} END, whole := b.whole)")
+    folded = (f"list_reduce(list_prepend(struct_pack(k := {SEED}::BIGINT, whole := true), {blocks}), "
+              f"lambda h, b: {step}).k")
+    return f"xor({folded}, length({term}))"
+
+
+def murmur_ctes(terms: str) -> str:
+    """CTE ``buckets`` (term, bucket) of the CTE ``terms`` (term): the hash's last
+    steps, one CTE each since every step uses its input twice."""
+    return (f"m0 AS (SELECT term, {murmur3('term')} AS h FROM {terms}), "
+            f"m1 AS (SELECT term, {_times('xor(h, h >> 16)', FINAL1)} AS h FROM m0), "
+            f"m2 AS (SELECT term, {_times('xor(h, h >> 13)', FINAL2)} AS h FROM m1), "
+            f"buckets AS (SELECT term, xor(h, h >> 16) % {NUM_FEATURES} AS bucket FROM m2)")
 
 
 G = P.GROUP
@@ -116,27 +168,41 @@ SESSIONS = (f"{DOCS}, sessions AS (SELECT * FROM docs WHERE {like_any(P.SESSION_
             f" AND NOT {like_any('title', P.SESSION_EXCLUDE)})")
 
 
-def tf_cte(key: str) -> str:
-    return (f"{DOCS}, tf AS (SELECT {key}, term, count(*) AS tf FROM "
-            f"(SELECT {key}, unnest(string_split(body, ' ')) AS term FROM docs) "
+def tf_cte(key: str, view: str = DOCS, table: str = "docs") -> str:
+    return (f"{view}, tf AS (SELECT {key}, term, count(*) AS tf FROM "
+            f"(SELECT {key}, unnest(string_split(body, ' ')) AS term FROM {table}) "
             f"WHERE term <> '' GROUP BY {key}, term), "
             f"dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
-            f"m AS (SELECT count(*) AS m FROM (SELECT DISTINCT {key} FROM docs)), "
+            f"m AS (SELECT count(*) AS m FROM (SELECT DISTINCT {key} FROM {table})), "
             f"scores AS (SELECT {key}, tf.term AS term, "
             f"tf.tf * ln((m.m + 1)::DOUBLE / (dfq.df + 1)::DOUBLE) AS score, "
             f"tf.tf::DOUBLE AS tf FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN m)")
 
 
+def hashed_out(key: str) -> str:
+    """Scores by HashingTF bucket; NUM_FEATURES is a power of two, so the
+    unsigned hash has the same bucket as the signed one."""
+    return (f"WITH {tf_cte(key)}, terms AS (SELECT DISTINCT term FROM tf), {murmur_ctes('terms')}, "
+            f"cells AS (SELECT {key}, tf.term AS term, bucket, CAST(sum(tf) OVER (PARTITION BY {key}, bucket) AS BIGINT) "
+            "AS btf FROM tf JOIN buckets ON tf.term = buckets.term), "
+            f"bd AS (SELECT bucket, count(DISTINCT {key}) AS bdf FROM cells GROUP BY bucket) "
+            f"SELECT {key}, term, {rnd('btf * ln((m.m + 1)::DOUBLE / (bd.bdf + 1)::DOUBLE)')} AS score, "
+            "btf::DOUBLE AS tf FROM cells JOIN bd ON cells.bucket = bd.bucket CROSS JOIN m")
+
+
 def scores_out(key: str) -> str:
     return f"WITH {tf_cte(key)} SELECT {key}, term, {rnd('score')} AS score, tf FROM scores"
 
 
-def top_terms(key: str) -> str:
-    return (f"WITH {tf_cte(key)} SELECT {key}, term, {rnd('score')} AS score, rank FROM ("
+def top_terms(key: str, view: str = DOCS, table: str = "docs") -> str:
+    return (f"WITH {tf_cte(key, view, table)} SELECT {key}, term, {rnd('score')} AS score, rank FROM ("
             f"SELECT {key}, term, score, dense_rank() OVER (PARTITION BY {key} ORDER BY score DESC)"
             f" AS rank FROM scores WHERE score <> 0) WHERE rank <= {TOP_RANK_PER_GROUP}")
 
 
+SESSION_TOKS = f"{SESSIONS}, toks AS (SELECT {G}, unnest(string_split(body, ' ')) AS word FROM sessions)"
+
+
 TERMS = sql_in(P.TIMELINE_TERMS)
 CAMPS = sql_in(P.CAMP_FIRST + P.CAMP_SECOND)
 CAMP_LABEL = (f"CASE WHEN {{w}} IN {sql_in(P.CAMP_FIRST)} THEN {q(P.CAMP_FIRST_LABEL)} "
@@ -151,7 +217,7 @@ SPEAKER_COUNTS = (f"{PAGE_SPEAKERS}, sc AS (SELECT word, count(*) AS count FROM
 
 ALIASED = f"replace(url, {q(WWW_ALIAS[0])}, {q(WWW_ALIAS[1])})"
 
-RESOLVED = (
+TARGET = (
     "CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href "
     "WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href "
     "WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href "
@@ -162,6 +228,15 @@ RESOLVED = (
 )
 
 
+ORIGIN = f"regexp_extract(target, {q(URL_ORIGIN_PATTERN)}, 1)"
+# Path segments folded from the left: '.' adds nothing, '..' takes the last one away.
+FOLDED = (
+    "list_reduce(list_transform(CASE WHEN parts[-1] IN ('.', '..') THEN list_append(parts, '') ELSE parts END, "
+    "lambda p: [p]), lambda a, b: CASE WHEN b[1] = '.' THEN a WHEN b[1] = '..' THEN "
+    "(CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END) ELSE list_concat(a, b) END)"
+)
+
+
 def _host_allowed(host: str) -> str:
     return "(" + " OR ".join(f"({host} = {q(d)} OR ends_with({host}, {q('.' + d)}))"
                              for d in P.LINK_ALLOWED_DOMAINS) + ")"
@@ -181,16 +256,16 @@ ORACLES: dict[str, str] = {
     "url_group_key": (f"SELECT page_id, url, regexp_extract({ALIASED}, {q(URL_KEY_PATTERN)}, 1)"
                       " AS year FROM pages"),
     "url_group_key_default": (
-        f"SELECT page_id, url, coalesce(nullif(regexp_extract(url, {q(URL_KEY_PATTERN)}, 1), ''),"
+        f"SELECT page_id, url, coalesce(nullif(regexp_extract(url, {q(P.URL_DIGITS_PATTERN)}, 1), ''),"
         f" {q(DEFAULT_URL_KEY)}) AS year FROM pages"),
     "page_extract": (
         f"SELECT page_id, url AS link, {title_sql('html')} AS title, "
         f"{paragraphs_sql('html')} AS content, "
-        f"len(regexp_extract_all(html, {q(H.ANCHOR_TEXT_PATTERN)}, 1))::BIGINT AS n_speakers "
+        f"array_to_string({anchors_sql('html')}, '|') AS speakers "
         "FROM pages"),
     "scan_jsonl": (
         f"SELECT url AS link, {title_sql('html')} AS title, {paragraphs_sql('html')} AS content, "
-        f"len(regexp_extract_all(html, {q(H.ANCHOR_TEXT_PATTERN)}, 1))::BIGINT AS n_speakers "
+        f"array_to_string({anchors_sql('html')}, '|') AS speakers "
         "FROM pages"),
     "sink_jsonl": f"WITH {DOCS} SELECT doc_id, {G}, body FROM docs",
     "scan_wordlist": ("SELECT DISTINCT trim(w) AS word FROM (SELECT unnest(string_split(p_name, ' '))"
@@ -281,17 +356,15 @@ ORACLES: dict[str, str] = {
         "SELECT doc_id, (i - 1)::BIGINT AS pos, words[i] AS word FROM w, "
         "range(1, len(words) + 1) r(i)"),
     "hash_bucket_audit": (
-        f"WITH {tf_cte('doc_id')}, b AS (SELECT term, "
-        f"('0x' || substr(md5(term), 1, 8))::BIGINT % {P.AUDIT_BUCKETS} AS bucket "
-        "FROM (SELECT DISTINCT term FROM tf)) "
+        f"WITH {tf_cte('doc_id')}, terms AS (SELECT DISTINCT term FROM tf), {murmur_ctes('terms')} "
         "SELECT bucket, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term "
-        "FROM b GROUP BY bucket HAVING count(*) > 1"),
+        "FROM buckets GROUP BY bucket HAVING count(*) > 1"),
     "page_anchor_list": (
         f"WITH {PAGE_SPEAKERS} SELECT page_id, (i - 1)::BIGINT AS pos, speakers[i] AS speaker "
         "FROM sp, range(1, len(speakers) + 1) r(i)"),
     "page_gate": (
         f"WITH g AS (SELECT page_id, url, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS url_key, "
-        f"regexp_extract(html, {q(H.PAGE_LANG_PATTERN)}, 1) AS page_key, "
+        f"regexp_extract(html, {q(P.GATE_KEY_PATTERN)}, 1) AS page_key, "
         f"len(regexp_extract_all(html, {q(P.GATE_SLOT_PATTERN)}, 1)) AS slots FROM pages) "
         "SELECT page_id, url, url_key, page_key FROM g WHERE CASE "
         f"WHEN url_key IN {sql_in(P.GATE_SPECIAL)} THEN slots > 0 "
@@ -315,24 +388,59 @@ ORACLES: dict[str, str] = {
         f"SELECT w.year AS year, word, count, {rnd('count / total * 100')} AS relative_count "
         f"FROM wc w LEFT JOIN t ON w.year = t.year WHERE word IN {TERMS}"),
     "page_links": (
-        f"WITH l AS (SELECT page_id, url, unnest(regexp_extract_all({noise('html')}, "
-        f"{q(H.HREF_PATTERN)}, 1)) AS href FROM pages), "
-        f"r AS (SELECT page_id, href, {RESOLVED} AS target FROM l) "
+        f"WITH l AS (SELECT page_id, url, unnest(list_distinct([trim({decode('h')}) FOR h IN "
+        f"[regexp_replace(x, {q(H.QUOTES_PATTERN)}, '', 'g') FOR x IN regexp_extract_all({noise('html')}, "
+        f"{q(H.HREF_PATTERN)}, 1)]])) AS href FROM pages), "
+        f"t AS (SELECT page_id, href, {TARGET} AS target FROM l), "
+        f"o AS (SELECT *, {ORIGIN} AS origin, substr(target, length({ORIGIN}) + 1) AS rest FROM t), "
+        "p AS (SELECT *, regexp_extract(rest, '^([^?#]*)', 1) AS path FROM o), "
+        "s AS (SELECT *, string_split(path, '/') AS parts FROM p), "
+        "r AS (SELECT page_id, href, CASE WHEN origin <> '' AND regexp_matches(path, '/[.]{1,2}(/|$)') THEN "
+        f"origin || array_to_string({FOLDED}, '/') || substr(rest, length(path) + 1) ELSE target END AS target FROM s) "
         "SELECT page_id, href, target FROM r WHERE "
         f"instr(target, {q(P.LINK_DENY)}) = 0 AND "
         f"{_host_allowed('regexp_extract(target, ' + q(URL_HOST_PATTERN) + ', 1)')}"),
     "page_title": f"SELECT page_id, {title_sql('html')} AS title FROM pages",
     "page_extract_by_layout": (
-        "WITH layouts(site_key, title_pattern, scope_pattern, paragraph_pattern, list_pattern) AS "
+        "WITH layouts(site_key, title_pattern, scope_pattern, paragraph_pattern, block_pattern, list_pattern) AS "
         "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in row) + ")" for row in P.PAGE_LAYOUTS)
         + f"), k AS (SELECT page_id, url AS link, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) "
-        f"AS site_key, {noise('html')} AS h FROM pages), "
-        "j AS (SELECT k.*, l.title_pattern, l.scope_pattern, l.paragraph_pattern, l.list_pattern "
-        "FROM k LEFT JOIN layouts l ON k.site_key = l.site_key), "
-        "e AS (SELECT page_id, link, site_key, regexp_extract(h, title_pattern, 1) AS t, "
-        "regexp_extract_all(regexp_extract(h, scope_pattern, 1), paragraph_pattern, 1) AS ps, "
-        "regexp_extract_all(h, list_pattern, 1) AS items FROM j) "
-        f"SELECT page_id, link, site_key, {decode(squeeze(untag('t')))} AS title, "
-        f"{decode(squeeze(untag("array_to_string(ps, ' ')")))}"
-        " AS content, len(items)::BIGINT AS n_speakers FROM e"),
+        f"AS site_key, {noise('html')} AS h FROM pages), e AS ("
+        + " UNION ALL ".join(
+            f"SELECT page_id, link, site_key, regexp_extract_all(h, {q(t)}, 1) AS ts, "
+            f"{all_in_blocks('h', q(scope), q(par))} AS ps, {all_in_blocks('h', q(block), q(item))} AS items "
+            f"FROM k WHERE site_key = {q(key)}" for key, t, scope, par, block, item in P.PAGE_LAYOUTS)
+        + " UNION ALL SELECT page_id, link, site_key, NULL, NULL, NULL FROM k WHERE site_key NOT IN (SELECT site_key FROM layouts)) "
+        f"SELECT page_id, link, site_key, {plain_text("array_to_string(ts, ' ')")} AS title, "
+        f"{plain_text("array_to_string(ps, ' ')")} AS content, "
+        f"array_to_string(list_transform(items, lambda x: {strip_blank('lower(x)')}), '|') AS speakers FROM e"),
+    "tfidf_hashed": hashed_out("doc_id"),
+    "tfidf_hashed_vectors": hashed_out("doc_id"),
+    "tfidf_hashed_per_group": hashed_out(G),
+    "hash_bucket_terms": (
+        f"WITH {tf_cte('doc_id')}, terms AS (SELECT DISTINCT term FROM tf), {murmur_ctes('terms')}, "
+        "held AS (SELECT bucket, count(*) AS n_terms FROM buckets GROUP BY bucket), "
+        "bd AS (SELECT bucket, count(DISTINCT doc_id) AS bdf FROM tf JOIN buckets USING (term) GROUP BY bucket) "
+        f"SELECT term, bucket, {rnd('ln((m.m + 1)::DOUBLE / (bdf + 1)::DOUBLE)')} AS weight, n_terms "
+        "FROM buckets JOIN held USING (bucket) JOIN bd USING (bucket) CROSS JOIN m"),
+    "session_word_count_per_group": (
+        f"WITH {SESSION_TOKS} SELECT {G}, word, count(*) AS count FROM toks GROUP BY {G}, word"),
+    "session_timeline_relative": (
+        f"WITH {SESSION_TOKS}, {WC_GROUP}, {WC_TOTALS} SELECT w.{G} AS {G}, word, count, "
+        f"{rnd('count / total * 100')} AS relative_count FROM wc w LEFT JOIN t ON w.{G} = t.{G} "
+        f"WHERE word IN {TERMS}"),
+    "session_top_terms_per_group": top_terms(G, SESSIONS, "sessions"),
+    "sql_normalizer_steps": (
+        f"SELECT doc_id, {stop('c')} AS stopped, {plural('c')} AS singular, {glue('c')} AS glued, "
+        f"array_to_string(list_transform(string_split(text, '.'), lambda x: {strip_blank('lower(x)')}), '|') AS sentences "
+        f"FROM (SELECT doc_id, text, {clean('lower(text)')} AS c FROM documents)"),
+    "sql_clean_documents": f"WITH {DOCS} SELECT doc_id, {G}, title, content, body FROM docs",
+    "sql_timeline_relative": (
+        f"WITH {TOKS}, {WC_GROUP}, {WC_TOTALS} SELECT w.{G} AS {G}, word, count, "
+        f"{rnd('count / total * 100')} AS relative_count FROM wc w LEFT JOIN t ON w.{G} = t.{G} "
+        f"WHERE word IN {TERMS}"),
+    "sql_top_terms": top_terms(G),
+    "sql_words_per_group": (
+        f"WITH {DOCS} SELECT {G}, CAST(sum(len(string_split(body, ' '))) AS BIGINT) "
+        f"AS number_of_words FROM docs GROUP BY {G}"),
 }

@@ -7,6 +7,7 @@ in the fixture texts and actually change rows.
 """
 
 from textlake.functions.constants import DEFAULT_STOPWORDS, NON_SESSION_TITLES, PHRASES
+from textlake.functions.html import class_block_pattern
 
 GROUP = "lang"
 SECOND_GROUP = "source"
@@ -38,23 +39,31 @@ PREVIEW_ROWS = 10
 # must be present instead ("has a closing html tag").
 GATE_SPECIAL = ["de", "es"]
 GATE_SLOT_PATTERN = r"(</html>)"
+# The page key is the title, which holds the URL key (a language) on some pages.
+GATE_KEY_PATTERN = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
+# Digits that some of the URLs have.
+URL_DIGITS_PATTERN = r"[?&]page=([0-9]+)"
+# The fixture pages have no speaker fields: their navigation and ad blocks stand in.
+LIST_BLOCKS = [r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>", class_block_pattern("ad")]
 
 LINK_ALLOWED_DOMAINS = ["example.com", "example.org"]
-LINK_DENY = "/file/"
+LINK_DENY = "/de"  # occurs in the fixture pages; the library's default is "/file/"
 
 AUDIT_BUCKETS = 1 << 20
 
 ROUND = 6
 
 # Per-site layouts for page_extract_by_layout, keyed by the URL language:
-# (site_key, title, content scope, paragraphs in scope, list items).
+# (site_key, titles, content scopes, paragraphs in scope, field blocks, list items).
+_NAV, _LI = r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>", r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>"
+_ANCHOR = r"(?is)<a(?:\s[^>]*)?>([^<]*)</a\s*>"
 PAGE_LAYOUTS = [
     ("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
-     r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a [^>]*>([^<]*)</a>"),
+     r"(?s)<p(?: [^>]*)?>(.*?)</p>", _NAV, _ANCHOR),
     ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<body[^>]*>(.*?)</body>",
-     r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<li><a [^>]*>([^<]*)</a>"),
+     r"(?s)<p(?: [^>]*)?>(.*?)</p>", _LI, _ANCHOR),
     ("fr", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<body[^>]*>(.*?)</body>",
-     r"<p[^>]*>([^<]*)", r"<a [^>]*>([^<]*)</a>"),
+     r"<p[^>]*>([^<]*)", _NAV, _ANCHOR),
 ]
 
 # Session filter on page links (hosts on .com / .org) for page_corpus_timeline.

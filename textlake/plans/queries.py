@@ -20,12 +20,18 @@ from textlake.functions.text import (clean_string, glue_phrases, normalize_array
 from textlake.functions.urls import url_group_key, url_group_key_default
 from textlake.operators import counts, documents, pages, stats, tfidf, trends
 from textlake.plans import params as P
+from textlake.plans import sql_api
 from textlake.session import shared_dir
 from textlake.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _joined(array):
+    """All values of an array column, so that the oracle compares each."""
+    return F.array_join(array, "|").alias(array)
+
+
 def _r(c):
     return F.round(c, P.ROUND)
 
@@ -90,24 +96,23 @@ def q_url_group_key(spark, sf_dir):
 
 def q_url_group_key_default(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", "url",
-                                        url_group_key_default("url").alias("year"))
+                                        url_group_key_default("url", pattern=P.URL_DIGITS_PATTERN)
+                                        .alias("year"))
 
 
 # --- sources and sinks ------------------------------------------------------
 
 def q_page_extract(spark, sf_dir):
-    ext = pages.page_extract(_pages(spark, sf_dir))
-    return ext.select("page_id", "link", "title", "content",
-                      F.size("speakers").cast("bigint").alias("n_speakers"))
+    ext = _speakers(spark, sf_dir)
+    return ext.select("page_id", "link", "title", "content", _joined("speakers"))
 
 
 def q_scan_jsonl(spark, sf_dir):
     """Pages -> raw documents -> JSON lines (sink) -> explicit-schema scan."""
-    raw = pages.page_extract(_pages(spark, sf_dir), keep=())
+    raw = pages.page_extract(_pages(spark, sf_dir), keep=(), blocks=P.LIST_BLOCKS)
     path = files.write_jsonl(raw, shared_dir(spark, "jsonl"))
     back = files.read_jsonl(spark, path)
-    return back.select("link", "title", "content",
-                       F.size("speakers").cast("bigint").alias("n_speakers"))
+    return back.select("link", "title", "content", _joined("speakers"))
 
 
 def q_sink_jsonl(spark, sf_dir):
@@ -120,16 +125,18 @@ def q_sink_jsonl(spark, sf_dir):
 
 def q_scan_wordlist(spark, sf_dir):
     """Distinct words of part names written one per line, then scanned."""
-    part = tables.read_table(spark, sf_dir, "part", ["p_name"], spread=False)
+    part = tables.read_table(spark, sf_dir, "part", ["p_name"])
     words = part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     path = files.write_wordlist(words, "word", shared_dir(spark, "wordlist"))
     return files.read_wordlist(spark, path)
 
 
 def q_preview_nonempty(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return documents.preview_nonempty(docs, "content", ["doc_id"], P.PREVIEW_ROWS) \
-        .select("doc_id", P.GROUP, "title", "body")
+    raw = tables.raw_documents(spark, sf_dir, (P.GROUP,))
+    first = documents.preview_nonempty(raw, "content", ["doc_id"], P.PREVIEW_ROWS)
+    docs = documents.clean_documents(first, ["doc_id", P.GROUP], stopwords=P.STOPWORDS,
+                                     phrases=P.FIXTURE_PHRASES)
+    return docs.select("doc_id", P.GROUP, "title", "body")
 
 
 # --- document views ---------------------------------------------------------
@@ -162,7 +169,7 @@ def q_word_count_per_group(spark, sf_dir):
 
 
 def _speakers(spark, sf_dir):
-    return pages.page_extract(_pages(spark, sf_dir))
+    return pages.page_extract(_pages(spark, sf_dir), blocks=P.LIST_BLOCKS)
 
 
 def q_array_element_count(spark, sf_dir):
@@ -196,8 +203,7 @@ def q_stopwords_anti_join(spark, sf_dir):
     cleaned = raw.select(P.GROUP, clean_string(F.lower(F.concat("title", F.lit(" "), "content")))
                          .alias("body"))
     stop = spark.createDataFrame([(w,) for w in P.STOPWORDS], "word string")
-    toks = counts.tokens_without(cleaned, [P.GROUP], stop)
-    return toks.groupBy(P.GROUP, "word").count()
+    return counts.tokens_without(cleaned, [P.GROUP], stop)
 
 
 # --- trends -----------------------------------------------------------------
@@ -240,7 +246,7 @@ def q_corpus_stats_by_label(spark, sf_dir):
     grouped by quality (NULL for unlabeled documents).  The labels side
     grows with the corpus, so no broadcast hint: AQE picks the strategy
     from runtime sizes."""
-    labels = tables.read_table(spark, sf_dir, "labels", ["doc_id", "quality"], spread=False)
+    labels = tables.read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     docs = _docs(spark, sf_dir).select("doc_id", "body").join(labels, "doc_id", "left")
     out = stats.corpus_stats(docs, ["quality"], "doc_id")
     return out.select("quality", "urls", F.col("text_length").cast("bigint").alias("text_length"),
@@ -262,7 +268,7 @@ def _round_scores(df, key):
 
 
 def q_document_frequency(spark, sf_dir):
-    return tfidf.document_frequency(tfidf.term_frequencies(_docs(spark, sf_dir), ["doc_id"]))
+    return tfidf.document_frequency_of_rows(_docs(spark, sf_dir))
 
 
 def q_tfidf_exact(spark, sf_dir):
@@ -270,9 +276,8 @@ def q_tfidf_exact(spark, sf_dir):
 
 
 def q_tfidf_exact_hot_split(spark, sf_dir):
-    """tfidf_exact with the hot-key split join (broadcast of the < 1000 terms
-    with df > T/1000, shuffle join for the rest); same rows as tfidf_exact."""
-    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"], hot_split=1000)
+    """tfidf_exact with its terms' rows over more partitions; same rows."""
+    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"], salts=64)
     return _round_scores(scores, ["doc_id"])
 
 
@@ -301,7 +306,7 @@ def q_top_terms_per_source(spark, sf_dir):
 
 
 def q_top_terms_for_document(spark, sf_dir):
-    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"])
+    scores = tfidf.tfidf_of_document(_docs(spark, sf_dir), "doc_id", P.DOCUMENT_KEY_VALUE)
     out = tfidf.terms_of_document(scores, "doc_id", P.DOCUMENT_KEY_VALUE)
     return out.select("term", _r("score").alias("score"), "tf", "doc_id")
 
@@ -379,15 +384,91 @@ def q_hash_bucket_audit(spark, sf_dir):
     return tfidf.hash_bucket_audit(toks, P.AUDIT_BUCKETS)
 
 
+def q_hash_bucket_terms(spark, sf_dir):
+    """Term, HashingTF bucket, the bucket's IDF weight and its number of terms."""
+    out = tfidf.hash_bucket_terms(_docs(spark, sf_dir))
+    return out.select("term", F.col("bucket").cast("bigint").alias("bucket"),
+                      _r("weight").alias("weight"), "n_terms")
+
+
+# --- trends over the session view ---------------------------------------------
+
+def q_session_word_count_per_group(spark, sf_dir):
+    return counts.word_count_per_group(_sessions(spark, sf_dir), [P.GROUP])
+
+
+def q_session_timeline_relative(spark, sf_dir):
+    out = trends.term_share(_sessions(spark, sf_dir), [P.GROUP], P.TIMELINE_TERMS)
+    return out.withColumn("relative_count", _r("relative_count"))
+
+
+def q_session_top_terms_per_group(spark, sf_dir):
+    scores = tfidf.tfidf_exact(_sessions(spark, sf_dir), [P.GROUP])
+    top = tfidf.top_terms_per_group(scores, [P.GROUP], TOP_RANK_PER_GROUP)
+    return top.select(P.GROUP, "term", _r("score").alias("score"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- SQL text over the registered functions and views ---------------------------
+
+def _sql(spark, sf_dir, text):
+    sql_api.register_sql_functions(spark, P.STOPWORDS, P.FIXTURE_PHRASES)
+    sql_api.register_views(spark, sf_dir, P.GROUP, P.STOPWORDS, P.FIXTURE_PHRASES)
+    return spark.sql(text)
+
+
+def q_sql_normalizer_steps(spark, sf_dir):
+    """Each normalizer function by its SQL name."""
+    return _sql(spark, sf_dir, """
+        SELECT doc_id, removeStopwords(c) AS stopped, lemmatize(c) AS singular, tokenize(c) AS glued,
+               array_join(stripArray(split(content, '[.]')), '|') AS sentences
+        FROM (SELECT doc_id, content, cleanString(lower(content)) AS c FROM raw_documents)""")
+
+
+def q_sql_clean_documents(spark, sf_dir):
+    return _sql(spark, sf_dir, f"""
+        SELECT doc_id, {P.GROUP}, cleanString(lower(title)) AS title,
+               cleanString(lower(content)) AS content,
+               clearAll(lower(concat(title, ' ', content))) AS body
+        FROM raw_documents""")
+
+
+def q_sql_timeline_relative(spark, sf_dir):
+    terms = ", ".join(sql_api.lit(t) for t in P.TIMELINE_TERMS)
+    return _sql(spark, sf_dir, f"""
+        SELECT w.{P.GROUP}, w.word, w.count,
+               round(w.count / t.total * 100, {P.ROUND}) AS relative_count
+        FROM wordcounts_per_group w LEFT JOIN (
+          SELECT {P.GROUP}, sum(count) AS total FROM wordcounts_per_group GROUP BY {P.GROUP}) t
+          ON w.{P.GROUP} = t.{P.GROUP}
+        WHERE w.word IN ({terms}) ORDER BY w.{P.GROUP}, w.count, w.word""")
+
+
+def q_sql_top_terms(spark, sf_dir):
+    return _sql(spark, sf_dir, f"""
+        SELECT {P.GROUP}, term, round(score, {P.ROUND}) AS score, CAST(rank AS BIGINT) AS rank
+        FROM (SELECT {P.GROUP}, term, score,
+                     dense_rank() OVER (PARTITION BY {P.GROUP} ORDER BY score DESC) AS rank
+              FROM scores_per_group WHERE score <> 0)
+        WHERE rank <= {TOP_RANK_PER_GROUP}""")
+
+
+def q_sql_words_per_group(spark, sf_dir):
+    return _sql(spark, sf_dir, f"""
+        SELECT {P.GROUP}, sum(array_size(split(body, ' '))) AS number_of_words
+        FROM clean_documents GROUP BY {P.GROUP} ORDER BY {P.GROUP}""")
+
+
 # --- pages ------------------------------------------------------------------
 
 def q_page_anchor_list(spark, sf_dir):
-    return pages.page_anchor_list(_pages(spark, sf_dir)) \
+    return pages.page_anchor_list(_pages(spark, sf_dir), blocks=P.LIST_BLOCKS) \
         .select("page_id", F.col("pos").cast("bigint").alias("pos"), "speaker")
 
 
 def q_page_gate(spark, sf_dir):
-    return pages.page_gate(_pages(spark, sf_dir), P.GATE_SPECIAL, P.GATE_SLOT_PATTERN)
+    return pages.page_gate(_pages(spark, sf_dir), P.GATE_SPECIAL, P.GATE_SLOT_PATTERN,
+                           key_pattern=P.GATE_KEY_PATTERN)
 
 
 def q_page_links(spark, sf_dir):
@@ -398,8 +479,7 @@ def q_page_extract_by_layout(spark, sf_dir):
     from textlake.functions.urls import url_lang
     layouts = spark.createDataFrame(P.PAGE_LAYOUTS, pages.LAYOUT_SCHEMA)
     out = pages.page_extract_by_layout(_pages(spark, sf_dir), layouts, url_lang(F.col("url")))
-    return out.select("page_id", "link", "site_key", "title", "content",
-                      F.size("speakers").cast("bigint").alias("n_speakers"))
+    return out.select("page_id", "link", "site_key", "title", "content", _joined("speakers"))
 
 
 def q_page_direct_text(spark, sf_dir):

@@ -30,7 +30,7 @@ def raw(s: str) -> str:
 
 def register_sql_functions(spark: SparkSession, stopwords: Sequence[str] = DEFAULT_STOPWORDS,
                            phrases: Sequence[str] = PHRASES) -> list[str]:
-    words = "array(" + ", ".join(lit(w) for w in dict.fromkeys(stopwords)) + ")"
+    words = "(" + ", ".join(lit(w) for w in dict.fromkeys(stopwords)) + ")"
     glued = "s"
     for p in phrases:
         glued = f"replace({glued}, {lit(p)}, {lit(p.replace(' ', ''))})"
@@ -39,7 +39,7 @@ def register_sql_functions(spark: SparkSession, stopwords: Sequence[str] = DEFAU
                         f"trim(regexp_replace(regexp_replace(s, {raw(NOT_WORD_CHARS)}, ''), "
                         "' {2,}', ' '))"),
         "removeStopwords": ("s STRING", "STRING",
-                            f"array_join(filter(split(s, ' '), w -> NOT array_contains({words}, w)),"
+                            f"array_join(filter(split(s, ' '), w -> w NOT IN {words}),"
                             " ' ')"),
         "lemmatize": ("s STRING", "STRING", f"regexp_replace(s, {raw('s(?= |\\z)')}, '')"),
         "tokenize": ("s STRING", "STRING", glued),

@@ -2,9 +2,9 @@
 
 from textlake.sources.files import read_jsonl, read_wordlist, write_jsonl, write_wordlist
 from textlake.sources.tables import (RAW_DOCUMENT_SCHEMA, raw_documents, read_table,
-                                     spread_partitions, table_path)
+                                     table_path)
 
 __all__ = [
     "RAW_DOCUMENT_SCHEMA", "raw_documents", "read_jsonl", "read_table", "read_wordlist",
-    "spread_partitions", "table_path", "write_jsonl", "write_wordlist",
+    "table_path", "write_jsonl", "write_wordlist",
 ]

@@ -28,38 +28,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               spread: bool = True) -> DataFrame:
-    """Read one Parquet table, pruned to ``columns``.
-
-    ``spread``: a table stored as very few large row groups gives fewer scan
-    tasks than the cluster has cores, and the heavy per-row text work after
-    the scan would then run on a handful of cores.  Only in that case the
-    rows are dealt round-robin over the default parallelism.  On a large
-    table the scan already has many splits and nothing is added.
-    """
-    df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)
-    if spread:
-        df = spread_partitions(df)
-    return df
+#: Session setting: deal the rows of each table over so many partitions.
+SCAN_PARTITIONS = "textlake.scan.partitions"
 
 
-def spread_partitions(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cores when the scan has too few splits.
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None
+               ) -> DataFrame:
+    """Read one Parquet table, pruned to ``columns``; Spark's scan settings
+    (``spark.sql.files.maxPartitionBytes``) make the partitions.
 
-    Reading the split count only plans the scan (no job).  Where it cannot
-    be read (e.g. a Spark Connect session) the scan is left as it is.
+    Only where the caller asks for it with the session setting
+    ``textlake.scan.partitions`` (unset by default) the rows are dealt
+    round-robin: the bench does, whose tables are one row group each.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no classic SparkContext: keep the scan
-        return df
-    if splits * 2 <= cores:
-        return df.repartition(cores)
-    return df
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if columns:
+        df = df.select(*columns)
+    partitions = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def raw_documents(spark: SparkSession, sf_dir: str, group_cols: tuple[str, ...] = ("lang", "source")
