@@ -34,11 +34,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, save, text_or_empty
+from textlake.llm.common import connected_components, save, sieve, text_or_empty
 
 BITS, LANES, FIELD = 63, 21, 21
 MASK = 1 | 1 << 21 | 1 << 42
-SIEVE_BITS = 1 << 22
 
 
 def normalised(line: str | Column) -> Column:
@@ -74,16 +73,6 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
 
 
-def sieve(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys``: a bitset of fixed size
-    (at most 65,536 rows of 16 bytes are broadcast, whatever the keys)."""
-    bit = lambda c: F.col(c).bitwiseAND(F.lit(SIEVE_BITS - 1))
-    cells = keys.groupBy(F.shiftright(bit(key), 6).alias("__cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")).alias("__set"))
-    hit = F.expr(f"(shiftright(__set, cast(`{column}` & 63 as int)) & 1) = 1")
-    return df.withColumn("__cell", F.shiftright(bit(column), 6)).join(F.broadcast(cells), on="__cell").where(hit).drop("__cell", "__set")
-
-
 def near_hashes(sims: DataFrame, masks: list[int], distance: int) -> tuple[DataFrame, DataFrame]:
     """((u, v) pairs of SimHashes at most ``distance`` bits apart, members of full
     buckets (key, sim)).  The pairs hold all those of buckets of up to three

@@ -12,15 +12,19 @@ weighted Jaccard similarity, the sum of the smaller weights over that of the
 larger ones.
 
 1. One pass makes a row for each text: bands of ``rows`` coordinates as
-   64-bit keys, the number of shingles, a 128-bit hash of the words.
-   Texts with the same words are one node from here on.
+   64-bit keys, the coordinates themselves in 7 bits each, the number of
+   shingles, a 128-bit hash of the words.  Texts with the same words are one
+   node from here on.
 2. Band buckets: every node is paired with its bucket's smallest node, the
-   hub; pairs whose sizes exclude the similarity go.  The others are read
-   and compared exactly, all their shingles.
+   hub.  Pairs go whose sizes exclude the similarity, or whose coordinates
+   agree so seldom that it is more than five standard deviations away.  The
+   others are read and compared exactly, all their shingles.
 3. Verified pairs form components.  Where nodes of one bucket are still in
-   different components, those are paired and compared too: a link between
-   different texts of a bucket is only left out when they are connected
-   anyway.  A group of n near copies thus costs about n pairs, not n * n.
+   different components, those are compared inside the join, by these
+   coordinates and by sixteen times as many that are made for such nodes
+   alone, and exactly where both agree: a link between different texts of a
+   bucket is only left out when they are connected anyway.  A group of n
+   copies of one text thus costs about n pairs, not n * n.
 4. One document of each component stays, the one with the smallest id.
 
 Defined results.  Texts without words (null, empty, white space) are equal
@@ -37,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, salt, salted_totals, save
+from textlake.llm.common import connected_components, salt, salted_totals, save, sieve
 from textlake.llm.words import Texts, bounded_batches, lists, mix, range_hash, signed, slices, windows
 
 U = np.uint64
@@ -103,7 +107,7 @@ def signatures(row: np.ndarray, region: np.ndarray, n_texts: int, k: int) -> np.
 def _emit(size: int, bands: int, rows: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
+            for start, texts in slices(batch.column("text"), most_texts=2000):
                 n = len(texts)
                 row, key = shingles(texts, size)
                 row, region = regions(row, key)
@@ -118,25 +122,84 @@ def _emit(size: int, bands: int, rows: int):
                 keys = keys.reshape(n, bands)[some].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(start, n), *map(pa.array, whole), pa.array(weight.astype(np.int64)),
-                     lists(pa.array(signed(keys)), some * bands)], names=["node", "w1", "w2", "weight", "bands"])
+                     lists(pa.array(signed(keys)), some * bands), packed(darts.reshape(n, bands * rows))],
+                    names=["node", "w1", "w2", "weight", "bands", "sketch"])
     return emit
 
 
-def similarity(a: str, b: str, size: int) -> float:
-    """Weighted Jaccard similarity of two texts' shingles."""
-    for _, texts in slices(pa.array([a, b]), most_bytes=1 << 62):
-        row, key = regions(*shingles(texts, size))
-        both = np.intersect1d(key[row == 0], key[row == 1], assume_unique=True)
-        return len(both) / max(1, len(row) - len(both))
-    return 0.0
+PER_LONG = 9  # coordinates of 7 bits in a long
+
+
+def packed(darts: np.ndarray) -> pa.ListArray:
+    """Each row's coordinates in 7 bits, nine to a long; the last long is filled with zeros."""
+    n, k = darts.shape
+    longs = -(-k // PER_LONG)
+    few = np.zeros((n, longs * PER_LONG), U)
+    few[:, :k] = mix(darts, 11) & U(0x7F)
+    shift = np.arange(PER_LONG, dtype=U) * U(7)
+    values = (few.reshape(n * longs, PER_LONG) << shift).sum(axis=1, dtype=U)
+    return lists(pa.array(signed(values)), np.full(n, longs))
+
+
+def agreeing(a: str, b: str, k: int) -> Column:
+    """How many of ``k`` packed coordinates of two sketches are equal."""
+    low, high = (sum(m << 7 * i for i in range(PER_LONG)) for m in (0x3F, 0x40))
+    longs = -(-k // PER_LONG)
+    total = F.lit(PER_LONG * longs - (longs * PER_LONG - k))
+    for i in range(longs):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        filled = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))  # a bit for each that differs
+        total = total - F.bit_count(filled)
+    return total
+
+
+def agreeing_folded(a: str, b: str, k: int) -> Column:
+    """``agreeing`` as a fold, for long sketches."""
+    low, high = (sum(m << 7 * i for i in range(PER_LONG)) for m in (0x3F, 0x40))
+    differ = F.zip_with(a, b, lambda p, q: F.bit_count((p.bitwiseXOR(q).bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(
+        p.bitwiseXOR(q)).bitwiseAND(F.lit(high))))
+    return F.lit(k) - F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+
+
+def needed(k: int, least: float) -> int:
+    """Agreeing coordinates that texts of similarity ``least`` reach but for one case in ten million."""
+    return max(0, int(k * least - 5.3 * (k * least * (1 - least)) ** 0.5))
+
+
+def _emit_fine(size: int, k: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column("text"), most_texts=64):
+                darts = signatures(*regions(*shingles(texts, size)), len(texts), k)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, len(texts)), packed(darts)], names=["node", "fine"])
+    return emit
+
+
+def some_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, one row each.  What surely is none of
+    them goes where it is read, so the shuffle carries few other texts."""
+    return sieve(texts, "node", nodes, "node").join(nodes, on="node", how="left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _compare(size: int, least: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (batch.column(c) for c in ("u", "v", "text_u", "text_v"))
-            keep = [similarity(x.as_py(), y.as_py(), size) >= least for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([u.filter(pa.array(keep, pa.bool_())), v.filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+            u, v = batch.column("u"), batch.column("v")
+            both = pa.chunked_array([batch.column("text_u"), batch.column("text_v")]).combine_chunks()
+            n = batch.num_rows
+            rows, keys = [], []
+            for start, texts in slices(both):
+                row, key = regions(*shingles(texts, size))
+                rows.append(start + row)
+                keys.append(key)
+            row, key = np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, U), *keys])
+            weight = np.bincount(row, minlength=2 * n)
+            order = np.lexsort((key, row % max(n, 1)))  # a pair's regions side by side; shared ones are twins
+            row, key = row[order] % max(n, 1), key[order]
+            twin = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1]))
+            shared = np.bincount(row[twin], minlength=n)
+            keep = pa.array(shared >= least * (weight[:n] + weight[n:] - shared))
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
     return compare
 
 
@@ -144,8 +207,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     """The pairs (u, v) whose texts are similar.  Texts of the nodes in pairs are
     written once; from both written tables Spark splits a node that is in very many pairs."""
     pairs = save(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = save(texts.join(nodes, on="node", how="left_semi").groupBy("node").agg(F.first("text").alias("text")), "pair-texts")
+    nodes = save(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
+    texts = save(some_texts(texts, nodes), "pair-texts")
     of_u, of_v = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
     return save(pairs.join(of_u, on="u").join(of_v, on="v").select("u", "v", "text_u", "text_v")
                 .mapInArrow(_compare(size, least), "u bigint, v bigint"), "links")
@@ -160,38 +223,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     texts = docs.select(node.alias("node"), F.col(text_col).alias("text"))
-    marked = save(texts.mapInArrow(_emit(size, bands, rows),
-                                   "node bigint, w1 bigint, w2 bigint, weight bigint, bands array<bigint>"), "signatures")
-    same = salted_totals(marked.select("node", "w1", "w2", salt("node", salts=salts).alias("salt")), ["w1", "w2"], salts,
-                         [F.min("node").alias("rep")], [F.min("rep").alias("rep")])
-    copies = (marked.select("node", "w1", "w2", salt("node", salts=salts).alias("salt")).join(same, on=["w1", "w2", "salt"])
-              .select(F.col("node").alias("u"), F.col("rep").alias("v")).where("u != v").distinct())
-    copies = save(copies, "copies")
+    k = bands * rows
+    marked = save(texts.mapInArrow(_emit(size, bands, rows), "node bigint, w1 bigint, w2 bigint, weight bigint, "
+                                   "bands array<bigint>, sketch array<bigint>"), "signatures")
+    keyed = marked.select("node", "w1", "w2", salt("node", salts=salts).alias("salt"))
+    same = salted_totals(keyed, ["w1", "w2"], salts, [F.min("node").alias("rep")], [F.min("rep").alias("rep")])
+    copies = save(keyed.join(same, on=["w1", "w2", "salt"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
+                  .where("u != v").distinct(), "copies")
     # one node for each sequence of words goes to the buckets
     reps = marked.join(copies.select(F.col("u").alias("node")), on="node", how="left_anti")
-    members = save(reps.select(F.explode("bands").alias("band"), "node", "weight", salt("node", salts=salts).alias("salt")).distinct(),
-                   "buckets")
-    hubs = salted_totals(members, ["band"], salts, [F.min("node").alias("hub"), F.min("weight").alias("w"), F.max("weight").alias("x")],
-                         [F.min("hub").alias("hub"), F.count(F.lit(1)).alias("parts"), F.min("w").alias("w"), F.max("x").alias("x")])
-    paired = members.join(hubs, on=["band", "salt"]).where(F.col("node") != F.col("hub"))
-    weights = members.groupBy(F.col("node").alias("v")).agg(F.max("weight").alias("other"))
-    fits = F.least("weight", "other") >= F.greatest("weight", "other") * least
-    pairs = (save(paired.groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.max("weight").alias("weight")), "hub-pairs")
-             .join(weights, on="v").where(fits).select("u", "v"))
-    links = verified(pairs, texts, size, least)
+    members = save(reps.select(F.explode("bands").alias("band"), "node", salt("node", salts=salts).alias("salt")).distinct(), "buckets")
+    hubs = salted_totals(members, ["band"], salts, [F.min("node").alias("hub"), F.max("node").alias("last")],
+                         [F.min("hub").alias("hub"), F.max("last").alias("last")]).where("hub != last")
+    pairs = save(members.join(hubs, on=["band", "salt"]).where(F.col("node") != F.col("hub"))
+                 .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
+    u, v = (marked.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    alike = (F.least("weight_u", "weight_v") >= F.greatest("weight_u", "weight_v") * least) & (
+        agreeing("sketch_u", "sketch_v", k) >= needed(k, least))
+    links = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v").distinct(), texts, size, least)
     linked = connected_components(links.unionByName(copies))
-    # buckets that still hold several components: pairs across them, the hub's pairs aside
-    spread = members.join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
-    spread = spread.withColumn("salt", salt("node", salts=salts))
-    open_ = salted_totals(spread, ["band"], salts,
-                          [F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")],
-                          [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub").alias("hub")]).where("lo != hi")
-    rest = save(spread.join(open_, on=["band", "salt"]).where(F.col("node") != F.col("hub"))
-                .select("band", "node", "weight", "component"), "open-buckets")
-    other = rest.select("band", F.col("node").alias("v"), F.col("weight").alias("other"), F.col("component").alias("far"))
-    across = (rest.withColumnRenamed("node", "u").join(other, on="band")
-              .where((F.col("u") < F.col("v")) & (F.col("component") != F.col("far")) & fits).select("u", "v").distinct())
-    more = verified(across, texts, size, least)
+    # buckets that still hold several components: their nodes are compared across components, the hub's pairs aside
+    parts = members.join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
+    torn = salted_totals(parts, ["band"], salts,
+                         [F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub"), F.max("node").alias("last"),
+                          F.count(F.lit(1)).alias("n")],
+                         [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub").alias("hub"), F.max("last").alias("last"),
+                          F.sum("n").alias("n")]).where("lo != hi and n > 2")
+    rest = save(parts.join(torn, on=["band", "salt"]).where(F.col("node") != F.col("hub")).select("band", "node", "component"), "open-buckets")
+    nodes = save(rest.select("node").distinct(), "open-nodes")
+    fine = save(some_texts(texts, nodes).mapInArrow(_emit_fine(size, 16 * k), "node bigint, fine array<bigint>")
+                .join(marked.select("node", "weight", "sketch", "bands"), on="node").dropDuplicates(["node"]), "open-sketches")
+    rest = rest.join(fine, on="node")
+    columns = ("node", "component", "weight", "sketch", "bands", "fine")
+    a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "uv")
+    once = F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"]  # in the first of the buckets that both are in
+    across = a.join(b, (a["band"] == b["band"]) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
+                    & alike & once & (agreeing_folded("fine_u", "fine_v", 16 * k) >= needed(16 * k, least)))
+    more = verified(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), texts, size, least)
     groups = connected_components(links.unionByName(copies).unionByName(more))
     out = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"))
     classed = out.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))

@@ -112,7 +112,7 @@ class Texts:
 
 
 def slices(column: pa.Array, table: np.ndarray = PLAIN, fold: bool = False,
-           most_bytes: int = 2 << 20) -> Iterator[tuple[int, Texts]]:
+           most_bytes: int = 2 << 20, most_texts: int = 1 << 14) -> Iterator[tuple[int, Texts]]:
     """(index of the first text, Texts) for slices of a string column; a text of
     more than ``most_bytes`` is a slice of its own.  Nulls have no words."""
     column = column.fill_null("").cast(pa.large_string())
@@ -121,6 +121,7 @@ def slices(column: pa.Array, table: np.ndarray = PLAIN, fold: bool = False,
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+        to = min(to, at + most_texts, len(column))
         yield at, Texts(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], table, fold)
         at = to
 
