@@ -36,9 +36,10 @@ from textlake.llm.common import text_or_empty
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Patterns of the weak kinds.
+#: Patterns of the weak kinds.  Names before an @ have 64 letters at most, so that a long run of
+#: letters without one is not tried from each of its letters to its end.
 USER = (r"""(?i:user_?name|user|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-        r"|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]")
+        r"|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]*[A-Za-z0-9]")
 KEY40 = r"[A-Za-z0-9/+]{40,}"
 ENDPOINT = (r"""(?i:https?|s3|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9./:@_?&=%-]+"""
             r"""|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""")
