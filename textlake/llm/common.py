@@ -55,14 +55,21 @@ def has_bit(known: np.ndarray, key: np.ndarray) -> np.ndarray:
 SIEVE_BITS = 1 << 22
 
 
-def sieve(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys``: a bitset of fixed size
-    (at most 65,536 rows of 16 bytes are broadcast, whatever the keys)."""
+def maybe_among(df: DataFrame, column: str, keys: DataFrame, key: str, out: str) -> DataFrame:
+    """``df`` with the boolean ``out``: false where ``column`` surely is none of
+    ``keys``.  Both are bigints; a bitset of fixed size stands for the keys (at
+    most 65,536 rows of 16 bytes are broadcast, however many keys there are)."""
     bit = lambda c: F.col(c).bitwiseAND(F.lit(SIEVE_BITS - 1))
     cells = keys.groupBy(F.shiftright(bit(key), 6).alias("__cell")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")).alias("__set"))
-    hit = F.expr(f"(shiftright(__set, cast(`{column}` & 63 as int)) & 1) = 1")
-    return df.withColumn("__cell", F.shiftright(bit(column), 6)).join(F.broadcast(cells), on="__cell").where(hit).drop("__cell", "__set")
+    hit = F.expr(f"coalesce((shiftright(__set, cast(`{column}` & 63 as int)) & 1) = 1, false)")
+    return (df.withColumn("__cell", F.shiftright(bit(column), 6)).join(F.broadcast(cells), on="__cell", how="left")
+            .withColumn(out, hit).drop("__cell", "__set"))
+
+
+def sieve(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys``."""
+    return maybe_among(df, column, keys, key, "__maybe").where("__maybe").drop("__maybe")
 
 
 def text_or_empty(text: str | Column) -> Column:

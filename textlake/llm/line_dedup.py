@@ -34,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, save, sieve, text_or_empty
+from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
 
 BITS, LANES, FIELD = 63, 21, 21
 MASK = 1 | 1 << 21 | 1 << 42
@@ -53,8 +53,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, line, h1, h2, n, sim): every line with its hash, words and SimHash."""
     lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"))
-    words = lines.select("id", "th", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"),
-                         F.explode(F.split("norm", " ")).alias("word"))
+    lines = lines.select("id", "th", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
+    words = lines.select("id", "th", "line", "h1", "h2", F.explode(F.split("norm", " ")).alias("word"))
     words = words.select("id", "th", "line", "h1", "h2", F.xxhash64("word").alias("w"), (F.col("word") != "").cast("long").alias("one"))
     votes = [F.sum(F.shiftrightunsigned("w", j).bitwiseAND(F.lit(MASK))).alias(f"v{j}") for j in range(LANES)]
     counted = words.groupBy("id", "th", "line", "h1", "h2").agg(F.sum("one").alias("n"), *votes)
@@ -95,7 +95,7 @@ def near_hashes(sims: DataFrame, masks: list[int], distance: int) -> tuple[DataF
 def line_codes(docs: DataFrame, occurrences: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, code) for some lines: each word as one sign, so that edits count words.
     Only texts that hold a first occurrence of such a line are read beyond their hash."""
-    first = save(occurrences.join(nodes.select(F.col("node").alias("h1")), on="h1", how="left_semi").groupBy("h1")
+    first = save(sieve(occurrences, "h1", nodes, "node").join(nodes.select(F.col("node").alias("h1")), on="h1", how="left_semi").groupBy("h1")
                  .agg(F.min_by(F.struct("id", "th", "line"), F.struct("id", "line", "th")).alias("at"))
                  .select("h1", "at.id", "at.th", "at.line"), "line-places")
     some = sieve(docs.withColumn("__th", F.xxhash64(id_col, text_col)), "__th", first, "th").drop("__th")
@@ -130,19 +130,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("distance must be less than blocks")
     lines = save(line_hashes(docs, id_col, text_col), "lines")
     fit = lines.where(F.col("n") >= min_words)
-    different = save(fit.groupBy("h1", "h2").agg(F.first("sim").alias("sim")), "different-lines")
-    by_sim = save(different.groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("rep")), "line-sims")
-    near, full = near_hashes(by_sim.select("sim"), block_masks(blocks, distance), distance)
+    different = save(fit.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")), "different-lines")
+    near, full = near_hashes(different.select("sim").distinct(), block_masks(blocks, distance), distance)
     near = save(near, "near-sims")
-    rep = by_sim.select("sim", "rep")
+    shared = save(different.groupBy("sim").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sim"), "shared-sims")
+    # from here on only lines count whose SimHash has a neighbour or is shared
+    sims = save(near.select(F.explode(F.array("u", "v")).alias("sim")).unionByName(shared).unionByName(full.select("sim")).distinct(), "active-sims")
+    active = save(sieve(different, "sim", sims, "sim").join(sims, on="sim", how="left_semi").select("h1", "sim").distinct(), "active-lines")
+    rep = active.groupBy("sim").agg(F.min("h1").alias("rep"))
     pairs = near.join(rep.select(F.col("sim").alias("u"), F.col("rep").alias("a")), on="u").join(
         rep.select(F.col("sim").alias("v"), F.col("rep").alias("b")), on="v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    alike = different.join(by_sim.where("n > 1"), on="sim").where("h1 != rep").select(F.col("h1").alias("u"), F.col("rep").alias("v"))
+    alike = active.join(rep, on="sim").where("h1 != rep").select(F.col("h1").alias("u"), F.col("rep").alias("v"))
     links = verified(docs, lines, pairs.unionByName(alike).distinct(), least, id_col, text_col)
     groups = connected_components(links)
     # what may still be linked: lines of near SimHashes, or of one full bucket, in different components
-    labelled = different.join(groups.withColumnRenamed("node", "h1"), on="h1", how="left").withColumn(
-        "component", F.coalesce("component", "h1"))
+    labelled = save(active.join(groups.withColumnRenamed("node", "h1"), on="h1", how="left").withColumn(
+        "component", F.coalesce("component", "h1")), "line-labels")
     by_labels = labelled.groupBy("sim").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     inside = full.join(by_labels, on="sim")
     ends = inside.groupBy("key").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b")
@@ -152,29 +155,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = F.bit_count(F.col("sim_u").bitwiseXOR(F.col("sim_v"))) <= distance
     across = u.join(v, (u["key"] == v["key"]) & (F.col("sim_u") < F.col("sim_v")) & apart & close).select(
         F.col("sim_u").alias("u"), F.col("sim_v").alias("v"))
-    equal = by_sim.where("n > 1").select(F.col("sim").alias("u"), F.col("sim").alias("v"))
+    equal = shared.select(F.col("sim").alias("u"), F.col("sim").alias("v"))
     left = labelled.select(F.col("sim").alias("u"), F.col("h1").alias("a"), "component")
     right = labelled.select(F.col("sim").alias("v"), F.col("h1").alias("b"), F.col("component").alias("far"))
     across = (near.unionByName(equal).unionByName(across).distinct().join(left, on="u").join(right, on="v")
               .where(F.col("component") != F.col("far"))
               .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     more = verified(docs, lines, across, least, id_col, text_col)
-    groups = save(connected_components(links.unionByName(more)), "line-groups")
-
-    # classes: components of linked lines, else the line itself
-    classes = fit.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "th")).alias("first"), F.count(F.lit(1)).alias("n")).join(
-        groups.select(F.col("node").alias("h1"), "component"), on="h1", how="left")
-    key = [F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")]
-    classes = classes.select("h1", "h2", "first", "n", *key)
-    of_class = classes.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.sum("n").alias("size")).where("size > 1")
-    repeated = save(classes.drop("first", "n").join(of_class, on=["c1", "c2"]).select("h1", "h2", "first", "size"), "repeated-lines")
-    marked = lines.join(repeated, on=["h1", "h2"], how="left")
-    first = F.struct("id", "line", "th")
-    stays = F.col("first").isNull() | (F.col("n") < min_words) | (F.col("first") == first)
-    return marked.select(
-        "id", "th", "line", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        F.when(F.col("first").isNull(), F.col("line")).otherwise(F.col("first.line")).alias("class_line"),
-        F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), stays.alias("kept"))
+    groups = save(connected_components(links.unionByName(more)).select(F.col("node").alias("h1"), "component"), "line-groups")
+
+    # classes of several occurrences: components of linked lines, and lines that occur twice
+    linked = sieve(different, "h1", groups, "h1").join(groups, on="h1").select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    twice = different.where("n > 1").join(groups, on="h1", how="left_anti").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    classes = save(linked.unionByName(twice), "line-classes")
+    occurrence = F.struct("id", "line", "th")
+    maybe = maybe_among(lines, "h1", classes, "h1", "maybe")
+    found = save(maybe.where(F.col("maybe") & (F.col("n") >= min_words)).select("id", "th", "line", "h1", "h2").join(classes, on=["h1", "h2"], how="left"),
+                 "line-occurrences")
+    of_class = save(found.where("c1 is not null").groupBy("c1", "c2").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("size")), "line-firsts")
+    repeated = found.join(of_class, on=["c1", "c2"], how="left")
+    own = [F.col("id").alias("class_id"), F.col("line").alias("class_line"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")]
+    return maybe.where(~F.col("maybe") | (F.col("n") < min_words)).select("id", "th", "line", *own).unionByName(repeated.select(
+        "id", "th", "line", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.line", "line").alias("class_line"),
+        F.coalesce("size", F.lit(1).cast("long")).alias("class_size"),
+        (F.col("first").isNull() | (F.col("first") == occurrence)).alias("kept")))
 
 
 def keep_lines(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
