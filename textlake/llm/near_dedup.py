@@ -29,10 +29,10 @@ larger ones.
 
 Defined results.  Texts without words (null, empty, white space) are equal
 to each other and form one class.  A text of fewer than five words is one
-shingle.  Rows that share an id are one document and one class.  Rows with a
-null id are told apart by their text.  Of rows that repeat the staying id
-with the same text all are kept by ``near_duplicates`` (the id stays) and one
-by ``keep_one``.  An empty table gives an empty result.
+shingle.  A row is known by its id and text: rows that share an id but not
+the text are different documents, rows that repeat both are one (``kept`` is
+true for each, and ``keep_one`` leaves one).  Null ids come last: a class of
+null ids alone keeps the text with the least hash and has a null class_id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, salt, salted_totals, save, sieve
+from textlake.llm.common import connected_components, maybe_among, salt, salted_totals, save, sieve
 from textlake.llm.words import Texts, bounded_batches, lists, mix, range_hash, signed, slices, windows
 
 U = np.uint64
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity; two texts of that similarity share a bucket with a
     probability of 1 - (1 - least ** rows) ** bands (0.9993 by default)."""
     bounded_batches(docs.sparkSession)
-    node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    node = F.xxhash64(id_col, text_col)
     texts = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     k = bands * rows
     marked = save(texts.mapInArrow(_emit(size, bands, rows), "node bigint, w1 bigint, w2 bigint, weight bigint, "
@@ -231,28 +231,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = save(keyed.join(same, on=["w1", "w2", "salt"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
                   .where("u != v").distinct(), "copies")
     # one node for each sequence of words goes to the buckets
-    reps = marked.join(copies.select(F.col("u").alias("node")), on="node", how="left_anti")
-    members = save(reps.select(F.explode("bands").alias("band"), "node", salt("node", salts=salts).alias("salt")).distinct(), "buckets")
-    hubs = salted_totals(members, ["band"], salts, [F.min("node").alias("hub"), F.max("node").alias("last")],
-                         [F.min("hub").alias("hub"), F.max("last").alias("last")]).where("hub != last")
-    pairs = save(members.join(hubs, on=["band", "salt"]).where(F.col("node") != F.col("hub"))
-                 .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
-    u, v = (marked.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    flagged = maybe_among(marked, "node", copies, "u", "maybe")
+    reps = flagged.where(~F.col("maybe")).unionByName(
+        flagged.where("maybe").join(copies.select(F.col("u").alias("node")).distinct(), on="node", how="left_anti"))
+    members = save(reps.select(F.explode(F.array_distinct("bands")).alias("band"), "node"), "buckets")
+    hubs = save(members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+                .where("hub != last"), "hubs")
+    members = save(sieve(members, "band", hubs, "band").join(hubs, on="band").select("band", "node", "hub", "n"), "shared-buckets")
+    pairs = save(members.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
+    nodes = save(members.select("node").distinct(), "bucket-nodes")
+    sketches = save(sieve(marked, "node", nodes, "node").join(nodes, on="node", how="left_semi")
+                    .select("node", "weight", "sketch", "bands").dropDuplicates(["node"]), "bucket-sketches")
+    u, v = (sketches.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
     alike = (F.least("weight_u", "weight_v") >= F.greatest("weight_u", "weight_v") * least) & (
         agreeing("sketch_u", "sketch_v", k) >= needed(k, least))
-    links = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v").distinct(), texts, size, least)
+    links = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v"), texts, size, least)
     linked = connected_components(links.unionByName(copies))
     # buckets that still hold several components: their nodes are compared across components, the hub's pairs aside
-    parts = members.join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
-    torn = salted_totals(parts, ["band"], salts,
-                         [F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub"), F.max("node").alias("last"),
-                          F.count(F.lit(1)).alias("n")],
-                         [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub").alias("hub"), F.max("last").alias("last"),
-                          F.sum("n").alias("n")]).where("lo != hi and n > 2")
-    rest = save(parts.join(torn, on=["band", "salt"]).where(F.col("node") != F.col("hub")).select("band", "node", "component"), "open-buckets")
+    parts = save(members.where("n > 2").join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node")), "parts")
+    torn = save(parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "torn")
+    rest = save(parts.where("node != hub").join(torn, on="band", how="left_semi").select("band", "node", "component"), "open-buckets")
     nodes = save(rest.select("node").distinct(), "open-nodes")
-    fine = save(some_texts(texts, nodes).mapInArrow(_emit_fine(size, 16 * k), "node bigint, fine array<bigint>")
-                .join(marked.select("node", "weight", "sketch", "bands"), on="node").dropDuplicates(["node"]), "open-sketches")
+    fine = save(some_texts(texts, nodes).mapInArrow(_emit_fine(size, 16 * k), "node bigint, fine array<bigint>").join(sketches, on="node"),
+                "open-sketches")
     rest = rest.join(fine, on="node")
     columns = ("node", "component", "weight", "sketch", "bands", "fine")
     a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "uv")
@@ -264,12 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"))
     classed = out.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
     classed = save(classed.withColumn("salt", salt("node", salts=salts)), "classes")
-    totals = salted_totals(classed, ["component"], salts, [F.min("id").alias("class_id"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")],
-                           [F.min("class_id").alias("class_id"), F.min("lead").alias("lead"), F.sum("n").alias("class_size")])
-    stays = F.when(F.col("class_id").isNull(), F.col("node") == F.col("lead")).otherwise(F.col("id").eqNullSafe(F.col("class_id")))
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    totals = salted_totals(classed, ["component"], salts, [F.min(lead).alias("lead"), F.count(F.lit(1)).alias("n")],
+                           [F.min("lead").alias("lead"), F.sum("n").alias("class_size")])
     return classed.join(totals, on=["component", "salt"]).select(
-        F.col("id").alias(id_col), "class_id", "class_size", stays.alias("kept"),
-        F.col("node").alias("node"))
+        F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "class_size", (F.col("node") == F.col("lead.node")).alias("kept"), "node")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +277,7 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
 
     Rows of one class share the staying id; of rows that repeat it, one stays:
     the smallest by its values."""
-    node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    node = F.xxhash64(id_col, text_col)
     stays = classes.where("kept").select(F.col("node").alias("__node")).distinct()
     kept = docs.withColumn("__node", node).join(stays, on="__node", how="left_semi")
     first = Window.partitionBy("__node").orderBy(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
