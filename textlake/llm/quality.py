@@ -136,7 +136,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, l2: float = 1e-4)
     return float(np.clip((above_u / above_p).min(), 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-3) -> Model:
     """Minimise the non-negative unbiased risk; ``prior`` is estimated unless given."""
     base = standard(np.concatenate([positive, unlabelled]))
     if len(positive) < 4 or len(unlabelled) < 4:
