@@ -99,7 +99,7 @@ def test_quotation_is_told_from_abuse():
     terms, weight = ["stupid"], np.array([3.0])
     automaton = toxicity.Automaton(terms)
     texts = ["you are stupid and slow", 'they said "you are stupid" to me', "“stupid” is a word", "he called it 'stupid'", "STUPID", "stupld", ""]
-    for _, t in slices(pa.array(texts), FOLDED, fold=True):
+    for _, t in toxicity.folded(pa.array(texts)):
         x = toxicity.features(t, automaton, weight)
     exact, near, cite = x[:, 0] > 0, x[:, 1] > 0, x[:, 2] > 0
     assert exact.tolist() == [True, False, False, True, True, False, False]

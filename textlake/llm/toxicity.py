@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ CONTEXT = 6  # words on either side in which quotation marks are looked for
 CLOSE = 20  # words between hits that stand close together
 
 
+def folded(column: pa.Array):
+    """Slices of a text column for this operator: quotation marks as the plain
+    one, so that they part words like other marks do."""
+    for sign in "“”„«»":
+        column = pc.replace_substring(column, sign, '"')
+    return slices(column, FOLDED, fold=True)
+
+
 # --- letters ---------------------------------------------------------------
 
 def letters(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +191,7 @@ def quoted(texts: Texts, word: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return np.empty(0, bool)
     data = texts.data
     mark = np.zeros(len(data) + 1, np.int64)
-    double = data == 0x22
-    if len(data) > 2:  # the curly and angled ones by their UTF-8 bytes
-        double[:-2] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] >= 0x9C) & (data[2:] <= 0x9F)
-        double[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB))
-    np.cumsum(double, out=mark[1:])
+    np.cumsum(data == 0x22, out=mark[1:])
     row = np.searchsorted(texts.first, word, "right") - 1
     low = np.maximum(word - CONTEXT, texts.first[row])
     high = np.minimum(word + CONTEXT, texts.first[row + 1] - 1)
@@ -241,7 +246,7 @@ def _emit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different words of each text, and a hash that near copies mostly share:
     the least among its five-word runs."""
     for batch in batches:
-        for start, texts in slices(batch.column("text"), FOLDED, fold=True):
+        for start, texts in folded(batch.column("text")):
             hashes, words, counts, least = texts.word_hashes(), [], [], []
             at = windows(texts, 5)
             runs, owner = range_hash(hashes, at, at + 5), np.searchsorted(texts.first, at, "right") - 1
@@ -308,7 +313,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _emit_features(automaton: Automaton, weight: np.ndarray, names: tuple[str, ...]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text"), FOLDED, fold=True):
+            for start, texts in folded(batch.column("text")):
                 x = features(texts, automaton, weight)
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_FEATURES).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(texts)) for c in names), rows], names=[*names, "x"])
@@ -323,7 +328,7 @@ def score(docs: DataFrame, learned: Toxicity, text_col: str = "text", out: str =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.score(features(texts, automaton, weight)) for _, texts in slices(batch.column(text_col), FOLDED, fold=True)]
+            got = [model.score(features(texts, automaton, weight)) for _, texts in folded(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate([np.empty(0), *got]))],
                                              names=[*names, out])
 
