@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import text_or_empty
+from textlake.llm.common import save, text_or_empty
 
 #: Patterns of the base kinds, in the order of the kinds (fixed values).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,7 +62,7 @@ def _holds(kind: str, match: Column) -> Column:
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, kind, role, strong, start, end): all matches that hold, base and weak."""
-    clean = F.translate(text_or_empty(text_col), _MARK, "\u0002")  # no pattern knows either sign
+    clean = F.col("clean")
 
     def pieces(order: int, kind: str, pattern: str) -> Column:
         marked = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
@@ -71,9 +71,10 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.when(i % 2 == 1, p).alias("match")))
         return F.when(clean.rlike(pattern), cut).otherwise(F.array().cast("array<struct<kind:int,i:int,n:bigint,match:string>>"))
 
-    rows = docs.select(
+    texts = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(id_col, text_col).alias("th"),
-        F.explode(F.concat(*[pieces(o, k, v[1]) for o, (k, v) in enumerate(KINDS.items())])).alias("p"))
+        F.translate(text_or_empty(text_col), _MARK, "\u0002").alias("clean"))  # no pattern knows either sign
+    rows = texts.select("id", "th", F.explode(F.concat(*[pieces(o, k, v[1]) for o, (k, v) in enumerate(KINDS.items())])).alias("p"))
     # equal rows emit the same pieces; they count once
     rows = (rows.select("id", "th", "p.kind", "p.i", "p.n", "p.match").groupBy("id", "th", "kind", "i")
             .agg(F.first("n").alias("n"), F.first("match").alias("match")))
@@ -118,7 +119,7 @@ def link_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """(id, parts, n_<base kind>), one row for each input row; ``parts``: array of
     (start, order, kind, end, strong) by start, then kind."""
-    found = link_parts(find_parts(docs, id_col, text_col), scope)
+    found = link_parts(save(find_parts(docs, id_col, text_col), "secret-parts"), scope)  # the texts are searched once
     entry = F.struct("start", "order", "kind", "end", "strong")
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k, v in KINDS.items() if v[2]]
     by_row = found.groupBy("id", "th").agg(F.array_sort(F.collect_list(entry)).alias("parts"), *counts)
