@@ -42,6 +42,7 @@ def main() -> None:
 
     event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
     conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else {}
+    conf["textlake.scan.partitions"] = str(cpus)  # the bench tables are one row group each
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app_name="textlake-bench",
                         conf=conf)
     times: dict[str, float] = {}

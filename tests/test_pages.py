@@ -16,10 +16,60 @@ HTML = (
 )
 
 
+NAV = [r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>"]
+
+# Two articles, a main block, upper case, single quotes, a line break inside a tag,
+# a comment with an anchor, a stylesheet link and two kinds of speaker fields.
+HARD = (
+    "<HTML\nlang='en'><HEAD><link rel='stylesheet' href='/style.css'></HEAD><BODY>"
+    "<!-- <div class='field-field-speaker'><a href='/g'>ghost</a></div> -->"
+    "<H1>First</H1><h1 id=x>Second</h1>"
+    "<div id='main'><p\nclass='lead'>Main text.</p></div>"
+    "<article><p>One.</p></article><ARTICLE class='b'><P>Two.</P></ARTICLE>"
+    "<div class='x field-field-speakers y'><a HREF='/en/../up?a=1&amp;b=2'>Ann &amp; Co</a></div>"
+    "<span class='field-field-speaker'><a href=\"/file/x\">Bob</a><A href=/en/./here>Cid</A></span>"
+    "<nav><a href='/up?a=1&b=2'>nav</a><area href='#top'></nav></BODY></HTML>"
+)
+
+
+def test_page_extract_takes_all_scopes_and_fields(spark):
+    df = spark.createDataFrame([(1, "https://a.example.com/en/1", HARD), (2, "u", None), (3, "u", "")],
+                               "page_id long, url string, html string")
+    out = {r.page_id: r for r in pages.page_extract(df).collect()}
+    r = out[1]
+    assert r.title == "First Second" and r.content == "Main text. One. Two."
+    assert r.speakers == ["bob", "cid", "ann & co"]  # by field class, then in page order; no comment
+    assert out[2].title is None and out[3].title == "" and out[3].speakers == []
+
+
+def test_page_links_of_hard_markup(spark):
+    df = spark.createDataFrame([(1, "https://a.example.com/en/1", HARD)], "page_id long, url string, html string")
+    got = sorted((r.href, r.target) for r in pages.page_links(df, ["example.com"]).collect())
+    # no stylesheet, entities decoded, dot segments resolved, /file/ denied
+    assert got == [("#top", "https://a.example.com/en/1"),
+                   ("/en/../up?a=1&b=2", "https://a.example.com/up?a=1&b=2"),
+                   ("/en/./here", "https://a.example.com/en/here"),
+                   ("/up?a=1&b=2", "https://a.example.com/up?a=1&b=2")]
+
+
+def test_page_gate_reads_single_quotes(spark):
+    df = spark.createDataFrame([(1, "https://a.example.com/en/1", HARD)], "page_id long, url string, html string")
+    assert [r.page_key for r in pages.page_gate(df, ["de"], r"(</html>)").collect()] == ["en"]
+
+
+def test_dot_segments(spark):
+    from textlake.functions.urls import remove_dot_segments
+    cases = {"http://h/a/b/../c": "http://h/a/c", "http://h/../up": "http://h/up", "http://h/a/./b/.": "http://h/a/b/",
+             "http://h/a/..": "http://h/", "http://h/a?x=/../y": "http://h/a?x=/../y", "mailto:a@b": "mailto:a@b",
+             "http://h": "http://h", "http://h/a.../b": "http://h/a.../b"}
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r.u: r.v for r in df.select("u", remove_dot_segments(F.col("u")).alias("v")).collect()} == cases
+
+
 def test_page_extract_traps(spark):
     df = spark.createDataFrame([(1, "https://2015.site.example.com/en/1", HTML)],
                                "page_id long, url string, html string")
-    r = pages.page_extract(df).first()
+    r = pages.page_extract(df, blocks=NAV).first()
     assert r.title == "Big & Data"
     # unclosed <p> runs to the next </p>; script/comment text never leaks
     assert r.content == "Lead <b>. Second para. Third &amp; end"
@@ -60,7 +110,7 @@ def test_page_links_resolve_deny_allow(spark):
 
 def test_anchor_list_positions(spark):
     df = spark.createDataFrame([(7, HTML)], "page_id long, html string")
-    got = [(r.pos, r.speaker) for r in pages.page_anchor_list(df).orderBy("pos").collect()]
+    got = [(r.pos, r.speaker) for r in pages.page_anchor_list(df, blocks=NAV).orderBy("pos").collect()]
     assert got == [(0, "the"), (1, "bob"), (2, "file"), (3, "mail")]
     assert pages.page_anchor_list(df).schema["pos"].dataType.simpleString() == "int"
     assert F is not None
@@ -78,9 +128,9 @@ def test_page_extract_by_layout(spark):
     from textlake.functions.urls import url_lang
     layouts = spark.createDataFrame(
         [("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
-          r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a [^>]*>([^<]*)</a>"),
+          r"(?s)<p(?: [^>]*)?>(.*?)</p>", NAV[0], r"<a [^>]*>([^<]*)</a>"),
          ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<footer[^>]*>(.*?)</footer>",
-          r"(?s)<p(?: [^>]*)?>(.*?)</p>", r"<a href=\"/[^\"]*\">([^<]*)</a>")],
+          r"(?s)<p(?: [^>]*)?>(.*?)</p>", NAV[0], r"<a href=\"/[^\"]*\">([^<]*)</a>")],
         pages.LAYOUT_SCHEMA)
     df = spark.createDataFrame([(1, "https://h.example.com/en/1", HTML),
                                 (2, "https://h.example.com/de/2", HTML),

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from textlake.functions.hashing import hashing_tf_bucket
 from textlake.operators import tfidf
 from textlake.plans.queries import _docs
 
@@ -54,7 +55,8 @@ def test_hashed_long_form_equals_ml_vectors(spark):
     docs = _docs(spark, SF_SMALL).select("doc_id", "body")
     vec = tfidf.hashed_tfidf_vectors(docs).select("doc_id", "words", "rawFeatures", "features")
     terms = vec.select(F.explode("words").alias("term")).distinct()
-    bucket = {r.term: r.bucket for r in tfidf.with_hashing_tf_bucket(terms).collect()}
+    bucket = {r.term: r.bucket for r in terms.select(
+        "term", hashing_tf_bucket("term", tfidf.NUM_FEATURES).alias("bucket")).collect()}
     h = tfidf.HashingTF(numFeatures=tfidf.NUM_FEATURES)
     for t in sorted(bucket)[:40]:  # the JVM-side bucket is HashingTF's own index
         assert bucket[t] == h.indexOf(t)
@@ -75,7 +77,8 @@ def test_hashed_agrees_with_exact_outside_shared_buckets(spark):
           for r in tfidf.tfidf_hashed_scores(docs, ["doc_id"]).collect()}
     assert ex.keys() == ha.keys()
     terms = spark.createDataFrame([(t,) for t in sorted({t for _, t in ex})], "term string")
-    bucket = {r.term: r.bucket for r in tfidf.with_hashing_tf_bucket(terms).collect()}
+    bucket = {r.term: r.bucket for r in terms.select(
+        "term", hashing_tf_bucket("term", tfidf.NUM_FEATURES).alias("bucket")).collect()}
     per_bucket = {}
     for t, b in bucket.items():
         per_bucket[b] = per_bucket.get(b, 0) + 1
@@ -85,7 +88,7 @@ def test_hashed_agrees_with_exact_outside_shared_buckets(spark):
         assert ex[k][0] == ha[k][0] and abs(ex[k][1] - ha[k][1]) < 1e-9
 
 
-def test_md5_bucket_audit_inline(spark):
+def test_bucket_audit_inline(spark):
     tf = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 3)], "d int, term string, tf long")
     rows = tfidf.hash_bucket_audit(tf, num_features=1).collect()
     assert [(r.bucket, r.n_terms, r.first_term, r.last_term) for r in rows] == [(0, 3, "a", "c")]
@@ -101,27 +104,48 @@ def test_vector_scores_equal_long_form(spark):
     assert a == b and a
 
 
-def test_persisted_vectors_equal_unpersisted(spark):
+def test_vector_scores_take_the_size_from_the_vectors(spark):
     docs = _docs(spark, SF_SMALL).select("doc_id", "body")
-    cached = tfidf.hashed_tfidf_vectors(docs, persist=True)
-    a = {r.doc_id: r.features for r in cached.select("doc_id", "features").collect()}
+    vec = tfidf.hashed_tfidf_vectors(docs, num_features=1024)
+    a = {(r.doc_id, r.term): (round(r.score, 9), r.tf)
+         for r in tfidf.vector_scores(vec, ["doc_id"]).collect()}
+    b = {(r.doc_id, r.term): (round(r.score, 9), r.tf)
+         for r in tfidf.tfidf_hashed_scores(docs, ["doc_id"], num_features=1024).collect()}
+    assert a == b and a
+
+
+def test_persisted_features_equal_unpersisted(spark):
+    docs = _docs(spark, SF_SMALL).select("doc_id", "body")
+    cached = tfidf.hashed_features(docs).persist()
+    a = {r.doc_id: r.features for r in tfidf.idf_vectors(cached).select("doc_id", "features").collect()}
     b = {r.doc_id: r.features for r in
          tfidf.hashed_tfidf_vectors(docs).select("doc_id", "features").collect()}
     assert a == b and a
-    spark.catalog.clearCache()
+    cached.unpersist()
+
+
+def test_salts_make_no_difference(spark):
+    docs = _docs(spark, SF_SMALL)
+    plain = sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"], salts=1).collect())
+    for k in (2, 50):
+        assert sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"], salts=k).collect()) == plain
+
+
+def test_murmur_buckets_are_hashing_tfs(spark):
+    terms = ["", "a", "ab", "abc", "abcd", "abcde", "straße", "日本語", "x" * 37, "lucene", "\U0001F600"]
+    h = tfidf.HashingTF(numFeatures=1000)  # not a power of two: the sign of the hash matters
+    got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in terms], "t string")
+           .select("t", hashing_tf_bucket("t", 1000).alias("b")).collect()}
+    assert got == {t: h.indexOf(t) for t in terms}
+
+
+def test_hash_bucket_terms_inline(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "c")], "d int, body string")
+    got = {r.term: (r.n_terms, round(r.weight, 9)) for r in tfidf.hash_bucket_terms(docs, num_features=1).collect()}
+    assert got == {t: (3, round(math.log(4 / 4), 9)) for t in "abc"}
 
 
-def test_hot_split_equals_plain_join(spark):
+def test_tfidf_of_document_equals_the_whole(spark):
     docs = _docs(spark, SF_SMALL)
-    plain = sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"]).collect())
-    for k in (2, 50, 1000):
-        split = tfidf.tfidf_exact(docs, ["doc_id"], hot_split=k)
-        assert sorted(tuple(r) for r in split.collect()) == plain
-
-
-def test_hot_split_broadcasts_only_the_bounded_side(spark):
-    docs = spark.createDataFrame([(i, "x y" if i % 2 else "x z") for i in range(20)],
-                                 "d int, body string")
-    out = tfidf.tfidf_exact(docs, ["d"], hot_split=4)
-    got = {(r.d, r.term): r.tf for r in out.collect()}
-    assert len(got) == 40 and got[(0, "x")] == 1.0
+    whole = sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"]).where("doc_id = 7").collect())
+    assert sorted(tuple(r) for r in tfidf.tfidf_of_document(docs, "doc_id", 7).collect()) == whole and whole

@@ -76,7 +76,10 @@ def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body", salts:
     dfreq = document_frequency(tf).select("term", "df", each_salt)
     m = n_documents(docs, key)
     score = (F.col("tf") * idf(F.col("df"), m)).alias("score")
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
+    # never NULL: a salt that might be would add a test to one side only, and
+    # the two sides would no longer share their shuffle
+    salt = F.coalesce(F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"), F.lit(0))
+    salted = tf.withColumn("_salt", salt)
     return salted.join(dfreq, on=["term", "_salt"]).select(
         *key, "term", score, F.col("tf").cast("double").alias("tf"))
 
