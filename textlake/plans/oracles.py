@@ -113,6 +113,11 @@ def anchors_sql(e: str) -> str:
     return f"list_transform({raw}, lambda x: {strip_blank('lower(' + decode('x') + ')')})"
 
 
+def hrefs_sql(e: str) -> str:
+    return (f"list_distinct([trim({decode('h')}) FOR h IN [regexp_replace(x, {q(H.QUOTES_PATTERN)}, '', 'g') "
+            f"FOR x IN regexp_extract_all({noise(e)}, {q(H.HREF_PATTERN)}, 1)]])")
+
+
 def _times(a: str, c: int) -> str:
     return f"((({a})::HUGEINT * {c}) % 4294967296)::BIGINT"
 
@@ -388,9 +393,7 @@ ORACLES: dict[str, str] = {
         f"SELECT w.year AS year, word, count, {rnd('count / total * 100')} AS relative_count "
         f"FROM wc w LEFT JOIN t ON w.year = t.year WHERE word IN {TERMS}"),
     "page_links": (
-        f"WITH l AS (SELECT page_id, url, unnest(list_distinct([trim({decode('h')}) FOR h IN "
-        f"[regexp_replace(x, {q(H.QUOTES_PATTERN)}, '', 'g') FOR x IN regexp_extract_all({noise('html')}, "
-        f"{q(H.HREF_PATTERN)}, 1)]])) AS href FROM pages), "
+        f"WITH l AS (SELECT page_id, url, unnest({hrefs_sql('html')}) AS href FROM pages), "
         f"t AS (SELECT page_id, href, {TARGET} AS target FROM l), "
         f"o AS (SELECT *, {ORIGIN} AS origin, substr(target, length({ORIGIN}) + 1) AS rest FROM t), "
         "p AS (SELECT *, regexp_extract(rest, '^([^?#]*)', 1) AS path FROM o), "
