@@ -1,30 +1,34 @@
-"""Line dedup (native): fuzzy lines by SimHash, pigeonhole blocks and edit similarity.
+"""Line dedup (native): fuzzy lines by an exact join of rare word pairs and edit similarity.
 
 1. *Lines.*  Texts are cut at line feeds; a line is normalised to lower case
    with blanks for everything but letters (a to z and signs beyond ASCII), so
    digits and marks make no difference.  Equal lines are grouped by a
    128-bit hash.  Lines of fewer than ``min_words`` words stay as they are.
-2. *SimHash.*  63 bits over the line's words.  Three 21-bit counters share
-   one long, so the votes of a word are 21 additions inside a partial
-   aggregate that ends where the line's words lie.
-3. *Blocks.*  The bits form ``blocks`` blocks.  Where at most ``distance``
-   bits differ, ``blocks - distance`` blocks are equal: each choice of so
-   many blocks is a bucket key.  A bucket is one aggregated row (count,
-   least, greatest and the exclusive or of its hashes, which name all members
-   of buckets of up to three).  Fuller buckets pair each member with the
-   least; where their members end up in different components, those are
-   paired too.  No bucket is gathered and no pairs are made inside a group.
-4. *Edit similarity.*  Pairs at that distance are read again and compared:
+2. *Keys.*  An edit of a word changes at most two of a line's pairs of
+   neighbouring words.  Lines of up to L words with at most e * L edits
+   (e = 1 - ``least``) thus share (1 - 2e) * L - 1 pairs, and in any fixed order
+   of all pairs the first 2e * n + 1 of a line of n words hold one of them.  These
+   are its keys, so no line of the promised similarity is missed.  The order puts
+   rare words first; a table of fixed size, counted on an eighth of the texts,
+   says how common a word is, and only the cost depends on it.
+3. *Buckets.*  Of each key with several lines, each line is paired with the
+   least; where the members end up in different components, those are paired
+   too.  No bucket is gathered and no pairs are made inside a group.
+4. *Edit similarity.*  256 bits, each the parity of some words, differ in at
+   most two for an edit; pairs that differ in more, or in length, are dropped.
+   The rest are read again and compared:
    1 - edits / length of the longer line, in words, at least ``least``.
 5. *Components.*  Of a connected group the first occurrence stays, by id and
    line number; the others are marked.
 
+``block_masks`` and ``near_hashes`` find hashes a few bits apart; the lines do
+without them since SimHashes of similar lines differ in up to 13 bits.
+
 Defined results.  A null text counts as empty, one line without words.  Rows
 with equal id and text are the same document: their lines stay or go alike.
 A null id comes before all others.  Lines without enough words stay and are
-classes of their own.  Lines of over two million words may get a SimHash of
-less worth; they are still compared exactly with equal lines.  An empty table
-gives an empty result; extra columns are ignored.
+classes of their own.  An empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
 
-BITS, LANES, FIELD = 63, 21, 21
-MASK = 1 | 1 << 21 | 1 << 42
+BITS = 63
+#: Longs of parity bits a line; cells that count words.
+PARITY, CELLS = 4, 1 << 15
 
 
 def normalised(line: str | Column) -> Column:
@@ -51,19 +56,53 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, h1, h2, n, sim): every line with its hash, words and SimHash."""
+    """(id, th, line, h1, h2, n, p0..): every line with its hash, words and parity bits."""
     lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"))
     lines = lines.select("id", "th", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
     words = lines.select("id", "th", "line", "h1", "h2", F.explode(F.split("norm", " ")).alias("word"))
     words = words.select("id", "th", "line", "h1", "h2", F.xxhash64("word").alias("w"), (F.col("word") != "").cast("long").alias("one"))
-    votes = [F.sum(F.shiftrightunsigned("w", j).bitwiseAND(F.lit(MASK))).alias(f"v{j}") for j in range(LANES)]
-    counted = words.groupBy("id", "th", "line", "h1", "h2").agg(F.sum("one").alias("n"), *votes)
-    sim = F.lit(0).cast("long")
-    for b in range(BITS):
-        lane, field = b % LANES, b // LANES
-        count = F.shiftright(f"v{lane}", field * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
-        sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select("id", "th", "line", "h1", "h2", "n", sim.alias("sim"))
+    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
+    lane = F.shiftright("w", 6).bitwiseAND(F.lit(PARITY - 1))
+    parity = [F.bit_xor(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)]
+    return words.groupBy("id", "th", "line", "h1", "h2").agg(F.sum("one").alias("n"), *parity)
+
+
+def word_classes(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """An array of ``CELLS`` numbers: how common the words of a cell are (log2), in an
+    eighth of the texts.  At most ``CELLS`` numbers reach the driver."""
+    some = docs.where(F.xxhash64(id_col, text_col).bitwiseAND(F.lit(7)) == 0)
+    words = lines_of(some, id_col, text_col).select(F.explode(F.split(normalised("raw"), " ")).alias("word"))
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("cell")).count().collect()
+    of = dict.fromkeys(range(CELLS), 0) | {r["cell"]: r["count"].bit_length() for r in counts}
+    return F.split(F.lit(",".join(str(of[c]) for c in range(CELLS))), ",").cast("array<bigint>")
+
+
+def pair_keys(norm: str, classes: Column, least: float) -> Column:
+    """The keys of a line: its first pairs of neighbouring words, those of rare words first."""
+    def word(w: Column) -> Column:
+        h = F.xxhash64(w)
+        common = F.element_at(classes, (F.pmod(h, F.lit(CELLS)) + 1).cast("int"))
+        return F.shiftleft(common, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.shiftleft(F.shiftright(a, 56) + F.shiftright(b, 56), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 8))
+
+    words = F.transform(F.split(norm, " "), word)
+    n = F.size(F.split(norm, " "))
+    pairs = F.slice(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: F.when(b.isNotNull(), both(a, b))), F.lit(1), n - 1)
+    first = F.floor(n * F.lit(2 * (1 - least)) + F.lit(1 + 1e-9)).cast("int")
+    return F.array_distinct(F.slice(F.sort_array(pairs), F.lit(1), first))
+
+
+def bit_gap(a: str, b: str) -> Column:
+    """Parity bits in which two lines differ; ``a`` and ``b`` end the columns' names."""
+    return sum((F.bit_count(F.col(f"p{j}{a}").bitwiseXOR(F.col(f"p{j}{b}"))) for j in range(PARITY)), F.lit(0))
+
+
+def may_be_near(least: float, a: str = "_u", b: str = "_v") -> Column:
+    """False where lengths or parity bits rule the similarity out."""
+    most = F.floor(F.greatest(f"n{a}", f"n{b}") * F.lit(1 - least) + F.lit(1e-9))
+    return (F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= most) & (bit_gap(a, b) <= 2 * most)
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -114,59 +153,57 @@ def verified(docs: DataFrame, occurrences: DataFrame, pairs: DataFrame, least: f
         codes.select(F.col("node").alias("v"), F.col("code").alias("b")), on="v")
     most = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(1 - least) + F.lit(1e-9)).cast("int")
     both = both.withColumn("most", most).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
-    return save(both.where(F.expr("levenshtein(a, b) <= most")).select("u", "v"), "line-links")
+    return save(both.where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v"), "line-links")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, distance: int = 3,
-                blocks: int = 5, least: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, least: float = 0.8) -> DataFrame:
     """(id, th, line, class_id, class_line, class_size, kept): one row for each line
     of each different row; (class_id, class_line) is the occurrence that stays.
 
     ``id`` is the document's id (the least bigint for null) and ``th`` the hash
-    of id and text by which rows are known.  More ``blocks`` make longer keys
-    for more lines: blocks - distance of them, of 63 / blocks bits each.
+    of id and text by which rows are known.
     """
-    if not 0 < distance < blocks:
-        raise ValueError("distance must be less than blocks")
+    if not 2 / 3 < least <= 1:
+        raise ValueError("least must be over 2/3")
     lines = save(line_hashes(docs, id_col, text_col), "lines")
     fit = lines.where(F.col("n") >= min_words)
-    different = save(fit.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")), "different-lines")
-    near, full = near_hashes(different.select("sim").distinct(), block_masks(blocks, distance), distance)
-    near = save(near, "near-sims")
-    shared = save(different.groupBy("sim").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sim"), "shared-sims")
-    # from here on only lines count whose SimHash has a neighbour or is shared
-    sims = save(near.select(F.explode(F.array("u", "v")).alias("sim")).unionByName(shared).unionByName(full.select("sim")).distinct(), "active-sims")
-    active = save(sieve(different, "sim", sims, "sim").join(sims, on="sim", how="left_semi").select("h1", "sim").distinct(), "active-lines")
-    rep = active.groupBy("sim").agg(F.min("h1").alias("rep"))
-    pairs = near.join(rep.select(F.col("sim").alias("u"), F.col("rep").alias("a")), on="u").join(
-        rep.select(F.col("sim").alias("v"), F.col("rep").alias("b")), on="v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    alike = active.join(rep, on="sim").where("h1 != rep").select(F.col("h1").alias("u"), F.col("rep").alias("v"))
-    links = verified(docs, lines, pairs.unionByName(alike).distinct(), least, id_col, text_col)
+    bits = [f"p{j}" for j in range(PARITY)]
+    different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in bits],
+                                                 F.min(F.struct("id", "line", "th")).alias("at")), "different-lines")
+    # a line that a single edit can leave similar to another
+    longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
+    fuzzy = lambda n: (n >= max(2, min_words)) & (longest(n) * F.lit(1 - least) + F.lit(1e-9) >= 1)
+    info = different.where(fuzzy(F.col("n"))).select(F.col("h1").alias("node"), "n", *bits).dropDuplicates(["node"])
+    texts = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"))
+    texts = texts.where(fuzzy(F.size(F.split("norm", " ")))).withColumn("node", F.xxhash64("norm"))
+    # each different line once: what surely stands once goes straight through, of the rest the first occurrences are joined
+    places = different.where(fuzzy(F.col("n"))).select(F.col("h1").alias("node"), "k", "at.id", "at.line", "at.th")
+    repeated = save(places.where("k > 1").select("node"), "repeated-lines")
+    texts = maybe_among(texts, "node", repeated, "node", "again")
+    places = sieve(places.drop("k"), "node", repeated, "node")
+    texts = texts.where("not again").select("node", "norm").unionByName(
+        texts.where("again").join(places, on=["node", "id", "line", "th"]).select("node", "norm"))
+    dealt = texts.select("node", F.explode(pair_keys("norm", word_classes(docs, id_col, text_col), least)).alias("key")).repartition("key")
+    buckets = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "lo")
+    inside = save(dealt.join(buckets, on="key"), "buckets")
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", *bits)])
+    stars = inside.where("node != lo").select(F.col("lo").alias("node_u"), F.col("node").alias("node_v")).distinct()
+    stars = stars.join(side(info, "v"), on="node_v").join(side(info, "u"), on="node_u").where(may_be_near(least))
+    links = verified(docs, lines, stars.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")), least, id_col, text_col)
     groups = connected_components(links)
-    # what may still be linked: lines of near SimHashes, or of one full bucket, in different components
-    labelled = save(active.join(groups.withColumnRenamed("node", "h1"), on="h1", how="left").withColumn(
-        "component", F.coalesce("component", "h1")), "line-labels")
-    by_labels = labelled.groupBy("sim").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    inside = full.join(by_labels, on="sim")
-    ends = inside.groupBy("key").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a != b")
-    torn = save(inside.join(save(ends.select("key"), "torn-buckets"), on="key", how="left_semi"), "torn-members")
-    u, v = (torn.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sim", "lo", "hi")]) for side in "uv")
-    apart = (F.col("lo_u") != F.col("hi_u")) | (F.col("lo_v") != F.col("hi_v")) | (F.col("lo_u") != F.col("lo_v"))
-    close = F.bit_count(F.col("sim_u").bitwiseXOR(F.col("sim_v"))) <= distance
-    across = u.join(v, (u["key"] == v["key"]) & (F.col("sim_u") < F.col("sim_v")) & apart & close).select(
-        F.col("sim_u").alias("u"), F.col("sim_v").alias("v"))
-    equal = shared.select(F.col("sim").alias("u"), F.col("sim").alias("v"))
-    left = labelled.select(F.col("sim").alias("u"), F.col("h1").alias("a"), "component")
-    right = labelled.select(F.col("sim").alias("v"), F.col("h1").alias("b"), F.col("component").alias("far"))
-    across = (near.unionByName(equal).unionByName(across).distinct().join(left, on="u").join(right, on="v")
-              .where(F.col("component") != F.col("far"))
-              .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    more = verified(docs, lines, across, least, id_col, text_col)
+    # what may still be linked: lines of one bucket in different components
+    labelled = info.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
+    inside = save(inside.select("key", "node").join(labelled, on="node"), "bucket-labels")
+    torn = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).where("a != b and m > 2")
+    torn = inside.join(torn.select("key"), on="key", how="left_semi")
+    u, v = (torn.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", *bits)]) for s in "uv")
+    across = u.join(v, (u["key"] == v["key"]) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & may_be_near(least))
+    more = verified(docs, lines, across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), least, id_col, text_col)
     groups = save(connected_components(links.unionByName(more)).select(F.col("node").alias("h1"), "component"), "line-groups")
 
     # classes of several occurrences: components of linked lines, and lines that occur twice
     linked = sieve(different, "h1", groups, "h1").join(groups, on="h1").select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
-    twice = different.where("n > 1").join(groups, on="h1", how="left_anti").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    twice = different.where("k > 1").join(groups, on="h1", how="left_anti").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
     classes = save(linked.unionByName(twice), "line-classes")
     occurrence = F.struct("id", "line", "th")
     maybe = maybe_among(lines, "h1", classes, "h1", "maybe")
