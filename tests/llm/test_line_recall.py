@@ -1,8 +1,10 @@
 """Line dedup finds every pair of lines at the similarity, whatever their length."""
 
 import random
+import re
 from collections import defaultdict
 
+import corpus_pipeline
 from tests.llm.test_near_and_lines import edits, frame, roots
 
 from textlake.llm.line_dedup import dedup_lines
@@ -45,3 +47,21 @@ def test_a_bucket_of_many_groups(spark):
     for x in dedup_lines(frame(spark, list(enumerate(lines)))).collect():
         got[x.class_id].add(x.id)
     assert sorted(map(sorted, got.values())) == [[5 * g + i for i in range(5)] for g in range(12)]
+
+
+def test_pipeline_drops_equal_lines_of_any_length(spark):
+    """One word, digits, marks and a script without blanks; blank lines stay."""
+    texts = ["Ietzte.\n\n12 34\n***\n\u4eca\u65e5\u306f", "ietzte\n \n12 35\n***\n\u4eca\u65e5\u306f", "12 34\n\n \nab cd\nAB, cd!\n\t"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: " \n12 35", 2: "\n \nab cd\n\t"}
+
+
+def test_query_leaves_no_equal_lines(spark):
+    from tests.conftest import SF_SMALL
+    from textlake.llm.queries import op7_line_dedup
+    text = {r.doc_id: r.text.split("\n") for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    kept = [text[r.doc_id][r.line] for r in op7_line_dedup(spark, SF_SMALL).where("kept").collect()]
+    kept = [x for x in kept if re.search("[^\\x00-\\x20\\x7f]", x)]
+    assert len(kept) == len(set(kept))

@@ -3,7 +3,9 @@
 1. *Lines.*  Texts are cut at line feeds; a line is normalised to lower case
    with blanks for everything but letters (a to z and signs beyond ASCII), so
    digits and marks make no difference.  Equal lines are grouped by a
-   128-bit hash.  Lines of fewer than ``min_words`` words stay as they are.
+   128-bit hash; a line without words, of digits or marks, by the hash of the raw
+   line.  Lines of fewer than ``min_words`` words stay as they are.  With 0, as the
+   query and the pipeline have it, all lines but blank ones are grouped.
 2. *Keys.*  An edit of a word changes at most two of a line's pairs of
    neighbouring words.  Lines of up to L words with at most e * L edits
    (e = 1 - ``least``) thus share (1 - 2e) * L - 1 pairs, and in any fixed order
@@ -24,7 +26,9 @@
 ``block_masks`` and ``near_hashes`` find hashes a few bits apart; the lines do
 without them since SimHashes of similar lines differ in up to 13 bits.
 
-Defined results.  A null text counts as empty, one line without words.  Rows
+Defined results.  A null text counts as empty, one blank line; blank lines always stay.
+Words are parted by blanks, so a line in a script without them is one word and
+only found when equal.  Rows
 with equal id and text are the same document: their lines stay or go alike.
 A null id comes before all others.  Lines without enough words stay and are
 classes of their own.  An empty table gives an empty result; extra columns are
@@ -56,11 +60,16 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, h1, h2, n, p0..): every line with its hash, words and parity bits."""
-    lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"))
-    lines = lines.select("id", "th", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
-    words = lines.select("id", "th", "line", "h1", "h2", F.explode(F.split("norm", " ")).alias("word"))
-    words = words.select("id", "th", "line", "h1", "h2", F.xxhash64("word").alias("w"), (F.col("word") != "").cast("long").alias("one"))
+    """(id, th, line, h1, h2, n, p0..): every line with its hash, words (-1 for a blank
+    line) and parity bits."""
+    lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"), "raw")
+    # letters and other signs never meet: a normalised line has the ones, a raw line without words the others
+    known = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.col("raw"))
+    none = F.when(F.col("raw").rlike("[^\\x00-\\x20\\x7f]"), 0).otherwise(-1).cast("long")
+    lines = lines.select("id", "th", "line", F.xxhash64(known).alias("h1"), F.xxhash64(F.lit(1), known).alias("h2"), "norm", none.alias("none"))
+    words = lines.select("id", "th", "line", "h1", "h2", F.explode(F.split("norm", " ")).alias("word"), "none")
+    words = words.select("id", "th", "line", "h1", "h2", F.xxhash64("word").alias("w"),
+                         F.when(F.col("word") != "", F.lit(1).cast("long")).otherwise(F.col("none")).alias("one"))
     bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
     lane = F.shiftright("w", 6).bitwiseAND(F.lit(PARITY - 1))
     parity = [F.bit_xor(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)]
@@ -165,6 +174,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be over 2/3")
+    if min_words < 0:
+        raise ValueError("min_words must not be negative")
     lines = save(line_hashes(docs, id_col, text_col), "lines")
     fit = lines.where(F.col("n") >= min_words)
     bits = [f"p{j}" for j in range(PARITY)]

@@ -172,5 +172,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of all documents with its class; one occurrence of each class stays."""
-    marked = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    marked = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"), min_words=0)
     return marked.select(F.col("id").alias("doc_id"), "line", "class_id", "class_line", "class_size", "kept")
