@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import quality, secrets, toxicity
+from textlake.llm import language, quality, secrets, toxicity
+from textlake.llm.centroids import centroid_clusters
 from textlake.llm.common import read
 from textlake.llm.decontaminate import decontaminate
 from textlake.llm.exact_dedup import exact_dedup
+from textlake.llm.fill_middle import fill_in_middle, restore
 from textlake.llm.line_dedup import dedup_lines
 from textlake.llm.mix_sources import mix_sources
 from textlake.llm.near_dedup import near_duplicates
@@ -174,3 +176,69 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of all documents with its class; one occurrence of each class stays."""
     marked = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"), min_words=0)
     return marked.select(F.col("id").alias("doc_id"), "line", "class_id", "class_line", "class_size", "kept")
+
+
+ROUNDS = 5
+
+
+def _clusters_sql() -> str:
+    """The rounds one after another; a vector's whole components travel as a list."""
+    nearest = ("SELECT r, c, d FROM (SELECT r, c, list_sum([(v.q[i] - m.q[i]) ** 2 FOR i IN range(1, 65)])::BIGINT AS d, "
+               "row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM kept v, m{t} m) WHERE n = 1")
+    steps = ["""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, sha256('2:' || vec_id::VARCHAR) AS h,
+         [floor(least(greatest(256 * x::DOUBLE, -134217728), 134217728))::BIGINT FOR x IN embedding] AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+             "m0 AS MATERIALIZED (SELECT c - 1 AS c, q FROM (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) AS c, q FROM kept) WHERE c <= 40)"]
+    for t in range(ROUNDS):
+        steps += [f"a{t} AS MATERIALIZED ({nearest.format(t=t)})",
+                  f"""s{t} AS (SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{t} JOIN kept USING (r), range(1, 65) u(i) GROUP BY c, i)""",
+                  f"""n{t} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{t} GROUP BY c)""",
+                  f"m{t + 1} AS MATERIALIZED (SELECT c, coalesce(n.q, m.q) AS q FROM m{t} m LEFT JOIN n{t} n USING (c))"]
+    steps.append(f"a AS MATERIALIZED ({nearest.format(t=ROUNDS)})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, count(*) OVER (PARTITION BY c) AS cluster_size,
+       (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a JOIN kept USING (r) JOIN m{ROUNDS} m USING (c)"""
+
+
+@query(oracle=_clusters_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters after five rounds of whole-number centroids."""
+    return centroid_clusters(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), rounds=ROUNDS)[0]
+
+
+@query()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from four folds in five."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    learned = language.learn(docs.where(fold(5) != 0))
+    return language.identify(docs, learned).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "sure")
+
+
+@query(oracle="""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+number AS (
+  SELECT doc_id, text, w, len(w) AS n, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM doc),
+cut AS (
+  SELECT doc_id, text, n, array_to_string(w[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS pre,
+         array_to_string(w[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS mid,
+         array_to_string(w[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') AS suf,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM number)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM cut
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and put in another order, and rebuilt from that."""
+    formed = restore(fill_in_middle(read(spark, sf_dir, "documents", "doc_id", "text")))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                         F.sha2("restored", 256).alias("restored_sha256"))
