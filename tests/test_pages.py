@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textlake.functions.html import page_lang
 from textlake.functions.urls import url_group_key, url_group_key_default
 from textlake.operators import pages
 
@@ -16,7 +17,12 @@ HTML = (
 )
 
 
-NAV = [r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>"]
+NAV = ["nav a::text"]
+WHOLE = ["#main p ::text", "article p ::text"]
+
+def slot():
+    return F.regexp_extract_all("html", F.lit("(</html>)"), 1)
+
 
 # Two articles, a main block, upper case, single quotes, a line break inside a tag,
 # a comment with an anchor, a stylesheet link and two kinds of speaker fields.
@@ -35,7 +41,7 @@ HARD = (
 def test_page_extract_takes_all_scopes_and_fields(spark):
     df = spark.createDataFrame([(1, "https://a.example.com/en/1", HARD), (2, "u", None), (3, "u", "")],
                                "page_id long, url string, html string")
-    out = {r.page_id: r for r in pages.page_extract(df).collect()}
+    out = {r.page_id: r for r in pages.page_extract(df, title=["h1::text"]).collect()}
     r = out[1]
     assert r.title == "First Second" and r.content == "Main text. One. Two."
     assert r.speakers == ["bob", "cid", "ann & co"]  # by field class, then in page order; no comment
@@ -54,7 +60,8 @@ def test_page_links_of_hard_markup(spark):
 
 def test_page_gate_reads_single_quotes(spark):
     df = spark.createDataFrame([(1, "https://a.example.com/en/1", HARD)], "page_id long, url string, html string")
-    assert [r.page_key for r in pages.page_gate(df, ["de"], r"(</html>)").collect()] == ["en"]
+    gate = pages.page_gate(df, ["de"], slot(), key=page_lang("html"))
+    assert [r.page_key for r in gate.collect()] == ["en"]
 
 
 def test_dot_segments(spark):
@@ -69,9 +76,9 @@ def test_dot_segments(spark):
 def test_page_extract_traps(spark):
     df = spark.createDataFrame([(1, "https://2015.site.example.com/en/1", HTML)],
                                "page_id long, url string, html string")
-    r = pages.page_extract(df, blocks=NAV).first()
+    r = pages.page_extract(df, speakers=NAV, content=WHOLE).first()
     assert r.title == "Big & Data"
-    # unclosed <p> runs to the next </p>; script/comment text never leaks
+    # an unclosed <p> ends where the next begins; script/comment text never leaks
     assert r.content == "Lead <b>. Second para. Third &amp; end"
     assert r.speakers == ["the", "bob", "file", "mail"]
     assert r.link == "https://2015.site.example.com/en/1"
@@ -94,7 +101,7 @@ def test_page_gate_mismatch_and_special(spark):
         (5, "https://h.example.com/en/5", '<html><p>x</p></html>'),             # no page key
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    kept = [r.page_id for r in pages.page_gate(df, ["de", "es"], r"(</html>)").orderBy("page_id")
+    kept = [r.page_id for r in pages.page_gate(df, ["de", "es"], slot(), key=page_lang("html")).orderBy("page_id")
             .collect()]
     assert kept == [1, 3]
 
@@ -110,7 +117,7 @@ def test_page_links_resolve_deny_allow(spark):
 
 def test_anchor_list_positions(spark):
     df = spark.createDataFrame([(7, HTML)], "page_id long, html string")
-    got = [(r.pos, r.speaker) for r in pages.page_anchor_list(df, blocks=NAV).orderBy("pos").collect()]
+    got = [(r.pos, r.speaker) for r in pages.page_anchor_list(df, speakers=NAV).orderBy("pos").collect()]
     assert got == [(0, "the"), (1, "bob"), (2, "file"), (3, "mail")]
     assert pages.page_anchor_list(df).schema["pos"].dataType.simpleString() == "int"
     assert F is not None
@@ -126,12 +133,9 @@ def test_direct_paragraph_text(spark):
 
 def test_page_extract_by_layout(spark):
     from textlake.functions.urls import url_lang
-    layouts = spark.createDataFrame(
-        [("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
-          r"(?s)<p(?: [^>]*)?>(.*?)</p>", NAV[0], r"<a [^>]*>([^<]*)</a>"),
-         ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<footer[^>]*>(.*?)</footer>",
-          r"(?s)<p(?: [^>]*)?>(.*?)</p>", NAV[0], r"<a href=\"/[^\"]*\">([^<]*)</a>")],
-        pages.LAYOUT_SCHEMA)
+    layouts = pages.layout_rules(spark, [
+        ("en", ["h1.title::text"], ["article p ::text"], NAV),
+        ("de", ["head > title::text"], ["footer p::text"], ["nav a::text", "article b::text"])])
     df = spark.createDataFrame([(1, "https://h.example.com/en/1", HTML),
                                 (2, "https://h.example.com/de/2", HTML),
                                 (3, "https://h.example.com/es/3", HTML)],
@@ -139,5 +143,5 @@ def test_page_extract_by_layout(spark):
     out = {r.page_id: (r.title, r.content, r.speakers) for r in
            pages.page_extract_by_layout(df, layouts, url_lang(F.col("url"))).collect()}
     assert out[1][0] == "Big & Data" and out[1][1].startswith("Lead")
-    assert out[2] == ("T", "foot", ["the", "file"])
+    assert out[2] == ("T", "foot", ["the", "bob", "file", "mail", "lead <b>."])
     assert out[3] == (None, None, None)

@@ -2,8 +2,7 @@
 
 Checked on every registered query (explain only, nothing is run):
   * no Cartesian product or nested-loop join (no all-pairs work);
-  * no row-at-a-time Python UDF; Python runs only where a query says so
-    (``page_direct_text``, Arrow-batched mapInPandas);
+  * no Python workers;
   * no aggregate that gathers a whole group into one value (collect_list /
     collect_set); string min/max may plan as a partial + final SortAggregate,
     which is map-side and spills, so it is allowed;
@@ -17,8 +16,6 @@ import pytest
 from conftest import SF_SMALL
 from textlake.plans.queries import QUERIES
 
-PYTHON_OK = {"page_direct_text"}
-
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -36,8 +33,7 @@ def test_no_all_pairs_no_row_udf(plans, name):
     assert "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert not re.search(r"collect_(list|set)", p)
-    if name not in PYTHON_OK:
-        assert "MapInPandas" not in p and "PythonUDF" not in p
+    assert "MapInPandas" not in p and "PythonUDF" not in p
 
 
 def test_documents_scan_is_pruned(plans):

@@ -43,28 +43,19 @@ NON_SESSION_TITLES = [
     "% barcamp",
 ]
 
-# FIXED VALUES: classes of the page fields that hold the list field, in the
-# order in which their values are joined.
-LIST_FIELD_CLASSES = [
-    "field-field-speaker",
-    "field-field-indiv-speakers",
-    "field-field-speakers",
-    "field-name-field-session-speaker",
+# FIXED VALUES: selectors of the page fields, in the order in which their
+# texts are joined: title, content, list field, and the two fields of the gate.
+TITLE_SELECTORS = ["h1.title::text", "h1#page-title::text"]
+CONTENT_SELECTORS = ["#main p::text", "article p::text"]
+LIST_SELECTORS = [
+    ".field-field-speaker a::text",
+    ".field-field-indiv-speakers a::text",
+    ".field-field-speakers a::text",
+    ".field-name-field-session-speaker a::text",
 ]
+GATE_KEY_SELECTOR = ".date-display-single::text"
+GATE_SLOT_SELECTOR = ".field-field-session-slot::text"
 
 # The stopword file of the original is not shipped.  This short list is the
 # default; every operator takes the list as a parameter.
 DEFAULT_STOPWORDS = ["the", "a", "of", "is", "and", "to", "this", "on", "it", "at"]
-
-# HTML entities decoded in extracted page text; "&amp;" goes last so that
-# "&amp;lt;" decodes to "&lt;" and not to "<".
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]

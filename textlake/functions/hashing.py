@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.text import ColumnOrName, _col
+from textlake.functions.text import ColumnOrName, _col, _let
 
 # FIXED VALUES: murmur3's multipliers and the seed HashingTF uses.
 C1, C2, SEED = 0xCC9E2D51, 0x1B873593, 42
@@ -24,11 +24,6 @@ def _rotate(a: Column, n: int) -> Column:
     return F.shiftleft(a, n).bitwiseOR(F.shiftright(a, 32 - n)).bitwiseAND(F.lit(_WORD))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _little_endian(digits: Column) -> Column:
     """Up to four bytes, given as hex digits, as a number with the first byte lowest."""
     pairs = [F.substr(digits, F.lit(i), F.lit(2)) for i in (7, 5, 3, 1)]

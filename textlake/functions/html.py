@@ -1,8 +1,7 @@
-"""Page markup extraction as Column functions.
+"""Page fields as Column functions over the text nodes of a page.
 
-Regex forms over the raw HTML string.  They are written in the common
-subset of Java regex and RE2 (no look-around, no back-references) so the SQL
-oracle can say the same thing.
+Which nodes make a field is said by selectors (``textlake.functions.markup``);
+the defaults are those of the original pages.  Links are read off the tags.
 """
 
 from __future__ import annotations
@@ -12,101 +11,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.constants import HTML_ENTITIES, LIST_FIELD_CLASSES
+from textlake.functions.constants import CONTENT_SELECTORS, LIST_SELECTORS, TITLE_SELECTORS
+from textlake.functions.markup import (BLANKS_PATTERN, QUOTES_PATTERN, any_pattern, selected_by,
+                                       strip_noise, text_nodes)
+from textlake.functions.references import decode_references
 from textlake.functions.text import ColumnOrName, _col
 
-TITLE_PATTERN = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
-NOISE_PATTERN = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
-                 r"|<!--.*?-->")
-ARTICLE_PATTERN = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
-MAIN_PATTERN = (r"(?is)<(?:main|section|div)\s(?:[^>]*\s)?id\s*=\s*[\"']?main[\"']?(?:\s[^>]*)?>"
-                r"(.*?)</(?:main|section|div)\s*>")
-PARAGRAPH_PATTERN = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
-TAG_PATTERN = r"<[^>]*>"
-ANCHOR_TEXT_PATTERN = r"(?is)<a(?:\s[^>]*)?>([^<]*)</a\s*>"
 HREF_PATTERN = (r"(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*"
                 r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-QUOTES_PATTERN = r"^[\"']|[\"']$"
 PAGE_LANG_PATTERN = r"(?is)<html\s(?:[^>]*?\s)?lang\s*=\s*[\"']?([^\"'\s>]*)"
-BLANKS_PATTERN = r"[ \t\r\n\f]+"
-
-# Scopes whose paragraphs make the content, in this order.
-CONTENT_SCOPES = (MAIN_PATTERN, ARTICLE_PATTERN)
-
-
-def class_block_pattern(name: str) -> str:
-    """Blocks whose class attribute has ``name`` among its names (group 1: the
-    inside, up to the first end of such an element)."""
-    return (rf"(?is)<(?:div|span|ul|ol|section|td)\s(?:[^>]*\s)?class\s*=\s*[\"'](?:[^\"'>]*\s)?"
-            rf"{name}(?:\s[^\"'>]*)?[\"'][^>]*>(.*?)</(?:div|span|ul|ol|section|td)\s*>")
-
-
-# Field blocks that hold the list field, in this order.
-LIST_BLOCKS = tuple(class_block_pattern(name) for name in LIST_FIELD_CLASSES)
-
-
-def decode_entities(c: ColumnOrName) -> Column:
-    out = _col(c)
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
 
 
 def squeeze_blanks(c: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(_col(c), BLANKS_PATTERN, " "))
 
 
-def strip_noise(c: ColumnOrName) -> Column:
-    """Delete scripts, styles and comments (they may hold fake markup)."""
-    return F.regexp_replace(_col(c), NOISE_PATTERN, "")
-
-
-def all_in_blocks(html: Column, block: ColumnOrName, item: ColumnOrName) -> Column:
-    """Group-1 matches of ``item`` inside every group-1 match of ``block``, in order."""
-    as_pattern = lambda p: F.lit(p) if isinstance(p, str) else p
-    blocks = F.regexp_extract_all(html, as_pattern(block), 1)
-    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, as_pattern(item), 1)))
+def joined_text(texts: ColumnOrName) -> Column:
+    """Texts joined by a blank, blanks squeezed, references decoded."""
+    return decode_references(squeeze_blanks(F.array_join(_col(texts), " ")))
 
 
-def plain_text(markup: Column) -> Column:
-    """Tags to blanks, blanks squeezed, entities decoded."""
-    return decode_entities(squeeze_blanks(F.regexp_replace(markup, TAG_PATTERN, " ")))
+def node_texts(html: ColumnOrName, selectors: Sequence[str]) -> Column:
+    """The texts that each selector takes, selector by selector, references decoded."""
+    nodes = text_nodes(html, any_pattern(selectors))
+    return F.transform(selected_by(nodes, selectors), decode_references)
 
 
-def page_title(html: ColumnOrName) -> Column:
-    """Text of all <h1>, joined by a blank; inner tags removed, entities decoded."""
-    return plain_text(F.array_join(F.regexp_extract_all(strip_noise(html), F.lit(TITLE_PATTERN), 1), " "))
+def page_title(html: ColumnOrName, selectors: Sequence[str] = TITLE_SELECTORS) -> Column:
+    """Texts of the title elements, joined by a blank."""
+    return joined_text(selected_by(text_nodes(html, any_pattern(selectors)), selectors))
 
 
-def page_paragraphs(html: ColumnOrName, scopes: Sequence[str] = CONTENT_SCOPES) -> Column:
-    """Text of the <p> blocks of every block of every scope, joined by a blank.
+def page_paragraphs(html: ColumnOrName, selectors: Sequence[str] = CONTENT_SELECTORS) -> Column:
+    """Texts of the paragraphs of every scope, joined by a blank.
 
-    Nested inline markup is replaced by a blank, whitespace is squeezed and
-    entities are decoded.  An unclosed <p> runs to the next </p>.
+    ``article p::text`` takes a paragraph's own text nodes, ``article p ::text`` also
+    those of the elements in it.
     """
-    clean = strip_noise(html)
-    return plain_text(F.array_join(F.concat(*[all_in_blocks(clean, s, PARAGRAPH_PATTERN) for s in scopes]), " "))
+    return joined_text(selected_by(text_nodes(html, any_pattern(selectors)), selectors))
 
 
-def anchor_texts(html: ColumnOrName, blocks: Sequence[str] = LIST_BLOCKS) -> Column:
-    """Texts of the <a> elements without inner markup inside the field blocks,
-    block kind by block kind, in page order; entities decoded."""
-    clean = strip_noise(html)
-    found = F.concat(*[all_in_blocks(clean, b, ANCHOR_TEXT_PATTERN) for b in blocks])
-    return F.transform(found, decode_entities)
+def anchor_texts(html: ColumnOrName, selectors: Sequence[str] = LIST_SELECTORS) -> Column:
+    """The list field, one element for each text node."""
+    return node_texts(html, selectors)
 
 
 def hrefs(html: ColumnOrName) -> Column:
     """Targets of <a> and <area>, any case and quoting, decoded, each once."""
     found = F.regexp_extract_all(strip_noise(html), F.lit(HREF_PATTERN), 1)
-    return F.array_distinct(F.transform(found, lambda h: F.trim(decode_entities(
+    return F.array_distinct(F.transform(found, lambda h: F.trim(decode_references(
         F.regexp_replace(h, QUOTES_PATTERN, "")))))
 
 
 def page_lang(html: ColumnOrName) -> Column:
     return F.regexp_extract(_col(html), PAGE_LANG_PATTERN, 1)
-
-
-def field_values(html: ColumnOrName, pattern: str) -> Column:
-    """All group-1 matches of ``pattern`` (a page field such as a slot)."""
-    return F.regexp_extract_all(_col(html), F.lit(pattern), 1)

@@ -9,62 +9,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.functions.html import (CONTENT_SCOPES, LIST_BLOCKS, PAGE_LANG_PATTERN,
-                                     all_in_blocks, anchor_texts, field_values, hrefs,
-                                     page_paragraphs, page_title, plain_text, strip_noise)
+from textlake.functions.constants import (CONTENT_SELECTORS, GATE_KEY_SELECTOR, GATE_SLOT_SELECTOR,
+                                          LIST_SELECTORS, TITLE_SELECTORS)
+from textlake.functions.html import anchor_texts, hrefs, joined_text, page_paragraphs
+from textlake.functions.markup import any_pattern, path_pattern, selected, selected_by, text_nodes
+from textlake.functions.references import decode_references
 from textlake.functions.text import normalize_array
 from textlake.functions.urls import resolve_href, url_host, url_lang
 
 
 def page_extract(pages: DataFrame, url: str = "url", html: str = "html",
-                 keep: Sequence[str] = ("page_id",), scopes: Sequence[str] = CONTENT_SCOPES,
-                 blocks: Sequence[str] = LIST_BLOCKS) -> DataFrame:
-    """One raw document per page: title, content (paragraphs of all ``scopes``),
-    speakers (anchor texts of the field ``blocks``, lower-cased and stripped)
-    and link."""
-    return pages.select(
+                 keep: Sequence[str] = ("page_id",), title: Sequence[str] = TITLE_SELECTORS,
+                 content: Sequence[str] = CONTENT_SELECTORS, speakers: Sequence[str] = LIST_SELECTORS
+                 ) -> DataFrame:
+    """One raw document per page: title, content, speakers (lower-cased and
+    stripped) and link.  Each field is what its selectors take, selector by
+    selector; the page is folded once for all of them."""
+    nodes = text_nodes(html, any_pattern([*title, *content, *speakers]))
+    folded = pages.select(*keep, F.col(url).alias("link"), nodes.alias("_nodes"))
+    return folded.select(
         *keep,
-        page_title(html).alias("title"),
-        page_paragraphs(html, scopes).alias("content"),
-        normalize_array(anchor_texts(html, blocks)).alias("speakers"),
-        F.col(url).alias("link"),
+        joined_text(selected_by("_nodes", title)).alias("title"),
+        joined_text(selected_by("_nodes", content)).alias("content"),
+        normalize_array(F.transform(selected_by("_nodes", speakers), decode_references)).alias("speakers"),
+        "link",
     )
 
 
 def page_anchor_list(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",),
-                     blocks: Sequence[str] = LIST_BLOCKS) -> DataFrame:
+                     speakers: Sequence[str] = LIST_SELECTORS) -> DataFrame:
     """(keep..., pos, speaker): the list field, one row per element."""
-    return pages.select(*keep, F.posexplode(normalize_array(anchor_texts(html, blocks)))
+    return pages.select(*keep, F.posexplode(normalize_array(anchor_texts(html, speakers)))
                         .alias("pos", "speaker"))
 
 
-def page_gate_condition(special: Sequence[str], slot_pattern: str, url: str = "url",
-                        html: str = "html", key_pattern: str = PAGE_LANG_PATTERN):
+def page_gate_condition(special: Sequence[str], slot: str | Column = GATE_SLOT_SELECTOR, url: str = "url",
+                        html: str = "html", key: str | Column = GATE_KEY_SELECTOR) -> Column:
     """Boolean Column: the key in the page URL agrees with the key in its markup.
 
     For keys in ``special`` the page key is not reliable; such a page passes
-    when its slot field (``slot_pattern``) has at least one value.
-    Otherwise the page key (the first match of ``key_pattern``) must be
-    non-empty and contain the URL key.
+    when its slot field has at least one value.  Otherwise the page key must
+    be non-empty and contain the URL key.  ``slot`` and ``key`` are selectors
+    (the key's texts are joined by a blank) or Columns, an array of values
+    and a string.
     """
     url_key = url_lang(url)
-    content_key = F.regexp_extract(html, key_pattern, 1)
-    slots = F.size(field_values(html, slot_pattern))
+    content_key = page_key(html, key)
+    slots = F.size(selected(text_nodes(html, path_pattern(slot)), path_pattern(slot)) if isinstance(slot, str) else slot)
     return (F.when(url_key.isin(list(special)), slots > 0)
             .otherwise((content_key != "") & (F.instr(content_key, url_key) > 0)))
 
 
-def page_gate(pages: DataFrame, special: Sequence[str], slot_pattern: str,
-              url: str = "url", html: str = "html", key_pattern: str = PAGE_LANG_PATTERN
-              ) -> DataFrame:
+def page_key(html: str = "html", key: str | Column = GATE_KEY_SELECTOR) -> Column:
+    """The key that a page's markup holds, by a selector or as a Column."""
+    if isinstance(key, Column):
+        return key
+    return F.array_join(selected(text_nodes(html, path_pattern(key)), path_pattern(key)), " ")
+
+
+def page_gate(pages: DataFrame, special: Sequence[str], slot: str | Column = GATE_SLOT_SELECTOR,
+              url: str = "url", html: str = "html", key: str | Column = GATE_KEY_SELECTOR) -> DataFrame:
     """Pages that pass ``page_gate_condition``, with both keys."""
-    keep = page_gate_condition(special, slot_pattern, url, html, key_pattern)
+    keep = page_gate_condition(special, slot, url, html, key)
     return (pages.where(keep)
             .select("page_id", F.col(url).alias("url"), url_lang(url).alias("url_key"),
-                    F.regexp_extract(html, key_pattern, 1).alias("page_key")))
+                    page_key(html, key).alias("page_key")))
 
 
 def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/file/",
@@ -89,60 +101,43 @@ def page_links(pages: DataFrame, allowed_suffixes: Sequence[str], deny: str = "/
     return links.select("page_id", "href", target.alias("target")).where(keep)
 
 
-LAYOUT_SCHEMA = ("site_key string, title_pattern string, scope_pattern string, "
-                 "paragraph_pattern string, block_pattern string, list_pattern string")
+LAYOUT_SCHEMA = ("site_key string, title array<string>, content array<string>, speakers array<string>, "
+                 "wanted string")
+
+
+def layout_rules(spark: SparkSession, layouts: Sequence[tuple[str, Sequence[str], Sequence[str], Sequence[str]]]
+                 ) -> DataFrame:
+    """Layouts (site key, and the selectors of title, content and speakers) as a
+    table of compiled patterns."""
+    rows = [(key, *[[path_pattern(s) for s in field] for field in fields], any_pattern([s for field in fields for s in field]))
+            for key, *fields in layouts]
+    return spark.createDataFrame(rows, LAYOUT_SCHEMA)
 
 
 def page_extract_by_layout(pages: DataFrame, layouts: DataFrame, site_key,
                            html: str = "html", url: str = "url",
                            keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Extraction whose patterns depend on the site (one layout per site key).
-
-    ``layouts`` (LAYOUT_SCHEMA) holds one row of regex patterns per site
-    key: titles, content scopes, paragraphs inside the scopes, field blocks
-    and list items inside the blocks (group 1 and all matches of each).  It
-    is joined to the pages on ``site_key`` (a Column over the page); no side
-    is hinted, Spark broadcasts the rules when their size allows it.  Pages
-    whose key has no layout keep NULL fields.
+    """Extraction whose selectors depend on the site (one layout per site key).
+
+    ``layouts`` (of ``layout_rules``) is joined to the pages on ``site_key`` (a
+    Column over the page); no side is hinted, Spark broadcasts the rules when
+    their size allows it.  Pages whose key has no layout keep NULL fields.
     """
-    keyed = pages.select(*keep, F.col(url).alias("link"), site_key.alias("site_key"),
-                         strip_noise(html).alias("_html"))
-    j = keyed.join(layouts, on="site_key", how="left")
-    page = F.col("_html")
-    titles = F.regexp_extract_all(page, F.col("title_pattern"), 1)
-    paragraphs = all_in_blocks(page, F.col("scope_pattern"), F.col("paragraph_pattern"))
-    items = all_in_blocks(page, F.col("block_pattern"), F.col("list_pattern"))
-    return j.select(*keep, "link", "site_key", plain_text(F.array_join(titles, " ")).alias("title"),
-                    plain_text(F.array_join(paragraphs, " ")).alias("content"),
-                    normalize_array(items).alias("speakers"))
+    keyed = pages.select(*keep, F.col(url).alias("link"), site_key.alias("site_key"), F.col(html).alias("_html"))
+    folded = keyed.join(layouts, on="site_key", how="left").withColumn("_nodes", text_nodes("_html", F.col("wanted")))
+
+    def texts(field: str) -> Column:
+        return F.flatten(F.transform(F.col(field), lambda pattern: selected("_nodes", pattern)))
+
+    return folded.select(*keep, "link", "site_key", joined_text(texts("title")).alias("title"),
+                         joined_text(texts("content")).alias("content"),
+                         normalize_array(F.transform(texts("speakers"), decode_references)).alias("speakers"))
 
 
 def direct_paragraph_text(pages: DataFrame, html: str = "html",
                           keep: Sequence[str] = ("page_id",), scope_tag: str = "article"
                           ) -> DataFrame:
     """Paragraph text made of *direct* text nodes only (text of a <p> that is
-    not inside a nested element), the way a CSS ``article p::text``
-    selector reads a page.  Regexes cannot track element nesting, so this
-    one step runs a small HTML tag-stack parser per page inside
-    ``mapInPandas`` (Arrow batches, partitioned exactly as the page table).
-    """
-    keep = list(keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in pages.select(*keep).schema.fields)
-    schema = (schema + ", " if schema else "") + "content string"
-
-    # Ship the helper by value so executors need no copy of this package.
-    from pyspark import cloudpickle
-
-    from textlake.functions import pyhtml
-    cloudpickle.register_pickle_by_value(pyhtml)
-    direct_text = pyhtml.direct_text
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["content"] = [None if h is None else direct_text(h, scope_tag)
-                              for h in pdf[html]]
-            yield out
-
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    not inside a nested element), the way a CSS ``article p::text`` selector
+    reads a page."""
+    return pages.select(*keep, page_paragraphs(html, [f"{scope_tag} p::text"]).alias("content"))

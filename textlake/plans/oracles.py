@@ -9,10 +9,12 @@ RE2; lambdas use DuckDB's ``lambda x: expr`` form.  Keyed like
 from __future__ import annotations
 
 from textlake.functions import html as H
-from textlake.functions.constants import (DEFAULT_URL_KEY, HTML_ENTITIES, NON_SESSION_TITLES,
-                                          NUM_FEATURES, TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
+from textlake.functions import markup as M
+from textlake.functions.constants import (DEFAULT_URL_KEY, NON_SESSION_TITLES, NUM_FEATURES,
+                                          TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TOP_WORDS,
                                           WWW_ALIAS)
 from textlake.functions.hashing import C1, C2, FINAL1, FINAL2, SEED
+from textlake.functions.references import NAMED, REFERENCE_PATTERN, RENUMBERED, REPLACEMENT
 from textlake.functions.text import STRIP_PATTERN
 from textlake.functions.urls import (URL_HOST_PATTERN, URL_KEY_PATTERN, URL_LANG_PATTERN,
                                      URL_ORIGIN_PATTERN)
@@ -60,62 +62,99 @@ def rnd(e: str) -> str:
     return f"round({e}, {P.ROUND})"
 
 
-def decode(e: str) -> str:
-    for entity, char in HTML_ENTITIES:
-        e = f"replace({e}, {q(entity)}, {q(char)})"
-    return e
-
-
 def squeeze(e: str) -> str:
-    return f"trim(regexp_replace({e}, {q(H.BLANKS_PATTERN)}, ' ', 'g'))"
+    return f"trim(regexp_replace({e}, {q(M.BLANKS_PATTERN)}, ' ', 'g'))"
 
 
 def noise(e: str) -> str:
-    return f"regexp_replace({e}, {q(H.NOISE_PATTERN)}, '', 'g')"
-
-
-def untag(e: str) -> str:
-    return f"regexp_replace({e}, {q(H.TAG_PATTERN)}, ' ', 'g')"
-
-
-def plain_text(e: str) -> str:
-    return decode(squeeze(untag(e)))
-
-
-def all_in_blocks(e: str, block: str, item: str) -> str:
-    """Group-1 matches of ``item`` in every group-1 match of ``block`` (SQL expressions)."""
-    return (f"flatten(list_transform(regexp_extract_all({e}, {block}, 1), "
-            f"lambda b: regexp_extract_all(b, {item}, 1)))")
-
-
-def joined(parts: list[str]) -> str:
-    out = parts[0]
-    for p in parts[1:]:
-        out = f"list_concat({out}, {p})"
-    return out
-
-
-def title_sql(e: str) -> str:
-    return plain_text(f"array_to_string(regexp_extract_all({noise(e)}, {q(H.TITLE_PATTERN)}, 1), ' ')")
-
-
-def paragraphs_sql(e: str) -> str:
-    paras = joined([all_in_blocks(noise(e), q(s), q(H.PARAGRAPH_PATTERN)) for s in H.CONTENT_SCOPES])
-    return plain_text(f"array_to_string({paras}, ' ')")
+    return f"regexp_replace({e}, {q(M.NOISE_PATTERN)}, '', 'g')"
+
+
+# --- pages: tokens, a fold over them, selected nodes, decoded references ---------
+
+SAFE = f"{q(M.PARTING)}, {' || '.join(f'chr({ord(c)})' for c in M.STAND_INS)}"
+
+
+def _attribute(name: str) -> str:
+    value = f"regexp_replace(regexp_extract(x.t, {q(M.attribute_pattern(name))}, 1), {q(M.QUOTES_PATTERN)}, '', 'g')"
+    return f"translate({value}, {SAFE})"
+
+
+def _cut(path: str, mark: str) -> str:
+    behind = f"string_split({path}, {mark})[-1]"
+    return f"(CASE WHEN contains({path}, {mark}) THEN substr({path}, 1, length({path}) - length({behind}) - length({mark})) ELSE {path} END)"
+
+
+def node_ctes(source: str, key: str, html: str = "html") -> str:
+    """CTE ``node`` (key, n, path, text): every text node of ``source``'s pages with its path."""
+    classes = f"regexp_replace({squeeze(_attribute('class'))}, ' ', '.', 'g')"
+    code = (f"'/' || x.tag || '#' || {_attribute('id')} || '#.' || CASE WHEN {classes} = '' THEN '' "
+            f"ELSE {classes} || '.' END")
+    kind = (f"CASE WHEN x.tag = '' THEN CASE WHEN regexp_matches(x.t, '^<.') THEN 'none' ELSE 'text' END "
+            f"WHEN starts_with(x.t, '</') THEN 'close' WHEN x.tag IN {sql_in(M.VOID)} OR regexp_matches(x.t, {q(M.SELF_CLOSED_PATTERN)}) "
+            f"THEN 'empty' ELSE 'open' END")
+    fields = "path := '', nodes := []::STRUCT(path VARCHAR, text VARCHAR)[], kind := {kind}, tag := {tag}, code := {code}, text := {text}"
+    start = f"struct_pack({fields.format(kind="'none'", tag="''", code="''", text="''")})"
+    base = f"CASE WHEN x.tag IN {sql_in(M.ENDS_PARAGRAPH)} THEN {_cut('s.path', q('/p#'))} ELSE s.path END"
+    mark = "('/' || x.tag || '#')"
+    path = (f"CASE x.kind WHEN 'text' THEN s.path WHEN 'none' THEN s.path WHEN 'close' THEN {_cut('s.path', mark)} "
+            f"ELSE {base} || x.code END")
+    step = (f"struct_pack(path := {path}, nodes := CASE WHEN x.kind = 'text' THEN "
+            "list_append(s.nodes, struct_pack(path := s.path, text := x.text)) ELSE s.nodes END, "
+            "kind := 'none', tag := '', code := '', text := '')")
+    return (f"tok AS (SELECT {key}, regexp_extract_all({noise(html)}, {q(M.TOKEN_PATTERN)}) AS ts FROM {source}), "
+            f"named AS (SELECT {key}, [struct_pack(tag := translate(lower(regexp_extract(t, {q(M.NAME_PATTERN)}, 1)), {SAFE}), "
+            f"t := t) FOR t IN ts] AS xs FROM tok), "
+            f"kinds AS (SELECT {key}, [struct_pack(tag := x.tag, kind := {kind}, code := {code}, t := x.t) FOR x IN xs] AS xs FROM named), "
+            f"steps AS (SELECT {key}, [struct_pack({fields.format(kind='x.kind', tag='x.tag', code="CASE WHEN x.kind = 'open' THEN x.code ELSE '' END", text='x.t')}) "
+            f"FOR x IN xs] AS xs FROM kinds), "
+            f"folded AS (SELECT {key}, list_reduce(list_prepend({start}, xs), lambda s, x: {step}).nodes AS nodes FROM steps), "
+            f"node AS (SELECT {key}, n, nodes[n].path AS path, nodes[n].text AS text FROM folded, range(1, len(nodes) + 1) r(n))")
+
+
+def decode_ctes(source: str, keys: str, out: str = "dec") -> str:
+    """CTE ``out`` (keys, text): ``source`` with the references in its text decoded."""
+    names, signs = sql_list(NAMED), sql_list(NAMED.values())
+    renumbered = " ".join(f"WHEN {n} THEN {q(c)}" for n, c in RENUMBERED.items())
+    digits = "regexp_replace(name, '^#[xX]?0*|;', '', 'g')"
+    number = (f"CASE WHEN NOT starts_with(name, '#') THEN NULL WHEN length({digits}) > 8 THEN 1114112 WHEN {digits} = '' THEN 0 "
+              f"WHEN lower(name[2]) = 'x' THEN ('0x' || {digits})::BIGINT ELSE {digits}::BIGINT END")
+    return (f"ref AS (SELECT unnest({names}) AS name, unnest({signs}) AS named), "
+            f"cutup AS (SELECT {keys}, string_split(text, '&') AS parts FROM {source}), "
+            f"piece AS (SELECT {keys}, j, parts[j] AS part, CASE WHEN j = 1 THEN '' ELSE "
+            f"regexp_extract(parts[j], {q(REFERENCE_PATTERN)}, 1) END AS name FROM cutup, range(1, len(parts) + 1) r(j)), "
+            f"numbered AS (SELECT *, {number} AS number FROM piece), "
+            f"signed AS (SELECT {keys}, j, part, name, CASE WHEN number IS NULL THEN named WHEN number > 1114111 OR number BETWEEN 55296 AND 57343 "
+            f"THEN {q(REPLACEMENT)} ELSE CASE number {renumbered} ELSE chr(number::INTEGER) END END AS sign FROM numbered LEFT JOIN ref USING (name)), "
+            f"{out} AS (SELECT {keys}, string_agg(CASE WHEN j = 1 THEN part WHEN sign IS NULL THEN '&' || part "
+            f"ELSE sign || substr(part, length(name) + 1) END, '' ORDER BY j) AS text FROM signed GROUP BY {keys})")
+
+
+def field_ctes(source: str, key: str, texts: dict[str, list[str]], lists: dict[str, list[str]], html: str = "html") -> str:
+    """CTE ``field`` (key, one column for each field): ``texts`` are joined by a blank,
+    ``lists`` lower-cased, stripped lists; each is named with its selectors."""
+    hit = " UNION ALL ".join(f"SELECT {key}, {q(name)} AS f, {s} AS s, n, text FROM node WHERE regexp_matches(path, {q(M.path_pattern(selector))})"
+                             for name, selectors in {**texts, **lists}.items() for s, selector in enumerate(selectors))
+    whole = f"SELECT {key}, f, 0 AS s, 0 AS n, {squeeze("string_agg(text, ' ' ORDER BY s, n)")} AS text FROM hit WHERE f IN {sql_in(texts)} GROUP BY {key}, f"
+    parts = f" UNION ALL SELECT {key}, f, s, n, text FROM hit WHERE f IN {sql_in(lists)}" if lists else ""
+    columns = [f"CASE WHEN {html} IS NOT NULL THEN coalesce((SELECT any_value(text) FROM dec d WHERE d.{key} = p.{key} AND f = {q(name)}), '') END AS {name}"
+               for name in texts]
+    columns += [f"CASE WHEN {html} IS NOT NULL THEN coalesce((SELECT list({strip_blank('lower(text)')} ORDER BY s, n) FROM dec d WHERE d.{key} = p.{key} "
+                f"AND f = {q(name)}), []) END AS {name}" for name in lists]
+    return (f"{node_ctes(source, key, html)}, hit AS ({hit}), enc AS ({whole}{parts}), {decode_ctes('enc', f'{key}, f, s, n')}, "
+            f"field AS (SELECT {key}, {', '.join(columns)} FROM {source} p)")
 
 
 def strip_blank(e: str) -> str:
     return f"regexp_replace({e}, {q(STRIP_PATTERN)}, '', 'g')"
 
 
-def anchors_sql(e: str) -> str:
-    raw = joined([all_in_blocks(noise(e), q(b), q(H.ANCHOR_TEXT_PATTERN)) for b in P.LIST_BLOCKS])
-    return f"list_transform({raw}, lambda x: {strip_blank('lower(' + decode('x') + ')')})"
-
-
-def hrefs_sql(e: str) -> str:
-    return (f"list_distinct([trim({decode('h')}) FOR h IN [regexp_replace(x, {q(H.QUOTES_PATTERN)}, '', 'g') "
-            f"FOR x IN regexp_extract_all({noise(e)}, {q(H.HREF_PATTERN)}, 1)]])")
+def href_ctes(source: str, key: str, html: str = "html") -> str:
+    """CTE ``href`` (key, href): the different targets of each page, decoded."""
+    raw = f"regexp_replace(x, {q(M.QUOTES_PATTERN)}, '', 'g')"
+    return (f"enc AS (SELECT {key}, nth, {raw} AS text FROM (SELECT {key}, xs[nth] AS x, nth FROM (SELECT {key}, "
+            f"regexp_extract_all({noise(html)}, {q(H.HREF_PATTERN)}, 1) AS xs FROM {source}), range(1, len(xs) + 1) r(nth))), "
+            f"{decode_ctes('enc', f'{key}, nth')}, href AS (SELECT DISTINCT {key}, trim(text) AS href FROM dec)")
 
 
 def _times(a: str, c: int) -> str:
@@ -216,9 +255,9 @@ WC_GROUP = f"wc AS (SELECT {G}, word, count(*) AS count FROM toks GROUP BY {G},
 WC_TOTALS = f"t AS (SELECT {G}, CAST(sum(count) AS BIGINT) AS total FROM wc GROUP BY {G})"
 TF_TOTALS = f"t AS (SELECT {G}, sum(tf) AS total FROM scores GROUP BY {G})"
 
-PAGE_SPEAKERS = f"sp AS (SELECT page_id, {anchors_sql('html')} AS speakers FROM pages)"
-SPEAKER_COUNTS = (f"{PAGE_SPEAKERS}, sc AS (SELECT word, count(*) AS count FROM "
-                  f"(SELECT unnest(speakers) AS word FROM sp) GROUP BY word)")
+PAGE_FIELDS = field_ctes("pages", "page_id", {"title": P.TITLE, "content": P.CONTENT}, {"speakers": P.SPEAKERS})
+SPEAKER_COUNTS = (f"{PAGE_FIELDS}, sc AS (SELECT word, count(*) AS count FROM "
+                  f"(SELECT unnest(speakers) AS word FROM field) GROUP BY word)")
 
 ALIASED = f"replace(url, {q(WWW_ALIAS[0])}, {q(WWW_ALIAS[1])})"
 
@@ -247,6 +286,25 @@ def _host_allowed(host: str) -> str:
                              for d in P.LINK_ALLOWED_DOMAINS) + ")"
 
 
+def layouts_sql() -> str:
+    """One set of selected nodes for all pages; a layout's selectors count for its own site's."""
+    site = f"regexp_extract(url, {q(URL_LANG_PATTERN)}, 1)"
+    hit = " UNION ALL ".join(
+        f"SELECT page_id, {q(field)} AS f, {i} AS s, n, text FROM node JOIN pages USING (page_id) "
+        f"WHERE {site} = {q(key)} AND regexp_matches(path, {q(M.path_pattern(selector))})"
+        for key, *fields in P.PAGE_LAYOUTS for field, selectors in zip(("title", "content", "speakers"), fields, strict=True)
+        for i, selector in enumerate(selectors))
+    of = lambda f, e: f"(SELECT {e} FROM dec d WHERE d.page_id = p.page_id AND f = {q(f)})"
+    known = f"{site} IN {sql_in(row[0] for row in P.PAGE_LAYOUTS)}"
+    texts = ", ".join(f"CASE WHEN {known} THEN coalesce({of(f, 'any_value(text)')}, '') END AS {f}" for f in ("title", "content"))
+    items = of("speakers", f"string_agg({strip_blank('lower(text)')}, '|' ORDER BY s, n)")
+    return (f"WITH {node_ctes('pages', 'page_id')}, hit AS ({hit}), "
+            f"enc AS (SELECT page_id, f, 0 AS s, 0 AS n, {squeeze("string_agg(text, ' ' ORDER BY s, n)")} AS text FROM hit "
+            f"WHERE f <> 'speakers' GROUP BY page_id, f UNION ALL SELECT page_id, f, s, n, text FROM hit WHERE f = 'speakers'), "
+            f"{decode_ctes('enc', 'page_id, f, s, n')} SELECT page_id, url AS link, {site} AS site_key, {texts}, "
+            f"CASE WHEN {known} THEN coalesce({items}, '') END AS speakers FROM pages p")
+
+
 ORACLES: dict[str, str] = {
     "clean_string": f"SELECT doc_id, {clean('lower(text)')} AS cleaned FROM documents",
     "remove_stopwords": f"SELECT doc_id, {stop(clean('lower(text)'))} AS cleaned FROM documents",
@@ -263,15 +321,10 @@ ORACLES: dict[str, str] = {
     "url_group_key_default": (
         f"SELECT page_id, url, coalesce(nullif(regexp_extract(url, {q(P.URL_DIGITS_PATTERN)}, 1), ''),"
         f" {q(DEFAULT_URL_KEY)}) AS year FROM pages"),
-    "page_extract": (
-        f"SELECT page_id, url AS link, {title_sql('html')} AS title, "
-        f"{paragraphs_sql('html')} AS content, "
-        f"array_to_string({anchors_sql('html')}, '|') AS speakers "
-        "FROM pages"),
-    "scan_jsonl": (
-        f"SELECT url AS link, {title_sql('html')} AS title, {paragraphs_sql('html')} AS content, "
-        f"array_to_string({anchors_sql('html')}, '|') AS speakers "
-        "FROM pages"),
+    "page_extract": (f"WITH {PAGE_FIELDS} SELECT page_id, url AS link, title, content, "
+                     "array_to_string(speakers, '|') AS speakers FROM pages JOIN field USING (page_id)"),
+    "scan_jsonl": (f"WITH {PAGE_FIELDS} SELECT url AS link, title, content, "
+                   "array_to_string(speakers, '|') AS speakers FROM pages JOIN field USING (page_id)"),
     "sink_jsonl": f"WITH {DOCS} SELECT doc_id, {G}, body FROM docs",
     "scan_wordlist": ("SELECT DISTINCT trim(w) AS word FROM (SELECT unnest(string_split(p_name, ' '))"
                       " AS w FROM part) WHERE trim(w) <> ''"),
@@ -365,24 +418,28 @@ ORACLES: dict[str, str] = {
         "SELECT bucket, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term "
         "FROM buckets GROUP BY bucket HAVING count(*) > 1"),
     "page_anchor_list": (
-        f"WITH {PAGE_SPEAKERS} SELECT page_id, (i - 1)::BIGINT AS pos, speakers[i] AS speaker "
-        "FROM sp, range(1, len(speakers) + 1) r(i)"),
+        f"WITH {PAGE_FIELDS} SELECT page_id, (i - 1)::BIGINT AS pos, speakers[i] AS speaker "
+        "FROM field, range(1, len(speakers) + 1) r(i)"),
     "page_gate": (
-        f"WITH g AS (SELECT page_id, url, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS url_key, "
-        f"regexp_extract(html, {q(P.GATE_KEY_PATTERN)}, 1) AS page_key, "
-        f"len(regexp_extract_all(html, {q(P.GATE_SLOT_PATTERN)}, 1)) AS slots FROM pages) "
+        f"WITH {node_ctes('pages', 'page_id')}, "
+        f"k AS (SELECT page_id, string_agg(text, ' ' ORDER BY n) AS page_key FROM node "
+        f"WHERE regexp_matches(path, {q(M.path_pattern(P.GATE_KEY))}) GROUP BY page_id), "
+        f"g AS (SELECT page_id, url, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS url_key, coalesce(page_key, '') AS page_key, "
+        f"len(regexp_extract_all(html, {q(P.GATE_SLOT_PATTERN)}, 1)) AS slots FROM pages LEFT JOIN k USING (page_id)) "
         "SELECT page_id, url, url_key, page_key FROM g WHERE CASE "
         f"WHEN url_key IN {sql_in(P.GATE_SPECIAL)} THEN slots > 0 "
         "ELSE page_key <> '' AND instr(page_key, url_key) > 0 END"),
+    "page_direct_text": (
+        f"WITH {field_ctes('pages', 'page_id', {'content': ['article p::text']}, {})} SELECT page_id, content FROM field"),
     "page_corpus_timeline": (
-        f"WITH g AS (SELECT url, html, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS year, "
+        f"WITH g AS (SELECT page_id, url, html, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) AS year, "
         f"regexp_extract(html, {q(H.PAGE_LANG_PATTERN)}, 1) AS page_key, "
         f"len(regexp_extract_all(html, {q(P.GATE_SLOT_PATTERN)}, 1)) AS slots FROM pages), "
         "kept AS (SELECT * FROM g WHERE CASE "
         f"WHEN year IN {sql_in(P.GATE_SPECIAL)} THEN slots > 0 "
         "ELSE page_key <> '' AND instr(page_key, year) > 0 END), "
-        f"raw AS (SELECT year, url AS link, {title_sql('html')} AS title, "
-        f"{paragraphs_sql('html')} AS content FROM kept), "
+        f"{field_ctes('kept', 'page_id', {'title': P.TITLE, 'content': P.CONTENT}, {})}, "
+        "raw AS (SELECT year, url AS link, title, content FROM kept JOIN field USING (page_id)), "
         f"docs AS (SELECT year, link, {clean('lower(title)')} AS title, "
         f"{normalize('(title || chr(32) || content)')} AS body FROM raw), "
         f"sessions AS (SELECT * FROM docs WHERE {like_any('link', P.PAGE_SESSION_INCLUDE)} "
@@ -393,7 +450,7 @@ ORACLES: dict[str, str] = {
         f"SELECT w.year AS year, word, count, {rnd('count / total * 100')} AS relative_count "
         f"FROM wc w LEFT JOIN t ON w.year = t.year WHERE word IN {TERMS}"),
     "page_links": (
-        f"WITH l AS (SELECT page_id, url, unnest({hrefs_sql('html')}) AS href FROM pages), "
+        f"WITH {href_ctes('pages', 'page_id')}, l AS (SELECT page_id, url, href FROM href JOIN pages USING (page_id)), "
         f"t AS (SELECT page_id, href, {TARGET} AS target FROM l), "
         f"o AS (SELECT *, {ORIGIN} AS origin, substr(target, length({ORIGIN}) + 1) AS rest FROM t), "
         "p AS (SELECT *, regexp_extract(rest, '^([^?#]*)', 1) AS path FROM o), "
@@ -403,20 +460,8 @@ ORACLES: dict[str, str] = {
         "SELECT page_id, href, target FROM r WHERE "
         f"instr(target, {q(P.LINK_DENY)}) = 0 AND "
         f"{_host_allowed('regexp_extract(target, ' + q(URL_HOST_PATTERN) + ', 1)')}"),
-    "page_title": f"SELECT page_id, {title_sql('html')} AS title FROM pages",
-    "page_extract_by_layout": (
-        "WITH layouts(site_key, title_pattern, scope_pattern, paragraph_pattern, block_pattern, list_pattern) AS "
-        "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in row) + ")" for row in P.PAGE_LAYOUTS)
-        + f"), k AS (SELECT page_id, url AS link, regexp_extract(url, {q(URL_LANG_PATTERN)}, 1) "
-        f"AS site_key, {noise('html')} AS h FROM pages), e AS ("
-        + " UNION ALL ".join(
-            f"SELECT page_id, link, site_key, regexp_extract_all(h, {q(t)}, 1) AS ts, "
-            f"{all_in_blocks('h', q(scope), q(par))} AS ps, {all_in_blocks('h', q(block), q(item))} AS items "
-            f"FROM k WHERE site_key = {q(key)}" for key, t, scope, par, block, item in P.PAGE_LAYOUTS)
-        + " UNION ALL SELECT page_id, link, site_key, NULL, NULL, NULL FROM k WHERE site_key NOT IN (SELECT site_key FROM layouts)) "
-        f"SELECT page_id, link, site_key, {plain_text("array_to_string(ts, ' ')")} AS title, "
-        f"{plain_text("array_to_string(ps, ' ')")} AS content, "
-        f"array_to_string(list_transform(items, lambda x: {strip_blank('lower(x)')}), '|') AS speakers FROM e"),
+    "page_title": f"WITH {field_ctes('pages', 'page_id', {'title': P.TITLE}, {})} SELECT page_id, title FROM field",
+    "page_extract_by_layout": layouts_sql(),
     "tfidf_hashed": hashed_out("doc_id"),
     "tfidf_hashed_vectors": hashed_out("doc_id"),
     "tfidf_hashed_per_group": hashed_out(G),

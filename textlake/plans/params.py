@@ -7,7 +7,6 @@ in the fixture texts and actually change rows.
 """
 
 from textlake.functions.constants import DEFAULT_STOPWORDS, NON_SESSION_TITLES, PHRASES
-from textlake.functions.html import class_block_pattern
 
 GROUP = "lang"
 SECOND_GROUP = "source"
@@ -40,11 +39,13 @@ PREVIEW_ROWS = 10
 GATE_SPECIAL = ["de", "es"]
 GATE_SLOT_PATTERN = r"(</html>)"
 # The page key is the title, which holds the URL key (a language) on some pages.
-GATE_KEY_PATTERN = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
+GATE_KEY = "h1::text"
 # Digits that some of the URLs have.
 URL_DIGITS_PATTERN = r"[?&]page=([0-9]+)"
-# The fixture pages have no speaker fields: their navigation and ad blocks stand in.
-LIST_BLOCKS = [r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>", class_block_pattern("ad")]
+# The fixture pages have plain headings and no speaker fields: navigation and ad blocks stand in.
+TITLE = ["h1 ::text"]
+CONTENT = ["#main p ::text", "article p ::text"]
+SPEAKERS = ["nav a::text", ".ad a::text"]
 
 LINK_ALLOWED_DOMAINS = ["example.com", "example.org"]
 LINK_DENY = "/de"  # occurs in the fixture pages; the library's default is "/file/"
@@ -54,16 +55,11 @@ AUDIT_BUCKETS = 1 << 20
 ROUND = 6
 
 # Per-site layouts for page_extract_by_layout, keyed by the URL language:
-# (site_key, titles, content scopes, paragraphs in scope, field blocks, list items).
-_NAV, _LI = r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>", r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>"
-_ANCHOR = r"(?is)<a(?:\s[^>]*)?>([^<]*)</a\s*>"
+# (site_key, selectors of title, content and list field).
 PAGE_LAYOUTS = [
-    ("en", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<article[^>]*>(.*?)</article>",
-     r"(?s)<p(?: [^>]*)?>(.*?)</p>", _NAV, _ANCHOR),
-    ("de", r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<body[^>]*>(.*?)</body>",
-     r"(?s)<p(?: [^>]*)?>(.*?)</p>", _LI, _ANCHOR),
-    ("fr", r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<body[^>]*>(.*?)</body>",
-     r"<p[^>]*>([^<]*)", _NAV, _ANCHOR),
+    ("en", ["h1 ::text"], ["article p ::text"], ["nav a::text"]),
+    ("de", ["head > title::text"], ["body p ::text"], ["ul > li > a::text", ".ad ::text"]),
+    ("fr", ["article > h1::text"], ["body p::text", "footer::text"], ["nav li a::text"]),
 ]
 
 # Session filter on page links (hosts on .com / .org) for page_corpus_timeline.

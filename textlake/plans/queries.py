@@ -109,7 +109,7 @@ def q_page_extract(spark, sf_dir):
 
 def q_scan_jsonl(spark, sf_dir):
     """Pages -> raw documents -> JSON lines (sink) -> explicit-schema scan."""
-    raw = pages.page_extract(_pages(spark, sf_dir), keep=(), blocks=P.LIST_BLOCKS)
+    raw = _fields(_pages(spark, sf_dir), keep=())
     path = files.write_jsonl(raw, shared_dir(spark, "jsonl"))
     back = files.read_jsonl(spark, path)
     return back.select("link", "title", "content", _joined("speakers"))
@@ -168,8 +168,12 @@ def q_word_count_per_group(spark, sf_dir):
     return counts.word_count_per_group(_docs(spark, sf_dir), [P.GROUP])
 
 
+def _fields(pg, keep=("page_id",)):
+    return pages.page_extract(pg, keep=keep, title=P.TITLE, content=P.CONTENT, speakers=P.SPEAKERS)
+
+
 def _speakers(spark, sf_dir):
-    return pages.page_extract(_pages(spark, sf_dir), blocks=P.LIST_BLOCKS)
+    return _fields(_pages(spark, sf_dir))
 
 
 def q_array_element_count(spark, sf_dir):
@@ -462,13 +466,16 @@ def q_sql_words_per_group(spark, sf_dir):
 # --- pages ------------------------------------------------------------------
 
 def q_page_anchor_list(spark, sf_dir):
-    return pages.page_anchor_list(_pages(spark, sf_dir), blocks=P.LIST_BLOCKS) \
+    return pages.page_anchor_list(_pages(spark, sf_dir), speakers=P.SPEAKERS) \
         .select("page_id", F.col("pos").cast("bigint").alias("pos"), "speaker")
 
 
+def _slots():
+    return F.regexp_extract_all("html", F.lit(P.GATE_SLOT_PATTERN), 1)
+
+
 def q_page_gate(spark, sf_dir):
-    return pages.page_gate(_pages(spark, sf_dir), P.GATE_SPECIAL, P.GATE_SLOT_PATTERN,
-                           key_pattern=P.GATE_KEY_PATTERN)
+    return pages.page_gate(_pages(spark, sf_dir), P.GATE_SPECIAL, _slots(), key=P.GATE_KEY)
 
 
 def q_page_links(spark, sf_dir):
@@ -477,13 +484,13 @@ def q_page_links(spark, sf_dir):
 
 def q_page_extract_by_layout(spark, sf_dir):
     from textlake.functions.urls import url_lang
-    layouts = spark.createDataFrame(P.PAGE_LAYOUTS, pages.LAYOUT_SCHEMA)
+    layouts = pages.layout_rules(spark, P.PAGE_LAYOUTS)
     out = pages.page_extract_by_layout(_pages(spark, sf_dir), layouts, url_lang(F.col("url")))
     return out.select("page_id", "link", "site_key", "title", "content", _joined("speakers"))
 
 
 def q_page_direct_text(spark, sf_dir):
-    """Direct text nodes of article paragraphs (tag-stack parser; no SQL oracle)."""
+    """Direct text nodes of article paragraphs."""
     return pages.direct_paragraph_text(_pages(spark, sf_dir))
 
 
@@ -493,8 +500,8 @@ def q_page_corpus_timeline(spark, sf_dir):
     share per group.  One scan of the page table, one small shuffle."""
     from textlake.functions.urls import url_lang
     pg = _pages(spark, sf_dir)
-    gated = pg.where(pages.page_gate_condition(P.GATE_SPECIAL, P.GATE_SLOT_PATTERN))
-    raw = pages.page_extract(gated.withColumn("year", url_lang(F.col("url"))), keep=("year",))
+    gated = pg.where(pages.page_gate_condition(P.GATE_SPECIAL, _slots(), key=H.page_lang("html")))
+    raw = _fields(gated.withColumn("year", url_lang(F.col("url"))), keep=("year",))
     docs = documents.clean_documents(raw, ["year", "link"], stopwords=P.STOPWORDS,
                                      phrases=P.FIXTURE_PHRASES)
     sessions = documents.filter_sessions(docs, "link", P.PAGE_SESSION_INCLUDE)
@@ -503,7 +510,7 @@ def q_page_corpus_timeline(spark, sf_dir):
 
 
 def q_page_title(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", H.page_title("html").alias("title"))
+    return _pages(spark, sf_dir).select("page_id", H.page_title("html", P.TITLE).alias("title"))
 
 
 QUERIES: dict[str, Query] = {
