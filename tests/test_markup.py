@@ -6,7 +6,6 @@ import re
 from html.parser import HTMLParser
 
 import pytest
-from pyspark.sql import functions as F
 
 from textlake.functions import markup as M
 from textlake.functions import references as R
@@ -19,8 +18,8 @@ SCHEMA = "page_id long, url string, html string"
 
 def texts(spark, html, *selectors):
     df = spark.createDataFrame([(1, "u", html)], SCHEMA)
-    nodes = M.text_nodes("html", M.any_pattern(selectors))
-    return df.select(M.selected_by(nodes, selectors).alias("t")).first().t
+    nodes = df.select(M.text_nodes("html", M.any_pattern(selectors)).alias("nodes"))
+    return nodes.select(M.selected_by("nodes", selectors).alias("t")).first().t
 
 
 def test_blocks_nest_to_any_depth(spark):
@@ -157,7 +156,7 @@ def test_references_equal_the_library(spark):
         if want is not None:
             want = stdlib_html.unescape(want)
         assert r.d == want, made[r.i]
-    assert df.select(joined_text(F.array(F.lit("a  &lt;"), F.lit("\nb")))).first()[0] == "a < b"
+    assert df.select(joined_text("array('a  &lt;', '\\nb')")).first()[0] == "a < b"
 
 
 def test_direct_text_is_a_selector(spark):

@@ -12,55 +12,58 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textlake.functions.constants import CONTENT_SELECTORS, LIST_SELECTORS, TITLE_SELECTORS
-from textlake.functions.markup import (BLANKS_PATTERN, QUOTES_PATTERN, any_pattern, selected_by,
-                                       strip_noise, text_nodes)
-from textlake.functions.references import decode_references
-from textlake.functions.text import ColumnOrName, _col
+from textlake.functions.markup import (BLANKS_PATTERN, QUOTES_PATTERN, any_pattern, nodes_sql, noise_free_sql,
+                                       selected_by_sql)
+from textlake.functions.references import decode_sql
+from textlake.functions.text import ColumnOrName, _col, sql_let, sql_literal
 
 HREF_PATTERN = (r"(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*"
                 r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 PAGE_LANG_PATTERN = r"(?is)<html\s(?:[^>]*?\s)?lang\s*=\s*[\"']?([^\"'\s>]*)"
 
 
-def squeeze_blanks(c: ColumnOrName) -> Column:
-    return F.trim(F.regexp_replace(_col(c), BLANKS_PATTERN, " "))
+def joined_sql(texts: str) -> str:
+    return decode_sql(f"trim(regexp_replace(array_join({texts}, ' '), {sql_literal(BLANKS_PATTERN)}, ' '))")
 
 
-def joined_text(texts: ColumnOrName) -> Column:
-    """Texts joined by a blank, blanks squeezed, references decoded."""
-    return decode_references(squeeze_blanks(F.array_join(_col(texts), " ")))
+def joined_text(texts: str) -> Column:
+    """Texts (a column of arrays, or SQL) joined by a blank, blanks squeezed, references decoded."""
+    return F.expr(joined_sql(texts))
 
 
-def node_texts(html: ColumnOrName, selectors: Sequence[str]) -> Column:
-    """The texts that each selector takes, selector by selector, references decoded."""
-    nodes = text_nodes(html, any_pattern(selectors))
-    return F.transform(selected_by(nodes, selectors), decode_references)
+def decoded_sql(texts: str) -> str:
+    """SQL text of an array of texts, references decoded."""
+    return f"transform({texts}, _t -> {decode_sql('_t')})"
 
 
-def page_title(html: ColumnOrName, selectors: Sequence[str] = TITLE_SELECTORS) -> Column:
-    """Texts of the title elements, joined by a blank."""
-    return joined_text(selected_by(text_nodes(html, any_pattern(selectors)), selectors))
+def _taken(html: str, selectors: Sequence[str]) -> str:
+    return selected_by_sql(sql_let(html, "_html", nodes_sql("_html", sql_literal(any_pattern(selectors)))), selectors)
 
 
-def page_paragraphs(html: ColumnOrName, selectors: Sequence[str] = CONTENT_SELECTORS) -> Column:
+def page_title(html: str, selectors: Sequence[str] = TITLE_SELECTORS) -> Column:
+    """Texts of the title elements of a page (a column's name or SQL), joined by a blank."""
+    return joined_text(_taken(html, selectors))
+
+
+def page_paragraphs(html: str, selectors: Sequence[str] = CONTENT_SELECTORS) -> Column:
     """Texts of the paragraphs of every scope, joined by a blank.
 
     ``article p::text`` takes a paragraph's own text nodes, ``article p ::text`` also
     those of the elements in it.
     """
-    return joined_text(selected_by(text_nodes(html, any_pattern(selectors)), selectors))
+    return joined_text(_taken(html, selectors))
 
 
-def anchor_texts(html: ColumnOrName, selectors: Sequence[str] = LIST_SELECTORS) -> Column:
-    """The list field, one element for each text node."""
-    return node_texts(html, selectors)
+def anchor_texts(html: str, selectors: Sequence[str] = LIST_SELECTORS) -> Column:
+    """The list field, one element for each text node, references decoded."""
+    return F.expr(decoded_sql(_taken(html, selectors)))
 
 
-def hrefs(html: ColumnOrName) -> Column:
+def hrefs(html: str) -> Column:
     """Targets of <a> and <area>, any case and quoting, decoded, each once."""
-    found = F.regexp_extract_all(strip_noise(html), F.lit(HREF_PATTERN), 1)
-    return F.array_distinct(F.transform(found, lambda h: F.trim(decode_references(
-        F.regexp_replace(h, QUOTES_PATTERN, "")))))
+    found = f"regexp_extract_all({noise_free_sql(html)}, {sql_literal(HREF_PATTERN)}, 1)"
+    target = decode_sql(f"regexp_replace(_h, {sql_literal(QUOTES_PATTERN)}, '')")
+    return F.expr(f"array_distinct(transform({found}, _h -> trim({target})))")
 
 
 def page_lang(html: ColumnOrName) -> Column:

@@ -23,7 +23,7 @@ from itertools import permutations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.text import ColumnOrName, _col, _let
+from textlake.functions.text import sql_let, sql_literal
 
 #: What never reaches the stream: scripts, styles and comments may hold fake markup.
 NOISE_PATTERN = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
@@ -51,9 +51,9 @@ def attribute_pattern(name: str) -> str:
     return rf"(?i)^<[a-z][^ \t\r\n\f/>]*(?:{other})*?{blank}+{name}{blank}*={blank}*({value})"
 
 
-def strip_noise(c: ColumnOrName) -> Column:
-    """Delete scripts, styles and comments (they may hold fake markup)."""
-    return F.regexp_replace(_col(c), NOISE_PATTERN, "")
+def noise_free_sql(html: str) -> str:
+    """SQL text of a page without scripts, styles and comments."""
+    return f"regexp_replace({html}, {sql_literal(NOISE_PATTERN)}, '')"
 
 
 # --- selectors ------------------------------------------------------------------
@@ -101,68 +101,70 @@ def any_pattern(selectors: Sequence[str]) -> str:
 
 # --- the stream -------------------------------------------------------------------
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, attribute_pattern(name), 1)
-    return F.translate(F.regexp_replace(value, QUOTES_PATTERN, ""), PARTING, STAND_INS)
+def _safe(e: str) -> str:
+    return f"translate({e}, {sql_literal(PARTING)}, {sql_literal(STAND_INS)})"
 
 
-def _token(token: Column) -> Column:
-    """(kind, tag, code, text): kind is text, open, empty (opens nothing), close or none."""
-    def described(tag: Column) -> Column:
-        classes = F.regexp_replace(F.trim(F.regexp_replace(_attribute(token, "class"), BLANKS_PATTERN, " ")), " ", ".")
-        code = F.concat(F.lit("/"), tag, F.lit("#"), _attribute(token, "id"), F.lit("#."), F.when(classes == "", "").otherwise(F.concat(classes, F.lit("."))))
-        kind = (F.when(token.startswith("</"), "close")
-                .when(tag.isin(VOID) | token.rlike(SELF_CLOSED_PATTERN), "empty").otherwise("open"))
-        is_tag = tag != ""
-        kind = F.when(is_tag, kind).when(token.rlike("^<."), "none").otherwise("text")
-        return F.struct(kind.alias("kind"), tag.alias("tag"), F.when(kind == "open", code).otherwise("").alias("code"), token.alias("text"))
+def _attribute(tag: str, name: str) -> str:
+    value = f"regexp_extract({tag}, {sql_literal(attribute_pattern(name))}, 1)"
+    return _safe(f"regexp_replace({value}, {sql_literal(QUOTES_PATTERN)}, '')")
 
-    return _let(F.translate(F.lower(F.regexp_extract(token, NAME_PATTERN, 1)), PARTING, STAND_INS), described)
 
+def tokens_sql(html: str) -> str:
+    """SQL text of a page's tags and texts in order: (kind, tag, code, text), where kind is
+    text, open, empty (opens nothing), close or none."""
+    void = ", ".join(map(sql_literal, VOID))
+    kind = ("CASE WHEN _tag = '' THEN CASE WHEN _token RLIKE '^<.' THEN 'none' ELSE 'text' END WHEN startswith(_token, '</') THEN 'close' "
+            f"WHEN _tag IN ({void}) OR _token RLIKE {sql_literal(SELF_CLOSED_PATTERN)} THEN 'empty' ELSE 'open' END")
+    classes = f"replace(trim(regexp_replace({_attribute('_token', 'class')}, {sql_literal(BLANKS_PATTERN)}, ' ')), ' ', '.')"
+    marks = f"concat({_attribute('_token', 'id')}, '#.', {sql_let(classes, '_classes', "if(_classes = '', '', concat(_classes, '.'))")})"
+    # a tag of its name alone has no attributes to look for
+    code = f"concat('/', _tag, '#', CASE WHEN length(_token) = length(_tag) + 2 THEN '#.' ELSE {marks} END)"
+    described = sql_let(kind, "_kind", "named_struct('kind', _kind, 'tag', _tag, 'code', "
+                        f"CASE WHEN _kind = 'open' THEN {code} ELSE '' END, 'text', _token)")
+    name = _safe(f"lower(regexp_extract(_token, {sql_literal(NAME_PATTERN)}, 1))")
+    found = f"regexp_extract_all({noise_free_sql(html)}, {sql_literal(TOKEN_PATTERN)}, 0)"
+    return f"transform({found}, _token -> {sql_let(name, '_tag', described)})"
 
-def tokens_of(html: ColumnOrName) -> Column:
-    """A page's tags and texts in order, (kind, tag, code, text) each."""
-    return F.transform(F.regexp_extract_all(strip_noise(html), F.lit(TOKEN_PATTERN), 0), _token)
 
+def _cut(path: str, mark: str) -> str:
+    """SQL text of ``path`` before the last element that begins with ``mark``; all of it if none does."""
+    return (f"CASE WHEN instr({path}, {mark}) = 0 THEN {path} ELSE "
+            f"substr({path}, 1, length({path}) - length(substring_index({path}, {mark}, -1)) - length({mark})) END")
 
-def _cut(path: Column, mark: Column) -> Column:
-    """``path`` before the last element that begins with ``mark``; all of it if none does."""
-    behind = F.call_function("substring_index", path, mark, F.lit(-1))
-    return F.when(F.instr(path, mark) == 0, path).otherwise(
-        F.substr(path, F.lit(1), F.length(path) - F.length(behind) - F.length(mark)))
 
+def nodes_sql(html: str, wanted: str | None = None) -> str:
+    """SQL text of ``text_nodes``; ``wanted`` is SQL too."""
+    ends = f"_x.tag IN ({', '.join(map(sql_literal, ENDS_PARAGRAPH))})"
+    path = ("CASE _x.kind WHEN 'text' THEN _s.path WHEN 'none' THEN _s.path "
+            f"WHEN 'close' THEN {_cut('_s.path', "concat('/', _x.tag, '#')")} "
+            f"ELSE concat(CASE WHEN {ends} THEN {_cut('_s.path', "'/p#'")} ELSE _s.path END, _x.code) END")
+    keep = "_x.kind = 'text'" + (f" AND _s.path RLIKE {wanted}" if wanted is not None else "")
+    nodes = f"CASE WHEN {keep} THEN concat(_s.nodes, array(named_struct('path', _s.path, 'text', _x.text))) ELSE _s.nodes END"
+    start = "named_struct('path', '', 'nodes', cast(array() AS array<struct<path:string,text:string>>))"
+    return f"aggregate({tokens_sql(html)}, {start}, (_s, _x) -> named_struct('path', {path}, 'nodes', {nodes})).nodes"
 
-def text_nodes(html: ColumnOrName, wanted: str | Column | None = None) -> Column:
+
+def text_nodes(html: str, wanted: str | None = None) -> Column:
     """(path, text) of a page's text nodes in order, references not yet decoded.
 
-    ``wanted`` (a pattern, or a Column of them) keeps only nodes on such paths,
-    so that the fold gathers no others.  NULL for NULL pages.
+    ``html`` is a column's name or an SQL expression.  ``wanted``, a pattern (of
+    ``path_pattern`` or ``any_pattern``), keeps only nodes on such paths, so that
+    the fold gathers no others.  NULL for NULL pages.
     """
-    def paths(path: Column, token: Column) -> Column:
-        ends = token["tag"].isin(ENDS_PARAGRAPH) & path.contains("/p#")
-        base = F.when(ends, _cut(path, F.lit("/p#"))).otherwise(path)
-        return (F.when(token["kind"].isin("text", "none"), path)
-                .when(token["kind"] == "close", _cut(path, F.concat(F.lit("/"), token["tag"], F.lit("#"))))
-                .otherwise(F.concat(base, token["code"])))
-
-    def step(state: Column, token: Column) -> Column:
-        keep = token["kind"] == "text"
-        if wanted is not None:
-            keep = keep & F.rlike(state["path"], F.lit(wanted) if isinstance(wanted, str) else wanted)
-        node = F.array(F.struct(state["path"].alias("path"), token["text"].alias("text")))
-        return F.struct(paths(state["path"], token).alias("path"),
-                        F.when(keep, F.concat(state["nodes"], node)).otherwise(state["nodes"]).alias("nodes"))
-
-    nothing = F.array().cast("array<struct<path:string,text:string>>")
-    return F.aggregate(tokens_of(html), F.struct(F.lit("").alias("path"), nothing.alias("nodes")), step)["nodes"]
-
-
-def selected(nodes: ColumnOrName, pattern: str | Column) -> Column:
-    """The texts of the nodes whose path a pattern (of ``path_pattern``) matches, in page order."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.transform(F.filter(_col(nodes), lambda n: F.rlike(n["path"], pattern)), lambda n: n["text"])
-
-
-def selected_by(nodes: ColumnOrName, selectors: Sequence[str]) -> Column:
-    """The texts that each selector takes, selector by selector."""
-    return F.concat(*[selected(nodes, path_pattern(s)) for s in selectors])
+    return F.expr(nodes_sql(html, None if wanted is None else sql_literal(wanted)))
+
+
+def selected_sql(nodes: str, pattern: str) -> str:
+    """SQL text of the texts of the nodes (SQL) whose path a pattern (SQL) matches, in page order."""
+    return f"transform(filter({nodes}, _n -> _n.path RLIKE {pattern}), _n -> _n.text)"
+
+
+def selected_by_sql(nodes: str, selectors: Sequence[str]) -> str:
+    """SQL text of the texts that each selector takes, selector by selector."""
+    return f"concat({', '.join(selected_sql(nodes, sql_literal(path_pattern(s))) for s in selectors)})"
+
+
+def selected_by(nodes: str, selectors: Sequence[str]) -> Column:
+    """The texts that each selector takes of a column of nodes, selector by selector."""
+    return F.expr(selected_by_sql(nodes, selectors))

@@ -17,7 +17,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.text import ColumnOrName, _col, _let
+from textlake.functions.text import sql_let, sql_literal
 
 #: The reference at the start of what follows an ampersand.
 REFERENCE_PATTERN = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
@@ -49,36 +49,34 @@ def _by_letter() -> str:
     return json.dumps(letters)
 
 
-def code_point(number: Column) -> Column:
-    """The sign of a code point (a bigint)."""
-    renumbered = F.from_json(F.lit(json.dumps(RENUMBERED)), "map<string,string>")
-    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    beyond = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    return F.when(beyond, F.lit(REPLACEMENT)).otherwise(F.coalesce(F.try_element_at(renumbered, number.cast("string")), plain))
+def _code_point(number: str) -> str:
+    """SQL text of the sign of a code point (a bigint)."""
+    renumbered = f"try_element_at(from_json({sql_literal(json.dumps(RENUMBERED))}, 'map<string,string>'), string({number}))"
+    return (f"CASE WHEN {number} > 1114111 OR {number} BETWEEN 55296 AND 57343 THEN {sql_literal(REPLACEMENT)} "
+            f"ELSE coalesce({renumbered}, decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')) END")
 
 
-def _number(name: Column) -> Column:
-    """The code point that ``#8217;`` or ``#xe4;`` names; very long numbers are beyond all."""
-    digits = F.regexp_replace(name, "^#[xX]?0*|;", "")
-    base = F.when(F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x", 16).otherwise(10)
-    decimal = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits)
-    return F.when(F.length(digits) > 8, F.lit(0x110000).cast("bigint")).when(digits == "", F.lit(0).cast("bigint")).otherwise(decimal.cast("bigint"))
+def _number(name: str) -> str:
+    """SQL text of the code point that ``#8217;`` or ``#xe4;`` names; very long numbers are beyond all."""
+    value = (f"CASE WHEN length(_digits) > 8 THEN 1114112L WHEN _digits = '' THEN 0L "
+             f"WHEN lower(substr({name}, 2, 1)) = 'x' THEN bigint(conv(_digits, 16, 10)) ELSE bigint(_digits) END")
+    return sql_let(f"regexp_replace({name}, '^#[xX]?0*|;', '')", "_digits", value)
 
 
-def decode_references(c: ColumnOrName) -> Column:
-    """Text with its character references replaced by what they stand for."""
-    parts = F.split(_col(c), "&")
-    names = F.from_json(F.lit(_by_letter()), "map<string,map<string,string>>")
-
-    def known(name: Column) -> Column:
-        number = F.when(F.substr(name, F.lit(2), F.lit(1)) != "", _let(_number(name), code_point))
-        return F.when(name.startswith("#"), number).otherwise(
-            F.try_element_at(F.try_element_at(names, F.substr(name, F.lit(1), F.lit(1))), name))
+def decode_sql(e: str) -> str:
+    """SQL text of ``e`` with its character references replaced."""
+    named = (f"try_element_at(try_element_at(from_json({sql_literal(_by_letter())}, 'map<string,map<string,string>>'), "
+             "substr(_name, 1, 1)), _name)")
+    known = f"CASE WHEN startswith(_name, '#') THEN {sql_let(_number('_name'), '_code', _code_point('_code'))} ELSE {named} END"
+    sign = sql_let(f"regexp_extract(_part, {sql_literal(REFERENCE_PATTERN)}, 1)", "_name",
+                   f"coalesce(concat({known}, substr(_part, length(_name) + 1)), concat('&', _part))")
+    parts = "split(_whole, '&')"
+    decoded = f"array_join(concat(slice({parts}, 1, 1), transform(slice({parts}, 2, size({parts})), _part -> {sign})), '')"
+    # a text without an ampersand, as most are, is not cut at all
+    return sql_let(e, "_whole", f"CASE WHEN instr(_whole, '&') = 0 THEN _whole ELSE {decoded} END")
 
-    def sign(part: Column) -> Column:
-        return _let(F.regexp_extract(part, REFERENCE_PATTERN, 1), lambda name: F.coalesce(
-            F.concat(known(name), F.substr(part, F.length(name) + 1, F.length(part))), F.concat(F.lit("&"), part)))
 
-    decoded = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), sign))
-    # a text without an ampersand, as most are, is not cut at all
-    return F.when(F.instr(_col(c), "&") == 0, _col(c)).otherwise(F.array_join(decoded, ""))
+def decode_references(e: str) -> Column:
+    """Text (a column's name or an SQL expression) with its character references
+    replaced by what they stand for."""
+    return F.expr(decode_sql(e))

@@ -35,6 +35,16 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sql_literal(s: str) -> str:
+    """A string as Spark SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` in which ``name`` stands for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 # Every code point except [a-zA-Z0-9 ], written as positive ranges.  It is
 # the same set as [^a-zA-Z0-9 ], but java.util.regex scans a run of positive
 # ranges about five times faster than that negated class (measured on the

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from textlake.functions.constants import (CONTENT_SELECTORS, GATE_KEY_SELECTOR, GATE_SLOT_SELECTOR,
                                           LIST_SELECTORS, TITLE_SELECTORS)
-from textlake.functions.html import anchor_texts, hrefs, joined_text, page_paragraphs
-from textlake.functions.markup import any_pattern, path_pattern, selected, selected_by, text_nodes
-from textlake.functions.references import decode_references
+from textlake.functions.html import anchor_texts, decoded_sql, hrefs, joined_text, page_paragraphs
+from textlake.functions.markup import (any_pattern, nodes_sql, path_pattern, selected_by_sql,
+                                       selected_sql, text_nodes)
 from textlake.functions.text import normalize_array
 from textlake.functions.urls import resolve_href, url_host, url_lang
 
@@ -32,9 +32,9 @@ def page_extract(pages: DataFrame, url: str = "url", html: str = "html",
     folded = pages.select(*keep, F.col(url).alias("link"), nodes.alias("_nodes"))
     return folded.select(
         *keep,
-        joined_text(selected_by("_nodes", title)).alias("title"),
-        joined_text(selected_by("_nodes", content)).alias("content"),
-        normalize_array(F.transform(selected_by("_nodes", speakers), decode_references)).alias("speakers"),
+        joined_text(selected_by_sql("_nodes", title)).alias("title"),
+        joined_text(selected_by_sql("_nodes", content)).alias("content"),
+        normalize_array(F.expr(decoded_sql(selected_by_sql("_nodes", speakers)))).alias("speakers"),
         "link",
     )
 
@@ -58,7 +58,7 @@ def page_gate_condition(special: Sequence[str], slot: str | Column = GATE_SLOT_S
     """
     url_key = url_lang(url)
     content_key = page_key(html, key)
-    slots = F.size(selected(text_nodes(html, path_pattern(slot)), path_pattern(slot)) if isinstance(slot, str) else slot)
+    slots = F.size(text_nodes(html, path_pattern(slot)) if isinstance(slot, str) else slot)
     return (F.when(url_key.isin(list(special)), slots > 0)
             .otherwise((content_key != "") & (F.instr(content_key, url_key) > 0)))
 
@@ -67,7 +67,7 @@ def page_key(html: str = "html", key: str | Column = GATE_KEY_SELECTOR) -> Colum
     """The key that a page's markup holds, by a selector or as a Column."""
     if isinstance(key, Column):
         return key
-    return F.array_join(selected(text_nodes(html, path_pattern(key)), path_pattern(key)), " ")
+    return F.array_join(F.transform(text_nodes(html, path_pattern(key)), lambda n: n["text"]), " ")
 
 
 def page_gate(pages: DataFrame, special: Sequence[str], slot: str | Column = GATE_SLOT_SELECTOR,
@@ -124,14 +124,14 @@ def page_extract_by_layout(pages: DataFrame, layouts: DataFrame, site_key,
     their size allows it.  Pages whose key has no layout keep NULL fields.
     """
     keyed = pages.select(*keep, F.col(url).alias("link"), site_key.alias("site_key"), F.col(html).alias("_html"))
-    folded = keyed.join(layouts, on="site_key", how="left").withColumn("_nodes", text_nodes("_html", F.col("wanted")))
+    folded = keyed.join(layouts, on="site_key", how="left").withColumn("_nodes", F.expr(nodes_sql("_html", "wanted")))
 
-    def texts(field: str) -> Column:
-        return F.flatten(F.transform(F.col(field), lambda pattern: selected("_nodes", pattern)))
+    def texts(field: str) -> str:
+        return f"flatten(transform({field}, _rule -> {selected_sql('_nodes', '_rule')}))"
 
     return folded.select(*keep, "link", "site_key", joined_text(texts("title")).alias("title"),
                          joined_text(texts("content")).alias("content"),
-                         normalize_array(F.transform(texts("speakers"), decode_references)).alias("speakers"))
+                         normalize_array(F.expr(decoded_sql(texts("speakers")))).alias("speakers"))
 
 
 def direct_paragraph_text(pages: DataFrame, html: str = "html",
