@@ -76,7 +76,7 @@ def test_tfidf_join_is_sort_merge_with_reused_tf(large_path):
 def test_hot_term_is_spread_and_texts_are_read_once(spark):
     """A term in every document, without broadcasts and without AQE: no task
     of the join holds more than a part of its rows, and the plan has one
-    explode of the tokens (the other one repeats the vocabulary per salt)."""
+    explode of the tokens."""
     from pyspark.sql import functions as F
 
     from textlake.operators import tfidf

@@ -10,20 +10,25 @@ when each group is treated as one document):
 
 Plan: one aggregation of the token stream to (key, term, tf) -- the map-side
 partial aggregate already finishes it, since a document's tokens come from
-one row -- a partial-aggregated (term, df) table, a scalar subquery for m,
-and an equi-join on (term, salt).  A term of every document is a hot join
-key; AQE's skew join does not split it (the df side arrives from an
-aggregate, not from a shuffle), so the tf side is salted by its key and the
-df side, the vocabulary, is repeated once per salt.  Treating a group as one
-document never concatenates the group's texts: the bag of words of the
-concatenation is the sum of the members' bags, which is what the
-aggregation computes, so no single row or task ever holds a whole group.
+one row -- a scalar subquery for m, and a join that brings each row what
+belongs to its term (df, the bucket).  A term of every document is a hot join
+key; AQE's skew join does not split it (the other side arrives from an
+aggregate, not from a shuffle), so rows carry a salt, a hash of their key, and
+the terms' values are joined back to the (term, salt) pairs that occur: at most
+as many rows as the (key, term) table has, one for a word that stands once.
+Where the key is a group, a term has at most as many rows as there are groups,
+and ``salts=1`` joins on the term alone.  Treating a group as one document never
+concatenates the group's texts: the bag of words of the concatenation is the sum
+of the members' bags, which is what the aggregation computes, so no single row
+or task ever holds a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Tokenizer
 from pyspark.sql import Column, DataFrame, Window
@@ -62,26 +67,43 @@ def idf(df_col: Column, m: Column) -> Column:
     return F.log((m + F.lit(1)).cast("double") / (df_col + F.lit(1)).cast("double"))
 
 
-def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body", salts: int = 16
-                ) -> DataFrame:
-    """(key, term, score, tf) for every distinct term of every document.
+def with_term_values(tf: DataFrame, key: Sequence[str], salts: int, values: Sequence[Column] = ()) -> DataFrame:
+    """``tf`` with ``df`` and further ``values`` of its term (Columns over ``term``),
+    each computed once for each term.
 
-    The rows of one term meet its df in ``salts`` separate partitions, by a
-    hash of their key: with a term in every document none of them holds
-    more than about 1 / ``salts`` of its rows.  The texts are normalized
-    once; both join sides start from the same (key, term) shuffle.
+    With salts the rows of one term meet its values in so many separate
+    partitions.  First (term, salt) is counted, then term; the totals go back
+    to the pairs that occur, and those to the rows.
+
+    The conditions on the counts are always true: they keep the counts, and so
+    ``tf``, alive on every path, whatever the caller reads.  All paths are then
+    one plan up to the (key, term) shuffle, which Spark makes once.
     """
-    tf = term_frequencies(docs, key, body)
-    each_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    dfreq = document_frequency(tf).select("term", "df", each_salt)
-    m = n_documents(docs, key)
-    score = (F.col("tf") * idf(F.col("df"), m)).alias("score")
+    holds = F.sum((F.col("tf") > 0).cast("long"))
+    if salts == 1:
+        whole = tf.groupBy("term").agg(holds.alias("df")).where("df > 0")
+        return tf.join(whole.select("term", "df", *values), on="term")
     # never NULL: a salt that might be would add a test to one side only, and
     # the two sides would no longer share their shuffle
     salt = F.coalesce(F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"), F.lit(0))
     salted = tf.withColumn("_salt", salt)
-    return salted.join(dfreq, on=["term", "_salt"]).select(
-        *key, "term", score, F.col("tf").cast("double").alias("tf"))
+    part = salted.groupBy("term", "_salt").agg(holds.alias("n"))
+    whole = part.groupBy("term").agg(F.sum("n").alias("df")).select("term", "df", *values)
+    totals = part.join(whole, on="term").where("df >= n").drop("n")
+    return salted.join(totals, on=["term", "_salt"]).drop("_salt")
+
+
+def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body", salts: int = 16
+                ) -> DataFrame:
+    """(key, term, score, tf) for every distinct term of every document.
+
+    The texts are normalized once; both join sides start from the same
+    (key, term) shuffle.  ``salts``: over how many partitions the rows of one
+    term are spread; 1 where the keys are groups.
+    """
+    tf = with_term_values(term_frequencies(docs, key, body), key, salts)
+    score = (F.col("tf") * idf(F.col("df"), n_documents(docs, key))).alias("score")
+    return tf.select(*key, "term", score, F.col("tf").cast("double").alias("tf"))
 
 
 def document_frequency_of_rows(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -166,6 +188,33 @@ def idf_vectors(featurized: DataFrame) -> DataFrame:
     return IDF(inputCol="rawFeatures", outputCol="features").fit(featurized).transform(featurized)
 
 
+@contextmanager
+def cached_features(docs: DataFrame, body: str = "body", num_features: int = NUM_FEATURES):
+    """``hashed_features`` persisted (memory, then disk) while the block runs, so that
+    the fit and the transform read it once made; afterwards just this frame is
+    released.  What is made of it inside the block must be written there."""
+    frame = hashed_features(docs, body, num_features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield frame
+    finally:
+        frame.unpersist()
+
+
+def term_presence(vectors: DataFrame, key: Sequence[str], terms: Sequence[str], raw: str = "rawFeatures",
+                  features: str = "features") -> DataFrame:
+    """(key, term, bucket, tf, weight, present): for each row of ``vectors`` and each of
+    ``terms`` its bucket, whether that is among the vector's indices, and the
+    entries there (0 where it is not): the occurrences and the tf-idf weight."""
+    rv, fv = vector_entries(F.col(raw)), vector_entries(F.col(features))
+    asked = F.array(*[F.struct(F.lit(t).alias("term"), hashing_tf_bucket(F.lit(t), rv["size"]).alias("bucket")) for t in terms])
+    rows = vectors.select(*key, rv["indices"].alias("_i"), rv["values"].alias("_tf"), fv["indices"].alias("_fi"),
+                          fv["values"].alias("_w"), F.explode(asked).alias("_a"))
+    at = lambda indices: F.array_position(indices, F.col("_a.bucket")).cast("int")
+    entry = lambda indices, values: F.coalesce(F.try_element_at(values, F.nullif(at(indices), F.lit(0))), F.lit(0.0))
+    return rows.select(*key, "_a.term", "_a.bucket", entry("_i", F.col("_tf")).alias("tf"), entry("_fi", F.col("_w")).alias("weight"),
+                       (at("_i") > 0).alias("present"))
+
+
 def hashed_tfidf_vectors(docs: DataFrame, body: str = "body",
                          num_features: int = NUM_FEATURES) -> DataFrame:
     """Input rows + ``words``, ``rawFeatures`` (tf) and ``features`` (tf-idf)
@@ -173,17 +222,9 @@ def hashed_tfidf_vectors(docs: DataFrame, body: str = "body",
     return idf_vectors(hashed_features(docs, body, num_features))
 
 
-VECTOR_STRUCT = "struct<v: struct<type: tinyint, size: int, indices: array<int>, " \
-                "values: array<double>>>"
-
-
 def vector_entries(v: Column) -> Column:
-    """A ML vector column as its storage struct (type, size, indices, values).
-
-    ``to_json`` serializes the vector through its SQL type, and ``from_json``
-    reads that back as a plain struct: JVM-side, no Python worker.
-    """
-    return F.from_json(F.to_json(F.struct(v.alias("v"))), VECTOR_STRUCT)["v"]
+    """A ML vector column as its storage struct (type, size, indices, values)."""
+    return F.unwrap_udt(v)
 
 
 def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
@@ -208,13 +249,13 @@ def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
 
 
 def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
-                        num_features: int = NUM_FEATURES) -> DataFrame:
+                        num_features: int = NUM_FEATURES, salts: int = 16) -> DataFrame:
     """(key, term, score, tf) as read from the hashed vectors.
 
     A term's tf and score are those of its bucket (terms of one document
     that share a bucket add up), computed with a window and aggregations
     instead of vectors and positional zips (the bucket is computed once per
-    (key, term) row, above the aggregate of the tokens):
+    term and joined to its rows, see ``with_term_values``):
       (key, term, tf) -> + bucket -> window over (key, bucket): btf, first
       (bucket, bdf = documents holding the bucket)
     A (key, bucket) window partition holds only the terms of one document
@@ -222,8 +263,7 @@ def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
     (bucket, bdf) table has at most ``num_features`` rows -- a bound that
     does not grow with the data -- so it is broadcast.
     """
-    tf = term_frequencies(docs, key, body).withColumn(
-        "bucket", hashing_tf_bucket("term", num_features))
+    tf = with_term_values(term_frequencies(docs, key, body), key, salts, [hashing_tf_bucket("term", num_features).alias("bucket")])
     cell = Window.partitionBy(*key, "bucket").orderBy("term")
     whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = tf.select(*key, "term", "bucket", F.sum("tf").over(whole).alias("btf"),

@@ -25,3 +25,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_by_range(df: DataFrame, name: str, column: str, partitions: int | None = None) -> DataFrame:
+    """``materialize`` with the rows laid out by ranges of ``column``, sorted in each
+    file: a later filter on it reads few row groups, whose least and largest
+    values Parquet keeps.  Rows with one value may spread over several ranges'
+    files only where Spark's sampling cuts there; a very common value makes one
+    large file."""
+    dealt = df.repartitionByRange(column) if partitions is None else df.repartitionByRange(partitions, column)
+    return materialize(dealt.sortWithinPartitions(column), name)

@@ -286,6 +286,24 @@ def _host_allowed(host: str) -> str:
                              for d in P.LINK_ALLOWED_DOMAINS) + ")"
 
 
+def json_string(e: str) -> str:
+    """A string as JSON text, as Spark writes it."""
+    out = f"replace(replace({e}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+    for sign, short in ((8, "b"), (9, "t"), (10, "n"), (12, "f"), (13, "r")):
+        out = f"replace({out}, chr({sign}), chr(92) || '{short}')"
+    return f"'\"' || {out} || '\"'"
+
+
+def broken_lines_sql() -> str:
+    fields = (("title", "source"), ("content", "text"), ("speakers", None), ("link", "doc_id::VARCHAR"))
+    parts = [f"'\"{name}\":' || " + (json_string(e) if e else f"'[' || {json_string('lang')} || ']'") for name, e in fields]
+    line = "'{' || " + " || ',' || ".join(parts) + " || '}'"
+    return (f"WITH l AS (SELECT *, doc_id % {P.BROKEN_EVERY} AS kind, {line} AS line FROM documents) "
+            "SELECT kind < 2 AS broken, CASE WHEN kind >= 2 THEN source END AS title, "
+            "CASE WHEN kind >= 2 THEN text WHEN kind = 0 THEN substr(line, 1, length(line) - 2) ELSE '#' || line END AS content, "
+            "CASE WHEN kind >= 2 THEN lang END AS speakers, CASE WHEN kind >= 2 THEN doc_id::VARCHAR END AS link FROM l")
+
+
 def layouts_sql() -> str:
     """One set of selected nodes for all pages; a layout's selectors count for its own site's."""
     site = f"regexp_extract(url, {q(URL_LANG_PATTERN)}, 1)"
@@ -386,7 +404,6 @@ ORACLES: dict[str, str] = {
         "GROUP BY role, word"),
     "document_frequency": f"WITH {tf_cte('doc_id')} SELECT term, df FROM dfq",
     "tfidf_exact": scores_out("doc_id"),
-    "tfidf_exact_hot_split": scores_out("doc_id"),
     "tfidf_per_group": scores_out(G),
     "tfidf_per_source": scores_out(G2),
     "top_terms_per_group": top_terms(G),
@@ -465,6 +482,20 @@ ORACLES: dict[str, str] = {
     "tfidf_hashed": hashed_out("doc_id"),
     "tfidf_hashed_vectors": hashed_out("doc_id"),
     "tfidf_hashed_per_group": hashed_out(G),
+    "tfidf_cached_features": hashed_out("doc_id"),
+    "term_presence": (
+        f"WITH {tf_cte('doc_id')}, asked AS (SELECT unnest({sql_list(P.PRESENCE_TERMS)}) AS term), "
+        f"terms AS (SELECT term FROM tf UNION SELECT term FROM asked), {murmur_ctes('terms')}, "
+        "cells AS (SELECT doc_id, bucket, CAST(sum(tf) AS BIGINT) AS btf FROM tf JOIN buckets USING (term) GROUP BY doc_id, bucket), "
+        "bd AS (SELECT bucket, count(*) AS bdf FROM cells GROUP BY bucket) "
+        "SELECT d.doc_id AS doc_id, a.term AS term, b.bucket AS bucket, coalesce(btf, 0)::DOUBLE AS tf, "
+        f"coalesce({rnd('btf * ln((m.m + 1)::DOUBLE / (bdf + 1)::DOUBLE)')}, 0) AS weight, btf IS NOT NULL AS present "
+        "FROM (SELECT doc_id FROM docs) d CROSS JOIN asked a JOIN buckets b USING (term) CROSS JOIN m "
+        "LEFT JOIN cells c ON c.doc_id = d.doc_id AND c.bucket = b.bucket LEFT JOIN bd ON bd.bucket = b.bucket"),
+    "normalize_text_table": f"SELECT doc_id, {normalize('text')} AS body FROM documents",
+    "timeline_materialized": (f"WITH {TOKS}, {WC_GROUP} SELECT {G}, word, count FROM wc "
+                              f"WHERE word IN {TERMS} ORDER BY {G}, count, word"),
+    "scan_jsonl_broken": broken_lines_sql(),
     "hash_bucket_terms": (
         f"WITH {tf_cte('doc_id')}, terms AS (SELECT DISTINCT term FROM tf), {murmur_ctes('terms')}, "
         "held AS (SELECT bucket, count(*) AS n_terms FROM buckets GROUP BY bucket), "

@@ -34,6 +34,11 @@ DOCUMENT_KEY_VALUE = 7
 
 PREVIEW_ROWS = 10
 
+# Terms looked up in the vectors: common ones, one of few documents, one of none.
+PRESENCE_TERMS = ["with", "und", "que", "license", "notaterm"]
+# Of so many documents' lines one is cut short and one has a stray sign before it.
+BROKEN_EVERY = 10
+
 # Page gate: keys whose page key is unreliable, and the slot field that
 # must be present instead ("has a closing html tag").
 GATE_SPECIAL = ["de", "es"]

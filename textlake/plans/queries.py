@@ -18,9 +18,10 @@ from textlake.functions.constants import TOP_RANK_PER_GROUP, TOP_TF_IN_GROUP, TO
 from textlake.functions.text import (clean_string, glue_phrases, normalize_array, normalize_text,
                                      remove_stopwords, strip_plural)
 from textlake.functions.urls import url_group_key, url_group_key_default
-from textlake.operators import counts, documents, pages, stats, tfidf, trends
+from textlake.operators import counts, documents, normalize, pages, stats, tfidf, trends
 from textlake.plans import params as P
 from textlake.plans import sql_api
+from textlake.plans.materialize import materialize, materialize_by_range
 from textlake.session import shared_dir
 from textlake.sources import files, tables
 
@@ -123,6 +124,40 @@ def q_sink_jsonl(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
+def _broken_lines(spark, sf_dir):
+    """Documents as JSON lines of which some were cut or garbled on the way."""
+    docs = tables.read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])
+    line = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("content"), F.array("lang").alias("speakers"),
+                              F.col("doc_id").cast("string").alias("link")))
+    kind = F.pmod("doc_id", F.lit(P.BROKEN_EVERY))
+    return docs.select("doc_id", F.when(kind == 0, F.substr(line, F.lit(1), F.length(line) - 2)).when(kind == 1, F.concat(F.lit("#"), line))
+                       .otherwise(line).alias("line"))
+
+
+def q_scan_jsonl_broken(spark, sf_dir):
+    """Lines that parse as documents, and the broken ones as they were read."""
+    path = files.write_wordlist(_broken_lines(spark, sf_dir), "line", shared_dir(spark, "jsonl"))
+    good, bad = files.read_jsonl_checked(spark, path)
+    good = good.select(F.lit(False).alias("broken"), "title", "content", _joined("speakers"), "link")
+    none = [F.lit(None).cast("string").alias(c) for c in ("title", "speakers", "link")]
+    return good.unionByName(bad.select(F.lit(True).alias("broken"), F.col("line").alias("content"), *none))
+
+
+def q_normalize_text_table(spark, sf_dir):
+    """The normalizer with its stopwords from a word file."""
+    words = spark.createDataFrame([(w,) for w in P.STOPWORDS], "word string")
+    path = files.write_wordlist(words, "word", shared_dir(spark, "wordlist"))
+    return normalize.normalize_with_words(_text(spark, sf_dir), ["doc_id"], "text", files.read_wordlist(spark, path),
+                                          P.FIXTURE_PHRASES)
+
+
+def q_timeline_materialized(spark, sf_dir):
+    """The timeline of a written count table: only row groups that may hold its words are read."""
+    counted = counts.word_count_per_group(_docs(spark, sf_dir), [P.GROUP])
+    written = materialize_by_range(counted, "word-counts", "word")
+    return trends.timeline(written, [P.GROUP], P.TIMELINE_TERMS)
+
+
 def q_scan_wordlist(spark, sf_dir):
     """Distinct words of part names written one per line, then scanned."""
     part = tables.read_table(spark, sf_dir, "part", ["p_name"])
@@ -279,23 +314,17 @@ def q_tfidf_exact(spark, sf_dir):
     return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"]), ["doc_id"])
 
 
-def q_tfidf_exact_hot_split(spark, sf_dir):
-    """tfidf_exact with its terms' rows over more partitions; same rows."""
-    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), ["doc_id"], salts=64)
-    return _round_scores(scores, ["doc_id"])
-
-
 def q_tfidf_per_group(spark, sf_dir):
-    return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), [P.GROUP]), [P.GROUP])
+    return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), [P.GROUP], salts=1), [P.GROUP])
 
 
 def q_tfidf_per_source(spark, sf_dir):
-    return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), [P.SECOND_GROUP]),
+    return _round_scores(tfidf.tfidf_exact(_docs(spark, sf_dir), [P.SECOND_GROUP], salts=1),
                          [P.SECOND_GROUP])
 
 
 def _top_terms(spark, sf_dir, group):
-    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), [group])
+    scores = tfidf.tfidf_exact(_docs(spark, sf_dir), [group], salts=1)
     top = tfidf.top_terms_per_group(scores, [group], TOP_RANK_PER_GROUP)
     return top.select(group, "term", _r("score").alias("score"),
                       F.col("rank").cast("bigint").alias("rank"))
@@ -376,8 +405,25 @@ def q_tfidf_hashed_vectors(spark, sf_dir):
     return _round_scores(tfidf.vector_scores(vec, ["doc_id"]), ["doc_id"])
 
 
+def q_tfidf_cached_features(spark, sf_dir):
+    """The vectors of documents whose features are kept between the fit and the
+    transform: the long score table is written inside the block and read back."""
+    docs = _docs(spark, sf_dir).select("doc_id", "body")
+    with tfidf.cached_features(docs) as features:
+        scores = tfidf.vector_scores(tfidf.idf_vectors(features), ["doc_id"])
+        written = materialize(_round_scores(scores, ["doc_id"]), "cached-scores")
+    return written
+
+
+def q_term_presence(spark, sf_dir):
+    """Which of some terms' buckets each document's vector holds, and with what weight."""
+    vectors = tfidf.hashed_tfidf_vectors(_docs(spark, sf_dir).select("doc_id", "body"))
+    out = tfidf.term_presence(vectors, ["doc_id"], P.PRESENCE_TERMS)
+    return out.select("doc_id", "term", F.col("bucket").cast("bigint").alias("bucket"), "tf", _r("weight").alias("weight"), "present")
+
+
 def q_tfidf_hashed_per_group(spark, sf_dir):
-    scores = tfidf.tfidf_hashed_scores(_docs(spark, sf_dir), [P.GROUP])
+    scores = tfidf.tfidf_hashed_scores(_docs(spark, sf_dir), [P.GROUP], salts=1)
     return _round_scores(scores, [P.GROUP])
 
 
@@ -407,7 +453,7 @@ def q_session_timeline_relative(spark, sf_dir):
 
 
 def q_session_top_terms_per_group(spark, sf_dir):
-    scores = tfidf.tfidf_exact(_sessions(spark, sf_dir), [P.GROUP])
+    scores = tfidf.tfidf_exact(_sessions(spark, sf_dir), [P.GROUP], salts=1)
     top = tfidf.top_terms_per_group(scores, [P.GROUP], TOP_RANK_PER_GROUP)
     return top.select(P.GROUP, "term", _r("score").alias("score"),
                       F.col("rank").cast("bigint").alias("rank"))
