@@ -1,4 +1,4 @@
-"""Line dedup (native): fuzzy lines by an exact join of rare word pairs and edit similarity.
+"""Line dedup (native): fuzzy lines by SimHash, pigeonhole blocks and edit similarity.
 
 1. *Lines.*  Texts are cut at line feeds; a line is normalised to lower case
    with blanks for everything but letters (a to z and signs beyond ASCII), so
@@ -6,16 +6,16 @@
    128-bit hash; a line without words, of digits or marks, by the hash of the raw
    line.  Lines of fewer than ``min_words`` words stay as they are.  With 0, as the
    query and the pipeline have it, all lines but blank ones are grouped.
-2. *Keys.*  An edit of a word changes at most two of a line's pairs of
-   neighbouring words.  Lines of up to L words with at most e * L edits
-   (e = 1 - ``least``) thus share (1 - 2e) * L - 1 pairs, and in any fixed order
-   of all pairs the first 2e * n + 1 of a line of n words hold one of them.  These
-   are its keys, so no line of the promised similarity is missed.  The order puts
-   rare words first; a table of fixed size, counted on an eighth of the texts,
-   says how common a word is, and only the cost depends on it.
-3. *Buckets.*  Of each key with several lines, each line is paired with the
-   least; where the members end up in different components, those are paired
-   too.  No bucket is gathered and no pairs are made inside a group.
+2. *SimHash.*  Each line gets 126 bits: the signs of sums over its words' hashes, 63
+   to a long.  The bits lie in blocks of five; a key is four blocks and the line's
+   first or last word, so lines that differ in few bits share some of the keys
+   (``key_count``: more for short lines, in which an edit turns more bits).
+3. *Buckets.*  Of a key with two or three lines all pairs are looked at.  Fuller
+   buckets are dealt by hash into parts of a few lines, several times over, and
+   each line is paired with its part's first; so a bucket of n lines costs a
+   multiple of n pairs.  While a bucket's lines lie in different components
+   and links are still found, the lines are dealt anew; at last what is left of
+   different components is compared and one link of two components goes on.
 4. *Edit similarity.*  256 bits, each the parity of some words, differ in at
    most two for an edit; pairs that differ in more, or in length, are dropped.
    The rest are read again and compared:
@@ -23,30 +23,36 @@
 5. *Components.*  Of a connected group the first occurrence stays, by id and
    line number; the others are marked.
 
-``block_masks`` and ``near_hashes`` find hashes a few bits apart; the lines do
-without them since SimHashes of similar lines differ in up to 13 bits.
+SimHash finds similar lines with a probability that falls with their edits; README
+has the shares found of all pairs by length.  Equal lines are always found.
 
 Defined results.  A null text counts as empty, one blank line; blank lines always stay.
 Words are parted by blanks, so a line in a script without them is one word and
 only found when equal.  Rows
 with equal id and text are the same document: their lines stay or go alike.
 A null id comes before all others.  Lines without enough words stay and are
-classes of their own.  An empty table gives an empty result; extra columns are
+classes of their own.  Lines of a million words and more are only found when equal.  An empty table gives an empty result; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
 
-BITS = 63
-#: Longs of parity bits a line; cells that count words.
-PARITY, CELLS = 4, 1 << 15
+#: Longs of parity bits a line.
+PARITY = 4
+#: SimHash: three counters of 21 bits to a long, each counts the words that have a bit.
+WIDTH, LANES = 21, 1 | 1 << 21 | 1 << 42
+BITS = 2 * 3 * WIDTH
+#: Bits of a block, and blocks of a key.
+BLOCK, BLOCKS = 5, 4
+#: Lines of a part of a full bucket, how often a bucket is dealt at a time, and how often anew.
+PART, DEALS, WAVES = 6, 4, 12
 
 
 def normalised(line: str | Column) -> Column:
@@ -60,47 +66,62 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, h1, h2, n, p0..): every line with its hash, words (-1 for a blank
-    line) and parity bits."""
+    """(id, th, line, h1, h2, first, last, n, p0.., sim0, sim1): every line with its hash,
+    hashes of its first and last word, words (-1 for a blank line), parity bits and SimHash."""
     lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"), "raw")
     # letters and other signs never meet: a normalised line has the ones, a raw line without words the others
     known = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.col("raw"))
     none = F.when(F.col("raw").rlike("[^\\x00-\\x20\\x7f]"), 0).otherwise(-1).cast("long")
-    lines = lines.select("id", "th", "line", F.xxhash64(known).alias("h1"), F.xxhash64(F.lit(1), known).alias("h2"), "norm", none.alias("none"))
-    words = lines.select("id", "th", "line", "h1", "h2", F.explode(F.split("norm", " ")).alias("word"), "none")
-    words = words.select("id", "th", "line", "h1", "h2", F.xxhash64("word").alias("w"),
+    lines = lines.select("id", "th", "line", F.xxhash64(known).alias("h1"), F.xxhash64(F.lit(1), known).alias("h2"), "norm", none.alias("none"),
+                         F.xxhash64(F.substring_index("norm", " ", 1)).alias("first"), F.xxhash64(F.substring_index("norm", " ", -1)).alias("last"))
+    key = ["id", "th", "line", "h1", "h2", "first", "last"]
+    words = lines.select(*key, F.explode(F.split("norm", " ")).alias("word"), "none")
+    words = words.select(*key, F.xxhash64("word").alias("w"), F.xxhash64(F.lit(2), "word").alias("w0"), F.xxhash64(F.lit(3), "word").alias("w1"),
                          F.when(F.col("word") != "", F.lit(1).cast("long")).otherwise(F.col("none")).alias("one"))
     bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
     lane = F.shiftright("w", 6).bitwiseAND(F.lit(PARITY - 1))
     parity = [F.bit_xor(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)]
-    return words.groupBy("id", "th", "line", "h1", "h2").agg(F.sum("one").alias("n"), *parity)
+    counters = [F.try_sum(F.shiftrightunsigned(f"w{k}", j).bitwiseAND(F.lit(LANES))).alias(f"s{k}_{j}") for k in (0, 1) for j in range(WIDTH)]
+    counted = words.groupBy(*key).agg(F.sum("one").alias("n"), *parity, *counters)
+    return counted.select(*key, "n", *[f"p{j}" for j in range(PARITY)], *[simhash(k).alias(f"sim{k}") for k in (0, 1)])
 
 
-def word_classes(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """An array of ``CELLS`` numbers: how common the words of a cell are (log2), in an
-    eighth of the texts.  At most ``CELLS`` numbers reach the driver."""
-    some = docs.where(F.xxhash64(id_col, text_col).bitwiseAND(F.lit(7)) == 0)
-    words = lines_of(some, id_col, text_col).select(F.explode(F.split(normalised("raw"), " ")).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("cell")).count().collect()
-    of = dict.fromkeys(range(CELLS), 0) | {r["cell"]: r["count"].bit_length() for r in counts}
-    return F.split(F.lit(",".join(str(of[c]) for c in range(CELLS))), ",").cast("array<bigint>")
+def simhash(k: int) -> Column:
+    """63 bits from 21 longs of three counters: set where more than half of the line's
+    words have the bit.  The counters of a long are compared at once: twice a
+    counter, less the words, moves its highest bit."""
+    half = 1 << (WIDTH - 1)
+    more = F.lit(LANES) * (F.lit(half - 1) - F.col("n"))
+    bits = [F.shiftleft(F.shiftright(F.col(f"s{k}_{j}") * 2 + more, WIDTH - 1).bitwiseAND(F.lit(LANES)), j) for j in range(WIDTH)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return F.when((F.col("n") > 0) & (F.col("n") < half), out).otherwise(F.lit(0).cast("long"))
 
 
-def pair_keys(norm: str, classes: Column, least: float) -> Column:
-    """The keys of a line: its first pairs of neighbouring words, those of rare words first."""
-    def word(w: Column) -> Column:
-        h = F.xxhash64(w)
-        common = F.element_at(classes, (F.pmod(h, F.lit(CELLS)) + 1).cast("int"))
-        return F.shiftleft(common, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def key_masks(count: int) -> list[tuple[int, int]]:
+    """Masks over the two longs of a SimHash, one pair for each key: ``BLOCKS`` blocks of its bits."""
+    r, out = random.Random(7), []
+    for _ in range(count):
+        bits = sum(((1 << BLOCK) - 1) << BLOCK * b for b in r.sample(range(BITS // BLOCK), BLOCKS))
+        out.append((bits & (1 << BITS // 2) - 1, bits >> BITS // 2))
+    return out
 
-    def both(a: Column, b: Column) -> Column:
-        return F.shiftleft(F.shiftright(a, 56) + F.shiftright(b, 56), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 8))
 
-    words = F.transform(F.split(norm, " "), word)
-    n = F.size(F.split(norm, " "))
-    pairs = F.slice(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: F.when(b.isNotNull(), both(a, b))), F.lit(1), n - 1)
-    first = F.floor(n * F.lit(2 * (1 - least)) + F.lit(1 + 1e-9)).cast("int")
-    return F.array_distinct(F.slice(F.sort_array(pairs), F.lit(1), first))
+#: (words, keys): lines of fewer words have so many keys.
+KEY_COUNTS = ((20, 64), (50, 48), (None, 24))
+
+
+def line_keys() -> Column:
+    """The keys of a line, as many as its length asks for."""
+    masks = key_masks(max(count for _, count in KEY_COUNTS))
+    keys = [F.xxhash64(F.lit(t), F.col("sim0").bitwiseAND(F.lit(a)), F.col("sim1").bitwiseAND(F.lit(b)), F.col("last" if t % 2 else "first"))
+            for t, (a, b) in enumerate(masks)]
+    out = F.lit(None)
+    for words, count in reversed(KEY_COUNTS):
+        some = F.array(*keys[:count])
+        out = some if words is None else F.when(F.col("n") < words, some).otherwise(out)
+    return out
 
 
 def bit_gap(a: str, b: str) -> Column:
@@ -114,30 +135,79 @@ def may_be_near(least: float, a: str = "_u", b: str = "_v") -> Column:
     return (F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= most) & (bit_gap(a, b) <= 2 * most)
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """One mask for each choice of ``blocks - distance`` blocks of the 63 bits."""
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
-
-
-def near_hashes(sims: DataFrame, masks: list[int], distance: int) -> tuple[DataFrame, DataFrame]:
-    """((u, v) pairs of SimHashes at most ``distance`` bits apart, members of full
-    buckets (key, sim)).  The pairs hold all those of buckets of up to three
-    members, and of fuller ones each member with the least."""
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]))
-    members = sims.select("sim", keys.alias("key"))
-    buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("lo"), F.max("sim").alias("hi"),
-                                              F.bit_xor("sim").alias("all")).where("n > 1"), "line-buckets")
+def bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, v) of buckets (key, node) of two and three, members (key, node, size) of fuller ones)."""
+    buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                              F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
     third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
-    few = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
+    few = buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
         F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v")
-    full = buckets.where("n > 3").select("key", "lo")
-    inside = save(sieve(members, "key", full, "key").join(full, on="key").select("key", "sim", "lo"), "full-buckets")
-    stars = inside.where("sim != lo").select(F.col("lo").alias("u"), F.col("sim").alias("v"))
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    return few.unionByName(stars).where(near).distinct(), inside.select("key", "sim")
+    full = buckets.where("size > 3").select("key", "size")
+    return few, save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets")
+
+
+def dealt_pairs(inside: DataFrame, deal: int) -> DataFrame:
+    """(u, v): each member of a full bucket (key, node, size, component) with the first of its
+    part, where that is of another component; buckets are dealt ``DEALS`` times, by hashes from ``deal`` on."""
+    parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / PART))
+    deals = F.explode(F.sequence(F.lit(deal), F.lit(deal + DEALS - 1))).alias("deal")
+    dealt = inside.select("key", "node", "size", "component", deals)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "deal"), parts))
+    first = F.min(F.struct(F.xxhash64("deal", "node").alias("h"), "node", "component")).alias("lead")
+    leads = dealt.groupBy("key", "deal", "part").agg(first)
+    both = dealt.join(leads, on=["key", "deal", "part"]).where("component != lead.component")
+    return both.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+
+
+def likely(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) that length and parity bits don't rule out."""
+    columns = ("node", "n", *[f"p{j}" for j in range(PARITY)])
+    side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in columns])
+    both = pairs.select(F.col("u").alias("node_u"), F.col("v").alias("node_v")).distinct()
+    both = both.join(side("u"), on="node_u").join(side("v"), on="node_v").where(may_be_near(least))
+    return both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+
+def with_components(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
+
+
+def torn_buckets(inside: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    torn = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    return inside.join(torn, on="key", how="left_semi")
+
+
+def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of the lines ``info`` (node, n, parity bits, SimHash, first and last word) that are linked."""
+    few, inside = bucket_pairs(info.select("node", F.explode(line_keys()).alias("key")))
+    alone = inside.withColumn("component", F.col("node"))
+    pairs = few.unionByName(dealt_pairs(alone, 0))
+    links = verified(docs, occurrences, likely(pairs, info, least), least, id_col, text_col)
+    groups = connected_components(links)
+    known = ["key", "node", "size"]
+    for wave in range(1, WAVES + 1):
+        inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
+        more = save(likely(dealt_pairs(inside, wave * DEALS), info, least), "line-pairs")
+        if not more.limit(1).count():
+            break
+        found = verified(docs, occurrences, more, least, id_col, text_col)
+        if not found.limit(1).count():
+            break
+        links = save(links.unionByName(found), "line-links")
+        groups = connected_components(links)
+        inside = inside.select(*known)
+    inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
+    # lines of one bucket in different components: compared, and one link of two components goes on
+    columns = ("node", "n", "component", *[f"p{j}" for j in range(PARITY)])
+    rest = inside.select("key", "node", "component").join(info.drop("component"), on="node")
+    u, v = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
+    across = u.join(v, (u["key"] == v["key"]) & (F.col("component_u") < F.col("component_v")) & may_be_near(least))
+    across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "component_u", "component_v").distinct(), "line-across")
+    last = verified(docs, occurrences, across.select("u", "v").distinct(), least, id_col, text_col)
+    one = last.join(across, on=["u", "v"]).groupBy("component_u", "component_v").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
+    return connected_components(links.unionByName(one))
 
 
 def line_codes(docs: DataFrame, occurrences: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,45 +242,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``id`` is the document's id (the least bigint for null) and ``th`` the hash
     of id and text by which rows are known.
     """
-    if not 2 / 3 < least <= 1:
-        raise ValueError("least must be over 2/3")
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0, and 1 at most")
     if min_words < 0:
         raise ValueError("min_words must not be negative")
     lines = save(line_hashes(docs, id_col, text_col), "lines")
     fit = lines.where(F.col("n") >= min_words)
-    bits = [f"p{j}" for j in range(PARITY)]
-    different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in bits],
-                                                 F.min(F.struct("id", "line", "th")).alias("at")), "different-lines")
-    # a line that a single edit can leave similar to another
+    marks = ["n", "first", "last", "sim0", "sim1", *[f"p{j}" for j in range(PARITY)]]
+    different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in marks]), "different-lines")
+    # lines that a single edit can leave similar to another
     longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
-    fuzzy = lambda n: (n >= max(2, min_words)) & (longest(n) * F.lit(1 - least) + F.lit(1e-9) >= 1)
-    info = different.where(fuzzy(F.col("n"))).select(F.col("h1").alias("node"), "n", *bits).dropDuplicates(["node"])
-    texts = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"))
-    texts = texts.where(fuzzy(F.size(F.split("norm", " ")))).withColumn("node", F.xxhash64("norm"))
-    # each different line once: what surely stands once goes straight through, of the rest the first occurrences are joined
-    places = different.where(fuzzy(F.col("n"))).select(F.col("h1").alias("node"), "k", "at.id", "at.line", "at.th")
-    repeated = save(places.where("k > 1").select("node"), "repeated-lines")
-    texts = maybe_among(texts, "node", repeated, "node", "again")
-    places = sieve(places.drop("k"), "node", repeated, "node")
-    texts = texts.where("not again").select("node", "norm").unionByName(
-        texts.where("again").join(places, on=["node", "id", "line", "th"]).select("node", "norm"))
-    dealt = texts.select("node", F.explode(pair_keys("norm", word_classes(docs, id_col, text_col), least)).alias("key")).repartition("key")
-    buckets = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "lo")
-    inside = save(dealt.join(buckets, on="key"), "buckets")
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", *bits)])
-    stars = inside.where("node != lo").select(F.col("lo").alias("node_u"), F.col("node").alias("node_v")).distinct()
-    stars = stars.join(side(info, "v"), on="node_v").join(side(info, "u"), on="node_u").where(may_be_near(least))
-    links = verified(docs, lines, stars.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")), least, id_col, text_col)
-    groups = connected_components(links)
-    # what may still be linked: lines of one bucket in different components
-    labelled = info.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
-    inside = save(inside.select("key", "node").join(labelled, on="node"), "bucket-labels")
-    torn = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).where("a != b and m > 2")
-    torn = inside.join(torn.select("key"), on="key", how="left_semi")
-    u, v = (torn.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", *bits)]) for s in "uv")
-    across = u.join(v, (u["key"] == v["key"]) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & may_be_near(least))
-    more = verified(docs, lines, across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), least, id_col, text_col)
-    groups = save(connected_components(links.unionByName(more)).select(F.col("node").alias("h1"), "component"), "line-groups")
+    fuzzy = (F.col("n") >= max(2, min_words)) & (longest(F.col("n")) * F.lit(1 - least) + F.lit(1e-9) >= 1)
+    info = different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"])
+    groups = save(similar_lines(docs, lines, save(info, "fuzzy-lines"), least, id_col, text_col)
+                  .select(F.col("node").alias("h1"), "component"), "line-groups")
 
     # classes of several occurrences: components of linked lines, and lines that occur twice
     linked = sieve(different, "h1", groups, "h1").join(groups, on="h1").select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
