@@ -33,11 +33,19 @@ def all_parts(t):
     return out
 
 
+def test_a_part_does_not_complement_what_it_lies_in(spark):
+    run = "0123456789abcdef" * 2
+    texts = [f"https://cdn.example.org/{run}/logo.png", f"https://cdn.example.org/logo.png {run}", f"{run} then postgres://db.example.org/x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [p["kind"] for p in r.parts] for r in scan(docs).collect()}
+    assert got == {0: ["hex"], 1: ["endpoint", "hex"], 2: ["hex", "endpoint"]}
+
+
 def reported(t, scope):
     parts = all_parts(t)
 
     def near(p, q):
-        starts, ends = p[1] <= q[1] <= p[2] + scope, max(p[1] - scope, 0) <= q[2] <= p[2]
+        starts, ends = p[2] <= q[1] <= p[2] + scope, max(p[1] - scope, 0) <= q[2] <= p[1]
         return starts or ends
 
     keep = [p for p in parts if p[0] in ORDER[:3] or any(ROLE[q[0]] in PARTNERS[ROLE[p[0]]] and near(p, q) for q in parts)]

@@ -6,8 +6,9 @@ password or token, a sign, a value of eight characters and more), ``access``
 *Weak* parts mean little alone: ``user`` (account names and mail addresses),
 ``key40`` (runs of 40 base64 letters of mixed kinds) and ``endpoint``
 (addresses of services).  A weak part is reported only where a part that
-complements it stands within ``scope`` code points: identifiers (access,
-user) complement secrets (assign, hex, key40) and these complement endpoints.
+complements it stands within ``scope`` code points without overlapping it:
+identifiers (access, user) complement secrets (assign, hex, key40) and these
+complement endpoints.
 
 1. Matches are marked in one regular expression pass each, in texts that have
    one; what leaves the text is the lengths of its pieces and the matches.
@@ -96,7 +97,7 @@ def link_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
     wanted = F.explode(reduce(lambda a, role: F.when(F.col("role") == role, F.array(*map(F.lit, PARTNERS[role]))).otherwise(a),
                               PARTNERS, F.array().cast("array<string>")))
     asks = weak.select(*keys, "kind", "start", "end", wanted.alias("partner"))
-    # complements that start at or behind this part's start, by the cells of starts
+    # complements that start behind this part, by the cells of starts, or end before it, by those of ends
     begins = parts.select(*keys, F.col("role").alias("partner"), cell(F.col("start")).alias("cell"), "start").groupBy(
         *keys, "partner", "cell").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     ends = parts.select(*keys, F.col("role").alias("partner"), cell(F.col("end")).alias("cell"), "end").groupBy(
@@ -109,8 +110,8 @@ def link_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
         inside = (F.col("low") <= F.col("b")) & (F.col("high") >= F.col("a"))
         return met.where(inside).select(*keys, "kind", "start", "end")
 
-    after = near(begins, F.col("start"), F.col("end") + scope)
-    before = near(ends, F.greatest(F.col("start") - scope, F.lit(0).cast("long")), F.col("end"))
+    after = near(begins, F.col("end"), F.col("end") + scope)
+    before = near(ends, F.greatest(F.col("start") - scope, F.lit(0).cast("long")), F.col("start"))
     linked = after.unionByName(before).distinct()
     return parts.where("strong").unionByName(parts.where(~F.col("strong")).join(linked, on=[*keys, "kind", "start", "end"], how="left_semi")
                                              .select(*parts.columns))

@@ -2,15 +2,17 @@
 
 1. *Lexicon.*  From a bounded sample of labelled rows the terms that toxic
    texts use far more often than clean ones are counted on the cluster; of
-   near copies in the sample one counts.  At most ``max_terms`` terms stay.
+   near copies in the sample one counts.  Every term that passes a fixed test of
+   significance goes in, so the sample alone bounds their number.
 2. *Automaton.*  The terms form a trie.  The Levenshtein automaton of one
    edit (terms of five letters and more) is intersected with it by subset
    construction: one table that takes a word letter by letter and tells at
    its end the term it is, or the term one edit away.  Its size depends on
    the lexicon alone; tasks run all words of a slice through it at once.
-3. *Context.*  A hit between quotation marks within six words on either
-   side, or after a reporting verb, counts as quoted and not as abuse; hits
-   that stand close together count more.  These sums, weighed by a logistic
+3. *Context.*  A hit inside a pair of quotation marks (paired along its line)
+   that stand within six words on either side, or one of them if a reporting verb
+   goes before, counts as quoted and not as abuse; hits that stand close together
+   count more.  These sums, weighed by a logistic
    model fitted on the sample, give the score.
 4. Every whole text is scored in one pass without a shuffle.
 
@@ -46,8 +48,9 @@ CLOSE = 20  # words between hits that stand close together
 
 
 def folded(column: pa.Array):
-    """Slices of a text column for this operator: quotation marks as the plain
-    one, so that they part words like other marks do."""
+    """Slices of a text column for this operator: in lower case, whatever the script,
+    and quotation marks as the plain one, so that they part words like other marks do."""
+    column = pc.utf8_lower(column)
     for sign in "“”„«»":
         column = pc.replace_substring(column, sign, '"')
     return slices(column, FOLDED, fold=True)
@@ -56,15 +59,14 @@ def folded(column: pa.Array):
 # --- letters ---------------------------------------------------------------
 
 def letters(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the slice's letters (capped), and each word's range of them."""
+    """Code points of the slice's letters, and each word's range of them."""
     data = texts.data
     head = (data & 0xC0) != 0x80
     at = np.flatnonzero(head)
     b = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int32)
-    lead = b[at]
-    two = ((lead & 0x1F) << 6) | (b[at + 1] & 0x3F)
-    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, two, 0x7FF))
-    point = np.where((point >= 0xC0) & (point <= 0xDE) & (point != 0xD7), point + 0x20, point)  # lower case of Latin-1
+    lead, b1, b2, b3 = b[at], b[at + 1] & 0x3F, b[at + 2] & 0x3F, b[at + 3] & 0x3F
+    point = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0],
+                      [lead, (lead & 0x1F) << 6 | b1, (lead & 0x0F) << 12 | b1 << 6 | b2], (lead & 0x07) << 18 | b1 << 12 | b2 << 6 | b3)
     number = np.cumsum(head) - 1
     ends = np.concatenate([number, [len(at)]])
     return point, number[texts.starts], ends[texts.ends]
@@ -79,17 +81,15 @@ class Automaton:
     """
 
     def __init__(self, terms: list[str], long: int = 5):
-        self.symbol = np.zeros(0x800, np.int32)  # 0: a letter that no term has
-        for c in sorted({c for t in terms for c in t}):
-            if ord(c) < 0x800:
-                self.symbol[ord(c)] = self.symbol.max() + 1
+        self.points = np.array(sorted({ord(c) for t in terms for c in t}), np.int64)  # symbols 1 on; 0: a letter that no term has
+        number = {int(p): i + 1 for i, p in enumerate(self.points)}
         child, end, allowed = [{}], [-1], [0]
         for i, t in enumerate(terms):
             at = 0
             budget = int(len(t) >= long)
             allowed[0] = max(allowed[0], budget)
             for c in t:
-                s = int(self.symbol[min(ord(c), 0x7FF)])
+                s = number[ord(c)]
                 if s not in child[at]:
                     child[at][s] = len(child)
                     child.append({})
@@ -124,7 +124,7 @@ class Automaton:
 
         start = closed([(0, 0)])
         numbers, todo = {(): 0, start: 1}, deque([start])
-        width = int(self.symbol.max()) + 1
+        width = len(self.points) + 1
         step = [np.zeros(width, np.int32)]
         while todo:
             state = todo.popleft()
@@ -152,13 +152,17 @@ class Automaton:
                 self.edits[number], self.term[number] = ends[0]
         self.longest = max(map(len, terms), default=0) + 1
 
+    def symbols(self, point: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.points, point), len(self.points) - 1)
+        return np.where(self.points[at] == point, at + 1, 0)
+
     def hits(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of the words that the automaton accepts."""
         if len(self.step) < 3 or not len(texts.starts):
             none = np.empty(0, np.int64)
             return none, none, none
         point, first, last = letters(texts)
-        sym = self.symbol[point]
+        sym = self.symbols(point)
         length = last - first
         word = np.flatnonzero((length <= self.longest) & (length > 0))
         state = np.ones(len(word), np.int32)
@@ -186,7 +190,8 @@ VERBS = np.concatenate([t.word_hashes() for _, t in slices(pa.array([" ".join(RE
 
 
 def quoted(texts: Texts, word: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether a word stands between quotation marks, or after a reporting verb and one mark."""
+    """Whether a word stands inside a pair of quotation marks with both of them near,
+    or with one of them and a reporting verb before."""
     if not len(word):
         return np.empty(0, bool)
     data = texts.data
@@ -199,8 +204,11 @@ def quoted(texts: Texts, word: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     finish = np.where(high == texts.first[row + 1] - 1, texts.offsets[row + 1], texts.ends[high])
     before = mark[texts.starts[word]] - mark[begin] > 0
     behind = mark[finish] - mark[texts.ends[word]] > 0
+    # marks are paired along a line: a word is inside after an odd number of its line's marks
+    line = np.union1d(np.flatnonzero(data == 0x0A) + 1, texts.offsets[:-1])
+    inside = (mark[texts.starts[word]] - mark[line[np.searchsorted(line, texts.starts[word], "right") - 1]]) % 2 == 1
     report = np.concatenate([[0], np.cumsum(np.isin(hashes, VERBS))])
-    return (before & behind) | ((report[word] - report[low] > 0) & (before | behind))
+    return inside & ((before & behind) | ((report[word] - report[low] > 0) & (before | behind)))
 
 
 def features(texts: Texts, automaton: Automaton, weight: np.ndarray) -> np.ndarray:
@@ -252,7 +260,7 @@ def _emit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs, owner = range_hash(hashes, at, at + 5), np.searchsorted(texts.first, at, "right") - 1
             for i in range(len(texts)):
                 own = {texts.word(j) for j in range(texts.first[i], texts.first[i + 1])}
-                words += sorted(w.decode(errors="replace").lower() for w in own if 3 <= len(w) <= 40)
+                words += sorted(w.decode(errors="replace") for w in own)
                 counts.append(len(words) - sum(counts))
                 mine = runs[owner == i]
                 mine = mine if len(mine) else range_hash(hashes, texts.first[i:i + 1], texts.first[i + 1:i + 2])
@@ -262,8 +270,13 @@ def _emit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  lists(pa.array(words, pa.string()), np.array(counts, np.int64))], names=["toxic", "least", "words"])
 
 
-def lexicon(sample: DataFrame, max_terms: int, lift: float = 30.0, support: float = 0.003) -> tuple[list[str], np.ndarray]:
-    """Terms and weights (log lift) from the sample's (toxic, text) rows."""
+#: A term's least number of toxic texts, least G-test statistic and least lift over clean texts.
+LEAST_TEXTS, LEAST_G, LEAST_LIFT = 3, 15.0, 8.0
+
+
+def lexicon(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Terms and weights (log lift) from the sample's (toxic, text) rows: all terms whose
+    share of toxic texts differs from that of clean ones by the G test and the lift."""
     rows = (sample.mapInArrow(_emit_terms, "toxic int, least bigint, words array<string>")
             .groupBy("least").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -272,16 +285,19 @@ def lexicon(sample: DataFrame, max_terms: int, lift: float = 30.0, support: floa
         return [], np.empty(0)
     counts = (rows.select("toxic", F.explode(F.array_distinct("words")).alias("term")).groupBy("term")
               .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    ratio = ((F.col("t") + 0.0) / bad) / ((F.col("c") + 0.5) / good)
-    need = max(3, round(support * bad))
-    best = (counts.where((F.col("t") >= need) & (ratio >= min(lift, 0.8 * need * 2 * good / bad)))
-            .select("term", "t", F.log(ratio).alias("w")).orderBy(F.desc("t"), F.desc("w"), "term").limit(max_terms).collect())
+    t, c = F.col("t"), F.col("c")
+    ratio = ((t + 0.0) / bad) / ((c + 0.5) / good)
+    # the four cells of texts with and without the term, toxic and clean, against what independence expects
+    cell = lambda seen, row, col: F.when(seen > 0, 2 * seen * F.log(seen * (bad + good) / (row * col))).otherwise(0.0)
+    with_it, without = t + c, bad + good - t - c
+    g = cell(t, with_it, bad) + cell(c, with_it, good) + cell(bad - t, without, bad) + cell(good - c, without, good)
+    best = counts.where((t >= LEAST_TEXTS) & (g >= LEAST_G) & (ratio >= LEAST_LIFT)).select("term", F.log(ratio).alias("w")).collect()
     best.sort(key=lambda r: r["term"])
     return [r["term"] for r in best], np.array([r["w"] for r in best])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_toxic: int = 10_000, max_clean: int = 20_000, max_terms: int = 300, seed: int = 13, l2: float = 1e-3) -> Toxicity:
+          max_toxic: int = 10_000, max_clean: int = 20_000, seed: int = 13, l2: float = 1e-3) -> Toxicity:
     """Learn from ``labels`` (id, label); at most ``max_toxic`` and ``max_clean``
     labelled rows, those with the least hash of their id, are read."""
     spark = docs.sparkSession
@@ -295,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .join(F.broadcast(ids), on="id")  # at most max_toxic + max_clean ids
               .dropDuplicates(["id"]).select("toxic", "text"))
     sample = save(sample, "toxicity-sample")
-    terms, weight = lexicon(sample, max_terms)
+    terms, weight = lexicon(sample)
     automaton = Automaton(terms)
     emit = _emit_features(automaton, weight, ("toxic",))
     rows = sample.mapInArrow(emit, "toxic int, x array<double>").toArrow()
