@@ -26,11 +26,32 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(table_path(sf_dir, name)).select(*columns)
 
 
+#: Spark's own setting to delete a query's shuffle files when it ends; what is written
+#: needs them no more, and without it they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder of the shared checkpoint folder and read it back."""
-    path = shared_dir(df.sparkSession, "llm", name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to a fresh folder of the shared checkpoint folder and read it back.
+    The shuffle files of the write go when it ends; the session's setting is put back."""
+    spark = df.sparkSession
+    path, before = shared_dir(spark, "llm", name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete the folders of tables of ``save`` that nothing reads any more."""
+    for df in saved:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -126,9 +147,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 8)
     both = save(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
                 .where(F.col("u") != F.col("v")).distinct()
                 .withColumn("salt", salt("u", salts=salts)), "edges")
-    labels = save(both.groupBy(F.col("u").alias("node"))
-                  .agg(F.min("v").alias("low"))
-                  .select("node", F.least("node", "low").alias("component")), "labels")
+    labels = saved = save(both.groupBy(F.col("u").alias("node"))
+                          .agg(F.min("v").alias("low"))
+                          .select("node", F.least("node", "low").alias("component")), "labels")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     for _ in range(max_rounds):
         wide = labels.select(F.col("node").alias("v"), "component", spread.alias("salt"))
@@ -143,8 +164,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 8)
             "node", "old", F.least("mid", "far").alias("component"))
         step = save(step, "labels")
         changed = step.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = step.select("node", "component")
+        drop(saved)
+        labels, saved = step.select("node", "component"), step
         if not changed:
+            drop(both)
             return labels
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 

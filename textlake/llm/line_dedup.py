@@ -7,9 +7,10 @@
    line.  Lines of fewer than ``min_words`` words stay as they are.  With 0, as the
    query and the pipeline have it, all lines but blank ones are grouped.
 2. *SimHash.*  Each line gets 126 bits: the signs of sums over its words' hashes, 63
-   to a long.  The bits lie in blocks of five; a key is four blocks and the line's
-   first or last word, so lines that differ in few bits share some of the keys
-   (``key_count``: more for short lines, in which an edit turns more bits).
+   to a long.  The bits lie in blocks of five; a key is four blocks and one word of
+   the line, the first, the last or that with the least hash, so lines that differ
+   in few bits share some of the keys (``KEY_COUNTS``: more for short lines, in
+   which an edit turns more bits).
 3. *Buckets.*  Of a key with two or three lines all pairs are looked at.  Fuller
    buckets are dealt by hash into parts of a few lines, several times over, and
    each line is paired with its part's first; so a bucket of n lines costs a
@@ -38,11 +39,12 @@ ignored.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
+from textlake.llm.common import connected_components, empty, maybe_among, save, sieve, text_or_empty
 
 #: Longs of parity bits a line.
 PARITY = 4
@@ -66,8 +68,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, h1, h2, first, last, n, p0.., sim0, sim1): every line with its hash,
-    hashes of its first and last word, words (-1 for a blank line), parity bits and SimHash."""
+    """(id, th, line, h1, h2, first, last, n, low, p0.., sim0, sim1): every line with its hash,
+    hashes of its first, last and least word, words (-1 for a blank line), parity bits and SimHash."""
     lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"), "raw")
     # letters and other signs never meet: a normalised line has the ones, a raw line without words the others
     known = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.col("raw"))
@@ -82,8 +84,8 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lane = F.shiftright("w", 6).bitwiseAND(F.lit(PARITY - 1))
     parity = [F.bit_xor(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(PARITY)]
     counters = [F.try_sum(F.shiftrightunsigned(f"w{k}", j).bitwiseAND(F.lit(LANES))).alias(f"s{k}_{j}") for k in (0, 1) for j in range(WIDTH)]
-    counted = words.groupBy(*key).agg(F.sum("one").alias("n"), *parity, *counters)
-    return counted.select(*key, "n", *[f"p{j}" for j in range(PARITY)], *[simhash(k).alias(f"sim{k}") for k in (0, 1)])
+    counted = words.groupBy(*key).agg(F.sum("one").alias("n"), F.min("w").alias("low"), *parity, *counters)
+    return counted.select(*key, "n", "low", *[f"p{j}" for j in range(PARITY)], *[simhash(k).alias(f"sim{k}") for k in (0, 1)])
 
 
 def simhash(k: int) -> Column:
@@ -109,17 +111,20 @@ def key_masks(count: int) -> list[tuple[int, int]]:
 
 
 #: (words, keys): lines of fewer words have so many keys.
-KEY_COUNTS = ((20, 64), (50, 48), (None, 24))
+KEY_COUNTS = ((20, 84), (50, 48), (None, 24))
+#: Keys of a line that are joined at a time, so that few of them lie on disk.
+AT_A_TIME = 12
 
 
-def line_keys() -> Column:
-    """The keys of a line, as many as its length asks for."""
-    masks = key_masks(max(count for _, count in KEY_COUNTS))
-    keys = [F.xxhash64(F.lit(t), F.col("sim0").bitwiseAND(F.lit(a)), F.col("sim1").bitwiseAND(F.lit(b)), F.col("last" if t % 2 else "first"))
+def line_keys(start: int = 0, end: int | None = None) -> Column:
+    """The keys of a line, as many as its length asks for, of those from ``start`` to ``end``."""
+    most = max(count for _, count in KEY_COUNTS)
+    masks, end = key_masks(most), most if end is None else end
+    keys = [F.xxhash64(F.lit(t), F.col("sim0").bitwiseAND(F.lit(a)), F.col("sim1").bitwiseAND(F.lit(b)), F.col(("first", "last", "low")[t % 3]))
             for t, (a, b) in enumerate(masks)]
     out = F.lit(None)
     for words, count in reversed(KEY_COUNTS):
-        some = F.array(*keys[:count])
+        some = F.array(*keys[start:min(end, count)]).cast("array<bigint>")
         out = some if words is None else F.when(F.col("n") < words, some).otherwise(out)
     return out
 
@@ -135,16 +140,22 @@ def may_be_near(least: float, a: str = "_u", b: str = "_v") -> Column:
     return (F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= most) & (bit_gap(a, b) <= 2 * most)
 
 
-def bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((u, v) of buckets (key, node) of two and three, members (key, node, size) of fuller ones)."""
-    buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                              F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
-    third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
-    few = buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
-        F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v")
-    full = buckets.where("size > 3").select("key", "size")
-    return few, save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets")
+def bucket_pairs(info: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, v) of buckets of two and three, members (key, node, size) of fuller ones), of some keys at a time."""
+    pairs, inside = [], []
+    for at in range(0, max(count for _, count in KEY_COUNTS), AT_A_TIME):
+        members = info.where(F.size(line_keys(at, at + AT_A_TIME)) > 0).select("node", F.explode(line_keys(at, at + AT_A_TIME)).alias("key"))
+        buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                                  F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
+        third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+        pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+        pairs.append(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
+            F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v"))
+        full = buckets.where("size > 3").select("key", "size")
+        if full.limit(1).count():
+            inside.append(save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets"))
+    none = empty(info.sparkSession, "key bigint, node bigint, size bigint")
+    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, inside, none)
 
 
 def dealt_pairs(inside: DataFrame, deal: int) -> DataFrame:
@@ -180,8 +191,8 @@ def torn_buckets(inside: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of the lines ``info`` (node, n, parity bits, SimHash, first and last word) that are linked."""
-    few, inside = bucket_pairs(info.select("node", F.explode(line_keys()).alias("key")))
+    """(node, component) of the lines ``info`` (node, n, parity bits, SimHash, three words) that are linked."""
+    few, inside = bucket_pairs(info)
     alone = inside.withColumn("component", F.col("node"))
     pairs = few.unionByName(dealt_pairs(alone, 0))
     links = verified(docs, occurrences, likely(pairs, info, least), least, id_col, text_col)
@@ -246,15 +257,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("least must be over 0, and 1 at most")
     if min_words < 0:
         raise ValueError("min_words must not be negative")
-    lines = save(line_hashes(docs, id_col, text_col), "lines")
-    fit = lines.where(F.col("n") >= min_words)
-    marks = ["n", "first", "last", "sim0", "sim1", *[f"p{j}" for j in range(PARITY)]]
+    marked = save(line_hashes(docs, id_col, text_col), "marked-lines")
+    lines = marked.select("id", "th", "line", "h1", "h2", "n")
+    fit = marked.where(F.col("n") >= min_words)
+    marks = ["n", "first", "last", "low", "sim0", "sim1", *[f"p{j}" for j in range(PARITY)]]
+    # the marks of a line are the same wherever it stands
     different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in marks]), "different-lines")
     # lines that a single edit can leave similar to another
     longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
     fuzzy = (F.col("n") >= max(2, min_words)) & (longest(F.col("n")) * F.lit(1 - least) + F.lit(1e-9) >= 1)
     info = different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"])
-    groups = save(similar_lines(docs, lines, save(info, "fuzzy-lines"), least, id_col, text_col)
+    groups = save(similar_lines(docs, lines, info, least, id_col, text_col)
                   .select(F.col("node").alias("h1"), "component"), "line-groups")
 
     # classes of several occurrences: components of linked lines, and lines that occur twice
