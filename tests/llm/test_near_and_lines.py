@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from textlake.llm.common import connected_components
-from textlake.llm.line_dedup import block_masks, dedup_lines, keep_lines
+from textlake.llm.line_dedup import BITS, BLOCK, BLOCKS, bucket_pairs, dedup_lines, keep_lines, key_masks, line_hashes, line_keys
 from textlake.llm.near_dedup import agreeing, agreeing_folded, keep_one, near_duplicates, needed, packed, regions, shingles, signatures
 from textlake.llm.words import slices
 
@@ -208,33 +208,53 @@ def test_dedup_lines(spark, seed):
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(want, key=repr)
 
 
-def test_lines_at_the_distance_are_found(spark):
-    """Pigeonhole: of hashes with at most three bits apart two blocks of five are equal."""
-    masks, r = block_masks(5, 3), random.Random(1)
-    for _ in range(300):
-        x = r.getrandbits(63)
-        y = x
-        for b in r.sample(range(63), 3):
-            y ^= 1 << b
-        assert any(x & m == y & m for m in masks)
-    assert len(masks) == 10 and all(bin(m).count("1") >= 24 for m in masks)
-
-
-def test_near_hashes_lose_nothing(spark):
-    """Full buckets too: all pairs of a dense set of hashes, pairs connected through components."""
-    from textlake.llm.line_dedup import near_hashes
+def test_simhash_is_the_sign_of_the_words_bits(spark):
+    """Against the words' hashes, counted bit by bit; equal lines have equal bits."""
+    r = random.Random(3)
+    rows = [(i, " ".join("".join(r.choices("abcd", k=2)) for _ in range(n))) for i, n in enumerate([1, 2, 3, 7, 50, 51, 4000, 4])]
+    rows.append((8, rows[4][1].upper() + "!"))
+    got = {x.id: x for x in line_hashes(frame(spark, rows), "doc_id", "text").collect()}
+    words = sorted({w for _, t in rows for w in norm(t).split()})
+    hashes = {x.w: (x.a, x.b) for x in spark.createDataFrame([(w,) for w in words], "w string").selectExpr(
+        "w", "xxhash64(2, w) AS a", "xxhash64(3, w) AS b").collect()}
+    for i, t in rows:
+        ws = norm(t).split()
+        for k in (0, 1):
+            want = sum(1 << j for j in range(BITS // 2) if 2 * sum(hashes[w][k] >> j & 1 for w in ws) > len(ws))
+            assert got[i][f"sim{k}"] == want, (i, k)
+    assert (got[8].sim0, got[8].sim1, got[8].h1) == (got[4].sim0, got[4].sim1, got[4].h1)
+
+
+def test_keys_are_blocks_of_the_bits(spark):
+    masks = key_masks(30)
+    assert all(bin(a).count("1") + bin(b).count("1") == BLOCK * BLOCKS for a, b in masks) and len(set(masks)) == 30
+    rows = [(i, " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))) for i, n in enumerate([5, 19, 20, 49, 50, 500])]
+    lines = line_hashes(frame(spark, rows), "doc_id", "text")
+    keys = {x.id: x.k for x in lines.select("id", line_keys().alias("k")).collect()}
+    assert [len(keys[i]) for i, _ in rows] == [84, 84, 48, 48, 24, 24]
+    parts = [{x.id: x.k for x in lines.select("id", line_keys(at, at + 21).alias("k")).collect()} for at in range(0, 84, 21)]
+    assert all(sum((p[i] for p in parts), []) == keys[i] for i, _ in rows)  # some at a time are all
+
+
+def test_small_buckets_lose_no_pair(spark):
+    """All pairs of buckets of two and three come out; of fuller ones the members."""
     r = random.Random(5)
-    base = r.getrandbits(63)
-    sims = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(0, 12) for b in range(12, 24)} | {r.getrandbits(63) for _ in range(50)}
-    df = spark.createDataFrame([(s,) for s in sims], "sim long")
-    near, full = near_hashes(df, block_masks(5, 3), 3)
-    pairs = {(p.u, p.v) for p in near.collect()}
-    keys = defaultdict(set)
-    for x in full.collect():
-        keys[x.key].add(x.sim)
-    pairs |= {p for s in keys.values() for p in combinations(sorted(s), 2)}
-    want = {(a, b) for a, b in combinations(sorted(sims), 2) if bin(a ^ b).count("1") <= 3}
-    assert want <= {tuple(sorted(p)) for p in pairs}
+    bases = [[f"{chr(97 + g)}{chr(97 + i)}" for i in range(30)] for g in range(12)]
+    rows = []
+    for g, base in enumerate(bases):
+        for _ in range(1 + g % 6):
+            w = list(base)
+            w[r.randrange(1, 29)] = "".join(r.choices("uvwxyz", k=4))
+            rows.append((len(rows), " ".join(w)))
+    info = line_hashes(frame(spark, rows), "doc_id", "text").withColumnRenamed("h1", "node")
+    of_key = defaultdict(set)
+    for x in info.select("node", line_keys().alias("k")).collect():
+        for key in x.k:
+            of_key[key].add(x.node)
+    few, full = bucket_pairs(info)
+    got = {tuple(sorted((p.u, p.v))) for p in few.collect()}
+    assert got == {p for ns in of_key.values() if len(ns) <= 3 for p in combinations(sorted(ns), 2)}
+    assert {(x.key, x.node, x["size"]) for x in full.collect()} == {(k, n, len(ns)) for k, ns in of_key.items() if len(ns) > 3 for n in ns}
 
 
 def test_dedup_lines_of_nothing(spark):

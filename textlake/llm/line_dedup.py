@@ -44,7 +44,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, empty, maybe_among, save, sieve, text_or_empty
+from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
 
 #: Longs of parity bits a line.
 PARITY = 4
@@ -113,7 +113,7 @@ def key_masks(count: int) -> list[tuple[int, int]]:
 #: (words, keys): lines of fewer words have so many keys.
 KEY_COUNTS = ((20, 84), (50, 48), (None, 24))
 #: Keys of a line that are joined at a time, so that few of them lie on disk.
-AT_A_TIME = 12
+AT_A_TIME = 21
 
 
 def line_keys(start: int = 0, end: int | None = None) -> Column:
@@ -152,10 +152,8 @@ def bucket_pairs(info: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs.append(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
             F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v"))
         full = buckets.where("size > 3").select("key", "size")
-        if full.limit(1).count():
-            inside.append(save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets"))
-    none = empty(info.sparkSession, "key bigint, node bigint, size bigint")
-    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, inside, none)
+        inside.append(save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets"))
+    return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, inside)
 
 
 def dealt_pairs(inside: DataFrame, deal: int) -> DataFrame:

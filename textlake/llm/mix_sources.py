@@ -224,3 +224,19 @@ def draw(plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shar
                          words.alias(text_col))
             .repartition(n_shards, "shard").sortWithinPartitions("shard", "order_key"))
 
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_shards: int = 64,
+        **settings) -> DataFrame:
+    """``mix_sources`` and ``draw`` in one: the plan is made of ids and sizes alone, and
+    each text is joined to its pieces once.  Rows that repeat id and text have one
+    text and are planned each."""
+    row = F.xxhash64(id_col, text_col)
+    plan = mix_sources(docs.withColumn("__row", row), id_col, text_col, source_col, n_shards=n_shards, keep=("__row",), **settings)
+    texts = docs.select(row.alias("__row"), text_col).dropDuplicates(["__row"])
+    return draw(plan.where(F.size("pieces") > 0).join(texts, on="__row"), id_col, text_col, n_shards)
+
+
+def shards_for(total: int, each: int, least: int = 64) -> int:
+    """A power of two of shards that hold about ``each`` of ``total`` (at least ``least`` shards)."""
+    return max(least, 1 << max(0, -(-total // each) - 1).bit_length())

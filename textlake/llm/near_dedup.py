@@ -15,10 +15,11 @@ larger ones.
    64-bit keys, the coordinates themselves in 7 bits each, the number of
    shingles, a 128-bit hash of the words.  Texts with the same words are one
    node from here on.
-2. Band buckets: every node is paired with its bucket's smallest node, the
-   hub.  Pairs go whose sizes exclude the similarity, or whose coordinates
-   agree so seldom that it is more than five standard deviations away.  The
-   others are read and compared exactly, all their shingles.
+2. Band buckets, some bands at a time: every node is paired with its bucket's
+   smallest node, the hub, unless earlier bands have connected the two.  Pairs
+   go whose sizes exclude the similarity, or whose coordinates agree so seldom
+   that it is more than five standard deviations away.  The others are read
+   and compared exactly, all their shingles.
 3. Verified pairs form components.  Where nodes of one bucket are still in
    different components, those are compared inside the join, by these
    coordinates and by sixteen times as many that are made for such nodes
@@ -214,6 +215,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
                 .mapInArrow(_compare(size, least), "u bigint, v bigint"), "links")
 
 
+def waves(bands: int) -> list[tuple[int, int]]:
+    """Bands from and to of each wave: few at first, when most pairs are still apart."""
+    cuts = sorted({0, min(4, bands), bands})
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8,
                     bands: int = 24, rows: int = 6, salts: int = 64) -> DataFrame:
     """(id, class_id, class_size, kept), one row for each input row.  ``class_id``
@@ -234,23 +241,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flagged = maybe_among(marked, "node", copies, "u", "maybe")
     reps = flagged.where(~F.col("maybe")).unionByName(
         flagged.where("maybe").join(copies.select(F.col("u").alias("node")).distinct(), on="node", how="left_anti"))
-    members = save(reps.select(F.explode(F.array_distinct("bands")).alias("band"), "node"), "buckets")
-    hubs = save(members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
-                .where("hub != last"), "hubs")
-    members = save(sieve(members, "band", hubs, "band").join(hubs, on="band").select("band", "node", "hub", "n"), "shared-buckets")
-    pairs = save(members.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
+    members = save(reps.select(F.posexplode("bands").alias("at", "band"), "node"), "buckets")
+    shared = save(members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+                  .where("lo != last").select("band", "n"), "shared")
+    members = save(sieve(members, "band", shared, "band").join(shared, on="band").select("at", "band", "node", "n"), "shared-buckets")
     nodes = save(members.select("node").distinct(), "bucket-nodes")
     sketches = save(sieve(marked, "node", nodes, "node").join(nodes, on="node", how="left_semi")
                     .select("node", "weight", "sketch", "bands").dropDuplicates(["node"]), "bucket-sketches")
     u, v = (sketches.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
     alike = (F.least("weight_u", "weight_v") >= F.greatest("weight_u", "weight_v") * least) & (
         agreeing("sketch_u", "sketch_v", k) >= needed(k, least))
-    links = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v"), texts, size, least)
-    linked = connected_components(links.unionByName(copies))
+    # some bands at a time: what one wave joined makes no more pairs in the next
+    links, linked, tried = None, copies.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0), None
+    for start, end in waves(bands):
+        some = members.where((F.col("at") >= start) & (F.col("at") < end)).join(linked, on="node", how="left").withColumn(
+            "component", F.coalesce("component", "node"))
+        some = save(some.select("band", "node", "component"), "wave")
+        leads = some.groupBy("band").agg(F.min(F.struct("node", "component")).alias("lead"), F.max("component").alias("hi"),
+                                         F.min("component").alias("lo")).where("lo != hi").select("band", "lead")
+        pairs = some.join(leads, on="band").where("component != lead.component").select(
+            F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
+        pairs = save(pairs if tried is None else pairs.join(tried, on=["u", "v"], how="left_anti"), "wave-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v"), texts, size, least)
+        links = found if links is None else links.unionByName(found)
+        linked = connected_components(links.unionByName(copies))
     # buckets that still hold several components: their nodes are compared across components, the hub's pairs aside
     parts = save(members.where("n > 2").join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node")), "parts")
     torn = save(parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "torn")
-    rest = save(parts.where("node != hub").join(torn, on="band", how="left_semi").select("band", "node", "component"), "open-buckets")
+    rest = save(parts.join(torn, on="band", how="left_semi").select("band", "node", "component"), "open-buckets")
     nodes = save(rest.select("node").distinct(), "open-nodes")
     fine = save(some_texts(texts, nodes).mapInArrow(_emit_fine(size, 16 * k), "node bigint, fine array<bigint>").join(sketches, on="node"),
                 "open-sketches")
