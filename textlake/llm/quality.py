@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import first_rows
 from textlake.llm.linear import Model, descend, sigmoid, standard
 from textlake.llm.words import Texts, bounded_batches, slices
 
@@ -100,9 +101,11 @@ def _emit_features(names: tuple[str, ...]):
 
 def smallest_hashes(ids: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """(id) of the at most ``n`` rows whose id has the least hash: a sample that
-    depends on ids only, taken by a distributed top-n."""
-    return (ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-            .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n))
+    depends on ids only.  Ids whose hash is surely too large are dropped before
+    the rest is sorted (``first_rows``)."""
+    rows = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    hashed = F.xxhash64("id", F.lit(seed))
+    return first_rows(rows, [hashed, F.col("id")], (hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64), n)
 
 
 def sampled_features(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, id_col: str, text_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -153,11 +153,13 @@ def write_packages(pages: DataFrame, folder: str | None = None, records_per_pack
                               [F.max("lead").alias("lead"), F.sum("n").alias("n")]), "page-leads")
     n = lead.select("sha", "n").distinct().agg(F.sum("n")).first()[0] or 0
     packages = max(1, -(-n // records_per_package))
-    number = F.pmod(F.xxhash64("sha", "salt"), F.lit(packages)).cast("int")
+    # by page, so that the pages of one payload spread over all packages
+    number = F.pmod(F.xxhash64("page_id", "url", "sha"), F.lit(packages))
     refers_to = F.when(F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead").cast("string"))
     dealt = (rows.join(lead, on=["sha", "salt"])
              .select("page_id", "url", "html", "sha", refers_to.alias("refers_to"), number.alias("package"))
-             .repartition(packages, "package").sortWithinPartitions("package", "page_id", "url"))
+             # as many tasks as the session has for a shuffle; each writes its packages one after another
+             .repartition("package").sortWithinPartitions("package", "page_id", "url"))
     return save(dealt.mapInArrow(_write_packages(folder), "path string, records bigint"), "packages")
 
 
