@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlake.llm.exact_dedup import exact_dedup
-from textlake.llm.mix_sources import draw, hypergeometric, mix_sources, splitting_tree
+from textlake.llm.mix_sources import draw, hypergeometric, mix, mix_sources, shards_for, splitting_tree
 
 DOCS = "doc_id long, text string, source string, id int, h string, sha string, salt int, size int"
 ROWS = [(1, "a b", "x"), (2, "a b", "x"), (3, "", None), (4, None, None), (5, "a  b", "y"), (5, "a  b", "y"),
@@ -129,3 +129,20 @@ def test_mix_of_no_words(spark, rows):
 def test_mix_refuses_other_shards(spark):
     with pytest.raises(ValueError):
         mix_sources(frame(spark), n_shards=3)
+
+
+def test_mix_is_plan_and_draw(spark):
+    """Texts joined to planned pieces give what a plan that carries the texts gives; repeated
+    rows, null texts and ids, and a column named like the row hash's."""
+    rows = [(i, "\n".join(f"w{i}x{k}" for k in range(i % 37)) if i % 11 else None, f"s{i % 4}" if i % 5 else None) for i in range(120)]
+    rows += [(7, rows[7][1], "s3")] * 3 + [(None, "some words of no id", "s1")]
+    docs = frame(spark, rows).withColumn("pieces", F.lit("clash"))
+    plain = draw(mix_sources(docs, n_shards=4, block_words=8, keep=("text",)), n_shards=4)
+    got = mix(docs, n_shards=4, block_words=8)
+    assert got.columns == plain.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    assert mix(docs.limit(0)).count() == 0
+
+
+def test_shards_follow_the_size():
+    assert [shards_for(n, 100) for n in (0, 1, 6400, 6401, 12_800, 12_801)] == [64, 64, 64, 128, 128, 256]
