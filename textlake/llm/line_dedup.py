@@ -54,7 +54,7 @@ BITS = 2 * 3 * WIDTH
 #: Bits of a block, and blocks of a key.
 BLOCK, BLOCKS = 5, 4
 #: Lines of a part of a full bucket, how often a bucket is dealt at a time, and how often anew.
-PART, DEALS, WAVES = 6, 4, 12
+PART, DEALS, WAVES = 6, 4, 2
 
 
 def normalised(line: str | Column) -> Column:
@@ -144,7 +144,7 @@ def bucket_pairs(info: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((u, v) of buckets of two and three, members (key, node, size) of fuller ones), of some keys at a time."""
     pairs, inside = [], []
     for at in range(0, max(count for _, count in KEY_COUNTS), AT_A_TIME):
-        members = info.where(F.size(line_keys(at, at + AT_A_TIME)) > 0).select("node", F.explode(line_keys(at, at + AT_A_TIME)).alias("key"))
+        members = info.select("node", F.explode(line_keys(at, at + AT_A_TIME)).alias("key"))
         buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
                                                   F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
         third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
@@ -208,14 +208,20 @@ def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, leas
         groups = connected_components(links)
         inside = inside.select(*known)
     inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
-    # lines of one bucket in different components: compared, and one link of two components goes on
+    # lines of one bucket in different components are compared, those of its largest component only
+    # with others, so that a bucket of one large group and some more lines costs few comparisons
     columns = ("node", "n", "component", *[f"p{j}" for j in range(PARITY)])
-    rest = inside.select("key", "node", "component").join(info.drop("component"), on="node")
-    u, v = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
-    across = u.join(v, (u["key"] == v["key"]) & (F.col("component_u") < F.col("component_v")) & may_be_near(least))
-    across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "component_u", "component_v").distinct(), "line-across")
+    sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
+    rest = inside.select("key", "node", "component").join(largest, on="key").join(info, on="node")
+    u, v = (rest.select("key", "largest", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
+    u = u.where("component_u != largest").drop("largest")
+    apart = (F.col("component_u") != F.col("component_v")) & ((F.col("component_v") == F.col("largest")) | (F.col("component_u") < F.col("component_v")))
+    across = u.join(v, (u["key"] == v["key"]) & apart & may_be_near(least))
+    across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.least("component_u", "component_v").alias("a"),
+                                F.greatest("component_u", "component_v").alias("b")).distinct(), "line-across")
     last = verified(docs, occurrences, across.select("u", "v").distinct(), least, id_col, text_col)
-    one = last.join(across, on=["u", "v"]).groupBy("component_u", "component_v").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
+    one = last.join(across, on=["u", "v"]).groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
     return connected_components(links.unionByName(one))
 
 
