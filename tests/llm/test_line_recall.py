@@ -6,7 +6,6 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-import pytest
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.test_near_and_lines import edits, frame, norm, roots
 
@@ -37,8 +36,7 @@ def similar_pairs(texts):
     return words, [(a, b) for (a, b), n in shared.items() if enough(a, b, n) and similar(words[a], words[b])]
 
 
-@pytest.mark.parametrize("sf_dir", [SF_MID])
-def test_share_of_similar_pairs_that_is_found(spark, sf_dir):
+def test_share_of_similar_pairs_that_is_found(spark, sf_dir=SF_MID):
     words, pairs = similar_pairs([r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()])
     some = sorted({i for p in pairs for i in p})
     docs = frame(spark, [(i, " ".join(words[i])) for i in some])
@@ -72,8 +70,7 @@ def test_lines_of_few_edits_are_linked(spark):
     assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links) and len(links) >= 108
 
 
-@pytest.mark.parametrize("n", [100, 200, 400])
-def test_links_grow_with_the_lines(spark, n, monkeypatch):
+def test_links_grow_with_the_lines(spark, monkeypatch, n=300):
     """Lines that are each some edits from one line, so that most pairs aren't similar: the
     verified links that go on are a few a line, and the groups are those of all pairs that meet."""
     r = random.Random(1)

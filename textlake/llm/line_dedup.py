@@ -121,12 +121,11 @@ def line_keys(start: int = 0, end: int | None = None) -> Column:
     most = max(count for _, count in KEY_COUNTS)
     masks, end = key_masks(most), most if end is None else end
     keys = [F.xxhash64(F.lit(t), F.col("sim0").bitwiseAND(F.lit(a)), F.col("sim1").bitwiseAND(F.lit(b)), F.col(("first", "last", "low")[t % 3]))
-            for t, (a, b) in enumerate(masks)]
-    out = F.lit(None)
-    for words, count in reversed(KEY_COUNTS):
-        some = F.array(*keys[start:min(end, count)]).cast("array<bigint>")
-        out = some if words is None else F.when(F.col("n") < words, some).otherwise(out)
-    return out
+            for t, (a, b) in enumerate(masks)][start:end]
+    count = F.lit(KEY_COUNTS[-1][1])
+    for words, more in reversed(KEY_COUNTS[:-1]):
+        count = F.when(F.col("n") < words, more).otherwise(count)
+    return F.slice(F.array(*keys), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(len(keys)), count - start)))
 
 
 def bit_gap(a: str, b: str) -> Column:
