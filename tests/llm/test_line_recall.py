@@ -54,15 +54,14 @@ def test_share_of_similar_pairs_that_is_found(spark, sf_dir=SF_MID):
 def test_lines_of_few_edits_are_linked(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 6)))
-    lines, group = [], []
-    for g, n in enumerate([12, 16, 20, 25, 30, 40, 60, 100, 150] * 12):
+    lines = []
+    for n in [12, 16, 20, 25, 30, 40, 60, 100, 150] * 12:
         base = [word() for _ in range(n)]
         for k in (0, max(1, n // 20)):
             w = list(base)
             for at in r.sample(range(1, n - 1), k):
                 w[at] = word()
             lines.append(" ".join(w))
-            group.append(g)
     got = {x.id: x.class_id for x in dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
     links = [(a, b) for a in range(len(lines)) for b in range(a) if similar(lines[a].split(), lines[b].split())]
     whole = roots(range(len(lines)), links)
@@ -92,18 +91,20 @@ def test_links_grow_with_the_lines(spark, monkeypatch, n=300):
 def test_a_bucket_of_many_groups(spark):
     """Lines that share a pair of rare words, but are only similar within groups."""
     r = random.Random(9)
-    lines, group = [], []
+    lines = []
     for g in range(12):
         base = [f"{chr(97 + g)}{chr(97 + i)}x" for i in range(18)]
         for _ in range(5):
             w = list(base)
             w[r.randrange(18)] = "".join(r.choice("klmnop") for _ in range(6))
             lines.append(" ".join([*w[:9], "zzq", "qqz", *w[9:]]))
-            group.append(g)
     got = defaultdict(set)
     for x in dedup_lines(frame(spark, list(enumerate(lines)))).collect():
         got[x.class_id].add(x.id)
-    assert sorted(map(sorted, got.values())) == [[5 * g + i for i in range(5)] for g in range(12)]
+    # nothing is linked across groups; SimHash may leave a line of a group alone
+    assert all(len({i // 5 for i in ns}) == 1 for ns in got.values())
+    largest = [max(len(ns) for ns in got.values() if min(ns) // 5 == g) for g in range(12)]
+    assert sum(largest) >= 0.9 * 60
 
 
 def test_pipeline_drops_equal_lines_of_any_length(spark):
