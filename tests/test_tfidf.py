@@ -149,3 +149,25 @@ def test_tfidf_of_document_equals_the_whole(spark):
     docs = _docs(spark, SF_SMALL)
     whole = sorted(tuple(r) for r in tfidf.tfidf_exact(docs, ["doc_id"]).where("doc_id = 7").collect())
     assert sorted(tuple(r) for r in tfidf.tfidf_of_document(docs, "doc_id", 7).collect()) == whole and whole
+
+
+def _hashes_by_expression(df) -> bool:
+    """Whether the plan spells HashingTF's hash out, byte by byte, for its terms."""
+    return "conv(" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_of_terms_are_hashing_tfs(spark):
+    terms = ["", "a", "abcde", "straße", "日本語", "\U0001F600"]
+    rows = spark.createDataFrame([(t,) for t in terms], "term string")
+    for n in (1000, 1 << 20):
+        h = tfidf.HashingTF(numFeatures=n)
+        assert {r.term: r.bucket for r in tfidf.with_buckets(rows, n).collect()} == {t: h.indexOf(t) for t in terms}
+
+
+def test_hash_bucket_terms_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a  b a"), (1, "b"), (None, None), (2, ""), (3, " ")], "d int, body string")
+    out = tfidf.hash_bucket_terms(docs)
+    h = tfidf.HashingTF(numFeatures=tfidf.NUM_FEATURES)
+    assert {(r.term, r.bucket, r.n_terms, round(r.weight, 9)) for r in out.collect()} == {
+        ("a", h.indexOf("a"), 1, round(math.log(6 / 2), 9)), ("b", h.indexOf("b"), 1, round(math.log(6 / 3), 9))}
+    assert not _hashes_by_expression(out)
