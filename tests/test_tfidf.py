@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from textlake.functions.hashing import hashing_tf_bucket
 from textlake.operators import tfidf
-from textlake.plans.queries import _docs
+from textlake.plans.queries import QUERIES, _docs
 
 
 def test_exact_inline_values(spark):
@@ -171,3 +171,17 @@ def test_hash_bucket_terms_of_odd_rows(spark):
     assert {(r.term, r.bucket, r.n_terms, round(r.weight, 9)) for r in out.collect()} == {
         ("a", h.indexOf("a"), 1, round(math.log(6 / 2), 9)), ("b", h.indexOf("b"), 1, round(math.log(6 / 3), 9))}
     assert not _hashes_by_expression(out)
+
+
+def test_vector_scores_of_repeated_keys(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (1, "a c"), (2, "b"), (None, "a"), (3, "")], "d int, body string")
+    out = tfidf.vector_scores(tfidf.hashed_tfidf_vectors(docs), ["d"])
+    assert not _hashes_by_expression(out)
+    # rows that share a key see each other's entries; a null key meets none
+    assert sorted((r.d, r.term, r.tf) for r in out.collect()) == [
+        (1, "a", 1.0), (1, "a", 1.0), (1, "a", 1.0), (1, "a", 1.0), (1, "b", 2.0), (1, "c", 1.0), (2, "b", 1.0)]
+
+
+def test_vector_query_normalizes_the_texts_once(spark):
+    plan = QUERIES["tfidf_hashed_vectors"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

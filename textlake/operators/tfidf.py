@@ -256,11 +256,10 @@ def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
     entries = vectors.select(*key, F.explode(F.arrays_zip(
         rv["indices"].alias("bucket"), rv["values"].alias("tf"), fv["values"].alias("score")))
         .alias("e")).select(*key, "e.bucket", "e.tf", "e.score")
-    # the buckets' number is the vectors' size, whatever it is
-    terms = vectors.select(*key, rv["size"].alias("_size"),
-                           F.explode(F.array_distinct(words)).alias("term"))
-    with_bucket = terms.select(*key, "term", hashing_tf_bucket("term", F.col("_size")).alias("bucket"))
-    return with_bucket.join(entries, on=[*key, "bucket"]).select(*key, "term", "score", "tf")
+    terms = vectors.select(*key, F.explode(F.array_distinct(words)).alias("term"))
+    # the buckets' number is the vectors' size, whatever it is: HashingTF notes it on its column
+    size = vectors.schema[raw].metadata["ml_attr"]["num_attrs"]
+    return with_buckets(terms, size).join(entries, on=[*key, "bucket"]).select(*key, "term", "score", "tf")
 
 
 def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",

@@ -400,8 +400,10 @@ def q_tfidf_hashed(spark, sf_dir):
 
 def q_tfidf_hashed_vectors(spark, sf_dir):
     """The ML pipeline itself (Tokenizer -> HashingTF -> IDF), read off the
-    vectors into the long (doc, term, score, tf) table."""
-    vec = tfidf.hashed_tfidf_vectors(_docs(spark, sf_dir).select("doc_id", "body"))
+    vectors into the long (doc, term, score, tf) table.  The normalized texts
+    are written once: the fit and both sides of the scores' join read them."""
+    docs = materialize(_docs(spark, sf_dir).select("doc_id", "body"), "hashed-bodies")
+    vec = tfidf.hashed_tfidf_vectors(docs)
     return _round_scores(tfidf.vector_scores(vec, ["doc_id"]), ["doc_id"])
 
 
