@@ -185,3 +185,11 @@ def test_vector_scores_of_repeated_keys(spark):
 def test_vector_query_normalizes_the_texts_once(spark):
     plan = QUERIES["tfidf_hashed_vectors"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_cached_features_scores_hash_no_bytes(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b")], "d int, body string")
+    with tfidf.cached_features(docs, num_features=4096) as features:
+        out = tfidf.vector_scores(tfidf.idf_vectors(features), ["d"])
+        assert not _hashes_by_expression(out)
+        assert sorted((r.d, r.term, r.tf) for r in out.collect()) == [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0)]
