@@ -193,3 +193,10 @@ def test_cached_features_scores_hash_no_bytes(spark):
         out = tfidf.vector_scores(tfidf.idf_vectors(features), ["d"])
         assert not _hashes_by_expression(out)
         assert sorted((r.d, r.term, r.tf) for r in out.collect()) == [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0)]
+
+
+def test_hashed_scores_join_no_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b")], "d int, body string")
+    df = tfidf.tfidf_hashed_scores(docs, ["d"])
+    assert not _hashes_by_expression(df)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the buckets' weights

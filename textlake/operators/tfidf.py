@@ -268,8 +268,8 @@ def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
 
     A term's tf and score are those of its bucket (terms of one document
     that share a bucket add up), computed with a window and aggregations
-    instead of vectors and positional zips (the bucket is computed once per
-    term and joined to its rows, see ``with_term_values``):
+    instead of vectors and positional zips (each row's term is hashed where it
+    lies; no join with the vocabulary, which would shuffle all rows again):
       (key, term, tf) -> + bucket -> window over (key, bucket): btf, first
       (bucket, bdf = documents holding the bucket)
     A (key, bucket) window partition holds only the terms of one document
@@ -277,7 +277,7 @@ def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
     (bucket, bdf) table has at most ``num_features`` rows -- a bound that
     does not grow with the data -- so it is broadcast.
     """
-    tf = with_term_values(term_frequencies(docs, key, body), key, salts, [hashing_tf_bucket("term", num_features).alias("bucket")])
+    tf = with_buckets(term_frequencies(docs, key, body), num_features)
     cell = Window.partitionBy(*key, "bucket").orderBy("term")
     whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = tf.select(*key, "term", "bucket", F.sum("tf").over(whole).alias("btf"),
