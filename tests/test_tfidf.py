@@ -200,3 +200,20 @@ def test_hashed_scores_join_no_vocabulary(spark):
     df = tfidf.tfidf_hashed_scores(docs, ["d"])
     assert not _hashes_by_expression(df)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the buckets' weights
+
+
+def test_rows_are_dealt_by_term_and_salt_once(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(1, "a b b"), (2, "b"), (None, "b c")], "d int, body string")
+        df = tfidf.tfidf_exact(docs, ["d"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {(r.d, r.term, r.tf) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0), (None, "b", 1.0), (None, "c", 1.0)}
+    made = [x for x in plan.splitlines() if re.search(r"[:+]- Exchange hashpartitioning\(term", x)]
+    assert len(made) == 3  # the rows, the pairs by term, the totals by pair

@@ -67,30 +67,32 @@ def idf(df_col: Column, m: Column) -> Column:
     return F.log((m + F.lit(1)).cast("double") / (df_col + F.lit(1)).cast("double"))
 
 
-def with_term_values(tf: DataFrame, key: Sequence[str], salts: int, values: Sequence[Column] = ()) -> DataFrame:
-    """``tf`` with ``df`` and further ``values`` of its term (Columns over ``term``),
-    each computed once for each term.
+def with_term_values(tf: DataFrame, key: Sequence[str], salts: int) -> DataFrame:
+    """``tf`` with ``df``, the number of its rows with the same term.
 
-    With salts the rows of one term meet its values in so many separate
+    With salts the rows of one term meet its total in so many separate
     partitions.  First (term, salt) is counted, then term; the totals go back
-    to the pairs that occur, and those to the rows.
+    to the pairs that occur, and those to the rows.  The rows are dealt by
+    (term, salt) once, for the counts and for the join, and the pairs by term
+    once.  The totals, a few numbers for each pair, are hashed where they lie;
+    the rows, many times as many, are not sorted.
 
     The conditions on the counts are always true: they keep the counts, and so
     ``tf``, alive on every path, whatever the caller reads.  All paths are then
-    one plan up to the (key, term) shuffle, which Spark makes once.
+    one plan up to each shuffle, which Spark makes once.
     """
-    holds = F.sum((F.col("tf") > 0).cast("long"))
+    # a count, as it is never NULL: a test for that would stand on one path only
+    holds = F.count(F.when(F.col("tf") > 0, 1))
     if salts == 1:
         whole = tf.groupBy("term").agg(holds.alias("df")).where("df > 0")
-        return tf.join(whole.select("term", "df", *values), on="term")
-    # never NULL: a salt that might be would add a test to one side only, and
-    # the two sides would no longer share their shuffle
+        return tf.join(whole, on="term")
+    # never NULL either
     salt = F.coalesce(F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"), F.lit(0))
-    salted = tf.withColumn("_salt", salt)
-    part = salted.groupBy("term", "_salt").agg(holds.alias("n"))
-    whole = part.groupBy("term").agg(F.sum("n").alias("df")).select("term", "df", *values)
-    totals = part.join(whole, on="term").where("df >= n").drop("n")
-    return salted.join(totals, on=["term", "_salt"]).drop("_salt")
+    dealt = tf.repartition("term", salt)
+    part = dealt.groupBy("term", salt.alias("_salt")).agg(holds.alias("n")).repartition("term")
+    whole = part.groupBy("term").agg(F.sum("n").alias("df"), F.max("_salt").alias("_last"))
+    totals = part.join(whole, on="term").where("df >= n AND _last >= _salt").select("term", "_salt", "df")
+    return dealt.withColumn("_salt", salt).join(totals.hint("shuffle_hash"), on=["term", "_salt"]).drop("_salt")
 
 
 def tfidf_exact(docs: DataFrame, key: Sequence[str], body: str = "body", salts: int = 16
