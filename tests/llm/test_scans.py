@@ -10,6 +10,7 @@ import zipfile
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from textlake.llm import warc
 from textlake.llm.secrets import ENDPOINT, KEY40, PARTNERS, USER, scan
@@ -111,6 +112,24 @@ def test_round_trip(spark):
     assert listed.count() == len(rows) and listed.where("payload is not null").count() == 0
 
 
+def test_html_is_dealt_once(spark):
+    df = spark.createDataFrame([(1, "u", "x"), (2, "v", "x"), (2, "v", "x"), (None, None, "x"), (None, "w", "y")],
+                               "page_id long, url string, html string")
+    rows = df.withColumns({"sha": F.unhex(F.sha1("html")), "salt": F.lit(0)})
+    lead = rows.groupBy("sha", "salt").agg(F.max("page_id").alias("lead"))
+    out = warc.dealt_pages(rows, lead, 3)
+    assert sorted(((r.page_id, r.url, r.html, r.refers_to) for r in out.collect()), key=repr) == sorted(
+        [(1, "u", "x", "2"), (2, "v", "x", None), (2, "v", "x", None), (None, None, "x", "2"), (None, "w", "y", None)], key=repr)
+    # neither side of the join has the texts
+    sides = [n for n in plan_nodes(out._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert sides and not any("html" in side.output().mkString(",") for j in sides for side in (j.left(), j.right()))
+
+
+def plan_nodes(node):
+    children = node.children()
+    return [node] + [n for i in range(children.size()) for n in plan_nodes(children.apply(i))]
+
+
 def test_packages_are_plain_zip_files(spark):
     df = spark.createDataFrame([(1, "u", "x"), (2, "v", "x")], "page_id long, url string, html string")
     path = warc.write_packages(df).first().path

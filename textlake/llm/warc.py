@@ -46,7 +46,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlake.llm.common import salt, salted_totals, save
@@ -137,6 +137,26 @@ def _write_packages(folder: str):
     return write
 
 
+def dealt_pages(rows: DataFrame, lead: DataFrame, packages: int) -> DataFrame:
+    """``rows`` with ``refers_to`` and ``package``, each package's rows together and sorted.
+
+    The html is dealt once: a page's lead comes to it as a row without html, that
+    the join with ``lead`` makes and that sorts before the page's own.
+    """
+    page = ["page_id", "url", "sha"]
+    marks = rows.select(*page, "salt").join(lead, on=["sha", "salt"]).select(*page, F.lit(None).cast("string").alias("html"), "lead")
+    both = rows.select(*page, "html", F.lit(None).cast("long").alias("lead")).unionByName(marks)
+    # by page, so that the pages of one payload spread over all packages
+    number = F.pmod(F.xxhash64(*page), F.lit(packages))
+    # as many tasks as the session has for a shuffle; each writes its packages one after another
+    both = both.withColumn("package", number).repartition("package")
+    so_far = Window.partitionBy("package", *page).orderBy(F.col("html").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    refers_to = F.when(F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead").cast("string"))
+    return (both.withColumn("lead", F.max("lead").over(so_far)).where("html IS NOT NULL")
+            .select("page_id", "url", "html", "sha", refers_to.alias("refers_to"), "package")
+            .sortWithinPartitions("package", "page_id", "url"))
+
+
 def write_packages(pages: DataFrame, folder: str | None = None, records_per_package: int = 1000, id_col: str = "page_id",
                    url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
     """Write ``pages`` as packages of about ``records_per_package`` records under
@@ -153,13 +173,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, records_per_pack
                               [F.max("lead").alias("lead"), F.sum("n").alias("n")]), "page-leads")
     n = lead.select("sha", "n").distinct().agg(F.sum("n")).first()[0] or 0
     packages = max(1, -(-n // records_per_package))
-    # by page, so that the pages of one payload spread over all packages
-    number = F.pmod(F.xxhash64("page_id", "url", "sha"), F.lit(packages))
-    refers_to = F.when(F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead").cast("string"))
-    dealt = (rows.join(lead, on=["sha", "salt"])
-             .select("page_id", "url", "html", "sha", refers_to.alias("refers_to"), number.alias("package"))
-             # as many tasks as the session has for a shuffle; each writes its packages one after another
-             .repartition("package").sortWithinPartitions("package", "page_id", "url"))
+    dealt = dealt_pages(rows, lead, packages)
     return save(dealt.mapInArrow(_write_packages(folder), "path string, records bigint"), "packages")
 
 
