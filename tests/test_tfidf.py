@@ -1,6 +1,7 @@
 """TF-IDF: exact invariants, ranks, and hashed long form vs the ML vectors."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 

@@ -11,7 +11,7 @@ when each group is treated as one document):
 Plan: one aggregation of the token stream to (key, term, tf) -- the map-side
 partial aggregate already finishes it, since a document's tokens come from
 one row -- a scalar subquery for m, and a join that brings each row what
-belongs to its term (df, the bucket).  A term of every document is a hot join
+belongs to its term (df).  A term of every document is a hot join
 key; AQE's skew join does not split it (the other side arrives from an
 aggregate, not from a shuffle), so rows carry a salt, a hash of their key, and
 the terms' values are joined back to the (term, salt) pairs that occur: at most
@@ -265,7 +265,7 @@ def vector_scores(vectors: DataFrame, key: Sequence[str], words: str = "words",
 
 
 def tfidf_hashed_scores(docs: DataFrame, key: Sequence[str], body: str = "body",
-                        num_features: int = NUM_FEATURES, salts: int = 16) -> DataFrame:
+                        num_features: int = NUM_FEATURES) -> DataFrame:
     """(key, term, score, tf) as read from the hashed vectors.
 
     A term's tf and score are those of its bucket (terms of one document
@@ -319,7 +319,7 @@ def hash_bucket_audit(tf: DataFrame, num_features: int = NUM_FEATURES) -> DataFr
     where a hashed score mixes terms.  (bucket, n_terms, first_term,
     last_term).  ``tf`` is any table with a ``term`` column."""
     terms = tf.select("term").distinct()
-    return (terms.select("term", hashing_tf_bucket("term", num_features).alias("bucket"))
+    return (with_buckets(terms, num_features)
             .groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"),
                  F.max("term").alias("last_term"))
