@@ -1,5 +1,6 @@
 """Near-dedup and line dedup against brute force; connected components."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textlake.llm.common import connected_components
+from textlake.llm import line_dedup
+from textlake.llm.common import connected_components, relabelled
 from textlake.llm.line_dedup import BITS, BLOCK, BLOCKS, bucket_pairs, dedup_lines, keep_lines, key_masks, line_hashes, line_keys
 from textlake.llm.near_dedup import agreeing, agreeing_folded, keep_one, near_duplicates, needed, packed, regions, shingles, signatures
 from textlake.llm.words import slices
@@ -261,3 +263,26 @@ def test_dedup_lines_of_nothing(spark):
     docs = frame(spark, [])
     marked = dedup_lines(docs)
     assert marked.count() == 0 and keep_lines(docs, marked).count() == 0
+
+
+def test_relabelled(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 5), (5, 5), (9, 8)], "node long, component long")
+    merged = spark.createDataFrame([(5, 1), (1, 1), (20, 1), (31, 30), (30, 30)], "node long, component long")
+    got = sorted((x.node, x.component) for x in relabelled(groups, merged, salts=3).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (7, 1), (9, 8), (20, 1), (30, 30), (31, 30)]
+
+
+def test_buckets_do_not_stay_on_disk(spark, monkeypatch):
+    """The tables of full buckets go when they are dealt, and what a deal leaves are pairs that may be near."""
+    saved, plain = [], line_dedup.save
+    monkeypatch.setattr(line_dedup, "save", lambda df, name: (saved.append((name, plain(df, name))), saved[-1][1])[1])
+    r = random.Random(6)
+    rows = [(i, "begin " + " ".join("".join(r.choices("abcdefgh", k=2)) for _ in range(8 + i % 3)) + " end") for i in range(200)]
+    rows += [(200 + i, rows[i % 5][1].replace("end", "x" * (1 + i // 5) + " end")) for i in range(40)]
+    got = {x.id: x.class_id for x in dedup_lines(frame(spark, rows)).collect()}
+    assert all(got[200 + i] == got[i % 5] for i in range(40))
+    there = lambda df: os.path.exists(df.saved_at.removeprefix("file://"))
+    assert not [n for n, df in saved if n in ("line-buckets", "marked-buckets") and there(df)]
+    near = [df.count() for n, df in saved if n == "dealt-pairs"]
+    full = sum(df.count() for n, df in saved if n == "full-buckets")
+    assert near and full and max(near) < full

@@ -172,5 +172,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 8)
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def label_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v) of the labels ``a`` and ``b`` that ``links`` (u, v), some of ``pairs`` (u, v, a, b), connect."""
+    return links.join(pairs, on=["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def relabelled(groups: DataFrame, merged: DataFrame, salts: int = 8) -> DataFrame:
+    """``groups`` (node, component) after ``merged`` (node, component), the components of links
+    between labels of ``groups`` and nodes that stood alone.  Links of earlier rounds are
+    thus not gone through again; a label of very many nodes is joined with salts."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    whole = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"), spread.alias("salt"))
+    old = (groups.select("node", "component", salt("node", salts=salts).alias("salt")).join(whole, on=["component", "salt"], how="left")
+           .select("node", F.coalesce("whole", "component").alias("component")))
+    alone = merged.join(groups, on="node", how="left_anti").select("node", "component")
+    return save(old.unionByName(alone), "groups")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

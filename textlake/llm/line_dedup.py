@@ -41,13 +41,14 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, maybe_among, save, sieve, text_or_empty
+from textlake.llm.common import connected_components, drop, label_links, maybe_among, relabelled, save, sieve, text_or_empty
 
-#: Longs of parity bits a line.
+#: Longs of parity bits a line, and what tells whether two lines may be near.
 PARITY = 4
+MARKS = ("n", *[f"p{j}" for j in range(PARITY)])
 #: SimHash: three counters of 21 bits to a long, each counts the words that have a bit.
 WIDTH, LANES = 21, 1 | 1 << 21 | 1 << 42
 BITS = 2 * 3 * WIDTH
@@ -113,7 +114,7 @@ def key_masks(count: int) -> list[tuple[int, int]]:
 #: (words, keys): lines of fewer words have so many keys.
 KEY_COUNTS = ((20, 84), (50, 48), (None, 24))
 #: Keys of a line that are joined at a time, so that few of them lie on disk.
-AT_A_TIME = 21
+AT_A_TIME = 12
 
 
 def line_keys(start: int = 0, end: int | None = None) -> Column:
@@ -148,29 +149,39 @@ def bucket_pairs(info: DataFrame) -> tuple[DataFrame, DataFrame]:
                                                   F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
         third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
         pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
-        pairs.append(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
-            F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v"))
+        pairs.append(save(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
+            F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v"), "few-pairs"))
         full = buckets.where("size > 3").select("key", "size")
         inside.append(save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets"))
+        drop(buckets)
     return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, inside)
 
 
-def dealt_pairs(inside: DataFrame, deal: int) -> DataFrame:
-    """(u, v): each member of a full bucket (key, node, size, component) with the first of its
-    part, where that is of another component; buckets are dealt ``DEALS`` times, by hashes from ``deal`` on."""
+def dealt_pairs(inside: DataFrame, info: DataFrame, deals: range, least: float) -> DataFrame:
+    """(u, v, a, b): each member of a full bucket (key, node, size, component) with the first of its
+    part, where that is of another component and length and parity bits don't rule the two
+    out; a and b are the components.  Buckets are dealt by the hashes of ``deals``, one
+    after another: only the rows of one deal are shuffled at a time, and few pairs stay."""
+    marked = save(inside.join(info.select("node", *MARKS), on="node"), "marked-buckets")
+    columns = ("node", "component", *MARKS)
     parts = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / PART))
-    deals = F.explode(F.sequence(F.lit(deal), F.lit(deal + DEALS - 1))).alias("deal")
-    dealt = inside.select("key", "node", "size", "component", deals)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "deal"), parts))
-    first = F.min(F.struct(F.xxhash64("deal", "node").alias("h"), "node", "component")).alias("lead")
-    leads = dealt.groupBy("key", "deal", "part").agg(first)
-    both = dealt.join(leads, on=["key", "deal", "part"]).where("component != lead.component")
-    return both.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+    first = Window.partitionBy("key", "part").orderBy("h", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = []
+    for deal in deals:
+        dealt = marked.select("key", *columns, F.pmod(F.xxhash64("node", F.lit(deal)), parts).alias("part")).repartition("key", "part")
+        both = dealt.withColumn("h", F.xxhash64(F.lit(deal), "node")).select(
+            *[F.col(c).alias(f"{c}_u") for c in columns], *[F.first(c).over(first).alias(f"{c}_v") for c in columns])
+        both = both.where((F.col("component_u") != F.col("component_v")) & may_be_near(least))
+        pairs.append(save(both.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"),
+                                      F.least("component_u", "component_v").alias("a"), F.greatest("component_u", "component_v").alias("b"))
+                          .distinct(), "dealt-pairs"))
+    drop(marked)
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def likely(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) that length and parity bits don't rule out."""
-    columns = ("node", "n", *[f"p{j}" for j in range(PARITY)])
+    columns = ("node", *MARKS)
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in columns])
     both = pairs.select(F.col("u").alias("node_u"), F.col("v").alias("node_v")).distinct()
     both = both.join(side("u"), on="node_u").join(side("v"), on="node_v").where(may_be_near(least))
@@ -190,29 +201,26 @@ def torn_buckets(inside: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the lines ``info`` (node, n, parity bits, SimHash, three words) that are linked."""
     few, inside = bucket_pairs(info)
-    alone = inside.withColumn("component", F.col("node"))
-    pairs = few.unionByName(dealt_pairs(alone, 0))
-    links = verified(docs, occurrences, likely(pairs, info, least), least, id_col, text_col)
-    groups = connected_components(links)
+    near = likely(few, info, least).select("u", "v", F.col("u").alias("a"), F.col("v").alias("b"))
+    pairs = save(near.unionByName(dealt_pairs(inside.withColumn("component", F.col("node")), info, range(DEALS), least)).distinct(), "line-pairs")
+    groups = connected_components(label_links(verified(docs, occurrences, pairs.select("u", "v"), least, id_col, text_col), pairs))
     known = ["key", "node", "size"]
     for wave in range(1, WAVES + 1):
         inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
-        more = save(likely(dealt_pairs(inside, wave * DEALS), info, least), "line-pairs")
+        more = save(dealt_pairs(inside, info, range(wave * DEALS, (wave + 1) * DEALS), least), "line-pairs")
         if not more.limit(1).count():
             break
-        found = verified(docs, occurrences, more, least, id_col, text_col)
+        found = verified(docs, occurrences, more.select("u", "v"), least, id_col, text_col)
         if not found.limit(1).count():
             break
-        links = save(links.unionByName(found), "line-links")
-        groups = connected_components(links)
-        inside = inside.select(*known)
+        groups = relabelled(groups, connected_components(label_links(found, more)))
     inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
     # lines of one bucket in different components are compared, those of its largest component only
     # with others, so that a bucket of one large group and some more lines costs few comparisons
-    columns = ("node", "n", "component", *[f"p{j}" for j in range(PARITY)])
+    columns = ("node", "component", *MARKS)
     sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
-    rest = inside.select("key", "node", "component").join(largest, on="key").join(info, on="node")
+    rest = save(inside.select("key", "node", "component").join(largest, on="key").join(info.select("node", *MARKS), on="node"), "marked-buckets")
     u, v = (rest.select("key", "largest", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
     u = u.where("component_u != largest").drop("largest")
     apart = (F.col("component_u") != F.col("component_v")) & ((F.col("component_v") == F.col("largest")) | (F.col("component_u") < F.col("component_v")))
@@ -220,8 +228,8 @@ def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, leas
     across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.least("component_u", "component_v").alias("a"),
                                 F.greatest("component_u", "component_v").alias("b")).distinct(), "line-across")
     last = verified(docs, occurrences, across.select("u", "v").distinct(), least, id_col, text_col)
-    one = last.join(across, on=["u", "v"]).groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v")
-    return connected_components(links.unionByName(one))
+    drop(rest)
+    return relabelled(groups, connected_components(label_links(last, across)))
 
 
 def line_codes(docs: DataFrame, occurrences: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -263,13 +271,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = save(line_hashes(docs, id_col, text_col), "marked-lines")
     lines = marked.select("id", "th", "line", "h1", "h2", "n")
     fit = marked.where(F.col("n") >= min_words)
-    marks = ["n", "first", "last", "low", "sim0", "sim1", *[f"p{j}" for j in range(PARITY)]]
+    marks = ["first", "last", "low", "sim0", "sim1", *MARKS]
     # the marks of a line are the same wherever it stands
     different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in marks]), "different-lines")
     # lines that a single edit can leave similar to another
     longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
     fuzzy = (F.col("n") >= max(2, min_words)) & (longest(F.col("n")) * F.lit(1 - least) + F.lit(1e-9) >= 1)
-    info = different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"])
+    info = save(different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"]), "line-marks")
     groups = save(similar_lines(docs, lines, info, least, id_col, text_col)
                   .select(F.col("node").alias("h1"), "component"), "line-groups")
 
