@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textlake.llm import line_dedup
+from textlake.llm import line_dedup, near_dedup
 from textlake.llm.common import connected_components, relabelled
 from textlake.llm.line_dedup import BITS, BLOCK, BLOCKS, bucket_pairs, dedup_lines, keep_lines, key_masks, line_hashes, line_keys
 from textlake.llm.near_dedup import agreeing, agreeing_folded, keep_one, near_duplicates, needed, packed, regions, shingles, signatures
@@ -265,6 +265,22 @@ def test_dedup_lines_of_nothing(spark):
     assert marked.count() == 0 and keep_lines(docs, marked).count() == 0
 
 
+def test_copies_and_old_links_are_not_gone_through_again(spark, monkeypatch):
+    """Exact copies make no link at all; what later waves find counts once for two components."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)] * 300
+    for i in range(30):
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    seen, plain = [], near_dedup.connected_components
+    monkeypatch.setattr(near_dedup, "connected_components", lambda edges, **k: (seen.append(edges.count()), plain(edges, **k))[1])
+    got = near_duplicates(frame(spark, list(enumerate(texts)))).collect()
+    assert {(x.class_id, x.class_size) for x in got} == {(0, 330)} and sum(x.kept for x in got) == 1
+    assert 30 <= sum(seen) <= 4 * 31  # a node's links of the first wave, no copy
+
+
 def test_relabelled(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 5), (5, 5), (9, 8)], "node long, component long")
     merged = spark.createDataFrame([(5, 1), (1, 1), (20, 1), (31, 30), (30, 30)], "node long, component long")

@@ -20,7 +20,9 @@ larger ones.
    go whose sizes exclude the similarity, or whose coordinates agree so seldom
    that it is more than five standard deviations away.  The others are read
    and compared exactly, all their shingles.
-3. Verified pairs form components.  Where nodes of one bucket are still in
+3. Verified pairs form components.  A link that is found later counts as one of two
+   components, so those of a wave are gone through once, and copies, which only
+   take their node's component, not at all.  Where nodes of one bucket are still in
    different components, those are compared inside the join, by these
    coordinates and by sixteen times as many that are made for such nodes
    alone, and exactly where both agree: a link between different texts of a
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, maybe_among, salt, salted_totals, save, sieve
+from textlake.llm.common import connected_components, label_links, maybe_among, relabelled, salt, salted_totals, save, sieve
 from textlake.llm.words import Texts, bounded_batches, lists, mix, range_hash, signed, slices, windows
 
 U = np.uint64
@@ -252,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = (F.least("weight_u", "weight_v") >= F.greatest("weight_u", "weight_v") * least) & (
         agreeing("sketch_u", "sketch_v", k) >= needed(k, least))
     # some bands at a time: what one wave joined makes no more pairs in the next
-    links, linked, tried = None, copies.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0), None
+    linked, tried = copies.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0), None
     for start, end in waves(bands):
         some = members.where((F.col("at") >= start) & (F.col("at") < end)).join(linked, on="node", how="left").withColumn(
             "component", F.coalesce("component", "node"))
@@ -260,12 +262,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leads = some.groupBy("band").agg(F.min(F.struct("node", "component")).alias("lead"), F.max("component").alias("hi"),
                                          F.min("component").alias("lo")).where("lo != hi").select("band", "lead")
         pairs = some.join(leads, on="band").where("component != lead.component").select(
-            F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
+            F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"),
+            F.greatest("component", "lead.component").alias("a"), F.least("component", "lead.component").alias("b")).distinct()
         pairs = save(pairs if tried is None else pairs.join(tried, on=["u", "v"], how="left_anti"), "wave-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
         found = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v"), texts, size, least)
-        links = found if links is None else links.unionByName(found)
-        linked = connected_components(links.unionByName(copies))
+        linked = relabelled(linked, connected_components(label_links(found, pairs)))
     # buckets that still hold several components: their nodes are compared across components, the hub's pairs aside
     parts = save(members.where("n > 2").join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node")), "parts")
     torn = save(parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "torn")
@@ -279,8 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"]  # in the first of the buckets that both are in
     across = a.join(b, (a["band"] == b["band"]) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
                     & alike & once & (agreeing_folded("fine_u", "fine_v", 16 * k) >= needed(16 * k, least)))
-    more = verified(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), texts, size, least)
-    groups = connected_components(links.unionByName(copies).unionByName(more))
+    across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("component_u").alias("a"),
+                                F.col("component_v").alias("b")).distinct(), "across")
+    more = verified(across.select("u", "v"), texts, size, least)
+    linked = relabelled(linked, connected_components(label_links(more, across)))
+    groups = relabelled(copies.select(F.col("u").alias("node"), F.col("v").alias("component")), linked)
     out = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"))
     classed = out.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
     classed = save(classed.withColumn("salt", salt("node", salts=salts)), "classes")
