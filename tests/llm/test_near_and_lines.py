@@ -9,8 +9,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from textlake.llm import line_dedup, near_dedup
+from textlake.llm import common, line_dedup, near_dedup
 from textlake.llm.common import connected_components, relabelled
 from textlake.llm.line_dedup import BITS, BLOCK, BLOCKS, bucket_pairs, dedup_lines, keep_lines, key_masks, line_hashes, line_keys
 from textlake.llm.near_dedup import agreeing, agreeing_folded, keep_one, near_duplicates, needed, packed, regions, shingles, signatures
@@ -302,3 +303,33 @@ def test_buckets_do_not_stay_on_disk(spark, monkeypatch):
     near = [df.count() for n, df in saved if n == "dealt-pairs"]
     full = sum(df.count() for n, df in saved if n == "full-buckets")
     assert near and full and max(near) < full
+
+
+def there(df):
+    return os.path.exists(df.saved_at.removeprefix("file://"))
+
+
+def saves_of(monkeypatch, *modules):
+    """(name, table) of all that ``save`` writes from here on."""
+    saved = []
+    for module in modules:
+        plain = module.save
+        monkeypatch.setattr(module, "save", lambda df, name, plain=plain: (saved.append((name, plain(df, name))), saved[-1][1])[1])
+    return saved
+
+
+def test_members_of_a_bucket_meet_its_hubs_of_other_components(spark):
+    rows = [(1, n, c) for n, c in ((10, 10), (11, 10), (12, 12), (13, 13), (14, 10))] + [(2, n, 20) for n in (20, 21)]
+    members = spark.createDataFrame(rows, "band long, node long, component long")
+    orders = ["struct(node, component)", "struct(-node AS h, node, component)"]
+    one, both = (near_dedup.led_pairs(members, [F.expr(o) for o in orders[:k]]).collect() for k in (1, 2))
+    assert sorted((x.u, x.v, x.a, x.b) for x in one) == [(12, 10, 12, 10), (13, 10, 13, 10)]  # no pair of one component
+    assert sorted((x.u, x.v) for x in both) == [(12, 10), (13, 10), (14, 12), (14, 13)]
+
+
+def test_near_duplicates_leave_only_their_result(spark, monkeypatch):
+    saved = saves_of(monkeypatch, near_dedup, common)
+    rows = [(i, " ".join(f"w{j}" if j != i else "x" for j in range(40))) for i in range(30)]
+    out = near_duplicates(frame(spark, rows))
+    assert {n for n, df in saved if there(df)} == {"classes"}
+    assert out.count() == 30

@@ -8,7 +8,8 @@ executor Spark reads them again instead of repeating the work above them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +44,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes what ``save`` wrote in the block at its end, but for the tables that are put
+    into the given list: those that a result still reads."""
+    kept: list[DataFrame] = []
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        drop(*[df for df in _scratch.pop() if all(df is not k for k in kept)])
+        if _scratch:
+            _scratch[-1].extend(kept)
+
+
 def drop(*saved: DataFrame) -> None:
     """Delete the folders of tables of ``save`` that nothing reads any more."""
     for df in saved:

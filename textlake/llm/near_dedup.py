@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, label_links, maybe_among, relabelled, salt, salted_totals, save, sieve
+from textlake.llm.common import connected_components, label_links, maybe_among, relabelled, salt, salted_totals, save, scratch, sieve
 from textlake.llm.words import Texts, bounded_batches, lists, mix, range_hash, signed, slices, windows
 
 U = np.uint64
@@ -223,6 +223,28 @@ def waves(bands: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+#: Hubs of a bucket at a time, and how often new ones are taken, once all bands had their first.
+HUBS, DEALS = 2, 2
+
+
+def led_pairs(members: DataFrame, orders: list[Column]) -> DataFrame:
+    """(u, v, a, b): the members (band, node, component) with those of other components that come first
+    in their bucket by one of ``orders``, structs that end in node and component."""
+    leads = members.groupBy("band").agg(F.array(*[F.struct(F.min(o)["node"].alias("node"), F.min(o)["component"].alias("component"))
+                                                       for o in orders]).alias("leads"), F.max("component").alias("hi"),
+                                        F.min("component").alias("lo")).where("lo != hi").select("band", "leads")
+    met = members.join(leads, on="band").select("node", "component", F.explode("leads").alias("lead")).where("component != lead.component")
+    return met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"),
+                      F.greatest("component", "lead.component").alias("a"), F.least("component", "lead.component").alias("b")).distinct()
+
+
+def open_buckets(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(band, node, component): the members (band, node) of buckets that hold several components."""
+    parts = save(members.join(linked, on="node", how="left").select("band", "node", F.coalesce("component", "node").alias("component")), "parts")
+    torn = save(parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "torn")
+    return save(parts.join(torn, on="band", how="left_semi").select("band", "node", "component"), "open-buckets")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8,
                     bands: int = 24, rows: int = 6, salts: int = 64) -> DataFrame:
     """(id, class_id, class_size, kept), one row for each input row.  ``class_id``
@@ -230,6 +252,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity; two texts of that similarity share a bucket with a
     probability of 1 - (1 - least ** rows) ** bands (0.9993 by default)."""
     bounded_batches(docs.sparkSession)
+    with scratch() as kept:
+        classed = _classed(docs, id_col, text_col, size, least, bands, rows, salts)
+        kept.append(classed)
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    totals = salted_totals(classed, ["component"], salts, [F.min(lead).alias("lead"), F.count(F.lit(1)).alias("n")],
+                           [F.min("lead").alias("lead"), F.sum("n").alias("class_size")])
+    return classed.join(totals, on=["component", "salt"]).select(
+        F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "class_size", (F.col("node") == F.col("lead.node")).alias("kept"), "node")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int, rows: int, salts: int) -> DataFrame:
+    """(id, node, component, salt) of each input row."""
     node = F.xxhash64(id_col, text_col)
     texts = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     k = bands * rows
@@ -259,19 +293,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = members.where((F.col("at") >= start) & (F.col("at") < end)).join(linked, on="node", how="left").withColumn(
             "component", F.coalesce("component", "node"))
         some = save(some.select("band", "node", "component"), "wave")
-        leads = some.groupBy("band").agg(F.min(F.struct("node", "component")).alias("lead"), F.max("component").alias("hi"),
-                                         F.min("component").alias("lo")).where("lo != hi").select("band", "lead")
-        pairs = some.join(leads, on="band").where("component != lead.component").select(
-            F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"),
-            F.greatest("component", "lead.component").alias("a"), F.least("component", "lead.component").alias("b")).distinct()
+        pairs = led_pairs(some, [F.struct("node", "component")])
         pairs = save(pairs if tried is None else pairs.join(tried, on=["u", "v"], how="left_anti"), "wave-pairs")
         tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
         found = verified(pairs.join(u, on="u").join(v, on="v").where(alike).select("u", "v"), texts, size, least)
         linked = relabelled(linked, connected_components(label_links(found, pairs)))
-    # buckets that still hold several components: their nodes are compared across components, the hub's pairs aside
-    parts = save(members.where("n > 2").join(linked, on="node", how="left").withColumn("component", F.coalesce("component", "node")), "parts")
-    torn = save(parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "torn")
-    rest = save(parts.join(torn, on="band", how="left_semi").select("band", "node", "component"), "open-buckets")
+    # buckets that still hold several components get other hubs while these link any
+    rest = open_buckets(members.where("n > 2"), linked)
+    for deal in range(DEALS):
+        pairs = led_pairs(rest, [F.struct(F.xxhash64("node", F.lit(deal * HUBS + i)).alias("h"), "node", "component") for i in range(HUBS)])
+        pairs = save(pairs.join(tried, on=["u", "v"], how="left_anti").join(u, on="u").join(v, on="v").where(alike).select("u", "v", "a", "b"),
+                     "hub-pairs")
+        tried = tried.unionByName(pairs.select("u", "v"))
+        found = verified(pairs.select("u", "v"), texts, size, least)
+        if not found.limit(1).count():
+            break
+        linked = relabelled(linked, connected_components(label_links(found, pairs)))
+        rest = open_buckets(rest.select("band", "node"), linked)
+    # then their nodes are compared across components
     nodes = save(rest.select("node").distinct(), "open-nodes")
     fine = save(some_texts(texts, nodes).mapInArrow(_emit_fine(size, 16 * k), "node bigint, fine array<bigint>").join(sketches, on="node"),
                 "open-sketches")
@@ -282,18 +321,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = a.join(b, (a["band"] == b["band"]) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
                     & alike & once & (agreeing_folded("fine_u", "fine_v", 16 * k) >= needed(16 * k, least)))
     across = save(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("component_u").alias("a"),
-                                F.col("component_v").alias("b")).distinct(), "across")
+                                F.col("component_v").alias("b")).distinct()
+                  .withColumns({"u": F.greatest("u", "v"), "v": F.least("u", "v")}).join(tried, on=["u", "v"], how="left_anti"), "across")
     more = verified(across.select("u", "v"), texts, size, least)
     linked = relabelled(linked, connected_components(label_links(more, across)))
     groups = relabelled(copies.select(F.col("u").alias("node"), F.col("v").alias("component")), linked)
     out = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"))
     classed = out.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
-    classed = save(classed.withColumn("salt", salt("node", salts=salts)), "classes")
-    lead = F.struct(F.col("id").isNull().alias("none"), "id", "node")
-    totals = salted_totals(classed, ["component"], salts, [F.min(lead).alias("lead"), F.count(F.lit(1)).alias("n")],
-                           [F.min("lead").alias("lead"), F.sum("n").alias("class_size")])
-    return classed.join(totals, on=["component", "salt"]).select(
-        F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "class_size", (F.col("node") == F.col("lead.node")).alias("kept"), "node")
+    return save(classed.withColumn("salt", salt("node", salts=salts)), "classes")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
