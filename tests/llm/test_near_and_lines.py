@@ -333,3 +333,27 @@ def test_near_duplicates_leave_only_their_result(spark, monkeypatch):
     out = near_duplicates(frame(spark, rows))
     assert {n for n, df in saved if there(df)} == {"classes"}
     assert out.count() == 30
+
+
+def test_lines_leave_only_their_result(spark, monkeypatch):
+    saved = saves_of(monkeypatch, line_dedup, common)
+    rows = line_rows(1)
+    out = dedup_lines(frame(spark, rows))
+    assert {n for n, df in saved if there(df)} == {"lines", "line-classes", "line-occurrences", "line-firsts"}
+    assert out.count() >= len(rows) - 1
+
+
+def test_links_of_the_first_keys_suffice_for_a_large_group(spark, monkeypatch, n=300):
+    """Lines of one group are linked by a few keys; the others only make links between components."""
+    r = random.Random(2)
+    base = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(1, 59), 2):
+            w[at] = "".join(r.choices("stuvwxyz", k=4))
+        rows.append((i, " ".join(w)))
+    seen, plain = [], line_dedup.connected_components
+    monkeypatch.setattr(line_dedup, "connected_components", lambda edges, **k: (seen.append(edges.count()), plain(edges, **k))[1])
+    assert {x.class_id for x in dedup_lines(frame(spark, rows)).collect()} == {0}
+    assert sum(seen) <= 6 * n

@@ -11,12 +11,13 @@
    the line, the first, the last or that with the least hash, so lines that differ
    in few bits share some of the keys (``KEY_COUNTS``: more for short lines, in
    which an edit turns more bits).
-3. *Buckets.*  Of a key with two or three lines all pairs are looked at.  Fuller
-   buckets are dealt by hash into parts of a few lines, several times over, and
-   each line is paired with its part's first; so a bucket of n lines costs a
-   multiple of n pairs.  While a bucket's lines lie in different components
-   and links are still found, the lines are dealt anew; at last what is left of
-   different components is compared and one link of two components goes on.
+3. *Buckets.*  A few keys go first, then, of lines that these left in different
+   components, the others.  Of a key with two or three lines all pairs are looked at.
+   Fuller buckets are dealt by hash into parts of some lines, and each line is
+   paired with its part's first; so a bucket of n lines costs n pairs.  While a
+   large bucket's lines lie in different components and links are still found,
+   the lines are dealt anew; at last what is left of different components, in
+   all full buckets, is compared and one link of two components goes on.
 4. *Edit similarity.*  256 bits, each the parity of some words, differ in at
    most two for an edit; pairs that differ in more, or in length, are dropped.
    The rest are read again and compared:
@@ -44,7 +45,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import connected_components, drop, label_links, maybe_among, relabelled, save, sieve, text_or_empty
+from textlake.llm.common import connected_components, drop, label_links, maybe_among, relabelled, save, scratch, sieve, text_or_empty
 
 #: Longs of parity bits a line, and what tells whether two lines may be near.
 PARITY = 4
@@ -54,8 +55,8 @@ WIDTH, LANES = 21, 1 | 1 << 21 | 1 << 42
 BITS = 2 * 3 * WIDTH
 #: Bits of a block, and blocks of a key.
 BLOCK, BLOCKS = 5, 4
-#: Lines of a part of a full bucket, how often a bucket is dealt at a time, and how often anew.
-PART, DEALS, WAVES = 6, 4, 2
+#: Lines of a part of a full bucket, how often larger ones are dealt at a time, and how often anew.
+PART, DEALS, WAVES = 16, 2, 2
 
 
 def normalised(line: str | Column) -> Column:
@@ -113,6 +114,8 @@ def key_masks(count: int) -> list[tuple[int, int]]:
 
 #: (words, keys): lines of fewer words have so many keys.
 KEY_COUNTS = ((20, 84), (50, 48), (None, 24))
+#: Keys from and to of each wave: few at first, when most similar lines are still apart.
+KEY_WAVES = ((0, 4), (4, 84))
 #: Keys of a line that are joined at a time, so that few of them lie on disk.
 AT_A_TIME = 12
 
@@ -140,13 +143,19 @@ def may_be_near(least: float, a: str = "_u", b: str = "_v") -> Column:
     return (F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= most) & (bit_gap(a, b) <= 2 * most)
 
 
-def bucket_pairs(info: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((u, v) of buckets of two and three, members (key, node, size) of fuller ones), of some keys at a time."""
+def bucket_pairs(info: DataFrame, start: int = 0, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((u, v) of buckets of two and three, members (key, node, component, size) of fuller ones) of the keys from ``start``
+    to ``end``, some at a time.  Buckets whose lines are all of one ``component`` of ``info``, if it says, are left out."""
     pairs, inside = [], []
-    for at in range(0, max(count for _, count in KEY_COUNTS), AT_A_TIME):
-        members = info.select("node", F.explode(line_keys(at, at + AT_A_TIME)).alias("key"))
-        buckets = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                                  F.bit_xor("node").alias("all")).where("size > 1 AND lo != hi"), "line-buckets")
+    end = max(count for _, count in KEY_COUNTS) if end is None else end
+    grouped = "component" in info.columns
+    for at in range(start, end, AT_A_TIME):
+        members = info.select("node", F.col("component" if grouped else "node").alias("component"),
+                              F.explode(line_keys(at, min(at + AT_A_TIME, end))).alias("key"))
+        ends = [F.min("component").alias("low"), F.max("component").alias("high")] if grouped else []
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                             F.bit_xor("node").alias("all"), *ends).where("size > 1 AND lo != hi")
+        buckets = save(buckets.where("low != high").drop("low", "high") if grouped else buckets, "line-buckets")
         third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
         pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
         pairs.append(save(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
@@ -180,12 +189,13 @@ def dealt_pairs(inside: DataFrame, info: DataFrame, deals: range, least: float)
 
 
 def likely(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) that length and parity bits don't rule out."""
-    columns = ("node", *MARKS)
+    """(u, v, a, b): the pairs (u, v) of different components a and b that length and parity bits don't rule out."""
+    columns = ("node", "component", *MARKS)
     side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in columns])
     both = pairs.select(F.col("u").alias("node_u"), F.col("v").alias("node_v")).distinct()
-    both = both.join(side("u"), on="node_u").join(side("v"), on="node_v").where(may_be_near(least))
-    return both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    both = both.join(side("u"), on="node_u").join(side("v"), on="node_v").where((F.col("component_u") != F.col("component_v")) & may_be_near(least))
+    return both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.least("component_u", "component_v").alias("a"),
+                       F.greatest("component_u", "component_v").alias("b"))
 
 
 def with_components(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -200,21 +210,28 @@ def torn_buckets(inside: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the lines ``info`` (node, n, parity bits, SimHash, three words) that are linked."""
-    few, inside = bucket_pairs(info)
-    near = likely(few, info, least).select("u", "v", F.col("u").alias("a"), F.col("v").alias("b"))
-    pairs = save(near.unionByName(dealt_pairs(inside.withColumn("component", F.col("node")), info, range(DEALS), least)).distinct(), "line-pairs")
-    groups = connected_components(label_links(verified(docs, occurrences, pairs.select("u", "v"), least, id_col, text_col), pairs))
-    known = ["key", "node", "size"]
-    for wave in range(1, WAVES + 1):
-        inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
-        more = save(dealt_pairs(inside, info, range(wave * DEALS, (wave + 1) * DEALS), least), "line-pairs")
+    groups, inside, known = info.select("node", F.col("node").alias("component")).limit(0), None, ["key", "node", "size"]
+    for wave, (start, end) in enumerate(KEY_WAVES):
+        with scratch() as kept:
+            lines = save(with_components(info, groups), "line-components") if wave else info.withColumn("component", F.col("node"))
+            few, full = bucket_pairs(lines if wave else info, start, end)
+            dealt = dealt_pairs(full, info, range(wave, wave + 1), least)
+            pairs = save(likely(few, lines, least).unionByName(dealt).distinct(), "line-pairs")
+            found = verified(docs, occurrences, pairs.select("u", "v"), least, id_col, text_col)
+            groups = relabelled(groups, connected_components(label_links(found, pairs)))
+            full = full.select(*known) if inside is None else full.select(*known).unionByName(inside.select(*known))
+            inside = save(torn_buckets(with_components(full, groups)), "torn-buckets")
+            kept += [groups, inside]
+    for wave in range(WAVES):
+        first = len(KEY_WAVES) + wave * DEALS
+        more = save(dealt_pairs(inside.where(F.col("size") > PART), info, range(first, first + DEALS), least), "line-pairs")
         if not more.limit(1).count():
             break
         found = verified(docs, occurrences, more.select("u", "v"), least, id_col, text_col)
         if not found.limit(1).count():
             break
         groups = relabelled(groups, connected_components(label_links(found, more)))
-    inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
+        inside = save(torn_buckets(with_components(inside.select(*known), groups)), "torn-buckets")
     # lines of one bucket in different components are compared, those of its largest component only
     # with others, so that a bucket of one large group and some more lines costs few comparisons
     columns = ("node", "component", *MARKS)
@@ -268,28 +285,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("least must be over 0, and 1 at most")
     if min_words < 0:
         raise ValueError("min_words must not be negative")
-    marked = save(line_hashes(docs, id_col, text_col), "marked-lines")
-    lines = marked.select("id", "th", "line", "h1", "h2", "n")
-    fit = marked.where(F.col("n") >= min_words)
-    marks = ["first", "last", "low", "sim0", "sim1", *MARKS]
-    # the marks of a line are the same wherever it stands
-    different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in marks]), "different-lines")
-    # lines that a single edit can leave similar to another
-    longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
-    fuzzy = (F.col("n") >= max(2, min_words)) & (longest(F.col("n")) * F.lit(1 - least) + F.lit(1e-9) >= 1)
-    info = save(different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"]), "line-marks")
-    groups = save(similar_lines(docs, lines, info, least, id_col, text_col)
-                  .select(F.col("node").alias("h1"), "component"), "line-groups")
-
-    # classes of several occurrences: components of linked lines, and lines that occur twice
-    linked = sieve(different, "h1", groups, "h1").join(groups, on="h1").select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
-    twice = different.where("k > 1").join(groups, on="h1", how="left_anti").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    classes = save(linked.unionByName(twice), "line-classes")
-    occurrence = F.struct("id", "line", "th")
-    maybe = maybe_among(lines, "h1", classes, "h1", "maybe")
-    found = save(maybe.where(F.col("maybe") & (F.col("n") >= min_words)).select("id", "th", "line", "h1", "h2").join(classes, on=["h1", "h2"], how="left"),
-                 "line-occurrences")
-    of_class = save(found.where("c1 is not null").groupBy("c1", "c2").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("size")), "line-firsts")
+    with scratch() as kept:
+        marked = save(line_hashes(docs, id_col, text_col), "marked-lines")
+        lines = save(marked.select("id", "th", "line", "h1", "h2", "n"), "lines")
+        fit = marked.where(F.col("n") >= min_words)
+        marks = ["first", "last", "low", "sim0", "sim1", *MARKS]
+        # the marks of a line are the same wherever it stands
+        different = save(fit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in marks]), "different-lines")
+        drop(marked)
+        # lines that a single edit can leave similar to another
+        longest = lambda n: F.floor(n / F.lit(least) + F.lit(1e-9))
+        fuzzy = (F.col("n") >= max(2, min_words)) & (longest(F.col("n")) * F.lit(1 - least) + F.lit(1e-9) >= 1)
+        info = save(different.where(fuzzy).select(F.col("h1").alias("node"), *marks).dropDuplicates(["node"]), "line-marks")
+        groups = save(similar_lines(docs, lines, info, least, id_col, text_col)
+                      .select(F.col("node").alias("h1"), "component"), "line-groups")
+
+        # classes of several occurrences: components of linked lines, and lines that occur twice
+        linked = sieve(different, "h1", groups, "h1").join(groups, on="h1").select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"))
+        twice = different.where("k > 1").join(groups, on="h1", how="left_anti").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+        classes = save(linked.unionByName(twice), "line-classes")
+        occurrence = F.struct("id", "line", "th")
+        maybe = maybe_among(lines, "h1", classes, "h1", "maybe")
+        found = save(maybe.where(F.col("maybe") & (F.col("n") >= min_words)).select("id", "th", "line", "h1", "h2").join(classes, on=["h1", "h2"], how="left"),
+                     "line-occurrences")
+        of_class = save(found.where("c1 is not null").groupBy("c1", "c2").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("size")), "line-firsts")
+        kept += [lines, classes, found, of_class]
     repeated = found.join(of_class, on=["c1", "c2"], how="left")
     own = [F.col("id").alias("class_id"), F.col("line").alias("class_line"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")]
     return maybe.where(~F.col("maybe") | (F.col("n") < min_words)).select("id", "th", "line", *own).unionByName(repeated.select(
