@@ -196,6 +196,17 @@ def test_cached_features_scores_hash_no_bytes(spark):
         assert sorted((r.d, r.term, r.tf) for r in out.collect()) == [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0)]
 
 
+def test_cached_features_take_no_memory_of_the_executors(spark):
+    docs = spark.createDataFrame([(i, f"a b{i} c{i % 7}") for i in range(300)], "d int, body string")
+    storage = spark.sparkContext._jsc.sc()
+    known = {i.id() for i in storage.getRDDStorageInfo()}
+    with tfidf.cached_features(docs, num_features=4096) as features:
+        assert tfidf.vector_scores(tfidf.idf_vectors(features), ["d"]).count() == 900
+        held = [i for i in storage.getRDDStorageInfo() if i.id() not in known]
+        assert len(held) == 1 and held[0].isCached()
+        assert held[0].memSize() == 0 and held[0].diskSize() > 0
+
+
 def test_hashed_scores_join_no_vocabulary(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "b")], "d int, body string")
     df = tfidf.tfidf_hashed_scores(docs, ["d"])

@@ -207,10 +207,14 @@ def idf_vectors(featurized: DataFrame) -> DataFrame:
 
 @contextmanager
 def cached_features(docs: DataFrame, body: str = "body", num_features: int = NUM_FEATURES):
-    """``hashed_features`` persisted (memory, then disk) while the block runs, so that
+    """``hashed_features`` persisted on the executors' disks while the block runs, so that
     the fit and the transform read it once made; afterwards just this frame is
-    released.  What is made of it inside the block must be written there."""
-    frame = hashed_features(docs, body, num_features).persist(StorageLevel.MEMORY_AND_DISK)
+    released.  What is made of it inside the block must be written there.
+
+    Texts, words and vectors are several times the input.  Kept in memory as well, a
+    partition is one block of the heap, and one that went to disk is read back
+    whole into it; on disk only, it is written and read as a stream of batches."""
+    frame = hashed_features(docs, body, num_features).persist(StorageLevel.DISK_ONLY)
     try:
         yield frame
     finally:
