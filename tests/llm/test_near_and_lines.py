@@ -357,3 +357,34 @@ def test_links_of_the_first_keys_suffice_for_a_large_group(spark, monkeypatch, n
     monkeypatch.setattr(line_dedup, "connected_components", lambda edges, **k: (seen.append(edges.count()), plain(edges, **k))[1])
     assert {x.class_id for x in dedup_lines(frame(spark, rows)).collect()} == {0}
     assert sum(seen) <= 6 * n
+
+
+def test_words_meet_where_their_text_is_cut(spark):
+    """Texts are dealt by id and hash; the lines' many totals are not."""
+    docs = frame(spark, [(1, "a b c\nd e f"), (2, "a b c"), (2, "a b c")])
+    hashes = line_hashes(docs, "doc_id", "text")
+    plan = hashes._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan) and all(
+        re.sub(r"#\d+L?", "", keys) == "id, th" for keys in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan))
+    assert sorted((x.id, x.line, x.n) for x in hashes.collect()) == [(1, 0, 3), (1, 1, 3), (2, 0, 6)]
+
+
+def test_small_buckets_are_gone_through_once(spark, monkeypatch):
+    """After the first keys, lines that happen to share a key are neither dealt nor carried on."""
+    r = random.Random(6)
+    rows = [(i, "begin " + " ".join("".join(r.choices("abcdefgh", k=2)) for _ in range(8 + i % 3)) + " end") for i in range(200)]
+    rows += [(200 + i, rows[i % 5][1].replace("end", "x" * (1 + i // 5) + " end")) for i in range(40)]
+    sizes, plain = [], line_dedup.dealt_pairs
+    monkeypatch.setattr(line_dedup, "dealt_pairs", lambda inside, *a: (sizes.append(sorted(x["size"] for x in inside.collect())), plain(inside, *a))[1])
+    got = {x.id: x.class_id for x in dedup_lines(frame(spark, rows)).collect()}
+    assert all(got[200 + i] == got[i % 5] for i in range(40))
+    assert sizes[0] and all(n > 256 for later in sizes[1:] for n in later)
+
+
+def test_lines_of_different_components_meet(spark):
+    marks = "n long, p0 long, p1 long, p2 long, p3 long"
+    info = spark.createDataFrame([(n, 10, 0, 0, 0, 0) for n in (1, 2, 3, 4)] + [(5, 30, 0, 0, 0, 0), (6, 10, -1, 0, 0, 0)], f"node long, {marks}")
+    inside = spark.createDataFrame([(7, 1, 1), (7, 2, 1), (7, 3, 3), (7, 5, 5), (7, 6, 6), (8, 4, 4), (8, 3, 3), (9, 3, 3), (9, 1, 1)],
+                                   "key long, node long, component long")
+    got = sorted(tuple(x) for x in line_dedup.crossed_pairs(inside, info, 0.8).select("u", "v", "a", "b").collect())
+    assert got == [(1, 3, 1, 3), (2, 3, 1, 3), (3, 4, 3, 4)]

@@ -14,10 +14,13 @@
 3. *Buckets.*  A few keys go first, then, of lines that these left in different
    components, the others.  Of a key with two or three lines all pairs are looked at.
    Fuller buckets are dealt by hash into parts of some lines, and each line is
-   paired with its part's first; so a bucket of n lines costs n pairs.  While a
+   paired with its part's first; so a bucket of n lines costs n pairs.  After the
+   first keys, whose links tie most groups together, that is for buckets of more than
+   ``CROWD`` lines: in others, most of whose lines just happen to share a key, all lines of
+   different components meet at once.  While a
    large bucket's lines lie in different components and links are still found,
    the lines are dealt anew; at last what is left of different components, in
-   all full buckets, is compared and one link of two components goes on.
+   all such buckets, is compared and one link of two components goes on.
 4. *Edit similarity.*  256 bits, each the parity of some words, differ in at
    most two for an edit; pairs that differ in more, or in length, are dropped.
    The rest are read again and compared:
@@ -57,22 +60,29 @@ BITS = 2 * 3 * WIDTH
 BLOCK, BLOCKS = 5, 4
 #: Lines of a part of a full bucket, how often larger ones are dealt at a time, and how often anew.
 PART, DEALS, WAVES = 16, 2, 2
+#: Lines of a full bucket up to which, after the first keys, all of different components meet.
+CROWD = 256
 
 
 def normalised(line: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[\\x00-`{-\\x7f]+", " "))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(id_col, text_col).alias("th"),
-        F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, dealt: bool = False) -> DataFrame:
+    """(id, th, line, raw); ``dealt`` has the texts dealt by (id, th) first."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(id_col, text_col).alias("th"),
+                       text_or_empty(text_col).alias("text"))
+    rows = rows.repartition("id", "th") if dealt else rows
+    return rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, line, h1, h2, first, last, n, low, p0.., sim0, sim1): every line with its hash,
-    hashes of its first, last and least word, words (-1 for a blank line), parity bits and SimHash."""
-    lines = lines_of(docs, id_col, text_col).select("id", "th", "line", normalised("raw").alias("norm"), "raw")
+    hashes of its first, last and least word, words (-1 for a blank line), parity bits and SimHash.
+
+    Texts are dealt, so that the words of a line meet where they are cut: a line's totals are
+    several times its text."""
+    lines = lines_of(docs, id_col, text_col, dealt=True).select("id", "th", "line", normalised("raw").alias("norm"), "raw")
     # letters and other signs never meet: a normalised line has the ones, a raw line without words the others
     known = F.when(F.col("norm") != "", F.col("norm")).otherwise(F.col("raw"))
     none = F.when(F.col("raw").rlike("[^\\x00-\\x20\\x7f]"), 0).otherwise(-1).cast("long")
@@ -149,19 +159,20 @@ def bucket_pairs(info: DataFrame, start: int = 0, end: int | None = None) -> tup
     pairs, inside = [], []
     end = max(count for _, count in KEY_COUNTS) if end is None else end
     grouped = "component" in info.columns
+    whole = Window.partitionBy("key")
     for at in range(start, end, AT_A_TIME):
         members = info.select("node", F.col("component" if grouped else "node").alias("component"),
                               F.explode(line_keys(at, min(at + AT_A_TIME, end))).alias("key"))
-        ends = [F.min("component").alias("low"), F.max("component").alias("high")] if grouped else []
-        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                             F.bit_xor("node").alias("all"), *ends).where("size > 1 AND lo != hi")
-        buckets = save(buckets.where("low != high").drop("low", "high") if grouped else buckets, "line-buckets")
+        sized = members.select("key", "node", "component", F.count(F.lit(1)).over(whole).alias("size"),
+                               F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"))
+        buckets = save(sized.where("size > 1 AND low != high").drop("low", "high"), "line-buckets")
+        few = buckets.where("size <= 3").groupBy("key").agg(F.first("size").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                                            F.bit_xor("node").alias("all"))
         third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
         pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
-        pairs.append(save(buckets.where("size <= 3").select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
+        pairs.append(save(few.select(F.explode(F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(
             F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")).select("p.u", "p.v"), "few-pairs"))
-        full = buckets.where("size > 3").select("key", "size")
-        inside.append(save(sieve(members, "key", full, "key").join(full, on="key"), "full-buckets"))
+        inside.append(save(buckets.where("size > 3"), "full-buckets"))
         drop(buckets)
     return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, inside)
 
@@ -198,6 +209,19 @@ def likely(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
                        F.greatest("component_u", "component_v").alias("b"))
 
 
+def crossed_pairs(inside: DataFrame, info: DataFrame, least: float) -> DataFrame:
+    """(u, v, a, b): the pairs (u, v) of lines of one bucket (key, node, component) of different components a
+    and b that length and parity bits don't rule out.  A row is read as often as its bucket has rows."""
+    columns = ("node", "component", *MARKS)
+    marked = save(inside.select("key", "node", "component").join(info.select("node", *MARKS), on="node"), "marked-buckets")
+    u, v = (marked.select("key", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
+    both = u.join(v, (u["key"] == v["key"]) & (F.col("component_u") < F.col("component_v")) & may_be_near(least))
+    pairs = save(both.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"),
+                             F.col("component_u").alias("a"), F.col("component_v").alias("b")).distinct(), "crossed-pairs")
+    drop(marked)
+    return pairs
+
+
 def with_components(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, on="node", how="left").withColumn("component", F.coalesce("component", "node"))
 
@@ -215,16 +239,22 @@ def similar_lines(docs: DataFrame, occurrences: DataFrame, info: DataFrame, leas
         with scratch() as kept:
             lines = save(with_components(info, groups), "line-components") if wave else info.withColumn("component", F.col("node"))
             few, full = bucket_pairs(lines if wave else info, start, end)
-            dealt = dealt_pairs(full, info, range(wave, wave + 1), least)
-            pairs = save(likely(few, lines, least).unionByName(dealt).distinct(), "line-pairs")
+            pairs = likely(few, lines, least)
+            if wave:
+                # what the waves before left of different components, and the buckets of this one
+                full = full.select(*known, "component").unionByName(inside.select(*known, "component"))
+                pairs = pairs.unionByName(crossed_pairs(full.where(F.col("size") <= CROWD), info, least))
+                full = full.where(F.col("size") > CROWD)
+            pairs = save(pairs.unionByName(dealt_pairs(full, info, range(wave, wave + 1), least)).distinct(), "line-pairs")
             found = verified(docs, occurrences, pairs.select("u", "v"), least, id_col, text_col)
             groups = relabelled(groups, connected_components(label_links(found, pairs)))
-            full = full.select(*known) if inside is None else full.select(*known).unionByName(inside.select(*known))
-            inside = save(torn_buckets(with_components(full, groups)), "torn-buckets")
+            inside = save(torn_buckets(with_components(full.select(*known), groups)), "torn-buckets")
             kept += [groups, inside]
+    if not inside.limit(1).count():
+        return groups
     for wave in range(WAVES):
         first = len(KEY_WAVES) + wave * DEALS
-        more = save(dealt_pairs(inside.where(F.col("size") > PART), info, range(first, first + DEALS), least), "line-pairs")
+        more = save(dealt_pairs(inside, info, range(first, first + DEALS), least), "line-pairs")
         if not more.limit(1).count():
             break
         found = verified(docs, occurrences, more.select("u", "v"), least, id_col, text_col)
